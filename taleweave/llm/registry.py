@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taleweave.llm import chat, mixing, sharding
+from taleweave.llm import chat, jaccard, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,11 @@ def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ring_shards, op6_perspective_rotation, op7_block_mixing)}
+    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op6_perspective_rotation, op7_block_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_perspective_rotation": OP6_SQL}
+    return {"op2_jaccard_components": OP2_SQL, "op6_perspective_rotation": OP6_SQL}
 
 
 OP6_SQL = r"""
@@ -55,3 +59,26 @@ SELECT conv_id, perspective, position,
        CASE WHEN speaker = perspective THEN CAST(stop - 1 AS BIGINT) END AS loss_end
 FROM laid
 """
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * common >= 75 * (p.n + q.n - common)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM w
+  UNION
+  SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+"""
