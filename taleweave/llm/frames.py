@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys are equal; the keys are taken from the left side."""
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
+    """Equi-join in which null keys are equal; the keys are taken from the left side.
+
+    ``merge`` asks for a sort-merge join: for sides that an explode has made
+    larger than the sizes by which Spark would choose a broadcast.
+    """
     other = right.select(*[F.col(c).alias(f"right_{c}" if c in keys else c) for c in right.columns])
+    if merge:
+        left, other = left.hint("merge"), other.hint("merge")
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys])
     return left.join(other, match, how).drop(*[f"right_{k}" for k in keys])

@@ -213,7 +213,7 @@ def _linked(live: DataFrame, members: DataFrame, all_pairs: bool, per_cent: int)
     else:  # every block meets block 0
         partners = F.when(block == 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), block.alias("j"))))
     dealt = members.select("group", "rep", "component", F.explode(partners).alias("pair"))
-    rows = dealt.join(live.select("rep", "n", "tokens"), "rep")
+    rows = dealt.hint("merge").join(live.select("rep", "n", "tokens").hint("merge"), "rep")
     rows = rows.select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "component", "n", "tokens")
     return rows.groupBy("group", "i", "j").applyInArrow(_traverse(per_cent), "a long, b long")
 

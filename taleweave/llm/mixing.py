@@ -88,7 +88,8 @@ def draw_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int
     order = Window.orderBy(F.col("source").asc_nulls_last())
     sources = sources.withColumn("low", F.coalesce(F.sum("draws").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = sources.withColumn("slots", F.sum("draws").over(Window.partitionBy())).where("draws > 0")
-    chunks = sources.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK)))).repartition("source", "chunk")
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a chunk has few bytes and makes many rows
+    chunks = sources.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK)))).repartition(parts, "source", "chunk")
     first = F.col("chunk") * CHUNK
     draws = chunks.withColumn("draw", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("draws")) - 1)))
     turn = F.floor(F.col("draw") / F.col("n_blocks"))
@@ -128,7 +129,7 @@ def mix_plan(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, se
 
 def mixed_spans(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix: for every slot the word spans that fill it."""
-    return join_on(slots, pieces, ["source", "block"])
+    return join_on(slots, pieces, ["source", "block"], merge=True)
 
 
 def mix_amounts(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
