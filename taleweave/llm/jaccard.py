@@ -40,7 +40,8 @@ U64 = np.uint64
 CHUNK_TOKENS = 1 << 20  # shingles gathered in a task before they are sent
 RANGE_TOKENS = 1 << 21  # shingles of one hash range
 MIN_HASHES = 3
-BLOCK = 1500  # sets in one block of a large group
+BLOCK = 3000  # sets in one block of a large group
+CLUSTER = 16 * BLOCK  # sets that are compared as pairs of blocks
 
 
 def _fingerprint(tokens: np.ndarray) -> int:
@@ -204,6 +205,11 @@ def _traverse(per_cent: int):
     return run
 
 
+def _members() -> list:
+    """Two columns that tell sets of members apart."""
+    return [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"members{k}") for k in (1, 2)]
+
+
 def _linked(live: DataFrame, members: DataFrame, all_pairs: bool, per_cent: int) -> DataFrame:
     """Links inside the groups of ``members`` (group, rep, component, count); large groups as pairs of blocks."""
     n = F.ceil(F.col("count") / BLOCK).cast("int")
@@ -251,9 +257,20 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     prefix = live.select("rep", "n", "tokens").mapInArrow(_prefixes(per_cent), "rep long, token long")
     prefix = prefix.join(near, prefix["rep"] == near["node"], "left").select("rep", "token", F.coalesce("component", "rep").alias("component"))
     prefix = written(prefix, "prefix")
-    mixed = prefix.groupBy("token").agg(F.count("*").alias("count"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
-    members = prefix.join(mixed, "token").select(F.col("token").alias("group"), "rep", "component", "count")
-    rest = _linked(live, members, True, per_cent)
+    # tokens whose members are still in two components or more
+    mixed = prefix.groupBy("token").agg(F.count("*").alias("count"), F.min("rep").alias("first"), *_members(), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
+    mixed = written(mixed, "mixed")
+    meet = written(prefix.join(mixed.select("token", "first"), "token").select("rep", "component", "first").distinct(), "meet")
+    # texts that share such tokens, directly or through others, make one group: however many tokens two share, they meet once
+    cluster = written(components(meet.select(F.col("rep").alias("a"), F.col("first").alias("b"))), "clusters")
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("count")).withColumnRenamed("component", "group")
+    dealt = cluster.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(sizes, "group")
+    comps = meet.select("rep", "component").distinct()
+    rest = _linked(live, dealt.where(F.col("count") <= CLUSTER).join(comps, "rep").select("group", "rep", "component", "count"), True, per_cent)
+    # a cluster too large for pairs of blocks is taken apart again: by tokens, those with the same members as one
+    wide = prefix.join(dealt.where(F.col("count") > CLUSTER).select("rep"), "rep")
+    tokens = mixed.groupBy("count", "members1", "members2").agg(F.min("token").alias("token")).select("token", "count")
+    rest = rest.unionByName(_linked(live, wide.join(tokens, "token").select(F.col("token").alias("group"), "rep", "component", "count"), True, per_cent))
     final = components(rest.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component_id"))
     out = join_on(sets, of_class, ["set_key"], "left")
