@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taleweave.llm import chat, jaccard, mixing, sharding
+from taleweave.llm import chat, jaccard, mixing, packing, scratch, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -29,8 +33,15 @@ def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_amounts(table(spark, sf_dir, "documents"))
 
 
+def op8_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "sstable")
+    sstable.write_shards(table(spark, sf_dir, "documents"), path)
+    rows = sstable.with_starts(sstable.read_shards(spark, path, with_ids=False), sstable.read_footers(spark, path))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op6_perspective_rotation, op7_block_mixing)}
+    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
