@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taleweave.llm import chat, jaccard, mixing, packing, scratch, sharding, sstable
+from taleweave.llm import chat, jaccard, mixing, packing, quality, scratch, sharding, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,12 @@ def op8_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards)}
+    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op10_distribution_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
