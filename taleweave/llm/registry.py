@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taleweave.llm import chat, jaccard, mixing, packing, quality, scratch, sharding, sstable
+from taleweave.llm import chat, jaccard, mixing, packing, quality, scratch, sharding, sstable, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,19 @@ def op8_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op10_distribution_divergence)}
+    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
