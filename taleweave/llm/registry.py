@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taleweave.llm import chat, jaccard, mixing, packing, quality, scratch, sharding, sstable, urltree
+from taleweave.llm import ann, chat, jaccard, mixing, packing, quality, scratch, sharding, sstable, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -52,7 +57,7 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence)}
+    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
