@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleweave.llm import ann, chat, jaccard, mixing, packing, quality, scratch, sharding, sstable, urltree
+import corpus_pipeline
+from taleweave.llm import ann, chat, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate_substrings(table(spark, sf_dir, "documents"))
+
+
 def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op3_ring_shards, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence)}
+    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,13 @@ def drop(*frames: DataFrame) -> None:
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's JVM collects them, which on an idle driver may
+    be long after; between steps that each move the whole corpus that is a lot of disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
