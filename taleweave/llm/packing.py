@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from taleweave.llm.frames import join_on
 from taleweave.llm.scratch import written
-from taleweave.llm.tokens import Encoder, default_path
+from taleweave.llm.tokens import default_path, encoder
 
 SUB_BUCKETS = 64
 WIDE = 48  # first items tried for fillings of three
@@ -35,10 +35,10 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int, id_col:
     """doc_id, piece, start, length, ids_crc32 of every piece; longer documents are cut from their end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.encode(batch["text"]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 at, k = 0, len(ids) % capacity or capacity
                 piece = 0

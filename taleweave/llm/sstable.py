@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
-from taleweave.llm.tokens import Encoder, default_path
+from taleweave.llm.tokens import default_path, encoder
 
 KEY = 9
 BLOCK_BYTES = 1 << 16
@@ -156,12 +156,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     n_shards = n_shards or max(1, docs.rdd.getNumPartitions())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        tokens = encoder(tokenizer_path)
+        width = 2 if max(tokens.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         shard = ShardWriter(width)
         row = lambda blocks: pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.encode(batch["text"]), strict=True):
                 for block in shard.add(doc_id, np.append(ids, np.uint32(end_id))):
                     yield row([block])
         yield row(list(shard.finish()))

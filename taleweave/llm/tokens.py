@@ -10,6 +10,8 @@ whose class differs between Unicode versions are encoded whole.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -24,7 +26,8 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE, UNKNOWN = 0, 1, 2, 3, 4, 5
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Letters after an apostrophe that form a piece with it.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
-KEEP = 400_000  # pieces remembered by a task
+KEEP = 300_000  # pieces remembered by a worker
+SLICE = 1 << 18  # bytes of text encoded at a time
 
 
 def default_path() -> str:
@@ -43,8 +46,16 @@ def _kind(code: int) -> int:
     return {"L": LETTER, "N": NUMBER}.get(now[0], OTHER)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder: loading the vocabulary takes longer than many a task."""
+    kept = sys.modules.setdefault("taleweave_worker", types.ModuleType("taleweave_worker"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, Encoder(path)
+    return kept.encoder
+
+
 class Encoder:
-    """Ids of texts; one to a task."""
+    """Ids of texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,7 +77,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids (uint32) of every row in order; a null text has none."""
-        for first, end, data, offsets in kernels.slices(column):
+        for first, end, data, offsets in kernels.slices(column, SLICE):
             yield from self._slice(end - first, data, offsets)
 
     def _slice(self, n: int, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
