@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from taleweave.plans import base, graph_queries, kin_queries, layout_queries, resolve_queries, text_queries, time_queries, view_queries
+
+MODULES = (view_queries, graph_queries, time_queries, kin_queries, resolve_queries, text_queries, layout_queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
