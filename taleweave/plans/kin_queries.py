@@ -1 +1,124 @@
-"""Queries."""
+"""Kinship on the tree of regions, nations and suppliers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taleweave.operators import kin
+from taleweave.plans.base import query
+from taleweave.sources import bridge
+
+CLOSED_SQL = """closed AS (SELECT child AS node, parent AS ancestor, 1 AS dist FROM kin_up
+ UNION SELECT a.child, b.parent, 2 FROM kin_up a JOIN kin_up b ON a.parent = b.child)"""
+SEX_SQL = "CASE WHEN CAST(substr({0}, 2) AS BIGINT) % 2 = 0 THEN 'f' ELSE 'm' END"
+
+
+def _sex(c: str):
+    return F.when(F.substring(c, 2, 20).cast("long") % 2 == 0, "f").otherwise("m")
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kin.closure(bridge.kin_edges(spark, sf_dir))
+
+
+@query(f"WITH {CLOSED_SQL} SELECT node, ancestor, CAST(dist AS INT) AS dist FROM closed")
+def kin_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _closed(spark, sf_dir)
+
+
+LCA_SQL = f"""{CLOSED_SQL}, lca AS (
+ SELECT x.node AS a, y.node AS b, x.ancestor, CAST(x.dist AS INT) AS da, CAST(y.dist AS INT) AS db FROM closed x JOIN closed y ON x.ancestor = y.ancestor AND x.node < y.node
+ QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY x.dist + y.dist, x.dist, x.ancestor) = 1)"""
+
+
+@query(f"WITH {LCA_SQL} SELECT a, b, ancestor, da, db FROM lca")
+def kin_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = _closed(spark, sf_dir)
+    return kin.nearest_common(kin.related_pairs(closed, 2), closed)
+
+
+@query(f"""SELECT a.parent, a.child AS a, b.child AS b,
+ CASE WHEN {SEX_SQL.format('a.child')} = 'm' AND {SEX_SQL.format('b.child')} = 'm' THEN '半兄弟' WHEN {SEX_SQL.format('a.child')} = 'f' AND {SEX_SQL.format('b.child')} = 'f' THEN '半姐妹'
+  WHEN (CAST(substr(a.child, 2) AS BIGINT) < CAST(substr(b.child, 2) AS BIGINT)) = ({SEX_SQL.format('a.child')} = 'm') THEN '半兄妹' ELSE '半姐弟' END AS term
+ FROM kin_up a JOIN kin_up b ON a.parent = b.parent AND a.child < b.child""")
+def kin_sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bridge.kin_edges(spark, sf_dir)
+    p = e.withColumnRenamed("child", "a").join(e.withColumnRenamed("child", "b"), "parent").where("a < b")
+    rank = lambda c: F.substring(c, 2, 20).cast("long")
+    return p.select("parent", "a", "b", kin.sibling_term(F.lit(1), _sex("a"), _sex("b"), rank("a"), rank("b")).alias("term"))
+
+
+@query(f"WITH {LCA_SQL} SELECT ancestor, count(*) AS cousins FROM lca WHERE da = 2 AND db = 2 GROUP BY ancestor")
+def kin_cousin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = _closed(spark, sf_dir)
+    lca = kin.nearest_common(kin.related_pairs(closed, 2), closed)
+    return lca.where("da = 2 AND db = 2").groupBy("ancestor").agg(F.count("*").alias("cousins"))
+
+
+@query(f"""WITH {CLOSED_SQL} SELECT ancestor AS elder, node AS younger, CAST(dist AS INT) AS gap,
+ CASE WHEN dist = 2 THEN '祖孙' ELSE (CASE WHEN {SEX_SQL.format('ancestor')} = 'f' THEN '母' ELSE '父' END) || (CASE WHEN {SEX_SQL.format('node')} = 'f' THEN '女' ELSE '子' END) END AS term
+ FROM closed""")
+def kin_direct_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _closed(spark, sf_dir)
+    return c.select(F.col("ancestor").alias("elder"), F.col("node").alias("younger"), F.col("dist").alias("gap"), kin.direct_term(F.col("dist"), _sex("ancestor"), _sex("node")).alias("term"))
+
+
+@query(f"""WITH {LCA_SQL}, direct AS (SELECT least(node, ancestor) AS a, greatest(node, ancestor) AS b, 'direct' AS kind FROM closed WHERE dist > 1)
+SELECT a, b, kind FROM direct UNION ALL
+SELECT a, b, CASE WHEN da = 1 AND db = 1 THEN 'sibling' ELSE 'collateral' END FROM lca WHERE ((da = 1 AND db = 1) OR abs(da - db) = 1)
+ AND NOT EXISTS (SELECT 1 FROM closed c WHERE (c.node = a AND c.ancestor = b) OR (c.node = b AND c.ancestor = a))""")
+def kin_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations to add: direct lines over more than one step, siblings, and collateral pairs one generation apart."""
+    closed = _closed(spark, sf_dir)
+    line = closed.select(F.least("node", "ancestor").alias("a"), F.greatest("node", "ancestor").alias("b"), "dist")
+    lca = kin.nearest_common(kin.related_pairs(closed, 2), closed).join(line, ["a", "b"], "left_anti")
+    side = lca.where("(da = 1 AND db = 1) OR abs(da - db) = 1").select("a", "b", F.when(F.col("da") == F.col("db"), "sibling").otherwise("collateral").alias("kind"))
+    return line.where("dist > 1").select("a", "b", F.lit("direct").alias("kind")).unionByName(side)
+
+
+TYPES = ("父子", "养母女", "结义兄弟", "岳父女婿", "夫妻", "师徒", "堂兄弟", "乳母", "继母子", "盟友", "父子（养）")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation type for each part, so that wording rules run over a large table."""
+    p = bridge.table(spark, sf_dir, "part")
+    kinds = F.array(*map(F.lit, TYPES))
+    kins = F.array(*[F.lit(k) for k in ("blood", None, "sworn", "friend", "marriage", "-")])
+    return p.select("p_partkey", F.get(kinds, (F.col("p_partkey") % len(TYPES)).cast("int")).alias("type"), F.get(kins, (F.col("p_partkey") % 6).cast("int")).alias("kin"))
+
+
+TYPED_SQL = f"typed AS (SELECT p_partkey, ({list(TYPES)})[p_partkey % {len(TYPES)} + 1] AS type, (['blood', NULL, 'sworn', 'friend', 'marriage', '-'])[p_partkey % 6 + 1] AS kin FROM part)"
+GUESS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(type, '{w}') THEN {repr(k) if k else 'NULL'}" for k, w in kin.KIN_WORDS) + " END"
+
+
+@query(f"WITH {TYPED_SQL} SELECT type, {GUESS_SQL} AS kin, regexp_matches(regexp_replace(type, '[（(].*$', ''), '{kin.PARENT_TYPE}') AS parent_child, count(*) AS n FROM typed GROUP BY ALL")
+def kin_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir).groupBy("type", kin.guess_kin(F.col("type")).alias("kin"), kin.is_parent_child(F.col("type")).alias("parent_child")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {TYPED_SQL}, g AS (SELECT p_partkey, CASE WHEN kin NOT IN ('-') THEN kin END AS kin, {GUESS_SQL} AS guess FROM typed),
+f AS (SELECT p_partkey, 'illegal' AS finding FROM g WHERE kin = 'friend' UNION ALL SELECT p_partkey, 'missing' FROM g WHERE kin IS NULL AND guess IS NOT NULL
+ UNION ALL SELECT p_partkey, 'blood term' FROM g WHERE guess = 'blood' AND kin IN ('sworn', 'marriage')
+ UNION ALL SELECT p_partkey, 'mismatch' FROM g WHERE guess <> 'blood' AND kin IN ('blood', 'sworn', 'marriage') AND kin <> guess)
+SELECT * FROM f""")
+def kin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _typed(spark, sf_dir)
+    return t.select("p_partkey", F.explode(kin.check_kin(F.col("type"), F.col("kin"))).alias("finding"))
+
+
+@query(f"""SELECT parent, child, {SEX_SQL.format('parent')} AS sex FROM kin_up WHERE {SEX_SQL.format('parent')} = 'f'""")
+def kin_gender_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge is worded as father and child: those whose parent is a woman are wrong."""
+    e = bridge.kin_edges(spark, sf_dir).withColumn("sex", _sex("parent"))
+    implied = spark.createDataFrame([("父子", "m")], "type string, elder string")
+    return e.withColumn("type", F.lit("父子")).join(F.broadcast(implied), "type").where("sex <> elder").select("parent", "child", "sex")
+
+
+@query("""WITH e AS (SELECT parent, child FROM kin_up UNION ALL SELECT 's' || s_suppkey, 'r' || (s_suppkey % 5) FROM supplier WHERE s_suppkey % 5 IN (1, 2) AND s_suppkey <= 8),
+walk AS (SELECT parent AS start, child AS at_ FROM e UNION SELECT start, e.child FROM walk JOIN e ON e.parent = at_)
+SELECT DISTINCT start AS node FROM walk WHERE start = at_""", recursive=True)
+def parent_cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bridge.table(spark, sf_dir, "supplier").where("s_suppkey % 5 IN (1, 2) AND s_suppkey <= 8")
+    seeded = s.select(F.concat(F.lit("s"), "s_suppkey").alias("parent"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("child"))
+    return kin.cycle_nodes(bridge.kin_edges(spark, sf_dir).unionByName(seeded))

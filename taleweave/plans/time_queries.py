@@ -1 +1,104 @@
-"""Queries."""
+"""As-of joins, phases, periods."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taleweave.operators import periods
+from taleweave.operators.view import ViewState
+from taleweave.plans.base import query
+from taleweave.plans.view_queries import book
+from taleweave.sources import bridge
+
+# every customer's history of order priorities, one segment a chapter (its first order there)
+HISTORY_SQL = """seg AS (SELECT o_custkey AS id, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS from_ch, arg_min(o_orderpriority, o_orderkey) AS faction
+  FROM orders GROUP BY 1, 2)"""
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = bridge.table(spark, sf_dir, "orders").withColumn("from_ch", bridge.chapter(F.col("o_orderdate")))
+    seg = o.groupBy(F.col("o_custkey").alias("id"), "from_ch").agg(F.min_by("o_orderpriority", "o_orderkey").alias("faction"))
+    return seg.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("from_ch", "faction"))).alias("history"))
+
+
+def asof_sql(ch: str) -> str:
+    return f"""WITH {HISTORY_SQL}
+SELECT c_custkey AS id, coalesce((SELECT arg_max(faction, from_ch) FROM seg WHERE id = c_custkey AND from_ch <= {ch}), (SELECT arg_min(faction, from_ch) FROM seg WHERE id = c_custkey), c_mktsegment) AS faction FROM customer"""
+
+
+@query(asof_sql("24"))
+def effective_faction_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bridge.table(spark, sf_dir, "customer").join(_history(spark, sf_dir), F.col("c_custkey") == F.col("id"), "left")
+    return c.select(F.col("c_custkey").alias("id"), periods.effective_segment(F.col("history"), F.lit(24), F.col("c_mktsegment")).alias("faction"))
+
+
+@query(f"""WITH {HISTORY_SQL} SELECT ch, faction, count(*) AS n FROM (SELECT ch, c_custkey,
+ coalesce((SELECT arg_max(faction, from_ch) FROM seg WHERE id = c_custkey AND from_ch <= ch), (SELECT arg_min(faction, from_ch) FROM seg WHERE id = c_custkey), c_mktsegment) AS faction
+ FROM customer CROSS JOIN (VALUES (6), (12), (48)) v(ch)) GROUP BY ALL""")
+def faction_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bridge.table(spark, sf_dir, "customer").join(_history(spark, sf_dir), F.col("c_custkey") == F.col("id"), "left")
+    at = c.withColumn("ch", F.explode(F.array(F.lit(6), F.lit(12), F.lit(48))))
+    return at.groupBy("ch", periods.effective_segment(F.col("history"), F.col("ch"), F.col("c_mktsegment")).alias("faction")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT r.ord, r.ch, (SELECT arg_min(p.phase, p.ord) FROM phases p WHERE r.ch BETWEEN p.from_ch AND p.to_ch) AS phase FROM rels r")
+def event_phase_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = bridge.relations(spark, sf_dir).select("ord", "ch")
+    return periods.assign_phases(r, bridge.phases(spark))
+
+
+@query("""SELECT phase, coalesce((SELECT count(*) FROM plot WHERE plot.ch BETWEEN from_ch AND to_ch), 0) AS n_events,
+ coalesce((SELECT count(*) FROM rels WHERE rels.ch BETWEEN p.from_ch AND p.to_ch), 0) AS n_rels FROM phases p""")
+def phase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.phase_table(bridge.plot_events(spark, sf_dir), bridge.relations(spark, sf_dir), bridge.phases(spark))
+
+
+@query("SELECT event, phase, ord, ch, ch > 12 AS locked, CASE WHEN ch > 12 THEN '?' ELSE event END AS shown FROM plot")
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    locked = ViewState(31, progress=12).locked(F.col("ch"))
+    return bridge.plot_events(spark, sf_dir).select("event", "phase", "ord", "ch", locked.alias("locked"), F.when(locked, "?").otherwise(F.col("event")).alias("shown"))
+
+
+@query("""WITH ec AS (SELECT event, phase, ord, unnest(chars) AS char FROM plot WHERE ch <= 20 AND event LIKE 'purchase%')
+SELECT a.char AS a, b.char AS b, arg_min(a.event, struct_pack(p := a.phase, o := a.ord)) AS event FROM ec a JOIN ec b ON a.event = b.event AND a.char < b.char GROUP BY ALL""")
+def shared_event_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asked pairs are those of the relation "bought in the same hour"."""
+    e = bridge.plot_events(spark, sf_dir).where("event LIKE 'purchase%'")
+    e = e.where(~ViewState(31, progress=20).locked(F.col("ch")))
+    ec = e.select("event", F.explode("chars").alias("char"))
+    pairs = ec.join(ec.withColumnRenamed("char", "b"), "event").where("char < b").select(F.col("char").alias("a"), "b").distinct()
+    return periods.shared_events(pairs, ec, e)
+
+
+@query("""WITH x AS (SELECT src, dst, type, ord, from_ch, coalesce(to_ch, 2147483647) AS e FROM rels),
+y AS (SELECT *, CASE WHEN from_ch > max(e) OVER (PARTITION BY src, dst, type ORDER BY from_ch, e, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM x),
+z AS (SELECT *, sum(gap) OVER (PARTITION BY src, dst, type ORDER BY from_ch, e, ord ROWS UNBOUNDED PRECEDING) AS island FROM y)
+SELECT src, dst, type, CAST(island AS INT) AS island, count(*) AS n, min(from_ch) AS from_ch, nullif(max(e), 2147483647) AS to_ch FROM z GROUP BY ALL""")
+def merge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.islands(bridge.relations(spark, sf_dir).select("src", "dst", "type", "ord", "from_ch", "to_ch"), ["src", "dst", "type"])
+
+
+@query("""WITH x AS (SELECT dst, style, ch, ord, CASE WHEN lag(style) OVER w IS NOT DISTINCT FROM style THEN 0 ELSE 1 END AS change FROM rels WINDOW w AS (PARTITION BY dst ORDER BY ch, ord)),
+y AS (SELECT *, sum(change) OVER (PARTITION BY dst ORDER BY ch, ord ROWS UNBOUNDED PRECEDING) AS run FROM x),
+z AS (SELECT dst, CAST(run AS INT) AS run, style, min(ch) AS from_ch, max(ch) AS last_ch FROM y GROUP BY ALL),
+n AS (SELECT *, lead(from_ch) OVER (PARTITION BY dst ORDER BY run) AS nxt FROM z)
+SELECT dst, run, style, from_ch, CASE WHEN nxt IS NOT NULL THEN greatest(nxt, last_ch + 1) END AS to_ch FROM n""")
+def period_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.segments(bridge.relations(spark, sf_dir).select("dst", "style", "ch", "ord"), ["dst"], "style")
+
+
+@query("SELECT phase, count(DISTINCT ch) AS written, CAST(7 AS INT) AS total FROM plot GROUP BY phase")
+def annotation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.plot_events(spark, sf_dir).groupBy("phase").agg(F.countDistinct("ch").alias("written")).withColumn("total", F.lit(7))
+
+
+@query("SELECT CAST(i AS INT) AS ch FROM range(1, 121) t(i) WHERE NOT EXISTS (SELECT 1 FROM rels WHERE ch = i)")
+def missing_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.missing_chapters(bridge.relations(spark, sf_dir), 120)
+
+
+@query("""SELECT id, count(*) AS n_late, max(ch) AS last_late FROM (SELECT src AS id, ch FROM rels UNION ALL SELECT dst, ch FROM rels) WHERE ch > 60 GROUP BY id""")
+def late_event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rels = book(spark, sf_dir)
+    return rels.where("ch > 60").select(F.explode(F.array("src", "dst")).alias("id"), "ch").groupBy("id").agg(F.count("*").alias("n_late"), F.max("ch").alias("last_late"))
