@@ -36,9 +36,9 @@ from taleweave.llm.suffix_sort import common_prefixes, deep_shallow_order
 U64 = np.uint64
 GRAM = 26
 WINDOW = 50
-CHUNK_ANCHORS = 1 << 19  # anchors gathered in a task before they are sent
-RANGE_ANCHORS = 1 << 20  # anchors of one hash range
-BUCKET_BYTES = 4 << 20  # text of one bucket of documents
+CHUNK_ANCHORS = 1 << 17  # anchors gathered in a task before they are sent
+RANGE_ANCHORS = 1 << 18  # anchors of one hash range
+BUCKET_BYTES = 2 << 20  # text of one bucket of documents
 SETTLED, UNSETTLED = 1, 2
 WIDTH = 6  # bytes of a hash that are sent
 
@@ -46,7 +46,7 @@ WIDTH = 6  # bytes of a hash that are sent
 def phrases(column: pa.Array, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of rows: first, end, bytes, offsets, and of every phrase its row, first window, last window, anchor, (anchor hash, phrase hash)."""
     span = window - GRAM + 1
-    for first, end, data, offsets in kernels.slices(column, 1 << 19):
+    for first, end, data, offsets in kernels.slices(column, 1 << 18):
         n = len(data)
         none = np.empty(0, np.int64)
         if n < window:
