@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
@@ -115,7 +115,18 @@ def _rows(rows) -> pa.RecordBatch:
 
 
 def bucket_of(doc: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (kernels.mix(doc.astype(np.int64).view(U64)) % U64(n_buckets)).astype(np.int64)
+    """The bucket of a document's id; ``bucket_column`` is the same for Spark."""
+    x = doc.astype(np.int64).view(U64)
+    x = x ^ (x >> U64(23))
+    x = x ^ (x << U64(11))
+    return np.mod(x.view(np.int64), np.int64(n_buckets))
+
+
+def bucket_column(doc: Column, n_buckets: int) -> Column:
+    x = F.coalesce(doc, F.lit(0).cast("long"))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 23))
+    x = x.bitwiseXOR(F.shiftleft(x, 11))
+    return F.pmod(x, F.lit(n_buckets).cast("long")).cast("int")
 
 
 def _told(doc: np.ndarray, entry: np.ndarray, said: np.ndarray, n_buckets: int, n_ranges: int) -> Iterator[tuple]:
@@ -165,13 +176,18 @@ def _send(window: int, n_ranges: int, n_buckets: int):
                 if total >= CHUNK_ANCHORS:
                     yield _rows(pack(parts))
                     parts, total = [], 0
+            del batch, ids
+            kernels.give_back()
         yield _rows(pack(parts))
+        parts = []
+        kernels.give_back()
 
     return run
 
 
 def _settle(n_ranges: int, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        kernels.give_back()  # what the group before has left
         part = table["part"].to_numpy()
         out = [table.filter(pa.array(part > 0))]
         mine = table.filter(pa.array(part == 0))
@@ -206,6 +222,7 @@ def _look_up(window: int):
     """A bucket of texts with the findings about them: settled spans (start, end) and phrases to look at (low, anchor, h, bytes)."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        kernels.give_back()
         out: list[pa.Table] = []
         if texts.num_rows and told.num_rows:
             doc = np.concatenate([_undeltas(x) for x in told["docs"].to_pylist()])
@@ -245,6 +262,7 @@ def _compare(window: int):
     side = window - GRAM
 
     def run(table: pa.Table) -> pa.Table:
+        kernels.give_back()
         doc, low, anchor, h = (table[c].to_numpy() for c in ("doc_id", "low", "anchor", "h"))
         raw = table["bytes"].to_pylist()
         left, right = np.zeros((len(raw), side), np.uint8), np.zeros((len(raw), side), np.uint8)
@@ -298,6 +316,7 @@ def _compare(window: int):
 
 def _cut(with_text: bool):
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        kernels.give_back()
         doc, start, end = (spans[c].to_numpy() for c in ("doc_id", "start", "end"))
         order = np.lexsort((start, doc))
         doc, start, end = doc[order], start[order], end[order]
@@ -335,15 +354,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_buckets = max(8, -(-total // BUCKET_BYTES))
+    n_buckets = max(8, -(-total // BUCKET_BYTES)) | 1  # odd, so that ids with a common step spread
     n_ranges = max(32, -(-total // (13 * RANGE_ANCHORS)))
 
-    def bucket_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc_id"].fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(ids, n_buckets).astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
-
-    bucketed = texts.mapInArrow(bucket_udf, "bucket int, doc_id long, text string")
+    bucketed = texts.withColumn("bucket", bucket_column(F.col("doc_id"), n_buckets)).select("bucket", "doc_id", "text")
 
     def found() -> DataFrame:
         sent = texts.where("doc_id IS NOT NULL").mapInArrow(_send(window, n_ranges, n_buckets), SENT_SQL)
@@ -362,7 +376,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     ranges = parts.where("h IS NOT NULL").withColumn("range", F.pmod(F.xxhash64("h"), F.lit(n_ranges))).select("range", "doc_id", "low", "anchor", "h", "bytes")
     compared = ranges.groupBy("range").applyInArrow(_compare(window), SPAN_SQL)
     spans = parts.where("start IS NOT NULL").select("doc_id", "start", "end").unionByName(compared)
-    spans = written(spans.mapInArrow(bucket_udf, "bucket int, doc_id long, start int, end int"), "spans")
+    spans = written(spans.select(bucket_column(F.col("doc_id"), n_buckets).alias("bucket"), "doc_id", "start", "end"), "spans")
     drop(parts)
     forget_shuffles(spark)
     return bucketed, spans, n_buckets
