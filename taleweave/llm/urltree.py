@@ -2,10 +2,11 @@
 
 Rules decide the URLs they fit.  For all others a tree of path templates is
 grown for every host, level by level: segments that are plainly variable
-(numbers, hexadecimal ids, dates) become wildcards at once, rare children of a
-parent with many children become ``*``, and siblings whose labelled share of
-blocked URLs does not differ significantly from that of their parent are merged
-into ``*`` as well.  A template's purity is its labelled share of blocked URLs,
+(numbers, hexadecimal ids, dates) become wildcards at once, and siblings whose
+labelled share of blocked URLs does not differ significantly from that of their
+parent, or that have too few labels to tell, are merged into ``*``.  Where many
+siblings are tested the level of significance is shared among them, so chance
+alone splits no large fan-out.  Levels go on to the end of the deepest path.  A template's purity is its labelled share of blocked URLs,
 smoothed with the purity of its parent, the host's with the corpus's; templates
 at or over the threshold are rejected.  Labels are the verdicts of the rules and
 any further labels given.
@@ -16,6 +17,8 @@ of all rows collapses before it meets in a join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,7 @@ from taleweave.llm.frames import join_on
 from taleweave.llm.scratch import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 6  # deeper segments count as one
-MANY_CHILDREN = 20
-LEAST_SHARE = 0.05  # of the parent's URLs, for a child of a parent with many
+MANY_CHILDREN = 20  # with more children to test, their number divides the level of significance
 LEAST_LABELS = 5  # fewer can't tell a branch from its siblings
 Z_LIMIT = 1.96
 PRIOR_WEIGHT = 4.0
@@ -48,7 +49,7 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
 
 
 def general_segments(path: Column) -> Column:
-    """The path's segments with plainly variable ones as wildcards; at most DEPTH."""
+    """The path's segments with plainly variable ones as wildcards."""
     # fixed values: patterns of variable segments, most special first
     patterns = (
         (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
@@ -63,38 +64,46 @@ def general_segments(path: Column) -> Column:
             segment = F.regexp_replace(segment, pattern, name)
         return segment
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
+
+
+def z_limit(tested: Column) -> Column:
+    """Z_LIMIT, or for more than MANY_CHILDREN tested children the quantile at 2.5 % divided by their number."""
+    t = F.sqrt(-2 * F.log(F.lit(0.025) / tested))
+    # Abramowitz and Stegun 26.2.23, within 0.00045
+    strict = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return F.when(tested > MANY_CHILDREN, strict).otherwise(F.lit(Z_LIMIT))
 
 
 def grow(urls: DataFrame) -> DataFrame:
     """(host, segments, n, labelled, blocked), one row each, to the same with ``template`` and ``purity``."""
-    whole = urls.agg(F.sum("labelled"), F.sum("blocked")).first()
+    whole = urls.agg(F.sum("labelled"), F.sum("blocked"), F.max(F.size("segments"))).first()
     base = (whole[1] or 0) / whole[0] if whole[0] else 0.0
     smoothed = lambda prior: (F.col("blocked_sum") + PRIOR_WEIGHT * prior) / (F.col("labelled_sum") + PRIOR_WEIGHT)
-    sums = [F.sum(c).alias(f"{c}_sum") for c in ("n", "labelled", "blocked")]
+    sums = [F.sum(c).alias(f"{c}_sum") for c in ("labelled", "blocked")]
     hosts = urls.groupBy("host").agg(*sums).select("host", smoothed(F.lit(base)).alias("purity"))
-    rows = join_on(urls, hosts, ["host"]).withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        rows = rows.withColumn("segment", F.get("segments", F.lit(level - 1)))
-        here = rows.where("segment IS NOT NULL")
+    rows = written(join_on(urls, hosts, ["host"]).withColumn("template", F.lit("")), "templates-0")
+    done = []
+    for level in range(1, (whole[2] or 0) + 1):
+        done.append(rows.where(F.size("segments") < level))
+        # only paths that go on
+        here = rows.where(F.size("segments") >= level).withColumn("segment", F.get("segments", F.lit(level - 1)))
         children = here.groupBy("host", "template", "segment").agg(*sums, F.first("purity").alias("above"))
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("children"), *[F.sum(f"{c}_sum").alias(f"parent_{c}") for c in ("n", "labelled", "blocked")])
+        tested = F.count(F.when(F.col("labelled_sum") >= LEAST_LABELS, 1)).alias("tested")
+        parents = children.groupBy("host", "template").agg(tested, *[F.sum(f"{c}_sum").alias(f"parent_{c}") for c in ("labelled", "blocked")])
         known = join_on(children, parents, ["host", "template"])
-        rare = (F.col("children") > MANY_CHILDREN) & (F.col("n_sum") < LEAST_SHARE * F.col("parent_n"))
         pooled = F.col("parent_blocked") / F.col("parent_labelled")
         spread = F.sqrt(pooled * (1 - pooled) / F.col("labelled_sum"))
         z = F.abs(F.col("blocked_sum") / F.col("labelled_sum") - pooled) / spread
-        alike = F.when(F.col("labelled_sum") < LEAST_LABELS, True).when(spread == 0, True).otherwise(z < Z_LIMIT)
-        branch = F.when(rare | alike, F.lit("*")).otherwise(F.col("segment"))
-        branches = known.withColumn("branch", branch)
+        alike = F.when(F.col("labelled_sum") < LEAST_LABELS, True).when(spread == 0, True).otherwise(z < z_limit(F.col("tested")))
+        branches = known.withColumn("branch", F.when(alike, F.lit("*")).otherwise(F.col("segment")))
         rates = branches.groupBy("host", "template", "branch").agg(F.sum("blocked_sum").alias("blocked_sum"), F.sum("labelled_sum").alias("labelled_sum"), F.first("above").alias("above"))
         rates = rates.select("host", "template", "branch", smoothed(F.col("above")).alias("rate"))
         chosen = join_on(branches.select("host", "template", "segment", "branch"), rates, ["host", "template", "branch"])
-        rows = join_on(rows, chosen, ["host", "template", "segment"], "left")
-        rows = rows.withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")))
-        rows = written(rows.withColumn("purity", F.coalesce("rate", "purity")).drop("segment", "branch", "rate"), f"templates-{level}")
-    return rows
+        rows = join_on(here, chosen, ["host", "template", "segment"])
+        rows = rows.withColumn("template", F.concat("template", F.lit("/"), "branch")).withColumn("purity", F.col("rate"))
+        rows = written(rows.drop("segment", "branch", "rate"), f"templates-{level}")
+    return reduce(DataFrame.unionByName, done, rows)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

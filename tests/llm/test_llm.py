@@ -313,6 +313,24 @@ def test_url_rules_and_trees(spark):
     assert out[200] == "block" and out[201] == "allow"
 
 
+def test_templates_keep_even_sections_and_deep_paths(spark):
+    sections = [(1000 * s + i, f"http://h.net/s{chr(97 + s % 26)}{chr(97 + s // 26)}/{i}", int(s == 7)) for s in range(30) for i in range(40)]
+    deep = [(90000 + 100 * k + i, f"http://d.net/a/b/c/d/e/f/g/{end}/{i}/x", k) for k, end in enumerate(("good", "bad")) for i in range(30)]
+    rows = sections + deep
+    labels = spark.createDataFrame([(u, b) for i, u, b in rows if i % 100 < 20], "url string, blocked int")
+    out = {r.page_id: r for r in urltree.filter_urls(spark.createDataFrame(rows, "page_id long, url string, truth int"), [], labels).collect()}
+    assert len(out) == len(rows) and all(out[i].verdict == ("block" if b else "allow") for i, _, b in rows)
+    assert out[7000].template == "/sha/*" and out[1000].template == "/*/*"
+    assert out[90000].template.split("/")[8] == "good" and out[90100].template.split("/")[8] == "bad" and out[90100].template.count("/") == 10
+
+
+def test_z_limit_is_the_quantile(spark):
+    from statistics import NormalDist
+
+    got = {r.id: r.z for r in spark.range(1, 5000, 7).select("id", urltree.z_limit(F.col("id")).alias("z")).collect()}
+    assert all(abs(z - (1.96 if k <= 20 else NormalDist().inv_cdf(1 - 0.025 / k))) < 0.0005 for k, z in got.items())
+
+
 def test_base_measures(spark, docs, none):
     out = {r.doc_id: r for r in quality.judge_documents(docs).collect()}
     assert len(out) == len(ROWS)
