@@ -16,6 +16,9 @@ The join runs over classes of equal shingle sets, in bounded pieces:
    pairs of blocks;
 4. components of the links give the result.
 
+With ``count_links`` the classes meet once more by all their prefix tokens, with
+no regard to components, and every link of every class is counted once.
+
 The second part of step 3 is complete, so no link between different texts is
 lost; hashes of 48 bits stand for shingles, and every link is decided by the
 exact count of common hashes.
@@ -27,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
 from taleweave.llm.components import components
 from taleweave.llm.frames import join_on
 from taleweave.llm.scratch import written
-from taleweave.llm.signature_tree import PER_CENT, SignatureTree
+from taleweave.llm.signature_tree import PER_CENT, LinkCounts, SignatureTree
 
 U64 = np.uint64
 CHUNK_TOKENS = 1 << 20  # shingles gathered in a task before they are sent
@@ -205,38 +208,78 @@ def _traverse(per_cent: int):
     return run
 
 
+def _count(per_cent: int, by_token: bool):
+    """Links of each class, in documents; a pair that meets by several tokens counts by the smallest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, block = table["i"][0].as_py(), table["j"][0].as_py(), table["block"].to_numpy()
+        tokens = [kernels.from_planes(b, 6) for b in table["tokens"].to_pylist()]
+        only = table["group"][0].as_py() if by_token else None
+        counts = LinkCounts(tokens, table["n"].to_numpy(), table["component"].to_numpy(), table["docs"].to_numpy(), block == j if i != j else np.zeros(len(block), bool), per_cent, only).run()
+        some = pa.array(counts > 0)
+        return pa.table({"rep": table["rep"].filter(some).cast(pa.int64()), "links": pa.array(counts, pa.int64()).filter(some)})
+
+    return run
+
+
 def _members() -> list:
     """Two columns that tell sets of members apart."""
     return [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"members{k}") for k in (1, 2)]
 
 
-def _linked(live: DataFrame, members: DataFrame, all_pairs: bool, per_cent: int) -> DataFrame:
-    """Links inside the groups of ``members`` (group, rep, component, count); large groups as pairs of blocks."""
+def _linked(live: DataFrame, members: DataFrame, all_pairs: bool, per_cent: int, count_by: str | None = None) -> DataFrame:
+    """Links inside the groups of ``members`` (group, rep, component, count); large groups as pairs of blocks.
+
+    With ``count_by`` (cluster or token) the numbers of links (rep, links) of the groups; ``live`` has ``docs`` then.
+    """
     n = F.ceil(F.col("count") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep"), n).cast("int")
     if all_pairs:
         partners = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
     else:  # every block meets block 0
         partners = F.when(block == 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), block.alias("j"))))
+    if count_by:
+        dealt = members.select("group", "rep", "component", block.alias("block"), F.explode(partners).alias("pair"))
+        rows = dealt.hint("merge").join(live.select("rep", "n", "docs", "tokens").hint("merge"), "rep")
+        rows = rows.select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "component", "block", "n", "docs", "tokens")
+        return rows.groupBy("group", "i", "j").applyInArrow(_count(per_cent, count_by == "token"), "rep long, links long")
     dealt = members.select("group", "rep", "component", F.explode(partners).alias("pair"))
     rows = dealt.hint("merge").join(live.select("rep", "n", "tokens").hint("merge"), "rep")
     rows = rows.select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "component", "n", "tokens")
     return rows.groupBy("group", "i", "j").applyInArrow(_traverse(per_cent), "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, set_rep.
+def _met(live: DataFrame, prefix: DataFrame, which: Column, per_cent: int, count: bool = False) -> DataFrame:
+    """Links, or their numbers, of classes that share a prefix token of those in ``which``."""
+    mixed = prefix.groupBy("token").agg(F.count("*").alias("count"), F.min("rep").alias("first"), *_members(), F.min("component").alias("low"), F.max("component").alias("high")).where(which).drop("low", "high")
+    mixed = written(mixed, "mixed")
+    meet = written(prefix.join(mixed.select("token", "first"), "token").select("rep", "component", "first").distinct(), "meet")
+    # texts that share such tokens, directly or through others, make one group: however many tokens two share, they meet once
+    cluster = written(components(meet.select(F.col("rep").alias("a"), F.col("first").alias("b"))), "clusters")
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("count")).withColumnRenamed("component", "group")
+    dealt = cluster.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(sizes, "group")
+    comps = meet.select("rep", "component").distinct()
+    rest = _linked(live, dealt.where(F.col("count") <= CLUSTER).join(comps, "rep").select("group", "rep", "component", "count"), True, per_cent, "cluster" if count else None)
+    # a cluster too large for pairs of blocks is taken apart again: by tokens, those with the same members as one
+    wide = prefix.join(dealt.where(F.col("count") > CLUSTER).select("rep"), "rep")
+    tokens = mixed.groupBy("count", "members1", "members2").agg(F.min("token").alias("token")).select("token", "count")
+    return rest.unionByName(_linked(live, wide.join(tokens, "token").select(F.col("token").alias("group"), "rep", "component", "count"), True, per_cent, "token" if count else None))
+
+
+def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, set_rep, and with ``count_links`` n_links.
 
     ``component_id`` is the smallest id reachable through links (Jaccard of
     shingle sets of at least ``per_cent`` %), itself included; ``set_rep`` is
-    the smallest id with an equal set.  A null or wordless text has no shingles
+    the smallest id with an equal set; ``n_links`` is the number of other rows
+    that it is linked with, those with an equal set included.  A null or wordless text has no shingles
     and is linked with nothing.  Repeated rows give repeated results.  A row
     with a null id keeps it and is linked with nothing.  An empty table gives no rows.  Other columns
     are ignored.
     """
     sets = written(document_sets(docs, shingle, id_col, text_col), "sets")
     known = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("docs")), "classes")
     total, n_classes = classes.agg(F.sum("n"), F.count("*")).first()
     n_ranges = max(32, -(-(total or 0) // RANGE_TOKENS))
     n_buckets = max(32, -(-n_classes // 4000))
@@ -258,23 +301,16 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     prefix = prefix.join(near, prefix["rep"] == near["node"], "left").select("rep", "token", F.coalesce("component", "rep").alias("component"))
     prefix = written(prefix, "prefix")
     # tokens whose members are still in two components or more
-    mixed = prefix.groupBy("token").agg(F.count("*").alias("count"), F.min("rep").alias("first"), *_members(), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
-    mixed = written(mixed, "mixed")
-    meet = written(prefix.join(mixed.select("token", "first"), "token").select("rep", "component", "first").distinct(), "meet")
-    # texts that share such tokens, directly or through others, make one group: however many tokens two share, they meet once
-    cluster = written(components(meet.select(F.col("rep").alias("a"), F.col("first").alias("b"))), "clusters")
-    sizes = cluster.groupBy("component").agg(F.count("*").alias("count")).withColumnRenamed("component", "group")
-    dealt = cluster.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(sizes, "group")
-    comps = meet.select("rep", "component").distinct()
-    rest = _linked(live, dealt.where(F.col("count") <= CLUSTER).join(comps, "rep").select("group", "rep", "component", "count"), True, per_cent)
-    # a cluster too large for pairs of blocks is taken apart again: by tokens, those with the same members as one
-    wide = prefix.join(dealt.where(F.col("count") > CLUSTER).select("rep"), "rep")
-    tokens = mixed.groupBy("count", "members1", "members2").agg(F.min("token").alias("token")).select("token", "count")
-    rest = rest.unionByName(_linked(live, wide.join(tokens, "token").select(F.col("token").alias("group"), "rep", "component", "count"), True, per_cent))
+    rest = _met(live, prefix, F.col("low") < F.col("high"), per_cent)
     final = components(rest.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component_id"))
-    out = join_on(sets, of_class, ["set_key"], "left")
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("rep", "doc_id").alias("set_rep"))
+    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rep", "docs", F.coalesce("component", "rep").alias("component_id"))
+    if count_links:
+        counted = _met(live.join(classes.select("rep", "docs"), "rep"), prefix, F.col("count") > 1, per_cent, count=True)
+        of_class = join_on(of_class, counted.groupBy("rep").agg(F.sum("links").alias("links")), ["rep"], "left")
+        of_class = of_class.withColumn("n_links", F.col("docs") - 1 + F.coalesce("links", F.lit(0))).drop("links")
+    out = join_on(sets, of_class.drop("docs"), ["set_key"], "left")
+    own = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")] if count_links else []
+    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("rep", "doc_id").alias("set_rep"), *own)
     return out
 
 

@@ -9,8 +9,9 @@ hidden by shared bits than among all tokens of either set.  ORs and maxima only
 raise the bound, so it also holds for nodes, and a pair of nodes whose bound is
 below the least overlap that their sizes ask for holds no link.
 
-Only connectivity is wanted: a pair of nodes that already lie in one class is
-passed over, and each link that joins two classes is given once.
+For connectivity a pair of nodes that already lie in one class is passed over,
+and each link that joins two classes is given once.  ``LinkCounts`` passes over
+nothing and counts every link.
 """
 
 from __future__ import annotations
@@ -147,3 +148,89 @@ class SignatureTree:
             if links(common, int(self.sizes[i]), int(self.sizes[j]), self.per_cent):
                 self.parent[self.find(i)] = self.find(j)
                 self.found.append((i, j))
+
+
+class LinkCounts(SignatureTree):
+    """All links, counted for every set with the weight of the other set.
+
+    Where ``side`` has two values only pairs across them count.  With ``only``,
+    a token, just those pairs count whose smallest common token it is.
+    """
+
+    WAITING = 1 << 20  # pairs gathered before they are verified
+
+    def __init__(self, tokens: list[np.ndarray], sizes: np.ndarray, near: np.ndarray, weights: np.ndarray, side: np.ndarray, per_cent: int = PER_CENT, only: int | None = None):
+        _, near = np.unique(near, return_inverse=True)
+        super().__init__(tokens, sizes, np.asarray(side).astype(np.int64) * len(near) + near, per_cent)
+        self.side, self.weights, self.only = np.asarray(side)[self.order], np.asarray(weights)[self.order], only
+        self.cross = bool((self.side[:1] != self.side[-1:]).any())
+        self.at = np.append(0, np.cumsum([len(t) for t in self.tokens])).astype(np.int64)
+        self.known, ids = np.unique(np.concatenate(self.tokens) if self.tokens else np.empty(0, U64), return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+        self.counts = np.zeros(len(self.order), dtype=np.int64)
+
+    def find(self, i: int) -> int:
+        return int(self.side[i])
+
+    def _in_one_class(self, n: _Node) -> bool:
+        return self.cross and self.side[n.first] == self.side[n.last - 1]
+
+    def run(self) -> np.ndarray:
+        """The sum of the weights of the linked sets, for every set in the order of the input."""
+        if self.root:
+            self._within(self.root)
+            self._verify()
+        out = np.empty_like(self.counts)
+        out[self.order] = self.counts
+        return out
+
+    def _leaves(self, a: _Node, b: _Node) -> None:
+        x, y = slice(a.first, a.last), slice(b.first, b.last)
+        most = np.bitwise_count(self.bits[x][:, None, :] & self.bits[y][None, :, :]).sum(axis=2, dtype=np.int64)
+        most += np.minimum(self.slack[x][:, None], self.slack[y][None, :])
+        fit = most >= least_overlap(self.sizes[x][:, None] + self.sizes[y][None, :], self.per_cent)
+        if a is b:
+            fit = np.triu(fit, 1)
+        if self.cross:
+            fit &= self.side[x][:, None] != self.side[y][None, :]
+        i, j = np.nonzero(fit)
+        if len(i):
+            self.pairs.append((i + a.first, j + b.first))
+            self.n_waiting += len(i)
+            if self.n_waiting >= self.WAITING:
+                self._verify()
+
+    def _verify(self) -> None:
+        """Exact counts of common tokens of the pairs that wait: one set at a time against all its partners."""
+        if not self.pairs:
+            return
+        i, j = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
+        self.pairs, self.n_waiting = [], 0
+        self.verified += len(i)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        cuts = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
+        mark = np.zeros(len(self.known), dtype=bool)
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            me, others = int(i[first]), j[first:last]
+            own = self.ids[self.at[me] : self.at[me + 1]]
+            mark[own] = True
+            low, high = int(others[0]), int(others[-1]) + 1
+            if high - low <= 2 * len(others):  # a run of sets
+                theirs, starts, take = self.ids[self.at[low] : self.at[high]], self.at[low:high] - self.at[low], others - low
+            else:
+                lens = self.at[others + 1] - self.at[others]
+                starts, take = np.cumsum(lens) - lens, slice(None)
+                theirs = self.ids[np.repeat(self.at[others] - starts, lens) + np.arange(int(lens.sum()))]
+            hit = mark[theirs]
+            common = np.add.reduceat(hit, starts, dtype=np.int64)[take]
+            linked = 100 * common >= self.per_cent * (self.sizes[me] + self.sizes[others] - common)
+            if self.only is not None:
+                least = np.minimum.reduceat(np.where(hit, theirs, len(self.known)), starts)[take]
+                linked &= least == np.searchsorted(self.known, U64(self.only))
+            mark[own] = False
+            others = others[linked]
+            self.counts[me] += self.weights[others].sum()
+            self.counts[others] += self.weights[me]

@@ -107,6 +107,30 @@ def test_large_groups_go_by_blocks(spark, docs, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicate_components(docs).collect()} == want
 
 
+def link_counts(rows):
+    sets = [(d, brute.shingles(t)) for d, t in rows]
+    out = Counter()
+    for i, (d, s) in enumerate(sets):
+        for e, t in sets[:i]:
+            both = len(s & t)
+            if s and t and d is not None and e is not None and 100 * both >= 75 * (len(s) + len(t) - both):
+                out.update((d, e))
+    return out
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    base = [prose(80) for _ in range(4)]
+    rows = [(i, near(base[i % 4], i % 6) if i % 7 else base[i % 4]) for i in range(60)] + [(100, None), (None, base[0])]
+    want, comps = link_counts(rows), brute.components(rows[:-1])
+    assert max(want.values()) > 5 and sum(want.values()) > 3 * len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block, cluster in ((3000, 48000), (4, 70), (4, 5)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "CLUSTER", cluster)
+        got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.near_duplicate_components(df, count_links=True).collect()}
+        assert got == {d: (want[d], comps[d][1] if d is not None else None) for d, _ in rows}
+
+
 def test_ring_places_all_rows(spark, docs, none):
     out = sharding.shard_documents(docs)
     rows = out.collect()
