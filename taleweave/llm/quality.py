@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
+from taleweave.llm.frames import join_on
 from taleweave.llm.scratch import written
 
 # Frequent function words of written English, French, German and Spanish.
@@ -32,7 +33,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
 MIN_CHARS = 200  # shorter texts aren't judged
 MIN_REFERENCE_WORDS = 2000
-MAX_LANGUAGES = 64
+SALTS = 32  # parts of a language in the join with its reference
 #: Largest Jensen-Shannon distances (square root of the divergence in bits) that pass.
 MAX_CLASS_DISTANCE = 0.16
 MAX_WORD_DISTANCE = 0.42
@@ -143,34 +144,25 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     return rows.mapInArrow(run, f"doc_id long, lang string, {', '.join(f'{m} long' for m in MEASURES)}, base_failed boolean, bins array<int>")
 
 
-def references(rows: DataFrame, near: dict | None = None) -> dict[str | None, np.ndarray]:
-    """Histograms of at most ``MAX_LANGUAGES`` languages, those with the most words; under None of all.
-
-    With ``near``, earlier references, only documents within ``TRIM`` of these count.
-    """
+def references(rows: DataFrame) -> DataFrame:
+    """(lang, reference): the summed histogram of every language, one row each."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), dtype=object)
-            bins = batch["bins"].flatten().to_numpy().reshape(-1, N_BINS)
-            if near:
-                far = _far(langs, bins, near)
-                keep = ~(far > TRIM).any(axis=1)
-                langs, bins = langs[keep], bins[keep]
-            for lang in dict.fromkeys(langs):
-                sums[lang] = sums.get(lang, 0) + bins[langs == lang].sum(axis=0, dtype=np.int64)
-        keys = [k for k in sums for _ in range(N_BINS)]
-        values = np.concatenate(list(sums.values())) if sums else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.tile(np.arange(N_BINS), len(sums)), pa.int32()), pa.array(values, pa.int64())], ["lang", "bin", "n"])
+            langs, own = np.unique(np.array(batch["lang"].to_pylist(), dtype=object), return_inverse=True)
+            sums = np.zeros((len(langs), N_BINS), np.int64)
+            np.add.at(sums, own, batch["bins"].flatten().to_numpy().reshape(-1, N_BINS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(langs, N_BINS), pa.string()), pa.array(np.tile(np.arange(N_BINS), len(langs)), pa.int32()), pa.array(sums.ravel(), pa.int64())], ["lang", "bin", "n"])
 
     parts = rows.where("NOT base_failed").select("lang", "bins").mapInArrow(add, "lang string, bin int, n long")
     sums = parts.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    by_lang = sums.groupBy("lang").agg(F.sum(F.when(F.col("bin") >= len(CLASSES), F.col("n"))).alias("words"), F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s["n"]).alias("bins"))
-    total = sums.groupBy("bin").agg(F.sum("n").alias("n")).collect()  # N_BINS rows
-    found = {r["lang"]: np.array(r["bins"], dtype=np.float64) for r in by_lang.orderBy(F.desc("words"), "lang").limit(MAX_LANGUAGES).collect()}
-    found[None] = np.array([r["n"] for r in sorted(total, key=lambda r: r["bin"])] or [0] * N_BINS, dtype=np.float64)
-    return found
+    return written(sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s["n"]).alias("reference")), "references")
+
+
+def with_reference(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """``rows`` with the reference of their language, null where it has none; a language's rows meet it in SALTS parts."""
+    salted = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_on(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "bins"), F.lit(SALTS)).cast("int")), salted, ["lang", "salt"], "left").drop("salt")
 
 
 def distances(bins: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -185,41 +177,52 @@ def distances(bins: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where((total[:, 0] > 0) & (whole > 0), out, 0)
 
 
-def _far(langs: np.ndarray, bins: np.ndarray, refs: dict) -> np.ndarray:
-    """(class distance, word distance) of every row; NaN where a side is too short to tell."""
-    split = len(CLASSES)
-    keys = np.array([x if x in refs else None for x in langs.tolist()], dtype=object)
-    far = np.full((len(keys), 2), np.nan)
-    for lang in dict.fromkeys(keys.tolist()):
-        mine = np.array([x == lang for x in keys.tolist()], dtype=bool)
-        if refs[lang][split:].sum() >= MIN_REFERENCE_WORDS:
-            far[mine, 0] = distances(bins[mine, :split], refs[lang][:split])
-            far[mine, 1] = distances(bins[mine, split:], refs[lang][split:])
+def _far(batch: pa.RecordBatch) -> np.ndarray:
+    """(class distance, word distance) of every row to its reference; NaN where a side is missing or too short to tell."""
+    split, langs = len(CLASSES), np.array(batch["lang"].to_pylist(), dtype=object)
+    bins, refs = batch["bins"].flatten().to_numpy().reshape(-1, N_BINS), batch["reference"]
+    far = np.full((len(langs), 2), np.nan)
+    known, first, own = np.unique(langs, return_index=True, return_inverse=True)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(len(known) + 1))
+    for k, at in enumerate(first.tolist()):
+        reference = refs[at].as_py()
+        if reference is not None and sum(reference[split:]) >= MIN_REFERENCE_WORDS:
+            mine, whole = order[cuts[k] : cuts[k + 1]], np.array(reference, dtype=np.float64)
+            far[mine, 0] = distances(bins[mine, :split], whole[:split])
+            far[mine, 1] = distances(bins[mine, split:], whole[split:])
     far[bins[:, :split].sum(axis=1) < MIN_CHARS] = np.nan
     return far
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows within ``TRIM`` of their reference, or not judged by it."""
+    for batch in batches:
+        keep = ~(_far(batch) > TRIM).any(axis=1)
+        yield batch.select(["lang", "bins", "base_failed"]).filter(pa.array(keep))
+
+
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distances.
 
     A null text has no words, so the base rules fail it.  A null language is a
-    language of its own.  Languages beyond the ``MAX_LANGUAGES`` with the most
-    words share the reference of the whole corpus.  Texts of fewer than
+    language of its own.  Every language has its own reference, however many there are.  Texts of fewer than
     ``MIN_CHARS`` characters, and languages with fewer than
     ``MIN_REFERENCE_WORDS`` words, are not judged by divergence (distance null).
     Repeated rows are judged alike; an empty table gives no rows; other columns
     are ignored.
     """
     rows = written(measured(docs, id_col, text_col, lang_col), "quality")
-    refs = references(rows, references(rows))
+    near = with_reference(rows.where("NOT base_failed"), references(rows)).select("lang", "bins", "base_failed", "reference")
+    refs = references(near.mapInArrow(_near, "lang string, bins array<int>, base_failed boolean"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = _far(np.array(batch["lang"].to_pylist(), dtype=object), batch["bins"].flatten().to_numpy().reshape(-1, N_BINS), refs)
+            far = _far(batch)
             failed = batch["base_failed"].to_numpy(zero_copy_only=False)
             kept = ~failed & ~(far[:, 0] > max_class) & ~(far[:, 1] > max_word)
             extra = [pa.array(kept), pa.array(far[:, 0], from_pandas=True), pa.array(far[:, 1], from_pandas=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", *MEASURES, "base_failed")), *extra], ["doc_id", *MEASURES, "base_failed", "kept", "class_distance", "word_distance"])
 
-    out = rows.mapInArrow(judge, f"doc_id long, {', '.join(f'{m} long' for m in MEASURES)}, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    out = with_reference(rows, refs).mapInArrow(judge, f"doc_id long, {', '.join(f'{m} long' for m in MEASURES)}, base_failed boolean, kept boolean, class_distance double, word_distance double")
     return out.withColumnRenamed("doc_id", id_col)

@@ -365,6 +365,15 @@ def test_base_measures(spark, docs, none):
     assert quality.judge_documents(none).count() == 0
 
 
+def test_every_language_has_its_own_reference(spark):
+    word = lambda k, i: f"{chr(0x400 + k)}{chr(97 + i % 26)}{i % 37}"
+    big = [(k, " ".join(f"The word{i} of" for i in range(1200)), f"l{k}") for k in range(66)]
+    tail = [(1000 + k, " ".join(word(k, 7 * k + i * i) for i in range(240)), "tail") for k in range(12)]
+    df = spark.createDataFrame(big + tail, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.judge_documents(df).collect()}
+    assert len(got) == 78 and all(got[i].kept and got[i].class_distance < 0.05 for i in range(1000, 1012))
+
+
 def test_divergence_finds_junk(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.judge_documents(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed")
