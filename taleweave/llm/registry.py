@@ -49,10 +49,7 @@ def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch.new_path(spark, "sstable")
-    sstable.write_shards(table(spark, sf_dir, "documents"), path)
-    rows = sstable.with_starts(sstable.read_shards(spark, path, with_ids=False), sstable.read_footers(spark, path))
-    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+    return sstable.encode_and_read(table(spark, sf_dir, "documents"), scratch.new_path(spark, "sstable"))
 
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
+from taleweave.llm.scratch import small_batches, written
 from taleweave.llm.tokens import default_path, encoder
 
 KEY = 9
 BLOCK_BYTES = 1 << 16
+SHARD_BYTES = 16 << 20  # of text in a shard
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"TWSST\x01\x00\x01"
 FOOTER = "<QQQQB8s"
@@ -101,11 +103,11 @@ class ShardWriter:
 
 
 class Shard:
-    """A shard's bytes, opened by its footer."""
+    """A shard's bytes, opened by its footer; blocks are read one at a time."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes | memoryview):
         self.content = content
-        if content[-1:] != b"\n" or content[-9:-1] != MAGIC:
+        if bytes(content[-1:]) != b"\n" or bytes(content[-9:-1]) != MAGIC:
             raise ValueError("not a whole shard")
         at = len(content) - 1 - struct.calcsize(FOOTER)
         self.index_at, self.bloom_at, self.n_docs, self.n_tokens, self.width, _ = struct.unpack_from(FOOTER, content, at)
@@ -121,7 +123,7 @@ class Shard:
         while at < len(body):
             shared, rest, size = struct.unpack_from(ENTRY, body, at)
             at += struct.calcsize(ENTRY)
-            key = key[:shared] + body[at : at + rest]
+            key = key[:shared] + bytes(body[at : at + rest])
             at += rest
             yield key, np.frombuffer(body, f"<u{self.width}", size // self.width, at)
             at += size
@@ -147,13 +149,17 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 0, n_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode all texts and write shards to ``path``, one a range of ids.
+    """Encode all texts and write shards to ``path``, one a range of ids, each of some SHARD_BYTES of text.
 
     A null or empty text is its end id alone.  Null ids come first; repeated
-    ids are kept side by side, ordered by text.  An empty table gives no documents.
+    ids are kept side by side, ordered by a hash of the text, and go on in the
+    next shard where they fill one.  An empty table gives no documents.
     """
     tokenizer_path = tokenizer_path or default_path()
-    n_shards = n_shards or max(1, docs.rdd.getNumPartitions())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if n_shards is None:
+        total = texts.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
+        n_shards = max(1, -(-total // SHARD_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_path)
@@ -164,25 +170,34 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.encode(batch["text"]), strict=True):
                 for block in shard.add(doc_id, np.append(ids, np.uint32(end_id))):
                     yield row([block])
+            del batch
+            kernels.give_back()
         yield row(list(shard.finish()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(encode, "block binary").select(F.col("block").cast("string")).write.option("compression", "none").option("lineSep", "\n").text(path)
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(n_shards, *by).sortWithinPartitions(*by)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(encode, "block binary").select(F.col("block").cast("string")).write.option("compression", "none").option("lineSep", "\n").text(path)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+
+
+ROWS_SQL = "doc_id long, local long, n_tokens long, ids_crc32 long, ids array<int>, shard string, first binary, total long"
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, local, n_tokens, ids_crc32, ids (null unless ``with_ids``) of every document, from the files alone.
+    """ROWS_SQL of every document, from the files alone; ``ids`` is null unless ``with_ids``.
 
-    ``local`` counts the ids before the document in its shard; ``with_starts``
-    adds the footers' counts of the shards with smaller first keys.
+    ``local`` counts the ids before the document in its shard, ``first`` and
+    ``total`` are the shard's first key and number of ids.
     """
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                shard, local = Shard(content.as_py()), 0
+                shard, local = Shard(memoryview(content.as_buffer())), 0
                 first = shard.blocks[0][0]
                 for block in range(len(shard.blocks)):
                     rows = []
@@ -194,24 +209,49 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     arrays = [pa.array(c, pa.int64()) for c in columns[:4]]
                     arrays += [pa.array(columns[4], pa.list_(pa.int32())), pa.array([name] * n), pa.array([first] * n, pa.binary()), pa.array([shard.n_tokens] * n, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "local", "n_tokens", "ids_crc32", "ids", "shard", "first", "total"])
+                del shard, content
+            del batch
+            kernels.give_back()
+
+    return _files(spark, path).mapInArrow(parse, ROWS_SQL)
 
-    return files.mapInArrow(parse, "doc_id long, local long, n_tokens long, ids_crc32 long, ids array<int>, shard string, first binary, total long")
 
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_shards`` with ``start``, the ids of all documents before.
 
-def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """Add ``start`` to rows of ``read_shards``; ``shards`` has shard, first and total once for each shard."""
-    before = Window.orderBy("first", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).select("shard", "base")
+    Shards are put in order of their first keys in range partitions, and only sums of partitions meet in one window.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("first"), F.col("shard")]
+    shards = rows.where("local = 0").groupBy("shard").agg(F.first("first").alias("first"), F.first("total").alias("total"))
+    shards = written(shards.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shards")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each of ``parts``
+    bases = shards.groupBy("part").agg(F.sum("total").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.withColumn("own", F.coalesce(F.sum("total").over(within), F.lit(0))).join(bases, "part")
+    starts = shards.select("shard", (F.col("base") + F.col("own")).alias("base"))
     return rows.join(starts, "shard").withColumn("start", (F.col("base") + F.col("local")).cast("long"))
 
 
-def read_footers(spark: SparkSession, path: str) -> DataFrame:
-    """shard, first, total of every shard: one row a file."""
+def encode_and_read(docs: DataFrame, path: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Write the shards of ``docs`` to ``path`` and read doc_id, start, n_tokens, ids_crc32 of every document from them."""
+    write_shards(docs, path, tokenizer_path)
+    rows = written(read_shards(docs.sparkSession, path, with_ids=False).drop("ids"), "shard-rows")
+    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def look_up(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id and ids of every document with one of ``doc_ids`` (a handed-in list, sent to every task).
+
+    Each shard answers from its Bloom filter, then by binary search of its block index; only blocks that may hold an id are decoded.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards = [Shard(c.as_py()) for c in batch["content"]]
-            yield pa.RecordBatch.from_arrays([batch["path"], pa.array([s.blocks[0][0] for s in shards], pa.binary()), pa.array([s.n_tokens for s in shards], pa.int64())], ["shard", "first", "total"])
+            for content in batch["content"]:
+                shard = Shard(memoryview(content.as_buffer()))
+                found = [(d, ids.astype(np.int32)) for d in dict.fromkeys(doc_ids) for ids in shard.get(d)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(parse, "shard string, first binary, total long")
+    return _files(spark, path).mapInArrow(find, "doc_id long, ids array<int>")

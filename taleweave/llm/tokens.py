@@ -2,13 +2,16 @@
 
 A byte-level BPE splits a text into pieces by a fixed pattern and encodes each
 piece on its own, so a piece's ids can be looked up once and used for all its
-repeats.  Pieces are found for a megabyte of text at a time from code-point
-classes; the library encodes each distinct piece.  Rows that hold code points
-whose class differs between Unicode versions are encoded whole.
+repeats.  Pieces are found for a slice of text at a time from code-point
+classes; the library's model encodes each distinct piece, and a hit counts only
+if the piece itself agrees.  Rows that hold code points whose class differs
+between Unicode versions, or the text of an added token, are encoded whole by
+the library, and so is everything if the file asks for anything but this split.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -26,7 +29,7 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE, UNKNOWN = 0, 1, 2, 3, 4, 5
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Letters after an apostrophe that form a piece with it.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
-KEEP = 300_000  # pieces remembered by a worker
+KEEP = 150_000  # pieces remembered by a worker
 SLICE = 1 << 18  # bytes of text encoded at a time
 
 
@@ -46,6 +49,16 @@ def _kind(code: int) -> int:
     return {"L": LETTER, "N": NUMBER}.get(now[0], OTHER)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if it can be seen, else one past U+00FF in turn."""
+    out, next_ = {}, 0x100
+    for b in range(256):
+        seen = 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD
+        out[b] = chr(b if seen else next_)
+        next_ += not seen
+    return out
+
+
 def encoder(path: str) -> Encoder:
     """The worker process's encoder: loading the vocabulary takes longer than many a task."""
     kept = sys.modules.setdefault("taleweave_worker", types.ModuleType("taleweave_worker"))
@@ -55,30 +68,46 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Ids of texts."""
+    """Ids of texts, as ``Tokenizer.from_file(path)`` gives them with ``add_special_tokens=False``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        told = json.loads(self.tokenizer.to_str())
+        split, model = told["pre_tokenizer"] or {}, told["model"]
+        self.added = [t["content"] for t in told["added_tokens"]]
+        known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        known &= not any(told[k] for k in ("normalizer", "truncation", "padding"))
+        known &= model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        known &= not any(t[k] for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+        self.known = known and not any(c.isspace() for t in self.added for c in t)
+        del told, model
+        self.letters = byte_letters()
         self.kinds = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.start = np.zeros(1 << 10, np.int64)
-        self.size = np.zeros(1 << 10, np.int64)
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.n = 0
+        self.start, self.size, self.code_start, self.code_size = (np.zeros(1 << 10, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
+        self.codes, self.codes_used = np.zeros(1 << 12, np.uint32), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids (uint32) of every row in order; a null text has none."""
         for first, end, data, offsets in kernels.slices(column, SLICE):
-            yield from self._slice(end - first, data, offsets)
+            if not self.known:
+                for k in range(end - first):
+                    yield self.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8")])[0]
+            elif len(data) > SLICE:  # one long text, in parts
+                yield np.concatenate([ids for part in _parts(data) for ids in self._slice(1, part, np.array([0, len(part)]))])
+            else:
+                yield from self._slice(end - first, data, offsets)
 
     def _slice(self, n: int, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         if not len(data):
@@ -96,12 +125,19 @@ class Encoder:
         odd = np.zeros(n, dtype=bool)
         if (kinds == UNSURE).any():
             odd[np.searchsorted(bounds, np.flatnonzero(kinds == UNSURE), "right") - 1] = True
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                odd[np.searchsorted(bounds, at, "right") - 1] = True
+                at = text.find(token, at + 1)
         starts = np.flatnonzero(self._starts(codes, kinds, bounds))
         ends = np.append(starts[1:], len(codes))
         if odd.any():
             keep = ~odd[np.searchsorted(bounds, starts, "right") - 1]
             starts, ends = starts[keep], ends[keep]
-        ids, upto = self._ids(text, codes, starts, ends)
+        ids, upto, wrong = self._ids(text, codes, starts, ends)
+        if len(wrong):  # another piece has the same hash
+            odd[np.searchsorted(bounds, wrong, "right") - 1] = True
         at = upto[np.searchsorted(starts, bounds)]
         for k in range(n):
             if odd[k]:
@@ -140,35 +176,76 @@ class Encoder:
                 marks, ends_at = marks[~fit], ends_at[~fit]
         return start
 
-    def _ids(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in order, and where each piece's ids begin (one more for the end)."""
+    def _ids(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in order, where each piece's ids begin (one more for the end), and starts of pieces that differ from the one remembered."""
         if not len(starts):
-            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+            return np.empty(0, np.uint32), np.zeros(1, np.int64), starts
         found, where, piece = np.unique(kernels.span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        keys = found.tolist()
-        if len(self.slot) + len(keys) > KEEP:
+        if self.n + len(found) > KEEP:
             self._forget()
-        slot = self.slot
-        new = [i for i, k in enumerate(keys) if k not in slot]
-        if new:
-            own = where[new]
-            texts = [text[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            have, sizes = len(slot), np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
-            self.start, self.size = _room(self.start, have + len(new)), _room(self.size, have + len(new))
-            self.flat = _room(self.flat, self.used + total)
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            self.size[have : have + len(new)] = sizes
-            self.start[have : have + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            slot.update(zip([keys[i] for i in new], range(have, have + len(new)), strict=True))
-        slots = np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))[piece]
+        at = np.searchsorted(self.keys, found)
+        new = at == len(self.keys)
+        new[~new] = self.keys[at[~new]] != found[~new]
+        if new.any():
+            self._learn(text, codes, found[new], starts[where[new]], ends[where[new]], at[new])
+            at = np.searchsorted(self.keys, found)
+        slots = self.slots[at][piece]
+        size = ends - starts
+        same = self.code_size[slots] == size
+        if same.all():  # code point by code point
+            upto = np.cumsum(size)
+            mine = np.arange(upto[-1]) - np.repeat(upto - size, size)
+            agree = self.codes[mine + np.repeat(self.code_start[slots], size)] == codes[mine + np.repeat(starts, size)]
+            same = np.logical_and.reduceat(agree, upto - size)
+        else:
+            for i in np.flatnonzero(same).tolist():
+                s = slots[i]
+                same[i] = (self.codes[self.code_start[s] : self.code_start[s] + size[i]] == codes[starts[i] : ends[i]]).all()
         sizes = self.size[slots]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(self.start[slots] - upto[:-1], sizes) + np.arange(upto[-1])
-        return self.flat[at], upto
+        return self.flat[at], upto, starts[~same]
+
+    def _learn(self, text: str, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> None:
+        """Remember new pieces; ``at`` says where their keys go among the known ones."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(text[a:b].encode().decode("latin-1").translate(letters))] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        have, new, n_codes = self.n, len(keys), ends - starts
+        sizes = np.fromiter(map(len, ids), np.int64, new)
+        total, n = int(sizes.sum()), int(n_codes.sum())
+        for name in ("start", "size", "code_start", "code_size"):
+            setattr(self, name, _room(getattr(self, name), have + new))
+        self.flat, self.codes = _room(self.flat, self.used + total), _room(self.codes, self.codes_used + n)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        upto = np.cumsum(n_codes)
+        self.codes[self.codes_used : self.codes_used + n] = codes[np.arange(n) + np.repeat(starts - (upto - n_codes), n_codes)]
+        own = slice(have, have + new)
+        self.size[own], self.code_size[own] = sizes, n_codes
+        self.start[own], self.code_start[own] = self.used + np.cumsum(sizes) - sizes, self.codes_used + upto - n_codes
+        self.used, self.codes_used, self.n = self.used + total, self.codes_used + n, have + new
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, np.arange(have, have + new))
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts of about SLICE bytes.
+
+    A cut lies between an ASCII letter and a blank or line end: no piece and no added token goes across it.
+    """
+    first = 0
+    while len(data) - first > SLICE:
+        step, cut = SLICE, 0
+        while not cut and first + step // 2 < len(data):
+            near = data[first + step // 2 : first + step + 1]
+            letter = ((near[:-1] | 0x20) >= 0x61) & ((near[:-1] | 0x20) <= 0x7A)
+            ok = np.flatnonzero(letter & ((near[1:] == 0x20) | (near[1:] == 0x0A)))
+            cut = first + step // 2 + int(ok[-1]) + 1 if len(ok) else 0
+            step *= 2
+        if not cut:
+            break
+        yield data[first:cut]
+        first = cut
+    yield data[first:]

@@ -184,17 +184,42 @@ def test_suffix_dedup(spark, docs, none):
     assert {r.kept for r in got if r.doc_id == 3} == {b""}
 
 
+def library(texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    return [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def ids_of(rows):
-    enc = tokens.Encoder(tokens.default_path())
-    return {d: np.append(i, np.uint32(0)).astype("<u4") for (d, _), i in zip(rows, enc.whole([t or "" for _, t in rows]), strict=True)}
+    return {d: np.array([*i, 0], dtype="<u4") for (d, _), i in zip(rows, library([t for _, t in rows]), strict=True)}
 
 
 def test_pieces_encode_like_whole_texts():
     parts = ["'s", "'t", "'re", "''", " ", "  ", "\n", "\t", "\r\n", "a", "bc", "Zé", "12", "!", "–", "\u3000", "\x1c", "\x85", "日本", "<|endoftext|>", "😀", "\u0301", "½", "'ll", "'d"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)] + [None, ""]
+    texts += ["".join(rng.choice(parts[:20]) for _ in range(90000)), "a" * 600000, "b c\n" * 150000 + "<|endoftext|>"]
     enc = tokens.Encoder(tokens.default_path())
-    for got, want in zip(enc.encode(pa.array(texts)), enc.whole([t or "" for t in texts]), strict=True):
-        assert got.tolist() == want.tolist()
+    assert enc.known
+    for got, want in zip(enc.encode(pa.array(texts)), library(texts), strict=True):
+        assert got.tolist() == want
+
+
+def test_a_hit_of_another_piece_counts_for_nothing(monkeypatch):
+    monkeypatch.setattr(kernels, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))  # all pieces of one length collide
+    texts = ["one two six", "ten <|endoftext|> a", None, "", "an at on it"]
+    assert [i.tolist() for i in tokens.Encoder(tokens.default_path()).encode(pa.array(texts))] == library(texts)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["One two  THREE's", "", "<|endoftext|> x"]
+    enc = tokens.Encoder(path)
+    assert not enc.known
+    assert [i.tolist() for i in enc.encode(pa.array(texts))] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing(spark, docs, none):
@@ -300,7 +325,7 @@ def test_sstable_round_trip(spark, docs, none, tmp_path):
     more = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(-5).cast("long")))
     sstable.write_shards(more, path, n_shards=3)
     ids = ids_of(ROWS)
-    out = sstable.with_starts(sstable.read_shards(spark, path), sstable.read_footers(spark, path)).orderBy("start").collect()
+    out = sstable.with_starts(sstable.read_shards(spark, path)).orderBy("start").collect()
     text = dict(ROWS)
     assert [r.doc_id for r in out][:4] == [None, -5, 0, 3] and len(out) == len(ROWS) + 3
     at = 0
@@ -313,6 +338,8 @@ def test_sstable_round_trip(spark, docs, none, tmp_path):
         found = [i for s in shards for i in s.get(d)]
         assert len(found) == (2 if d == 3 else 1) and found[0].tolist() == ids[d].tolist()
     assert not any(s.get(1) for s in shards) and sum(s.may_have(sstable.to_key(k)) for s in shards for k in range(1, 3000, 3)) < 300
+    asked = sstable.look_up(spark, path, [3, None, 1, 12]).collect()
+    assert Counter(r.doc_id for r in asked) == {3: 2, None: 1, 12: 1} and all(r.ids == ids[{None: 6}.get(r.doc_id, r.doc_id)].tolist() for r in asked)
     sstable.write_shards(none, str(tmp_path / "none"))
     assert sstable.read_shards(spark, str(tmp_path / "none")).count() == 0
 
