@@ -3,20 +3,20 @@
 Every ``window``-byte string has an anchor: the ``GRAM``-byte string of least
 hash in it (the leftmost, if several).  Equal windows have equal anchors at
 equal places, so only suffixes that start at anchors are sorted, one for some
-13 bytes.  The successive windows of one anchor form a phrase.
-
-1. Anchors meet by hash.  A phrase that also occurs in an earlier document is
-   repeated as a whole.  Where an anchor occurs with different phrases, the first
-   occurrence of each is looked at more closely; all others are settled.
-2. Texts meet what was found about their phrases and send the bytes of those to
-   look at.
-3. In each range of anchors the suffixes from the anchors on, and the reversed
-   prefixes before them, are sorted deep-shallow.  With their common prefixes a
-   set of equal windows is a run in both orders, and its smallest document stays.
-4. Texts meet their repeated spans, which are cut out.
-
-Nothing but sums goes to the driver, tasks hold one range or bucket, and the
-decisions of step 3 compare bytes.
+18 bytes.  The successive windows of one anchor form a phrase.
+
+1. Tasks cut their texts into phrases and send the bytes of each to the range of
+   its anchor.  Of equal phrases of a task's chunk one of the smallest document
+   goes; those of later documents are repeated, and known at once.
+2. In each range the suffixes from the anchors on, and the reversed prefixes
+   before them, are sorted deep-shallow.  With their common prefixes a set of
+   equal windows is a run in both orders, and its smallest document stays.
+   Anchors with too little in common around them for any window aren't sorted.
+3. Texts meet their repeated spans, which are cut out.
+
+Hashes deal phrases to tasks and rule out what can't match; every removal rests
+on compared bytes.  Nothing but sums goes to the driver, and tasks hold one
+range, chunk or bucket.
 """
 
 from __future__ import annotations
@@ -30,78 +30,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
-from taleweave.llm.scratch import drop, forget_shuffles, written
+from taleweave.llm.scratch import forget_shuffles, written
 from taleweave.llm.suffix_sort import common_prefixes, deep_shallow_order
 
 U64 = np.uint64
-GRAM = 26
+GRAM = 16
 WINDOW = 50
-CHUNK_ANCHORS = 1 << 17  # anchors gathered in a task before they are sent
-RANGE_ANCHORS = 1 << 18  # anchors of one hash range
+SLICE = 1 << 18  # bytes of text cut into phrases at a time
+CHUNK_PHRASES = 1 << 17  # gathered in a task before they are sent
+RANGE_PHRASES = 1 << 16  # of one range of anchors
 BUCKET_BYTES = 2 << 20  # text of one bucket of documents
-SETTLED, UNSETTLED = 1, 2
-WIDTH = 6  # bytes of a hash that are sent
-
-
-def phrases(column: pa.Array, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: first, end, bytes, offsets, and of every phrase its row, first window, last window, anchor, (anchor hash, phrase hash)."""
-    span = window - GRAM + 1
-    for first, end, data, offsets in kernels.slices(column, 1 << 18):
-        n = len(data)
-        none = np.empty(0, np.int64)
-        if n < window:
-            yield first, end, data, offsets, none, none, none, none, np.empty((2, 0), U64)
+SPACING = 18  # bytes from one anchor to the next, on average
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window, last window, anchor and anchor hash of every phrase of a slice of texts."""
+    n = len(data)
+    none = np.empty(0, np.int64)
+    if n < window:
+        return none, none, none, none, np.empty(0, U64)
+    span, grams = window - GRAM + 1, n - GRAM + 1
+    sums = np.zeros(n + 1, dtype=U64)
+    np.cumsum((data.astype(U64) + U64(1)) * kernels.powers(kernels.BASE, n), out=sums[1:])
+    gram = kernels.mix((sums[GRAM:] - sums[:grams]) * kernels.powers(kernels.BASE_INVERSE, n + 1)[:grams])
+    del sums
+    least, place, reach = gram, np.arange(grams, dtype=np.int32), 1
+    while reach < span:  # the leftmost least of ``reach`` grams, doubled up to the span
+        step = min(reach, span - reach)
+        left = least[:-step] <= least[step:]
+        place = np.where(left, place[:-step], place[step:])
+        least = np.where(left, least[:-step], least[step:])
+        reach += step
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
+    if not len(at):
+        return none, none, none, none, np.empty(0, U64)
+    anchor = place[at].astype(np.int64)
+    new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    low, high = at[new], at[np.append(new[1:], len(at)) - 1]
+    return row[low], low, high, anchor[new], gram[anchor[new]]
+
+
+def slices(column: pa.Array, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, offsets, place of the first byte in its text); a long text comes in overlapping parts."""
+    for first, _, data, offsets in kernels.slices(column, SLICE):
+        if len(offsets) > 2 or len(data) <= 2 * SLICE:
+            yield first, data, offsets, 0
             continue
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((data.astype(U64) + U64(1)) * kernels.powers(kernels.BASE, n), out=sums[1:])
-        undo = kernels.powers(kernels.BASE_INVERSE, n + 1)
-        grams = n - GRAM + 1
-        gram = kernels.mix((sums[GRAM:] - sums[:grams]) * undo[:grams])
-        least, reach = gram, 1
-        while 2 * reach <= span:
-            least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
-        if span > reach:
-            rest = span - reach
-            least = np.minimum(least[:-rest], least[rest:])
-        row = np.repeat(np.arange(end - first), np.diff(offsets))
-        at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-        if not len(at):
-            yield first, end, data, offsets, none, none, none, none, np.empty((2, 0), U64)
-            continue
-        value = least[at]
-        new = np.append(True, (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]))
-        low = at[new]
-        high = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-        value = value[new]
-        anchor = np.full(len(low), -1, np.int64)
-        for j in range(span - 1, -1, -1):  # the leftmost place wins
-            hit = gram[low + j] == value
-            anchor[hit] = low[hit] + j
-        # a run of windows may pass from one anchor to an equal gram further on
-        while (more := np.flatnonzero(anchor < high)).size:
-            tail_low, tail_high, tail_value = anchor[more] + 1, high[more].copy(), value[more]
-            high[more] = anchor[more]
-            next_ = np.full(len(more), -1, np.int64)
-            for j in range(span - 1, -1, -1):
-                hit = gram[np.minimum(tail_low + j, grams - 1)] == tail_value
-                next_[hit] = tail_low[hit] + j
-            low, high = np.append(low, tail_low), np.append(high, tail_high)
-            value, anchor = np.append(value, tail_value), np.append(anchor, next_)
-        whole = kernels.mix((sums[high + window] - sums[low]) * undo[low] + (high - low).astype(U64))
-        yield first, end, data, offsets, row[low], low, high, anchor, np.stack([value >> U64(16), whole >> U64(16)])
-
-
-def entry_ids(hashes: np.ndarray) -> np.ndarray:
-    """48 bits for an anchor with its phrase."""
-    return kernels.mix(hashes[0] * U64(kernels.BASE) + hashes[1]) >> U64(16)
+        for at in range(0, max(1, len(data) - window + 1), SLICE):
+            part = data[at : at + SLICE + window - 1]
+            yield first, part, np.array([0, len(part)]), at
 
 
 SENT = pa.schema([("to", pa.int32()), ("part", pa.int32()), ("docs", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 SENT_SQL = "to int, part int, docs binary, a binary, b binary"
+PLACE = 5  # bytes of a place in a text
 
 
 def _deltas(ids: np.ndarray) -> bytes:
-    """Ascending ids as differences, which compress well."""
+    """Ids as differences, which compress well."""
     return np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes()
 
 
@@ -129,51 +116,77 @@ def bucket_column(doc: Column, n_buckets: int) -> Column:
     return F.pmod(x, F.lit(n_buckets).cast("long")).cast("int")
 
 
-def _told(doc: np.ndarray, entry: np.ndarray, said: np.ndarray, n_buckets: int, n_ranges: int) -> Iterator[tuple]:
-    """Findings packed by bucket of documents."""
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int, n_ranges: int) -> Iterator[tuple]:
+    """Repeated spans packed by bucket of documents, those that meet as one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if len(doc):  # ends grow with starts but for overlaps of phrases with parts of themselves
+        first = np.append(True, doc[1:] != doc[:-1])
+        own = np.cumsum(first)
+        reach = np.maximum.accumulate(end + own * (1 << 42)) - own * (1 << 42)
+        new = np.flatnonzero(first | np.append(True, start[1:] > reach[:-1]))
+        doc, start, end = doc[new], start[new], reach[np.append(new[1:], len(reach)) - 1]
     bucket = bucket_of(doc, n_buckets)
-    order = np.lexsort((doc, bucket))
-    doc, entry, said, bucket = doc[order], entry[order], said[order], bucket[order]
+    order = np.argsort(bucket, kind="stable")
+    doc, start, end, bucket = doc[order], start[order], end[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         own = slice(cuts[b], cuts[b + 1])
-        yield b % n_ranges, 1 + b, _deltas(doc[own]), kernels.to_planes(entry[own], WIDTH), said[own].astype(np.uint8).tobytes()
+        yield b % n_ranges, 1 + b, _deltas(doc[own]), kernels.to_planes(start[own].astype(U64), PLACE), kernels.to_planes((end - start)[own].astype(U64), PLACE)
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes of all spans, one after the other."""
+    upto = np.cumsum(sizes)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)]
+
+
+def text_place(raw: bytes) -> int:
+    """A text's own place among those of one id, where an id may have several texts: spans of another don't fall into it."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=PLACE).digest(), "little") >> 1
 
 
-def _send(window: int, n_ranges: int, n_buckets: int):
-    def pack(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+def _send(window: int, n_ranges: int, n_buckets: int, spread: bool):
+    def pack(parts: list[tuple]) -> Iterator[tuple]:
         if not parts:
             return
-        doc = np.concatenate([d for d, _ in parts])
-        a, b = np.concatenate([h for _, h in parts], axis=1)
-        order = np.lexsort((doc, b, a))
-        doc, a, b = doc[order], a[order], b[order]
-        again = np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
-        copy = np.append(False, again[1:] & (doc[1:] == doc[:-1]))
-        # a phrase of an earlier document of this chunk is settled here
-        lead = doc[np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))]
-        known = again & ~copy & (lead < doc)
-        if known.any():
-            yield from _told(doc[known], entry_ids(np.stack([a[known], b[known]])), np.full(int(known.sum()), SETTLED), n_buckets, n_ranges)
-        keep = ~again
-        doc, a, b = doc[keep], a[keep], b[keep]
-        to = ((a >> U64(16)) * U64(n_ranges)) >> U64(32)
-        order = np.lexsort((doc, to))
-        doc, a, b, to = doc[order], a[order], b[order], to[order]
-        cuts = np.searchsorted(to, np.arange(n_ranges + 1, dtype=U64))
+        doc, low, before, size, key = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:5])
+        flat = np.concatenate([p[5] for p in parts])
+        base = np.cumsum(size) - size
+        # equal phrases of this chunk: same hash, then the same bytes
+        sums = np.add.reduceat((flat.astype(U64) + U64(1)) * kernels.powers(kernels.BASE, window * 2)[np.arange(len(flat)) - np.repeat(base, size)], base)
+        whole = kernels.mix(sums) ^ (key + size.astype(U64) * U64(kernels.BASE) + before.astype(U64))
+        order = np.lexsort((doc, whole))
+        lead = np.append(True, whole[order][1:] != whole[order][:-1])
+        head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+        later = np.flatnonzero((doc[order] > doc[head]) & (size[order] == size[head]) & (before[order] == before[head]))
+        known = np.zeros(len(doc), dtype=bool)
+        if len(later):
+            mine, theirs = order[later], head[later]
+            same = _gathered(flat, base[mine], size[mine]) == _gathered(flat, base[theirs], size[theirs])
+            known[mine] = np.logical_and.reduceat(same, np.cumsum(size[mine]) - size[mine])
+            yield from _spans(doc[known], low[known], (low + size)[known], n_buckets, n_ranges)
+        to = (((key >> U64(32)) * U64(n_ranges)) >> U64(32)).astype(np.int64)
+        order = np.lexsort((low, doc, to))
+        order = order[~known[order]]
+        cuts = np.searchsorted(to[order], np.arange(n_ranges + 1))
         for r in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[r], cuts[r + 1])
-            yield r, 0, _deltas(doc[own]), kernels.to_planes(a[own], WIDTH), kernels.to_planes(b[own], WIDTH)
+            own = order[cuts[r] : cuts[r + 1]]
+            where = kernels.to_planes(low[own].astype(U64), PLACE) + before[own].astype(np.uint8).tobytes() + size[own].astype(np.uint8).tobytes()
+            yield r, 0, _deltas(doc[own]), where, pa.compress(_gathered(flat, base[own], size[own]).tobytes(), codec="zstd", asbytes=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, total = [], 0
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            for first, _, _, _, row, _, _, _, hashes in phrases(batch["text"], window):
+            own = np.array([text_place(t.as_py()) for t in batch["text"].cast(pa.binary())], np.int64) if spread else np.zeros(len(ids), np.int64)
+            for first, data, offsets, at in slices(batch["text"], window):
+                row, low, high, anchor, key = phrases(data, offsets, window)
                 if len(row):
-                    parts.append((ids[first + row], hashes))
+                    size = high + window - low
+                    parts.append((ids[first + row], low - offsets[row] + at + own[first + row], anchor - low, size, key, _gathered(data, low, size)))
                     total += len(row)
-                if total >= CHUNK_ANCHORS:
+                if total >= CHUNK_PHRASES:
                     yield _rows(pack(parts))
                     parts, total = [], 0
             del batch, ids
@@ -185,7 +198,91 @@ def _send(window: int, n_ranges: int, n_buckets: int):
     return run
 
 
-def _settle(n_ranges: int, n_buckets: int):
+def _shared(doc: np.ndarray, key: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Rows whose key, where valid, is also that of another document."""
+    out = np.zeros(len(doc), dtype=bool)
+    rows = np.flatnonzero(valid)
+    if len(rows) > 1:
+        order = rows[np.argsort(key[rows], kind="stable")]
+        start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        d = doc[order]
+        several = np.maximum.reduceat(d, start) > np.minimum.reduceat(d, start)
+        out[order] = np.repeat(several, np.diff(np.append(start, len(order))))
+    return out
+
+
+def repeated(doc: np.ndarray, low: np.ndarray, before: np.ndarray, size: np.ndarray, flat: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the windows of phrases whose bytes also occur in an earlier document's phrase."""
+    side = window - GRAM
+    half = side // 2
+    after = size - before - GRAM
+    base = np.cumsum(size) - size
+    left, right = np.zeros((len(doc), side), np.uint8), np.zeros((len(doc), side), np.uint8)
+    for j in range(side):
+        own = np.flatnonzero(before > j)
+        left[own, j] = flat[(base + before - 1 - j)[own]]
+        own = np.flatnonzero(after > j)
+        right[own, j] = flat[(base + before + GRAM + j)[own]]
+    gram = flat[(base + before)[:, None] + np.arange(GRAM)[None, :]].view("<u8").astype(U64)
+
+    def hashed(context: np.ndarray) -> np.ndarray:
+        words = np.zeros((len(doc), -(-half // 8) * 8), np.uint8)
+        words[:, :half] = context[:, :half]
+        out = gram[:, 0] * U64(kernels.BASE) + gram[:, 1]
+        for w in words.view("<u8").T:
+            out = kernels.mix(out * U64(kernels.BASE) + w)
+        return out
+
+    # a window holds half of the bytes around its anchor on one side at least
+    may = _shared(doc, hashed(left), before >= half) | _shared(doc, hashed(right), after >= half)
+    rows = np.flatnonzero(may)
+    doc, low, before, size, left, right, gram = (x[rows] for x in (doc, low, before, size, left, right, gram))
+    after = size - before - GRAM
+    none = np.empty(0, np.int64)
+    if len(rows) < 2:
+        return none, none, none
+    order = np.lexsort((gram[:, 1], gram[:, 0]))
+    g = gram[order]
+    group = np.empty(len(rows), np.int64)
+    group[order] = np.cumsum(np.append(True, (g[1:] != g[:-1]).any(axis=1)))
+    by_suffix, by_prefix = deep_shallow_order(group, right), deep_shallow_order(group, left)
+    lcp_suffix, lcp_prefix = common_prefixes(group, right, by_suffix), common_prefixes(group, left, by_prefix)
+
+    def runs(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(lcp < least)
+        return out
+
+    # equal phrases: of those in later documents every window is repeated
+    a, b = runs(by_suffix, lcp_suffix, side), runs(by_prefix, lcp_prefix, side)
+    order = np.lexsort((doc, size, before, b, a))
+    key = np.stack([a, b, before, size])[:, order]
+    lead = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+    first = np.empty(len(order), np.int64)
+    first[order] = doc[order][np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+    whole = first < doc
+    found = [(doc[whole], low[whole], (low + size)[whole])]
+    # windows of the others, by the number of bytes before the anchor
+    last = size - window
+    several = np.bincount(group[~whole], minlength=int(group.max()) + 1)[group] > 1
+    rest = ~whole & several
+    for o in range(side + 1):
+        some = np.flatnonzero(rest & (before - o >= 0) & (before - o <= last))
+        if len(some) < 2:
+            continue
+        a, b = runs(by_suffix, lcp_suffix, side - o)[some], runs(by_prefix, lcp_prefix, o)[some]
+        order = np.lexsort((doc[some], b, a))
+        a, b, d = a[order], b[order], doc[some][order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        hit = some[order[d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))] < d]]
+        start = (low + before)[hit] - o
+        found.append((doc[hit], start, start + window))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _settle(window: int, n_ranges: int, n_buckets: int):
+    """A range of anchors: its repeated spans, with those that are passed on."""
+
     def run(table: pa.Table) -> pa.Table:
         kernels.give_back()  # what the group before has left
         part = table["part"].to_numpy()
@@ -193,204 +290,91 @@ def _settle(n_ranges: int, n_buckets: int):
         mine = table.filter(pa.array(part == 0))
         if mine.num_rows:
             doc = np.concatenate([_undeltas(x) for x in mine["docs"].to_pylist()])
-            a = np.concatenate([kernels.from_planes(x, WIDTH) for x in mine["a"].to_pylist()])
-            b = np.concatenate([kernels.from_planes(x, WIDTH) for x in mine["b"].to_pylist()])
-            order = np.lexsort((doc, b, a))
-            doc, a, b = doc[order], a[order], b[order]
-            new_a = np.append(True, a[1:] != a[:-1])
-            new_b = new_a | np.append(True, b[1:] != b[:-1])
-            settled = ~new_b & (doc[np.maximum.accumulate(np.where(new_b, np.arange(len(doc)), 0))] < doc)
-            start = np.flatnonzero(new_a)
-            group = np.cumsum(new_a) - 1
-            several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
-            kinds = np.bincount(group, weights=new_b)
-            open_ = new_b & (several & (kinds > 1))[group]
-            said = np.where(settled, SETTLED, np.where(open_, UNSETTLED, 0))
-            told = said > 0
-            if told.any():
-                out.append(pa.Table.from_batches([_rows(_told(doc[told], entry_ids(np.stack([a[told], b[told]])), said[told], n_buckets, n_ranges))]))
+            low, before, size, flat = [], [], [], []
+            for where, raw in zip(mine["a"].to_pylist(), mine["b"].to_pylist(), strict=True):
+                n = len(where) // (PLACE + 2)
+                low.append(kernels.from_planes(where[: PLACE * n], PLACE).astype(np.int64))
+                before.append(np.frombuffer(where, np.uint8, n, PLACE * n))
+                size.append(np.frombuffer(where, np.uint8, n, (PLACE + 1) * n))
+                flat.append(np.frombuffer(pa.decompress(raw, int(size[-1].sum(dtype=np.int64)), "zstd", asbytes=True), np.uint8))
+            del mine, table
+            low, before, size, flat = (np.concatenate(x) for x in (low, before, size, flat))
+            spans = repeated(doc, low, before.astype(np.int64), size.astype(np.int64), flat, window)
+            if len(spans[0]):
+                out.append(pa.Table.from_batches([_rows(_spans(*spans, n_buckets, n_ranges))]))
         return pa.concat_tables([t.cast(SENT) for t in out])
 
     return run
 
 
-PIECE_SQL = "doc_id long, start int, end int, low int, anchor int, h long, bytes binary"
-PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("low", pa.int32()), ("anchor", pa.int32()), ("h", pa.int64()), ("bytes", pa.binary())])
-
-
-def _look_up(window: int):
-    """A bucket of texts with the findings about them: settled spans (start, end) and phrases to look at (low, anchor, h, bytes)."""
-
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        kernels.give_back()
-        out: list[pa.Table] = []
-        if texts.num_rows and told.num_rows:
-            doc = np.concatenate([_undeltas(x) for x in told["docs"].to_pylist()])
-            entry = np.concatenate([kernels.from_planes(x, WIDTH) for x in told["a"].to_pylist()])
-            said = np.concatenate([np.frombuffer(x, np.uint8) for x in told["b"].to_pylist()])
-            # 64 bits for a document with an entry
-            key = kernels.mix(doc.view(U64) * U64(kernels.BASE) + entry)
-            order = np.argsort(key)
-            key, said = key[order], said[order]
-            ids = texts["doc_id"].to_numpy()
-            for first, _, data, offsets, row, low, high, anchor, hashes in phrases(texts["text"].combine_chunks(), window):
-                if not len(row):
-                    continue
-                mine = kernels.mix(ids[first + row].view(U64) * U64(kernels.BASE) + entry_ids(hashes))
-                at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-                found = np.where(key[at] == mine, said[at], 0)
-                base = offsets[row]
-                s = np.flatnonzero(found == SETTLED)
-                if len(s):
-                    none = pa.nulls(len(s), pa.int32())
-                    out.append(pa.table([pa.array(ids[first + row[s]]), pa.array((low - base)[s].astype(np.int32)), pa.array((high + window - base)[s].astype(np.int32)), none, none, pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary())], schema=PIECE))
-                u = np.flatnonzero(found == UNSETTLED)
-                if len(u):
-                    raw = [data[p:q].tobytes() for p, q in zip(low[u].tolist(), (high[u] + window).tolist(), strict=True)]
-                    none = pa.nulls(len(u), pa.int32())
-                    out.append(pa.table([pa.array(ids[first + row[u]]), none, none, pa.array((low - base)[u].astype(np.int32)), pa.array((anchor - base)[u].astype(np.int32)), pa.array(hashes[0][u].astype(np.int64)), pa.array(raw, pa.binary())], schema=PIECE))
-        return pa.concat_tables(out) if out else PIECE.empty_table()
-
-    return run
-
-
-SPAN_SQL = "doc_id long, start int, end int"
-
-
-def _compare(window: int):
-    """A range of anchors: the windows whose bytes also occur in an earlier document, as spans."""
-    side = window - GRAM
-
-    def run(table: pa.Table) -> pa.Table:
-        kernels.give_back()
-        doc, low, anchor, h = (table[c].to_numpy() for c in ("doc_id", "low", "anchor", "h"))
-        raw = table["bytes"].to_pylist()
-        left, right = np.zeros((len(raw), side), np.uint8), np.zeros((len(raw), side), np.uint8)
-        before = anchor - low
-        size = np.array([len(r) for r in raw])
-        after = size - before - GRAM
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        base = np.cumsum(size) - size
-        for j in range(side):
-            own = before > j
-            left[own, j] = flat[(base + before - 1 - j)[own]]
-            own = after > j
-            right[own, j] = flat[(base + before + GRAM + j)[own]]
-        group = np.unique(h, return_inverse=True)[1]
-        # the grams themselves, as far as two with one hash may differ
-        gram = flat[(base + before)[:, None] + np.arange(GRAM)[None, :]]
-        suffix = np.concatenate([gram, right], axis=1)
-        by_suffix, by_prefix = deep_shallow_order(group, suffix), deep_shallow_order(group, left)
-        lcp_suffix, lcp_prefix = common_prefixes(group, suffix, by_suffix), common_prefixes(group, left, by_prefix)
-        last = size - window  # windows of the phrase less one
-        starts: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        for o in range(side + 1):  # bytes of the window before the anchor
-            valid = (before - o >= 0) & (before - o <= last)
-            run_suffix, run_prefix = np.empty(len(raw), np.int64), np.empty(len(raw), np.int64)
-            run_suffix[by_suffix] = np.cumsum(lcp_suffix < window - o)
-            run_prefix[by_prefix] = np.cumsum(lcp_prefix < o)
-            rows = np.flatnonzero(valid)
-            if len(rows) < 2:
-                continue
-            a, b = run_suffix[rows], run_prefix[rows]
-            order = np.lexsort((doc[rows], b, a))
-            a, b, d = a[order], b[order], doc[rows][order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            first = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-            hit = rows[order[first < d]]
-            starts.append((anchor - o)[hit])
-            owners.append(doc[hit])
-        if not starts:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "end": pa.array([], pa.int32())})
-        start, owner = np.concatenate(starts), np.concatenate(owners)
-        order = np.lexsort((start, owner))
-        start, owner = start[order], owner[order]
-        new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + 1)) if len(start) else np.empty(0, bool)
-        at = np.flatnonzero(new)
-        stop = start[np.append(at[1:], len(start)) - 1] + window if len(at) else start
-        return pa.table({"doc_id": pa.array(owner[at]), "start": pa.array(start[at].astype(np.int32)), "end": pa.array(stop.astype(np.int32))})
-
-    return run
+CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+CUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, keep: list[str], spread: bool):
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         kernels.give_back()
-        doc, start, end = (spans[c].to_numpy() for c in ("doc_id", "start", "end"))
+        told = [[*map(_undeltas, spans["docs"].to_pylist())], *([kernels.from_planes(x, PLACE).astype(np.int64) for x in spans[c].to_pylist()] for c in ("a", "b"))]
+        doc, start, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in told)
         order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], end[order]
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for doc_id, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True):
-            raw = text.encode()
-            kept, at, removed, runs, reach = [], 0, 0, 0, -1
-            if doc_id is not None:
-                a, b = np.searchsorted(doc, [doc_id, doc_id + 1]) if doc_id < 2**63 - 1 else (np.searchsorted(doc, doc_id), len(doc))
-                for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True):
-                    if s > reach:
-                        runs += 1
-                    if s > at:
-                        kept.append(raw[at:s])
-                    removed += max(0, e - max(s, at))
-                    at, reach = max(at, e), max(reach, e)
-            kept.append(raw[at:])
-            rest = b"".join(kept)
-            out["doc_id"].append(doc_id)
-            out["n_bytes"].append(len(raw))
-            out["n_removed"].append(removed)
-            out["n_spans"].append(runs)
-            out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
-            out["kept"].append(rest if with_text else None)
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+        doc, start, end = doc[order], start[order], (start + size)[order]
+        out: dict[str, list] = {c: [] for c in CUT.names}
+        for batch in texts.to_batches(max_chunksize=256):
+            for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+                kept, at, removed, runs, reach = [], 0, 0, 0, -1
+                if doc_id is not None:
+                    a, b = np.searchsorted(doc, doc_id, "left"), np.searchsorted(doc, doc_id, "right")
+                    base = text_place(raw) if spread else 0
+                    a, b = a + np.searchsorted(start[a:b], [base, base + len(raw)])
+                    for s, e in zip((start[a:b] - base).tolist(), (end[a:b] - base).tolist(), strict=True):
+                        if s > reach:
+                            runs += 1
+                        if s > at:
+                            kept.append(raw[at:s])
+                        removed += max(0, e - max(s, at))
+                        at, reach = max(at, e), max(reach, e)
+                kept.append(raw[at:])
+                rest = b"".join(kept)
+                for c, v in zip(CUT.names, (doc_id, len(raw), removed, runs, hashlib.sha256(rest).hexdigest(), rest if with_text else None), strict=True):
+                    out[c].append(v)
+        cut = pa.table(out, schema=CUT)
+        for c in keep:
+            cut = cut.append_column(c, texts[c])
+        return cut
 
     return run
 
 
-CUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """Texts (bucket, doc_id, text), repeated spans (bucket, doc_id, start, end) and the number of buckets."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int, bool]:
+    """Packed spans (bucket, docs, a, b) of ``docs`` (doc_id, text), the number of buckets, and whether an id has several texts."""
+    known = docs.where("doc_id IS NOT NULL")
+    spread = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(8, -(-total // BUCKET_BYTES)) | 1  # odd, so that ids with a common step spread
-    n_ranges = max(32, -(-total // (13 * RANGE_ANCHORS)))
-
-    bucketed = texts.withColumn("bucket", bucket_column(F.col("doc_id"), n_buckets)).select("bucket", "doc_id", "text")
-
-    def found() -> DataFrame:
-        sent = texts.where("doc_id IS NOT NULL").mapInArrow(_send(window, n_ranges, n_buckets), SENT_SQL)
-        told = sent.groupBy("to").applyInArrow(_settle(n_ranges, n_buckets), SENT_SQL).where("part > 0")
-        return written(told.select((F.col("part") - 1).alias("bucket"), "docs", "a", "b"), "told")
-
-    def pieces(told: DataFrame) -> DataFrame:
-        mine = bucketed.where("doc_id IS NOT NULL").groupBy("bucket").cogroup(told.groupBy("bucket"))
-        return written(mine.applyInArrow(_look_up(window), PIECE_SQL), "phrases")
-
-    told = found()
-    forget_shuffles(spark)
-    parts = pieces(told)
-    drop(told)
-    forget_shuffles(spark)
-    ranges = parts.where("h IS NOT NULL").withColumn("range", F.pmod(F.xxhash64("h"), F.lit(n_ranges))).select("range", "doc_id", "low", "anchor", "h", "bytes")
-    compared = ranges.groupBy("range").applyInArrow(_compare(window), SPAN_SQL)
-    spans = parts.where("start IS NOT NULL").select("doc_id", "start", "end").unionByName(compared)
-    spans = written(spans.select(bucket_column(F.col("doc_id"), n_buckets).alias("bucket"), "doc_id", "start", "end"), "spans")
-    drop(parts)
-    forget_shuffles(spark)
-    return bucketed, spans, n_buckets
+    n_ranges = max(32, -(-total // (SPACING * RANGE_PHRASES)))
+    sent = known.mapInArrow(_send(window, n_ranges, n_buckets, spread), SENT_SQL)
+    found = sent.groupBy("to").applyInArrow(_settle(window, n_ranges, n_buckets), SENT_SQL).where("part > 0")
+    spans = written(found.select((F.col("part") - 1).alias("bucket"), "docs", "a", "b"), "spans")
+    forget_shuffles(docs.sparkSession)
+    return spans, n_buckets, spread
 
 
-def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with ``with_text``).
+def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns of ``keep``, and with ``with_text`` kept (the remaining bytes).
 
     Every byte of a ``window``-byte string that also starts in a document with a
     smaller id is removed; strings are judged on the input.  A null text is
     empty.  Texts shorter than the window keep everything.  Rows with a null id
     are neither sources nor cut.  Rows with one id don't count as earlier than
-    each other.  An empty table gives no rows; other columns are ignored.
+    each other, and each is cut where its own text is repeated.  An empty table gives no rows; other columns are ignored.
     """
-    texts, spans, _ = repeated_spans(docs, window, id_col, text_col)
-    out = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(with_text), CUT_SQL)
-    return (out if with_text else out.drop("kept")).withColumnRenamed("doc_id", id_col)
+    if not GRAM + 8 <= window <= 255 // 2:
+        raise ValueError("window must be of 24 to 127 bytes")
+    own = [F.col(c).alias(f"keep_{c}") for c in keep]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *own)
+    spans, n_buckets, spread = repeated_spans(texts.select("doc_id", "text"), window)
+    types = "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    bucketed = texts.withColumn("bucket", bucket_column(F.col("doc_id"), n_buckets))
+    out = bucketed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(with_text, [f"keep_{c}" for c in keep], spread), CUT_SQL + types)
+    out = out if with_text else out.drop("kept")
+    return out.select(F.col("doc_id").alias(id_col), *[c for c in out.columns[1:] if not c.startswith("keep_")], *[F.col(f"keep_{c}").alias(c) for c in keep])

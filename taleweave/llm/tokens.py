@@ -29,7 +29,7 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE, UNKNOWN = 0, 1, 2, 3, 4, 5
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Letters after an apostrophe that form a piece with it.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
-KEEP = 150_000  # pieces remembered by a worker
+KEEP = 300_000  # pieces remembered by a worker
 SLICE = 1 << 18  # bytes of text encoded at a time
 
 
@@ -49,14 +49,11 @@ def _kind(code: int) -> int:
     return {"L": LETTER, "N": NUMBER}.get(now[0], OTHER)
 
 
-def byte_letters() -> dict[int, str]:
-    """The character that a byte-level vocabulary writes for each byte: itself if it can be seen, else one past U+00FF in turn."""
-    out, next_ = {}, 0x100
-    for b in range(256):
-        seen = 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD
-        out[b] = chr(b if seen else next_)
-        next_ += not seen
-    return out
+def byte_letters() -> np.ndarray:
+    """The code point that a byte-level vocabulary writes for each byte: itself if it can be seen, else one past U+00FF in turn."""
+    b = np.arange(256)
+    seen = (b >= 0x21) & (b <= 0x7E) | (b >= 0xA1) & (b != 0xAD)
+    return np.where(seen, b, 0xFF + np.cumsum(~seen)).astype("<u2")
 
 
 def encoder(path: str) -> Encoder:
@@ -94,6 +91,24 @@ class Encoder:
         self.start, self.size, self.code_start, self.code_size = (np.zeros(1 << 10, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
         self.codes, self.codes_used = np.zeros(1 << 12, np.uint32), 0
+        self.again = np.zeros(1 << 10, dtype=bool)  # pieces met in more than one slice
+
+    def _keep_repeated(self) -> None:
+        """Forget pieces met in one slice only; all of them if too many others are left."""
+        slots = np.flatnonzero(self.again[: self.n])
+        if 2 * len(slots) > KEEP:
+            self._forget()
+            return
+        keep = self.again[self.slots]
+        self.keys, self.slots = self.keys[keep], np.searchsorted(slots, self.slots[keep])
+        for flat, start, size in (("flat", "start", "size"), ("codes", "code_start", "code_size")):
+            n, upto = getattr(self, size)[slots], np.cumsum(getattr(self, size)[slots])
+            at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(getattr(self, start)[slots] - (upto - n), n)
+            setattr(self, flat, getattr(self, flat)[at])
+            setattr(self, start, upto - n)
+            setattr(self, size, n)
+        self.n, self.used, self.codes_used = len(slots), len(self.flat), len(self.codes)
+        self.again = np.zeros(max(1, self.n), dtype=bool)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -135,7 +150,7 @@ class Encoder:
         if odd.any():
             keep = ~odd[np.searchsorted(bounds, starts, "right") - 1]
             starts, ends = starts[keep], ends[keep]
-        ids, upto, wrong = self._ids(text, codes, starts, ends)
+        ids, upto, wrong = self._ids(data, codes, starts, ends)
         if len(wrong):  # another piece has the same hash
             odd[np.searchsorted(bounds, wrong, "right") - 1] = True
         at = upto[np.searchsorted(starts, bounds)]
@@ -176,18 +191,19 @@ class Encoder:
                 marks, ends_at = marks[~fit], ends_at[~fit]
         return start
 
-    def _ids(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _ids(self, data: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in order, where each piece's ids begin (one more for the end), and starts of pieces that differ from the one remembered."""
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(1, np.int64), starts
         found, where, piece = np.unique(kernels.span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
         if self.n + len(found) > KEEP:
-            self._forget()
+            self._keep_repeated()
         at = np.searchsorted(self.keys, found)
         new = at == len(self.keys)
         new[~new] = self.keys[at[~new]] != found[~new]
+        self.again[self.slots[at[~new]]] = True
         if new.any():
-            self._learn(text, codes, found[new], starts[where[new]], ends[where[new]], at[new])
+            self._learn(data, codes, found[new], starts[where[new]], ends[where[new]], at[new])
             at = np.searchsorted(self.keys, found)
         slots = self.slots[at][piece]
         size = ends - starts
@@ -206,14 +222,15 @@ class Encoder:
         at = np.repeat(self.start[slots] - upto[:-1], sizes) + np.arange(upto[-1])
         return self.flat[at], upto, starts[~same]
 
-    def _learn(self, text: str, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, codes: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> None:
         """Remember new pieces; ``at`` says where their keys go among the known ones."""
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(text[a:b].encode().decode("latin-1").translate(letters))] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters[data].tobytes().decode("utf-16-le")
+        heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        ids = [[t.id for t in tokenize(letters[a:b])] for a, b in zip(heads[starts].tolist(), heads[ends].tolist(), strict=True)]
         have, new, n_codes = self.n, len(keys), ends - starts
         sizes = np.fromiter(map(len, ids), np.int64, new)
         total, n = int(sizes.sum()), int(n_codes.sum())
-        for name in ("start", "size", "code_start", "code_size"):
+        for name in ("start", "size", "code_start", "code_size", "again"):
             setattr(self, name, _room(getattr(self, name), have + new))
         self.flat, self.codes = _room(self.flat, self.used + total), _room(self.codes, self.codes_used + n)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)

@@ -182,6 +182,33 @@ def test_suffix_dedup(spark, docs, none):
     got = suffix_dedup.deduplicate_substrings(spark.createDataFrame(odd, "doc_id long, text string"), with_text=True).collect()
     assert Counter((r.doc_id, r.n_removed) for r in got) == Counter([(1, 0), (1, 0), (None, 0), (2, 55), (3, 80), (-4, 0), (5, 0)])
     assert {r.kept for r in got if r.doc_id == 3} == {b""}
+    apart = [(1, "q" * 20 + "r" * 60), (2, "u" * 90), (2, "r" * 60 + "v" * 30), (2, "r" * 60 + "v" * 30), (3, "u" * 60)]
+    got = suffix_dedup.deduplicate_substrings(spark.createDataFrame(apart, "doc_id long, text string"), with_text=True).collect()
+    assert Counter((r.doc_id, r.kept) for r in got) == Counter([(1, b"q" * 20 + b"r" * 60), (2, b"u" * 90), (2, b"v" * 30), (2, b"v" * 30), (3, b"")])
+
+
+def test_long_texts_are_cut_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 600)
+    rows = [(i, prose(400) + " " + ROWS[12][1] + " " + prose(300)) for i in range(5)] + ROWS[6:20]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.cut(rows)
+
+
+def test_multikey_quicksort_and_blind_tries():
+    r = np.random.default_rng(4)
+    for width in (3, 16, 24, 40):
+        strings = r.integers(0, 2, (700, width)).astype(np.uint8)
+        strings[:300, : width - 2] = strings[0, : width - 2]
+        group = r.integers(0, 3, 700)
+        keys = suffix_sort.symbols(strings)
+        order, first = suffix_sort.multikey_quicksort(group, keys, keys.shape[1])
+        got = [(int(group[i]), strings[i].tobytes()) for i in order]
+        assert got == sorted(got) and [got[k] != got[k - 1] for k in range(1, 700)] == first[1:].tolist()
+        got = [(int(group[i]), strings[i].tobytes()) for i in suffix_sort.deep_shallow_order(group, strings)]
+        assert got == sorted(got)
+    values = [bytes(r.integers(0, 2, 9).tolist()) for _ in range(300)]
+    assert [values[i] for i in suffix_sort.blind_trie_order(values)] == sorted(values)
 
 
 def library(texts):
