@@ -2,15 +2,16 @@
 
 The words of a source form one stream, cut into blocks of ``block_words``; the
 last block of a source may be shorter.  Output is a row of slots, ``shard_slots``
-to a shard, each filled by one block.  Slots draw their source from the target
-distribution without replacement (a pseudorandom permutation of all slots cut at
-the cumulative targets), so that the counts of a shard are multinomial given
-totals that meet the targets to within one block.  The j-th draw of a source
-takes block ``perm(j)`` of a pseudorandom permutation of its block indices and
-starts another permutation when all blocks are used.  Blocks and slots meet in an
-equi-join on (source, block index).
-
-All positions come from hashes of keys and from prefix sums over fixed buckets:
+to a shard, each filled by one block.  Every slot draws its source from the
+target distribution by a hash of its number, so a shard's counts of sources are
+multinomial.  Over the whole output, sources drawn beyond their target hand the
+surplus to those below (some square root of all slots), so that targets are met
+to within a block and no document is used up too often.  The j-th draw of a
+source takes block ``perm(j)`` of a pseudorandom permutation of its block indices
+and starts another permutation when all blocks are used.  Blocks and draws meet in
+an equi-join on (source, block index).
+
+All positions come from hashes of keys and from prefix sums over buckets:
 reruns agree, and a source with a third of all rows is spread over many tasks.
 """
 
@@ -23,20 +24,31 @@ from taleweave.llm.frames import join_on
 from taleweave.llm.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 512
-CHUNK = 65536  # slots generated by one row
-PRIMES = (2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497, 2147483489)
+BUCKET_ROWS = 8192  # documents in one sort
+SUPER = 1024  # shards in one sort
+CELLS = 4096  # of the table by which slots find their source
+ROUNDS = 12  # of a permutation
+SMALL = 20_000  # sources up to which that table is broadcast (some 100 bytes each)
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def permuted(index: Column, n: Column, salt: Column) -> Column:
-    """A bijection of [0, n): affine with a prime multiplier larger than n, so coprime to it."""
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (F.pmod(F.xxhash64(F.lit("a"), salt), F.lit(len(PRIMES))) + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit("b"), salt), n)
-    return F.pmod(F.pmod(prime, n) * index + shift, n)
+def permuted(df: DataFrame, name: str, index: Column, n: Column, salt: Column) -> DataFrame:
+    """``df`` with a column ``name``: ``index`` under a pseudorandom bijection of [0, n) that ``salt`` decides.
+
+    Swap-or-not: every round pairs x with its mirror image k - x modulo n, and a
+    hash of the pair says whether the two change places.  It works for any n,
+    and nothing is larger than 2 n.
+    """
+    df = df.withColumn(name, index)
+    for r in range(ROUNDS):
+        mirror = F.pmod(F.pmod(F.xxhash64(F.lit(r), salt), n) - F.col(name), n)
+        df = df.withColumn("mirror", mirror)
+        swap = F.xxhash64(F.lit(r), salt, F.greatest(F.col(name), F.col("mirror"))).bitwiseAND(F.lit(1)) == 1
+        df = df.withColumn(name, F.when(swap, F.col("mirror")).otherwise(F.col(name)))
+    return df.drop("mirror")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
@@ -66,17 +78,36 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
 
 
 def keyed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size and the first word's place in its source's stream."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    """doc_id, source, size, the text's hash and the first word's place in its source's stream."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("h"))
     base = written(base, "mix-sizes")  # the only look at the texts
-    base = base.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "doc_id"), F.lit(BUCKETS)))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "size")
+    n_buckets = base.count() // BUCKET_ROWS + 1
+    base = base.withColumn("bucket", F.pmod("h", F.lit(n_buckets)))
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     local = F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     base = base.withColumn("local", local)
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(by_bucket), F.lit(0))).drop("words")
-    return join_on(base, sums, ["source", "bucket"]).select("doc_id", "source", "size", (F.col("base") + F.col("local")).cast("long").alias("start"))
+    return join_on(base, sums, ["source", "bucket"]).select("doc_id", "source", "size", "h", (F.col("base") + F.col("local")).cast("long").alias("start"))
+
+
+def shard_counts(sources: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, source, n): how many of a shard's slots drew the source, a multinomial draw with probabilities draws / n_slots.
+
+    ``sources`` has source, draws and low, the sum of draws before.
+    """
+    spark = sources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = -(-n_slots // CELLS) or 1
+    cells = sources.where("draws > 0").select("source", "low", (F.col("low") + F.col("draws")).alias("high"))
+    cells = written(cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width)))), "cells")
+    slots = spark.range(0, n_slots, 1, parts).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_slots)).alias("u"))
+    slots = slots.withColumn("cell", F.floor(F.col("u") / width))
+    small = cells.count() <= SMALL + CELLS
+    drawn = slots.join(F.broadcast(cells) if small else cells, "cell").where("u >= low AND u < high")
+    return drawn.groupBy("shard", "source").agg(F.count("*").alias("n"))
 
 
 def draw_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
@@ -85,22 +116,37 @@ def draw_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int
     sources = targets.where("source_size > 0").withColumn("n_blocks", n_blocks)
     # a draw brings source_size / n_blocks words on average; never more than 3 rounds as target <= 3 * size
     sources = sources.withColumn("draws", F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    sources = sources.withColumn("low", F.coalesce(F.sum("draws").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sources = sources.withColumn("slots", F.sum("draws").over(Window.partitionBy())).where("draws > 0")
-    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a chunk has few bytes and makes many rows
-    chunks = sources.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK)))).repartition(parts, "source", "chunk")
-    first = F.col("chunk") * CHUNK
-    draws = chunks.withColumn("draw", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("draws")) - 1)))
-    turn = F.floor(F.col("draw") / F.col("n_blocks"))
-    slot = permuted(F.col("low") + F.col("draw"), F.col("slots"), F.lit(seed))
-    return draws.select(
-        F.floor(slot / shard_slots).alias("shard"),
-        slot.alias("slot"),
-        "source",
-        permuted(F.col("draw") % F.col("n_blocks"), F.col("n_blocks"), F.struct(F.lit(seed), F.col("source"), turn)).alias("block"),
-        turn.alias("turn"),
-    )
+    order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+    sources = written(sources.select("source", "n_blocks", "draws").withColumn("low", F.coalesce(F.sum("draws").over(order), F.lit(0))), "mix-sources")
+    n_slots = sources.agg(F.sum("draws")).first()[0] or 0
+    counts = written(shard_counts(sources, n_slots, shard_slots, seed), "mix-counts")
+    # surplus draws over a source's target go to those below theirs, one by one
+    drawn = join_on(sources, counts.groupBy("source").agg(F.sum("n").alias("drawn")), ["source"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    drawn = drawn.withColumn("over", F.greatest(F.col("drawn") - F.col("draws"), F.lit(0))).withColumn("under", F.greatest(F.col("draws") - F.col("drawn"), F.lit(0)))
+    drawn = drawn.withColumn("over_low", F.coalesce(F.sum("over").over(order), F.lit(0))).withColumn("under_low", F.coalesce(F.sum("under").over(order), F.lit(0)))
+    takers = drawn.where("under > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1)))
+    takers = takers.select((F.col("under_low") + F.col("k")).alias("hand"), F.col("source").alias("taker"), (F.col("drawn") + F.col("k")).alias("taken"))
+    # how often a source was drawn in the shards before
+    counts = counts.withColumn("super", F.floor(F.col("shard") / SUPER))
+    sums = counts.groupBy("source", "super").agg(F.sum("n").alias("m"))
+    base = F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.sum("n").over(Window.partitionBy("source", "super").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    in_shard = F.sum("n").over(Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    runs = join_on(counts.withColumn("before", before), sums.withColumn("base", base).drop("m"), ["source", "super"]).withColumn("place", in_shard)
+    runs = join_on(runs.withColumn("first", F.col("base") + F.col("before")), drawn.select("source", "n_blocks", "draws", "over_low"), ["source"])
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a run has few bytes and makes many rows
+    runs = runs.repartition(parts, "shard", "source").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    runs = runs.withColumn("draw", F.col("first") + F.col("k")).withColumn("place", F.col("place") + F.col("k"))
+    runs = runs.select("shard", "place", "source", "n_blocks", "draw", "draws", F.when(F.col("draw") >= F.col("draws"), F.col("over_low") + F.col("draw") - F.col("draws")).alias("hand"))
+    kept = runs.where("hand IS NULL").select("shard", "place", "source", "n_blocks", "draw")
+    handed = runs.where("hand IS NOT NULL").select("shard", "place", "hand").join(takers, "hand").select("shard", "place", F.col("taker").alias("source"), F.col("taken").alias("draw"))
+    handed = join_on(handed, sources.select("source", "n_blocks"), ["source"]).select("shard", "place", "source", "n_blocks", "draw")
+    slots = kept.unionByName(handed).withColumn("turn", F.floor(F.col("draw") / F.col("n_blocks")))
+    slots = permuted(slots, "block", F.col("draw") % F.col("n_blocks"), F.col("n_blocks"), F.struct(F.lit(seed), F.col("source"), F.col("turn")))
+    first = F.col("shard") * shard_slots
+    slots = slots.withColumn("room", F.least(F.lit(shard_slots).cast("long"), F.lit(n_slots) - first))
+    slots = permuted(slots, "nth", F.col("place"), F.col("room"), F.struct(F.lit(seed), F.col("shard")))
+    return slots.select("shard", (first + F.col("nth")).alias("slot"), "source", "block", "turn")
 
 
 def cut_blocks(keyed: DataFrame, block_words: int) -> DataFrame:
@@ -113,6 +159,7 @@ def cut_blocks(keyed: DataFrame, block_words: int) -> DataFrame:
         "source",
         "block",
         "doc_id",
+        "h",
         "start",
         "size",
         F.greatest(at - F.col("start"), F.lit(0)).alias("low"),
@@ -157,11 +204,12 @@ def mix_documents(docs: DataFrame, block_words: int = 32, shard_slots: int = 409
     """
     base = docs.select("doc_id", "text", "lang", "source")
     keyed, _, (slots, pieces) = mix_plan(base, block_words, shard_slots, seed)
-    spans = mixed_spans(slots, pieces).groupBy("source", "start", "turn").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
-    texts = base.withColumn("size", n_words(F.col("text"))).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source", "text")))
-    spans = spans.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "size").orderBy("source", "start")))
+    spans = mixed_spans(slots, pieces).groupBy("source", "start", "turn").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    # repeated rows are told apart by their number
+    texts = base.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("source", "lang")))
+    spans = spans.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy("source", "start")))
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]) == F.col("size")
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), "")
-    out = join_on(texts, spans.drop("source"), ["doc_id", "size", "nth"]).select("doc_id", F.when(whole, F.col("text")).otherwise(cut).alias("text"), "lang", "source")
+    out = join_on(texts, spans.drop("source"), ["doc_id", "h", "nth"]).select("doc_id", F.when(whole, F.col("text")).otherwise(cut).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")

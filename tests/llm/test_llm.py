@@ -339,6 +339,38 @@ def test_mixing(spark, docs, none):
     assert words == Counter({r.doc_id: r.taken for r in rows if r.taken})
 
 
+def test_permutations_are_bijections(spark):
+    for n in (1, 2, 7, 100, 1023):
+        rows = [tuple(r) for r in mixing.permuted(spark.range(n), "p", F.col("id"), F.lit(n).cast("long"), F.lit("s")).orderBy("id").collect()]
+        assert sorted(p for _, p in rows) == list(range(n))
+    steps = Counter((b[1] - a[1]) % n for a, b in zip(rows, rows[1:], strict=False))
+    assert max(steps.values()) < 12  # no constant stride
+
+
+def test_shards_draw_multinomial_counts(spark):
+    rows = [("a", 10000, 0), ("b", 20000, 10000), ("c", 30000, 30000), (None, 40000, 60000)]
+    df = spark.createDataFrame(rows, "source string, draws long, low long")
+    got = defaultdict(dict)
+    for r in mixing.shard_counts(df, 100000, 1000, 5).collect():
+        got[r.shard][r.source] = r.n
+    assert len(got) == 100 and all(sum(c.values()) == 1000 for c in got.values())
+    for source, draws, _ in rows:
+        p, own = draws / 100000, np.array([c.get(source, 0) for c in got.values()])
+        # mean and variance of a binomial count, within five standard errors
+        assert abs(own.mean() - 1000 * p) < 5 * np.sqrt(1000 * p * (1 - p) / 100)
+        assert abs(own.var() / (1000 * p * (1 - p)) - 1) < 5 * np.sqrt(2 / 99)
+
+
+def test_slots_meet_the_targets(spark):
+    df = spark.createDataFrame([("a", 6400, 1.0, 19200.0), ("b", 64000, 2.0, 40000.0), ("c", 320, 3.0, 700.0), (None, 0, 1.0, 0.0)], "source string, source_size long, weight double, target double")
+    rows = mixing.draw_slots(df, 32, 100, 3).collect()
+    per = Counter(r.source for r in rows)
+    assert per == {"a": 600, "b": 1250, "c": 22} and sorted(r.slot for r in rows) == list(range(1872)) and all(r.slot // 100 == r["shard"] for r in rows)
+    uses = Counter((r.source, r.block) for r in rows)
+    assert all(uses["a", b] == 3 for b in range(200)) and max(uses.values()) == 3 and {b for s, b in uses if s == "c"} == set(range(10))
+    assert {r.turn for r in rows if r.source == "b"} == {0}
+
+
 def test_shares_stop_at_the_limit(spark):
     sizes = {"a": 1000, "b": 10, "c": 5, "d": 40, None: 3}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
