@@ -3,9 +3,10 @@
 Every text is tokenised once and cut into pieces.  Only the counts of the
 lengths (at most ``capacity`` numbers, whatever the input) go to the driver,
 where bin completion works on whole groups of equal bins: around the largest
-remaining length it takes an undominated filling of least waste as often as the
-counts allow.  Best-fit decreasing gives the first incumbent; the search stops
-at the lower bound, or after ``max_nodes`` nodes with the best packing found.
+remaining length it takes an undominated filling, of least waste first, as often
+as the counts allow, and leaves a path whose waste rules out a better packing.
+Best-fit decreasing gives the first incumbent; the search stops at the lower
+bound, or after ``max_nodes`` fillings with the best packing found.
 The plan is a list of bin patterns, from which every piece finds its sequence
 by its rank among the pieces of its length.
 """
@@ -13,21 +14,24 @@ by its rank among the pieces of its length.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.llm import kernels
 from taleweave.llm.frames import join_on
 from taleweave.llm.scratch import written
 from taleweave.llm.tokens import default_path, encoder
 
-SUB_BUCKETS = 64
-WIDE = 48  # first items tried for fillings of three
-MAX_NODES = 400
+SUB_ROWS = 8192  # pieces in one sort
+MAX_NODES = 3000  # fillings taken by the search; its choice points hold some 16 KB each
 
+Filling = tuple[tuple[int, int], ...]  # ((length, how many), ...)
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...), times
 
 
@@ -47,6 +51,8 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int, id_col:
                     at, k, piece = at + k, capacity, piece + 1
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            del batch
+            kernels.give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -68,49 +74,65 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` by up to three lengths and then greedily, least waste first, fewer and larger items first."""
-    index = np.arange(room + 1)
-    below = np.maximum.accumulate(np.where(counts[: room + 1] > 0, index, 0))
-    below[0] = 0
-
-    def largest(limit: int, used: tuple[int, ...]) -> int:
-        x = int(below[limit]) if limit > 0 else 0
-        while x and counts[x] <= used.count(x):
-            x = int(below[x - 1])
-        return x
-
-    def full(items: tuple[int, ...]) -> tuple[int, ...]:
-        left = room - sum(items)
-        while left > 0 and (x := largest(left, items)):
-            items, left = (*items, x), left - x
-        return items
-
-    found = {full(())}
-    lens = np.flatnonzero(counts[: room + 1])
-    lens = lens[lens > 0]
-    if len(lens) and int(below[room]) != room:
-        total = lens + below[room - lens]
-        for a in lens[np.argsort(-total, kind="stable")[: 4 * most]].tolist():
-            found.add(full((a,)))
-        if min(room - sum(f) for f in found) > 0 and len(lens) > 1:
-            firsts = lens[np.unique(np.linspace(0, len(lens) - 1, min(WIDE, len(lens))).astype(int))]
-            left = room - firsts[:, None] - lens[None, :]
-            total = np.where(left >= 0, room - left + below[np.maximum(left, 0)], 0)
-            for at in np.argsort(-total, axis=None, kind="stable")[: 4 * most].tolist():
-                a, b = int(firsts[at // len(lens)]), int(lens[at % len(lens)])
-                if a + b <= room and (a != b or counts[a] > 1):
-                    found.add(full((a, b)))
-    ranked = sorted((tuple(sorted(f, reverse=True)) for f in found), key=lambda f: (room - sum(f), len(f), [-x for x in f]))
-    return list(dict.fromkeys(ranked))[:most]
-
-
-def _apply(counts: np.ndarray, items: tuple[int, ...]) -> Pattern:
-    own = tuple((x, items.count(x)) for x in dict.fromkeys(items))
-    times = min(int(counts[x]) // n for x, n in own)
-    for x, n in own:
-        counts[x] -= n * times
-    return own, times
+def _smeared(bits: int, width: int) -> int:
+    """All numbers from x to x + width, for every x of a set kept as bits."""
+    reach = 0
+    while reach < width:
+        step = min(reach + 1, width - reach)
+        bits |= bits << step
+        reach += step
+    return bits
+
+
+def is_dominated(filling: Filling, left: int, waste: int) -> bool:
+    """Whether some items of the filling fit into the place of one larger item that could be taken instead.
+
+    ``left`` has a bit for each length that the filling leaves over.  A filling
+    that can still take an item is dominated too.
+    """
+    one = more = 0  # sums of one item, and of several
+    for x, n in filling:
+        for _ in range(n):
+            more |= (more | one) << x
+            one |= 1 << x
+    if waste:
+        if _smeared(2, waste - 1) & left or _smeared(one << 1, waste - 1) & left:
+            return True
+    return bool(_smeared(more, waste) & left)
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int) -> Iterator[Filling]:
+    """All undominated fillings of ``room``, least waste first, larger items first; worked out as they are asked for."""
+    lens = [x for x in np.flatnonzero(counts[: room + 1]).tolist() if x]
+    many = [min(int(counts[x]), room // x) for x in lens]
+    reach, mask = [1], (1 << room + 1) - 1  # sums of the first k lengths, as bits
+    for x, n in zip(lens, many, strict=True):
+        bits, step = reach[-1], 1
+        while n:
+            step = min(step, n)
+            bits |= bits << x * step & mask
+            n, step = n - step, 2 * step
+        reach.append(bits)
+
+    def exact(k: int, total: int) -> Iterator[Filling]:
+        if not total:
+            yield ()
+            return
+        for i in range(min(k, bisect_right(lens, total)) - 1, -1, -1):
+            if not reach[i + 1] >> total & 1:
+                return
+            for n in range(min(many[i], total // lens[i]), 0, -1):
+                if reach[i] >> total - n * lens[i] & 1:
+                    for rest in exact(i, total - n * lens[i]):
+                        yield ((lens[i], n), *rest)
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            for found in exact(len(lens), room - waste):
+                used = dict(found)
+                left = sum(1 << x for x in lens if counts[x] > used.get(x, 0))
+                if not is_dominated(found, left, waste):
+                    yield found
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -145,44 +167,60 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def plan_bins(lengths: dict[int, int], capacity: int, max_nodes: int = MAX_NODES) -> list[Pattern]:
-    """Patterns of bins that hold every counted length."""
+    """Patterns of bins that hold every counted length.
+
+    The search takes choice points by the number of times that their path has
+    left the first filling, then the earliest first, and keeps all of them.
+    """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for x, n in lengths.items():
         counts[x] = n
     best = best_fit_decreasing(counts.copy(), capacity)
-    size = lambda plan: sum(t for _, t in plan)
+    fewest = sum(t for _, t in best)
     bound, total = lower_bound(counts, capacity), int((counts * np.arange(capacity + 1)).sum())
+    # (strayed, depth, number, lengths left, path of patterns, waste, bins, top, fillings still to be tried)
+    open_: list[tuple] = []
     nodes = 0
-    # depth first; a choice point keeps the state before it and the fillings not yet tried
-    stack: list[tuple[np.ndarray, list[Pattern], int, list[tuple[int, ...]]]] = []
-    now, plan, waste = counts.copy(), [], 0
-    while size(best) > bound:
-        filled = np.flatnonzero(now)
-        dead = waste > (size(best) - 1) * capacity - total
-        if not dead and len(filled):
-            top = int(filled[-1])
-            now[top] -= 1
-            options = [(top, *f) for f in fillings(now, capacity - top, 3)]
-            now[top] += 1
-            stack.append((now.copy(), list(plan), waste, options[1:]))
-            stack = stack[-64:]
-            choice = options[0]
-        else:
-            if not dead and size(plan) < size(best):
-                best = plan
-                if size(best) <= bound:
-                    break
+
+    def spare(waste: int) -> int:  # what further bins may waste if fewer bins than the best are to come out
+        return (fewest - 1) * capacity - total - waste
+
+    def choices(now: np.ndarray, waste: int) -> tuple[int, Iterator[Filling]]:
+        top = int(np.flatnonzero(now)[-1])
+        rest = now.copy()
+        rest[top] -= 1
+        return top, fillings(rest, capacity - top, spare(waste))
+
+    if fewest > bound and total:
+        heappush(open_, (0, 0, 0, counts, None, 0, 0, *choices(counts, 0)))
+    while open_ and nodes < max_nodes and fewest > bound:
+        strayed, depth, _, now, path, waste, bins, top, left = heappop(open_)
+        while nodes < max_nodes:
+            filling = next(left, None)
+            if filling is None:
+                break
             nodes += 1
-            while stack and not stack[-1][3]:
-                stack.pop()
-            if not stack or nodes > max_nodes:
+            heappush(open_, (strayed + 1, depth, nodes, now, path, waste, bins, top, left))
+            items: dict[int, int] = {top: 1}
+            for x, n in filling:
+                items[x] = items.get(x, 0) + n
+            lost = capacity - sum(x * n for x, n in items.items())
+            if lost > spare(waste):
+                break
+            times = min(int(now[x]) // n for x, n in items.items())
+            times = min(times, spare(waste) // lost) if lost else times
+            now = now.copy()
+            for x, n in items.items():
+                now[x] -= n * times
+            path, waste, bins, depth = (path, (tuple(items.items()), times)), waste + lost * times, bins + times, depth + 1
+            if not now.any():
+                if bins < fewest:
+                    fewest, best = bins, []
+                    while path:
+                        path, pattern = path
+                        best.append(pattern)
                 break
-            now, plan, waste, options = stack[-1]
-            choice = options.pop(0)
-            now, plan = now.copy(), list(plan)
-        pattern = _apply(now, choice)
-        plan = [*plan, pattern]
-        waste += pattern[1] * (capacity - sum(choice))
+            top, left = choices(now, waste)
     return best
 
 
@@ -211,7 +249,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer_path: str |
     """
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, capacity, tokenizer_path or default_path(), end_id, id_col, text_col), "pieces")
-    pieces = pieces.withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SUB_BUCKETS)))
+    n_subs = pieces.count() // SUB_ROWS + 1
+    pieces = pieces.withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_subs)))
     per_sub = pieces.groupBy("length", "sub").agg(F.count("*").alias("n"))
     counts = per_sub.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most ``capacity`` rows
     rows = plan_rows(plan_bins({r["length"]: r["n"] for r in counts}, capacity))

@@ -296,6 +296,72 @@ def test_bin_completion_is_no_worse_than_best_fit(n, low, high, capacity):
     assert packing.lower_bound(counts, capacity) <= sum(t for _, t in plan) <= len(free)
 
 
+def all_fillings(counts, room):
+    """Every multiset of counted lengths that fits."""
+    out = [()]
+    for x in sorted((x for x in range(1, room + 1) if counts[x]), reverse=True):
+        out = [f + (x,) * k for f in out for k in range(counts[x] + 1) if sum(f) + x * k <= room]
+    return out
+
+
+def dominates(a, b):
+    """b's items can be put into a's items as into bins."""
+    free = list(a)
+
+    def put(i):
+        if i == len(b):
+            return True
+        for k in range(len(free)):
+            if free[k] >= b[i]:
+                free[k] -= b[i]
+                if put(i + 1):
+                    return True
+                free[k] += b[i]
+        return False
+
+    return put(0)
+
+
+def test_fillings_are_the_undominated_ones():
+    for _ in range(60):
+        room = rng.randrange(5, 24)
+        counts = np.array([0] + [rng.choice([0, 0, 1, 2]) for _ in range(room)])
+        every = all_fillings(counts, room)
+        got = [tuple(x for x, n in f for _ in range(n)) for f in packing.fillings(counts, room, room)]
+        assert len(set(got)) == len(got) and [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+        # none left out but for a filling that has it in its items, by one exchange
+        for f in every:
+            swaps = [g for g in every if g != f and dominates(g, f) and len((Counter(g) - Counter(f))) <= 1 and sum((Counter(g) - Counter(f)).values()) == 1]
+            assert (f in got) == (not swaps), (counts, room, f, swaps)
+
+
+def fewest_bins(lengths, capacity):
+    """By trying every place for every item."""
+    best = [len(lengths)]
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(free)
+            return
+        for f in sorted(set(free)):
+            if f >= lengths[i]:
+                k = free.index(f)
+                place(i + 1, free[:k] + [f - lengths[i]] + free[k + 1 :])
+        place(i + 1, [*free, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_finds_the_fewest_bins():
+    for _ in range(40):
+        lengths = sorted((rng.randint(12, 60) for _ in range(rng.randrange(3, 11))), reverse=True)
+        plan = packing.plan_bins(Counter(lengths), 100)
+        assert sum(t for _, t in plan) == (fewest_bins(lengths, 100) if lengths else 0)
+
+
 def test_rotation(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "z"), (2, 0, "system", "only"), (None, 5, "ann", "q")]
     df = spark.createDataFrame([(*t, 0, "x") for t in turns], "conv_id long, turn long, role string, text string, position long, start string")
