@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
 from taleweave.llm.components import components
-from taleweave.llm.frames import join_on
+from taleweave.llm.frames import KEY, join_on, with_key
 from taleweave.llm.scratch import written
 from taleweave.llm.signature_tree import PER_CENT, LinkCounts, SignatureTree
 
@@ -53,7 +53,7 @@ def _fingerprint(tokens: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of every row; set_key null for an empty set."""
+    """(doc_id, n_shingles, set_key, KEY) of every row; set_key null for an empty set."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,9 +61,12 @@ def document_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) ->
             for _, tokens in kernels.shingle_sets(batch["text"], shingle):
                 sizes.append(len(tokens))
                 keys.append(_fingerprint(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *(batch[k] for k in KEY)], ["doc_id", "n_shingles", "set_key", *KEY])
+            del batch
+            kernels.give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(measure, "doc_id long, n_shingles long, set_key long")
+    rows = with_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(measure, f"doc_id long, n_shingles long, set_key long, {', '.join(f'{k} long' for k in KEY)}")
 
 
 def _send(n_ranges: int, n_buckets: int, shingle: int):
@@ -110,7 +113,11 @@ def _send(n_ranges: int, n_buckets: int, shingle: int):
                 if total >= CHUNK_TOKENS:
                     yield _rows(pack(tokens, keys))
                     tokens, keys, total = [], [], 0
+            del batch
+            kernels.give_back()
         yield _rows(pack(tokens, keys))
+        tokens, keys = [], []
+        kernels.give_back()
 
     return run
 
@@ -142,6 +149,7 @@ def _settle(n_ranges: int, n_buckets: int):
     """A hash range: which of its tokens belong to two classes or more."""
 
     def run(table: pa.Table) -> pa.Table:
+        kernels.give_back()  # what the group before has left
         part = table["part"].to_numpy()
         out = [table.filter(pa.array(part > 0))]
         mine = table.filter(pa.array(part == 0))
@@ -170,6 +178,7 @@ def _gather(per_cent: int):
     """A bucket of classes: their shared tokens, where they may suffice for a link."""
 
     def run(shared: pa.Table, sets: pa.Table) -> pa.Table:
+        kernels.give_back()
         out = {"rep": [], "n": [], "tokens": [], "hashes": []}
         known = dict(zip(sets["set_key"].to_pylist(), zip(sets["rep"].to_pylist(), sets["n"].to_pylist(), strict=True), strict=True))
         if shared.num_rows:
@@ -197,6 +206,7 @@ def _gather(per_cent: int):
 
 def _traverse(per_cent: int):
     def run(table: pa.Table) -> pa.Table:
+        kernels.give_back()
         table = table.sort_by([("rep", "ascending")])
         rep = table["rep"].to_numpy()
         tokens = [kernels.from_planes(b, 6) for b in table["tokens"].to_pylist()]
@@ -267,19 +277,22 @@ def _met(live: DataFrame, prefix: DataFrame, which: Column, per_cent: int, count
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, set_rep, and with ``count_links`` n_links.
+    """One row a document: doc_id, n_shingles, component_id, set_rep, with ``count_links`` n_links, set_key, the text's KEY, and stays.
 
     ``component_id`` is the smallest id reachable through links (Jaccard of
     shingle sets of at least ``per_cent`` %), itself included; ``set_rep`` is
     the smallest id with an equal set; ``n_links`` is the number of other rows
     that it is linked with, those with an equal set included.  A null or wordless text has no shingles
-    and is linked with nothing.  Repeated rows give repeated results.  A row
-    with a null id keeps it and is linked with nothing.  An empty table gives no rows.  Other columns
+    and is linked with nothing.  Repeated rows give repeated results, rows with
+    one id and different texts are documents of their own.  A row
+    with a null id keeps it and is linked with nothing.  ``stays`` marks the rows of the class that stands for a component.  An empty table gives no rows.  Other columns
     are ignored.
     """
     sets = written(document_sets(docs, shingle, id_col, text_col), "sets")
     known = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("docs")), "classes")
+    # a class goes by its fingerprint until the end: one id may have several texts
+    of_set = [F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.count("*").alias("docs")]
+    classes = written(known.groupBy("set_key").agg(*of_set).withColumn("rep", F.col("set_key")), "classes")
     total, n_classes = classes.agg(F.sum("n"), F.count("*")).first()
     n_ranges = max(32, -(-(total or 0) // RANGE_TOKENS))
     n_buckets = max(32, -(-n_classes // 4000))
@@ -303,15 +316,40 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     # tokens whose members are still in two components or more
     rest = _met(live, prefix, F.col("low") < F.col("high"), per_cent)
     final = components(rest.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rep", "docs", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("set_key", "rep", "docs", "first_id", F.coalesce("component", "rep").alias("label"))
     if count_links:
         counted = _met(live.join(classes.select("rep", "docs"), "rep"), prefix, F.col("count") > 1, per_cent, count=True)
         of_class = join_on(of_class, counted.groupBy("rep").agg(F.sum("links").alias("links")), ["rep"], "left")
         of_class = of_class.withColumn("n_links", F.col("docs") - 1 + F.coalesce("links", F.lit(0))).drop("links")
-    out = join_on(sets, of_class.drop("docs"), ["set_key"], "left")
-    own = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")] if count_links else []
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("rep", "doc_id").alias("set_rep"), *own)
-    return out
+    of_class = written(of_class, "of-class")
+    # the smallest id, and of its classes the one with the smallest fingerprint, stands for a component
+    chosen = of_class.groupBy("label").agg(F.min(F.struct("first_id", "rep")).alias("chosen"))
+    of_class = of_class.join(chosen, "label").withColumn("component_id", F.col("chosen.first_id")).withColumn("stays", F.col("chosen.rep") == F.col("rep"))
+    out = join_on(sets, of_class.drop("docs", "label", "rep", "chosen"), ["set_key"], "left")
+    has_id = F.col("doc_id").isNotNull()
+    own = [F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")] if count_links else []
+    stays = F.coalesce(~has_id | F.col("set_key").isNull() | F.col("stays") & (F.col("first_id") == F.col("doc_id")), F.lit(True)).alias("stays")
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("first_id", "doc_id")).alias("set_rep"), *own, "set_key", *KEY, stays)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) but for those near another: of each component one row of its smallest id stays.
+
+    Rows with a null id or a wordless text all stay.  Of rows with one id and
+    equal shingles one stays; different texts of one id are judged apart.
+    """
+    told = written(near_duplicate_components(docs, shingle, per_cent), "near-duplicates")
+    keyed = with_key(docs)
+    rest = join_on(keyed, told.where("NOT stays").select("doc_id", *KEY).distinct(), ["doc_id", *KEY], "left_anti")
+    # the rows that stand for a component under one id: one of them
+    shown = told.where("stays AND doc_id IS NOT NULL AND n_shingles > 0")
+    several = shown.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not several.isEmpty():
+        again = shown.join(several, "doc_id").select("doc_id", "set_key", *KEY).distinct()
+        rows = join_on(rest, again, ["doc_id", *KEY])
+        once = rows.groupBy("doc_id", "set_key").agg(F.min(F.struct(*KEY, *[c for c in docs.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
+        rest = join_on(rest, again.drop("set_key"), ["doc_id", *KEY], "left_anti").unionByName(once)
+    return rest.select(*docs.columns)
 
 
 def _prefixes(per_cent: int):

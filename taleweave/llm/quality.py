@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm import kernels
-from taleweave.llm.frames import join_on
+from taleweave.llm.frames import KEY, join_on, with_key
 from taleweave.llm.scratch import written
 
 # Frequent function words of written English, French, German and Spanish.
@@ -137,11 +137,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
                 n = len(out)
                 failed = (out[:, 0] < MIN_WORDS) | (100 * out[:, 4] > MAX_REPEATED * out[:, 0])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * N_BINS, N_BINS, dtype=np.int32)), pa.array(hist.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), batch["lang"].slice(at, n), *map(pa.array, out.T), pa.array(failed), lists], ["doc_id", "lang", *MEASURES, "base_failed", "bins"])
+                own = [batch[c].slice(at, n) for c in ("doc_id", "lang", *KEY)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, out.T), pa.array(failed), lists], ["doc_id", "lang", *KEY, *MEASURES, "base_failed", "bins"])
                 at += n
+            del batch
+            kernels.give_back()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, lang string, {', '.join(f'{m} long' for m in MEASURES)}, base_failed boolean, bins array<int>")
+    rows = with_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(run, f"doc_id long, lang string, {', '.join(f'{m} long' for m in (*KEY, *MEASURES))}, base_failed boolean, bins array<int>")
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -222,7 +225,14 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             failed = batch["base_failed"].to_numpy(zero_copy_only=False)
             kept = ~failed & ~(far[:, 0] > max_class) & ~(far[:, 1] > max_word)
             extra = [pa.array(kept), pa.array(far[:, 0], from_pandas=True), pa.array(far[:, 1], from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", *MEASURES, "base_failed")), *extra], ["doc_id", *MEASURES, "base_failed", "kept", "class_distance", "word_distance"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "lang", *KEY, *MEASURES, "base_failed")), *extra], ["doc_id", "lang", *KEY, *MEASURES, "base_failed", "kept", "class_distance", "word_distance"])
 
-    out = with_reference(rows, refs).mapInArrow(judge, f"doc_id long, {', '.join(f'{m} long' for m in MEASURES)}, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    out = with_reference(rows, refs).mapInArrow(judge, f"doc_id long, lang string, {', '.join(f'{m} long' for m in (*KEY, *MEASURES))}, base_failed boolean, kept boolean, class_distance double, word_distance double")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and others) that ``judge_documents`` keeps, each judged by its own text."""
+    judged = written(judge_documents(docs).where("NOT kept").select("doc_id", "lang", *KEY).distinct(), "rejected")
+    rows = with_key(docs).withColumn("judged_lang", F.coalesce("lang", F.lit("")))
+    return join_on(rows, judged.withColumnRenamed("lang", "judged_lang"), ["doc_id", "judged_lang", *KEY], "left_anti").select(*docs.columns)

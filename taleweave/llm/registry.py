@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taleweave.llm import ann, chat, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
+from taleweave.llm import ann, chat, frames, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_documents(table(spark, sf_dir, "documents"))
+    return quality.judge_documents(table(spark, sf_dir, "documents")).drop("lang", *frames.KEY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

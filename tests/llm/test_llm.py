@@ -621,3 +621,33 @@ def test_pipeline_stages(spark):
         taken[r.doc_id] += len(brute.words(r.text))
     assert all(taken[d] <= 3 * n for d, n in sizes.items()) and abs(sum(taken.values()) - sum(sizes.values())) <= 0.02 * sum(sizes.values())
     assert packed.agg(F.countDistinct("sequence_id")).first()[0] == -(-packed.agg(F.sum("length")).first()[0] // 2048)
+
+
+def test_pipeline_stages_judge_rows(spark, docs, none):
+    import corpus_pipeline
+
+    one = [prose(90) for _ in range(8)]
+    clean = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").where("lang = 'en' AND n_chars > 1000").orderBy("doc_id").collect():
+        if all(len(brute.shingles(r.text) & brute.shingles(t)) < 9 for t in clean):
+            clean.append(r.text)
+    assert len(clean) > 5
+    rows = [(None, clean[0]), (None, clean[1]), (None, "bad " * 100), (None, None), (7, clean[2]), (7, clean[3]), (7, clean[2]), (7, "bad " * 99), (8, clean[2]), (9, clean[4]), (9, clean[4]), (None, clean[4]), (10, clean[5]), (11, one[0])]
+    df = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t), "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __text_key string").repartition(3)
+    whole = [(r.doc_id, r.text) for r in corpus_pipeline.quality_rules(spark, df, SF).collect()]
+    assert Counter(whole) == Counter((d, t) for d, t in rows if t in clean or t == one[0] and (d, t) in whole)
+    alone = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert alone.columns == list(corpus_pipeline.COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in alone.collect())
+    want = Counter((d, t) for d, t in rows)
+    for gone in ((7, clean[2]), (8, clean[2]), (9, clean[4])):
+        want[gone] -= 1
+    assert got == +want
+    cut = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.repeated_substrings(spark, df, SF).collect())
+    assert all(cut[d, t, None if t is None else len(t)] >= 1 for d, t in rows if d is None) and sum(n for (d, _, _), n in cut.items() if d == 7) == 4 and not [k for k in cut if k[0] == 8]
+    mixed = corpus_pipeline.target_mix(spark, df, SF).collect()
+    assert {r.text for r in mixed} <= {t for _, t in rows} and sum(r.doc_id is None for r in mixed) == 4
+    packed = corpus_pipeline.packed_sequences(spark, df, SF)
+    assert packed.where("piece = 0").count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
