@@ -1,7 +1,10 @@
 """The corpus pipeline: five stages over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``.  Stages judge rows,
+not ids: rows with a null id, or several texts under one id, are documents of
+their own in every stage.  Null texts count as empty.  An empty table gives an
+empty table.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -10,36 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleweave.llm import jaccard, mixing, packing, quality, scratch, suffix_dedup
-from taleweave.llm.frames import join_on
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the distribution-divergence rules keep."""
-    rejected = quality.judge_documents(docs).where("NOT kept").select("doc_id").distinct()
-    return join_on(docs.select(*COLUMNS), rejected, ["doc_id"], "left_anti")
+    """Rows that the distribution-divergence rules keep; repeated rows go or stay together, null and empty texts go."""
+    return quality.kept_rows(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, once."""
-    groups = jaccard.near_duplicate_components(docs)
-    dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    once = docs.select(*COLUMNS).groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
-    return join_on(once.select("doc_id", "d.*"), dropped, ["doc_id"], "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row, of the smallest id; rows with a null id or without words all stay."""
+    return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 50 bytes that earlier ones hold; those with nothing left are dropped.
 
-    A cut inside a character takes the rest of that character with it.
+    A cut inside a character takes the rest of that character with it.  Rows
+    with a null id stay as they are, rows of one id are cut each by itself, and
+    a text that isn't cut stays as it is, null or empty ones too.
     """
-    cut = suffix_dedup.deduplicate_substrings(docs, with_text=True).where("n_removed > 0").select("doc_id", "kept")
+    cut = suffix_dedup.deduplicate_substrings(docs.select(*COLUMNS), with_text=True, keep=("text", "lang", "source", "n_chars"))
     # bytes of characters that were cut through don't decode and go
-    left = cut.groupBy("doc_id").agg(F.first("kept").alias("kept")).select("doc_id", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "").alias("rest"))
-    out = join_on(docs.select(*COLUMNS), left.withColumn("was_cut", F.lit(True)), ["doc_id"], "left")
-    text = F.when(F.col("was_cut"), F.col("rest")).otherwise(F.col("text"))
-    out = out.withColumn("text", text).where("was_cut IS NULL OR text <> ''")
+    rest = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    was_cut = F.col("n_removed") > 0
+    out = cut.select("doc_id", was_cut.alias("was_cut"), F.when(was_cut, rest).otherwise(F.col("text")).alias("text"), "lang", "source", "n_chars").where("NOT was_cut OR text <> ''")
     return out.withColumn("n_chars", F.when(F.col("was_cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -69,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch.dropping(spark) as kept:
+            docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
