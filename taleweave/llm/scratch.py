@@ -101,5 +101,6 @@ def forget_shuffles(spark: SparkSession) -> None:
     It does so when the driver's JVM collects them, which on an idle driver may
     be long after; between steps that each move the whole corpus that is a lot of disk.
     """
+    spark.range(1).count()  # the last query is known until another ends
     gc.collect()
     spark.sparkContext._jvm.System.gc()

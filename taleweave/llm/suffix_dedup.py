@@ -7,7 +7,9 @@ equal places, so only suffixes that start at anchors are sorted, one for some
 
 1. Tasks cut their texts into phrases and send the bytes of each to the range of
    its anchor.  Of equal phrases of a task's chunk one of the smallest document
-   goes; those of later documents are repeated, and known at once.
+   goes; those of later documents are repeated, and known at once.  A task
+   remembers phrases that came again, so a passage of a third of all documents
+   comes to its range some once a task.
 2. In each range the suffixes from the anchors on, and the reversed prefixes
    before them, are sorted deep-shallow.  With their common prefixes a set of
    equal windows is a run in both orders, and its smallest document stays.
@@ -37,23 +39,24 @@ U64 = np.uint64
 GRAM = 16
 WINDOW = 50
 SLICE = 1 << 18  # bytes of text cut into phrases at a time
-CHUNK_PHRASES = 1 << 17  # gathered in a task before they are sent
+CHUNK_PHRASES = 1 << 16  # gathered in a task before they are sent
+OFTEN = 1 << 15  # phrases a task remembers because they were repeated
 RANGE_PHRASES = 1 << 16  # of one range of anchors
 BUCKET_BYTES = 2 << 20  # text of one bucket of documents
 SPACING = 18  # bytes from one anchor to the next, on average
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window, last window, anchor and anchor hash of every phrase of a slice of texts."""
+def phrases(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Row, first window, last window, anchor, anchor hash and hash of the whole of every phrase of a slice of texts."""
     n = len(data)
     none = np.empty(0, np.int64)
     if n < window:
-        return none, none, none, none, np.empty(0, U64)
+        return none, none, none, none, np.empty(0, U64), np.empty(0, U64)
     span, grams = window - GRAM + 1, n - GRAM + 1
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * kernels.powers(kernels.BASE, n), out=sums[1:])
-    gram = kernels.mix((sums[GRAM:] - sums[:grams]) * kernels.powers(kernels.BASE_INVERSE, n + 1)[:grams])
-    del sums
+    undo = kernels.powers(kernels.BASE_INVERSE, n + 1)
+    gram = kernels.mix((sums[GRAM:] - sums[:grams]) * undo[:grams])
     least, place, reach = gram, np.arange(grams, dtype=np.int32), 1
     while reach < span:  # the leftmost least of ``reach`` grams, doubled up to the span
         step = min(reach, span - reach)
@@ -64,11 +67,13 @@ def phrases(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
     if not len(at):
-        return none, none, none, none, np.empty(0, U64)
+        return none, none, none, none, np.empty(0, U64), np.empty(0, U64)
     anchor = place[at].astype(np.int64)
     new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     low, high = at[new], at[np.append(new[1:], len(at)) - 1]
-    return row[low], low, high, anchor[new], gram[anchor[new]]
+    anchor = anchor[new]
+    whole = kernels.mix((sums[high + window] - sums[low]) * undo[low] + (high - low).astype(U64)) ^ (anchor - low).astype(U64)
+    return row[low], low, high, anchor, gram[anchor], whole
 
 
 def slices(column: pa.Array, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -96,6 +101,15 @@ def _undeltas(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, "<i8"))
 
 
+def _packed(raw: bytes) -> bytes:
+    """Compressed, after the number of bytes: Spark's own compression does little for them."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[4:], int.from_bytes(blob[:4], "little"), "zstd", asbytes=True)
+
+
 def _rows(rows) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(SENT)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT, strict=True)], schema=SENT)
@@ -132,7 +146,7 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int,
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         own = slice(cuts[b], cuts[b + 1])
-        yield b % n_ranges, 1 + b, _deltas(doc[own]), kernels.to_planes(start[own].astype(U64), PLACE), kernels.to_planes((end - start)[own].astype(U64), PLACE)
+        yield b % n_ranges, 1 + b, _packed(_deltas(doc[own])), _packed(kernels.to_planes(start[own].astype(U64), PLACE)), _packed(kernels.to_planes((end - start)[own].astype(U64), PLACE))
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -147,15 +161,15 @@ def text_place(raw: bytes) -> int:
 
 
 def _send(window: int, n_ranges: int, n_buckets: int, spread: bool):
-    def pack(parts: list[tuple]) -> Iterator[tuple]:
+    def pack(parts: list[tuple], often: list[tuple]) -> Iterator[tuple]:
+        """Rows of a chunk; ``often`` keeps the phrases that were met again and again in this task, and is brought up to date."""
         if not parts:
             return
-        doc, low, before, size, key = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:5])
-        flat = np.concatenate([p[5] for p in parts])
+        n_new = sum(len(p[0]) for p in parts)
+        doc, low, before, size, key, whole, flat = (np.concatenate(c) for c in zip(*parts, *often, strict=True))
+        old = np.arange(len(doc)) >= n_new
         base = np.cumsum(size) - size
         # equal phrases of this chunk: same hash, then the same bytes
-        sums = np.add.reduceat((flat.astype(U64) + U64(1)) * kernels.powers(kernels.BASE, window * 2)[np.arange(len(flat)) - np.repeat(base, size)], base)
-        whole = kernels.mix(sums) ^ (key + size.astype(U64) * U64(kernels.BASE) + before.astype(U64))
         order = np.lexsort((doc, whole))
         lead = np.append(True, whole[order][1:] != whole[order][:-1])
         head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
@@ -165,33 +179,37 @@ def _send(window: int, n_ranges: int, n_buckets: int, spread: bool):
             mine, theirs = order[later], head[later]
             same = _gathered(flat, base[mine], size[mine]) == _gathered(flat, base[theirs], size[theirs])
             known[mine] = np.logical_and.reduceat(same, np.cumsum(size[mine]) - size[mine])
+            kept, times = np.unique(theirs[known[mine]], return_counts=True)
+            kept = kept[np.argsort(-times, kind="stable")[:OFTEN]]
+            often[:] = [(doc[kept], low[kept], before[kept], size[kept], key[kept], whole[kept], _gathered(flat, base[kept], size[kept]))]
+            known &= ~old
             yield from _spans(doc[known], low[known], (low + size)[known], n_buckets, n_ranges)
         to = (((key >> U64(32)) * U64(n_ranges)) >> U64(32)).astype(np.int64)
         order = np.lexsort((low, doc, to))
-        order = order[~known[order]]
+        order = order[~(known | old)[order]]
         cuts = np.searchsorted(to[order], np.arange(n_ranges + 1))
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[r] : cuts[r + 1]]
             where = kernels.to_planes(low[own].astype(U64), PLACE) + before[own].astype(np.uint8).tobytes() + size[own].astype(np.uint8).tobytes()
-            yield r, 0, _deltas(doc[own]), where, pa.compress(_gathered(flat, base[own], size[own]).tobytes(), codec="zstd", asbytes=True)
+            yield r, 0, _packed(_deltas(doc[own])), _packed(where), _packed(_gathered(flat, base[own], size[own]).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, total = [], 0
+        parts, often, total = [], [], 0
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
             own = np.array([text_place(t.as_py()) for t in batch["text"].cast(pa.binary())], np.int64) if spread else np.zeros(len(ids), np.int64)
             for first, data, offsets, at in slices(batch["text"], window):
-                row, low, high, anchor, key = phrases(data, offsets, window)
+                row, low, high, anchor, key, whole = phrases(data, offsets, window)
                 if len(row):
                     size = high + window - low
-                    parts.append((ids[first + row], low - offsets[row] + at + own[first + row], anchor - low, size, key, _gathered(data, low, size)))
+                    parts.append((ids[first + row], low - offsets[row] + at + own[first + row], anchor - low, size, key, whole, _gathered(data, low, size)))
                     total += len(row)
                 if total >= CHUNK_PHRASES:
-                    yield _rows(pack(parts))
+                    yield _rows(pack(parts, often))
                     parts, total = [], 0
             del batch, ids
             kernels.give_back()
-        yield _rows(pack(parts))
+        yield _rows(pack(parts, often))
         parts = []
         kernels.give_back()
 
@@ -218,11 +236,11 @@ def repeated(doc: np.ndarray, low: np.ndarray, before: np.ndarray, size: np.ndar
     after = size - before - GRAM
     base = np.cumsum(size) - size
     left, right = np.zeros((len(doc), side), np.uint8), np.zeros((len(doc), side), np.uint8)
-    for j in range(side):
-        own = np.flatnonzero(before > j)
-        left[own, j] = flat[(base + before - 1 - j)[own]]
-        own = np.flatnonzero(after > j)
-        right[own, j] = flat[(base + before + GRAM + j)[own]]
+    for first in range(0, len(doc), 4096):
+        part = slice(first, first + 4096)
+        j, at = np.arange(side), (base + before)[part, None]
+        left[part] = np.where(j < before[part, None], flat[np.maximum(at - 1 - j, 0)], 0)
+        right[part] = np.where(j < after[part, None], flat[np.minimum(at + GRAM + j, len(flat) - 1)], 0)
     gram = flat[(base + before)[:, None] + np.arange(GRAM)[None, :]].view("<u8").astype(U64)
 
     def hashed(context: np.ndarray) -> np.ndarray:
@@ -289,16 +307,16 @@ def _settle(window: int, n_ranges: int, n_buckets: int):
         out = [table.filter(pa.array(part > 0))]
         mine = table.filter(pa.array(part == 0))
         if mine.num_rows:
-            doc = np.concatenate([_undeltas(x) for x in mine["docs"].to_pylist()])
-            low, before, size, flat = [], [], [], []
-            for where, raw in zip(mine["a"].to_pylist(), mine["b"].to_pylist(), strict=True):
-                n = len(where) // (PLACE + 2)
+            doc, low, before, size, flat = [], [], [], [], []
+            for docs, where, raw in zip(*(mine[c].to_pylist() for c in ("docs", "a", "b")), strict=True):
+                doc.append(_undeltas(_unpacked(docs)))
+                where, n = _unpacked(where), len(doc[-1])
                 low.append(kernels.from_planes(where[: PLACE * n], PLACE).astype(np.int64))
                 before.append(np.frombuffer(where, np.uint8, n, PLACE * n))
                 size.append(np.frombuffer(where, np.uint8, n, (PLACE + 1) * n))
-                flat.append(np.frombuffer(pa.decompress(raw, int(size[-1].sum(dtype=np.int64)), "zstd", asbytes=True), np.uint8))
+                flat.append(np.frombuffer(_unpacked(raw), np.uint8))
             del mine, table
-            low, before, size, flat = (np.concatenate(x) for x in (low, before, size, flat))
+            doc, low, before, size, flat = (np.concatenate(x) for x in (doc, low, before, size, flat))
             spans = repeated(doc, low, before.astype(np.int64), size.astype(np.int64), flat, window)
             if len(spans[0]):
                 out.append(pa.Table.from_batches([_rows(_spans(*spans, n_buckets, n_ranges))]))
@@ -314,7 +332,7 @@ CUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _cut(with_text: bool, keep: list[str], spread: bool):
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         kernels.give_back()
-        told = [[*map(_undeltas, spans["docs"].to_pylist())], *([kernels.from_planes(x, PLACE).astype(np.int64) for x in spans[c].to_pylist()] for c in ("a", "b"))]
+        told = [[_undeltas(_unpacked(x)) for x in spans["docs"].to_pylist()], *([kernels.from_planes(_unpacked(x), PLACE).astype(np.int64) for x in spans[c].to_pylist()] for c in ("a", "b"))]
         doc, start, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in told)
         order = np.lexsort((start, doc))
         doc, start, end = doc[order], start[order], (start + size)[order]
@@ -355,6 +373,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, in
     sent = known.mapInArrow(_send(window, n_ranges, n_buckets, spread), SENT_SQL)
     found = sent.groupBy("to").applyInArrow(_settle(window, n_ranges, n_buckets), SENT_SQL).where("part > 0")
     spans = written(found.select((F.col("part") - 1).alias("bucket"), "docs", "a", "b"), "spans")
+    del sent, found
     forget_shuffles(docs.sparkSession)
     return spans, n_buckets, spread
 
