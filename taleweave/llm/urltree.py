@@ -1,18 +1,24 @@
 """URL filter by path-template trees.
 
 Rules decide the URLs they fit.  For all others a tree of path templates is
-grown for every host, level by level: segments that are plainly variable
-(numbers, hexadecimal ids, dates) become wildcards at once, and siblings whose
-labelled share of blocked URLs does not differ significantly from that of their
-parent, or that have too few labels to tell, are merged into ``*``.  Where many
-siblings are tested the level of significance is shared among them, so chance
-alone splits no large fan-out.  Levels go on to the end of the deepest path.  A template's purity is its labelled share of blocked URLs,
-smoothed with the purity of its parent, the host's with the corpus's; templates
-at or over the threshold are rejected.  Labels are the verdicts of the rules and
-any further labels given.
+grown for every host, level by level.  Segments that are plainly variable
+(numbers, hexadecimal ids, dates) become wildcards at once.  Siblings are put in
+order of their labelled share of blocked URLs; neighbours whose shares don't
+differ significantly are merged, so a branch is compared with its siblings, and
+segments that are rare on their host make one branch.  A section that stands
+alone keeps its name; merged ones are called ``*``, with a number where there are
+several such groups.  Where many are tested the level of significance is shared
+among them, so chance alone splits no large fan-out.
+
+What a host's own labels don't tell is taken from the same path on all hosts: a
+branch's share is smoothed with the share of its path everywhere, and that with
+the share of the branch above it.  So templates of hosts without labels have
+purities of their own.  Templates at or over the threshold are rejected.  Labels
+are the verdicts of the rules and any further labels given.
 
 Everything is a DataFrame plan over aggregated templates; a host with a third
-of all rows collapses before it meets in a join.
+of all rows collapses before it meets in a join, and siblings meet as at most
+``BINS`` sums.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from taleweave.llm.scratch import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MANY_CHILDREN = 20  # with more children to test, their number divides the level of significance
-LEAST_LABELS = 5  # fewer can't tell a branch from its siblings
+LEAST_LABELS, LEAST_URLS = 5, 5  # segments with fewer of both make one branch
+BINS = 256  # of shares, in which siblings are compared
 Z_LIMIT = 1.96
 PRIOR_WEIGHT = 4.0
 REJECT_AT = 0.75
@@ -75,35 +82,73 @@ def z_limit(tested: Column) -> Column:
     return F.when(tested > MANY_CHILDREN, strict).otherwise(F.lit(Z_LIMIT))
 
 
-def grow(urls: DataFrame) -> DataFrame:
-    """(host, segments, n, labelled, blocked), one row each, to the same with ``template`` and ``purity``."""
-    whole = urls.agg(F.sum("labelled"), F.sum("blocked"), F.max(F.size("segments"))).first()
+def _merged(bins: Column, z: Column) -> Column:
+    """[(bin, group)] of the bins (share, bin, blocked, labelled) of one parent, in order: a bin that doesn't differ from the group before joins it."""
+    start = F.struct(F.lit(-1).alias("group"), F.lit(0.0).alias("blocked"), F.lit(0.0).alias("labelled"), F.array().cast("array<struct<bin:int,group:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, b = acc["labelled"] + x["labelled"], acc["blocked"] + x["blocked"]
+        pooled = b / n
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / acc["labelled"] + 1 / x["labelled"]))
+        differs = (acc["group"] < 0) | (F.abs(acc["blocked"] / acc["labelled"] - x["blocked"] / x["labelled"]) >= z * spread) & (spread > 0)
+        group = F.when(differs, acc["group"] + 1).otherwise(acc["group"])
+        out = F.concat(acc["out"], F.array(F.struct(x["bin"].alias("bin"), group.alias("group"))))
+        return F.struct(group.alias("group"), F.when(differs, x["blocked"]).otherwise(b).alias("blocked"), F.when(differs, x["labelled"]).otherwise(n).alias("labelled"), out.alias("out"))
+
+    return F.aggregate(bins, start, step, lambda acc: acc["out"])
+
+
+def grow(urls: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(host, segments, n, labelled, blocked), one row each, to the same with ``template`` and ``purity``.
+
+    Levels go on until paths end or a template holds a single path; ``max_depth`` may stop them earlier.
+    """
+    whole = urls.agg(F.sum("labelled"), F.sum("blocked")).first()
     base = (whole[1] or 0) / whole[0] if whole[0] else 0.0
-    smoothed = lambda prior: (F.col("blocked_sum") + PRIOR_WEIGHT * prior) / (F.col("labelled_sum") + PRIOR_WEIGHT)
-    sums = [F.sum(c).alias(f"{c}_sum") for c in ("labelled", "blocked")]
-    hosts = urls.groupBy("host").agg(*sums).select("host", smoothed(F.lit(base)).alias("purity"))
-    rows = written(join_on(urls, hosts, ["host"]).withColumn("template", F.lit("")), "templates-0")
-    done = []
-    for level in range(1, (whole[2] or 0) + 1):
-        done.append(rows.where(F.size("segments") < level))
-        # only paths that go on
-        here = rows.where(F.size("segments") >= level).withColumn("segment", F.get("segments", F.lit(level - 1)))
-        children = here.groupBy("host", "template", "segment").agg(*sums, F.first("purity").alias("above"))
-        tested = F.count(F.when(F.col("labelled_sum") >= LEAST_LABELS, 1)).alias("tested")
-        parents = children.groupBy("host", "template").agg(tested, *[F.sum(f"{c}_sum").alias(f"parent_{c}") for c in ("labelled", "blocked")])
-        known = join_on(children, parents, ["host", "template"])
-        pooled = F.col("parent_blocked") / F.col("parent_labelled")
-        spread = F.sqrt(pooled * (1 - pooled) / F.col("labelled_sum"))
-        z = F.abs(F.col("blocked_sum") / F.col("labelled_sum") - pooled) / spread
-        alike = F.when(F.col("labelled_sum") < LEAST_LABELS, True).when(spread == 0, True).otherwise(z < z_limit(F.col("tested")))
-        branches = known.withColumn("branch", F.when(alike, F.lit("*")).otherwise(F.col("segment")))
-        rates = branches.groupBy("host", "template", "branch").agg(F.sum("blocked_sum").alias("blocked_sum"), F.sum("labelled_sum").alias("labelled_sum"), F.first("above").alias("above"))
-        rates = rates.select("host", "template", "branch", smoothed(F.col("above")).alias("rate"))
-        chosen = join_on(branches.select("host", "template", "segment", "branch"), rates, ["host", "template", "branch"])
-        rows = join_on(here, chosen, ["host", "template", "segment"])
+    smoothed = lambda blocked, labelled, prior: (blocked + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)
+    sums = [F.sum(c).alias(f"{c}_sum") for c in ("n", "labelled", "blocked")]
+    hosts = urls.groupBy("host").agg(*sums).select("host", smoothed(F.col("blocked_sum"), F.col("labelled_sum"), F.lit(base)).alias("purity"))
+    rows = join_on(urls, hosts, ["host"]).withColumn("template", F.lit("")).withColumn("paths", F.lit(2).cast("long"))
+    rows = written(rows, "templates-0")
+    done, level = [], 0
+    while True:
+        level += 1
+        # only paths that go on, and of templates with several
+        goes_on = (F.size("segments") >= level) & (F.col("paths") > 1)
+        rest = F.array_join(F.slice("segments", level, F.greatest(F.size("segments") - (level - 1), F.lit(0))), "/")
+        single = (F.size("segments") >= level) & (F.col("paths") == 1)
+        done.append(rows.where(~goes_on).withColumn("template", F.when(single, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template"))))
+        if level > (max_depth or 1 << 30) or rows.where(goes_on).isEmpty():
+            done.append(rows.where(goes_on))
+            return reduce(DataFrame.unionByName, done).drop("paths")
+        here = rows.where(goes_on).withColumn("segment", F.get("segments", F.lit(level - 1))).withColumn("prefix", F.array_join(F.slice("segments", 1, level), "/"))
+        everywhere = here.groupBy("prefix").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        children = here.groupBy("host", "template", "prefix", "segment").agg(*sums, F.first("purity").alias("above"))
+        children = join_on(children, everywhere, ["prefix"])
+        children = children.withColumn("prior", smoothed(F.col("all_blocked"), F.col("all_labelled"), F.col("above")))
+        children = children.withColumn("b", F.col("blocked_sum") + PRIOR_WEIGHT * F.col("prior")).withColumn("l", F.col("labelled_sum") + PRIOR_WEIGHT)
+        rare = (F.col("n_sum") < LEAST_URLS) & (F.col("labelled_sum") < LEAST_LABELS)
+        children = children.withColumn("bin", F.when(rare, -1).otherwise(F.floor(F.col("b") / F.col("l") * (BINS - 1))).cast("int"))
+        children = written(children, f"children-{level}")
+        # several segments of one bin are one sibling; the bins of a parent are at most BINS + 1
+        sib = children.groupBy("host", "template", "bin").agg(F.sum("b").alias("blocked"), F.sum("l").alias("labelled"))
+        bins = F.array_sort(F.collect_list(F.struct((F.col("blocked") / F.col("labelled")).alias("share"), "bin", "blocked", "labelled")))
+        groups = sib.groupBy("host", "template").agg(bins.alias("bins"))
+        groups = groups.select("host", "template", F.explode(_merged(F.col("bins"), z_limit(F.size("bins").cast("double")))).alias("g")).select("host", "template", "g.bin", "g.group")
+        told = join_on(children, groups, ["host", "template", "bin"])
+        # the prior of a merged branch weighs its segments by their URLs; templates of labels alone have none
+        weight = F.col("n_sum") + F.lit(0.001)
+        rates = told.groupBy("host", "template", "group").agg(F.sum("labelled_sum").alias("labelled"), F.sum("blocked_sum").alias("blocked"), (F.sum(F.col("prior") * weight) / F.sum(weight)).alias("prior"), (F.min("segment") != F.max("segment")).alias("merged"), F.min("segment").alias("one"))
+        many = rates.groupBy("host", "template").agg(F.sum(F.col("merged").cast("int")).alias("many"))
+        star = F.when(F.col("many") > 1, F.concat(F.lit("*"), F.col("group").cast("string"))).otherwise(F.lit("*"))
+        rates = join_on(rates, many, ["host", "template"]).withColumn("branch", F.when(F.col("merged"), star).otherwise(F.col("one")))
+        rates = rates.select("host", "template", "group", "branch", smoothed(F.col("blocked"), F.col("labelled"), F.col("prior")).alias("rate"))
+        chosen = join_on(told.select("host", "template", "segment", "prefix", "group"), rates, ["host", "template", "group"]).drop("group")
+        rows = join_on(here.drop("paths"), chosen, ["host", "template", "segment", "prefix"])
         rows = rows.withColumn("template", F.concat("template", F.lit("/"), "branch")).withColumn("purity", F.col("rate"))
-        rows = written(rows.drop("segment", "branch", "rate"), f"templates-{level}")
-    return reduce(DataFrame.unionByName, done, rows)
+        rows = written(rows.drop("segment", "prefix", "branch", "rate"), f"templates-{level}")
+        paths = rows.groupBy("host", "template").agg(F.count("*").alias("paths"))
+        rows = written(join_on(rows, paths, ["host", "template"]), f"paths-{level}")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

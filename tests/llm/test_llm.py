@@ -496,10 +496,104 @@ def test_templates_keep_even_sections_and_deep_paths(spark):
     labels = spark.createDataFrame([(u, b) for i, u, b in rows if i % 100 < 20], "url string, blocked int")
     out = {r.page_id: r for r in urltree.filter_urls(spark.createDataFrame(rows, "page_id long, url string, truth int"), [], labels).collect()}
     assert len(out) == len(rows) and all(out[i].verdict == ("block" if b else "allow") for i, _, b in rows)
-    assert out[7000].template == "/sha/*" and out[1000].template == "/*/*"
+    assert out[7000].template == "/sha/<n>" and out[1000].template == "/*/<n>"
     assert out[90000].template.split("/")[8] == "good" and out[90100].template.split("/")[8] == "bad" and out[90100].template.count("/") == 10
 
 
+def test_templates_learn_from_other_hosts(spark):
+    kinds = {"shop": 1, "news": 0, "wiki": 0}
+    known = [(1000 * h + 100 * k + i, f"http://h{h}.com/{s}/{i}/p", b) for h in range(6) for k, (s, b) in enumerate(kinds.items()) for i in range(20)]
+    new = [(100000 + 100 * k + i, f"http://new.net/{s}/{i}/p", b) for k, (s, b) in enumerate(kinds.items()) for i in range(20)]
+    lone = [(200000, "http://new.net/odd/1", 0), (200001, "http://other.net/shop/" + "x/" * 300, 1), (200002, "http://other.net/news/3", 0)]
+    rows = known + new + lone
+    labels = spark.createDataFrame([(u, b) for _, u, b in known], "url string, blocked int")
+    out = {r.page_id: r for r in urltree.filter_urls(spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string"), [], labels).collect()}
+    assert all(out[i].verdict == ("block" if b else "allow") for i, _, b in known + new) and len({round(out[i].purity, 3) for i, _, _ in new}) >= 2
+    assert out[100000].template == "/shop/<n>/p" and out[100100].template.startswith("/*/") and out[200000].verdict == "allow"
+
+
+def tree_by_hand(rows):
+    """(template, purity) of each row (host, segments, labelled, blocked), one recursion a host and level, as the docstring tells it."""
+    from statistics import NormalDist
+
+    w, base = urltree.PRIOR_WEIGHT, sum(b for *_, b in rows) / max(1, sum(lab for _, _, lab, _ in rows))
+    pooled = defaultdict(lambda: [0, 0])
+
+    def split(host, own, level, template, above, out):
+        single = level > 1 and len({tuple(rows[i][1]) for i in own}) < 2
+        for i in own:
+            out[i] = ("/".join([template, *rows[i][1][level - 1 :]]) if single else template, above)
+        go = [i for i in own if len(rows[i][1]) >= level]
+        if single or not go:
+            return
+        kids = defaultdict(list)
+        for i in go:
+            kids[tuple(rows[i][1][:level])].append(i)
+        bins, told = defaultdict(lambda: [0.0, 0.0]), {}
+        for p, k in kids.items():
+            lab, blk = sum(rows[i][2] for i in k), sum(rows[i][3] for i in k)
+            prior = (pooled[p][1] + w * above) / (pooled[p][0] + w)
+            b, n = blk + w * prior, lab + w
+            rare = len(k) < urltree.LEAST_URLS and lab < urltree.LEAST_LABELS
+            told[p] = (-1 if rare else int(b / n * (urltree.BINS - 1)), lab, blk, prior, len(k))
+            bins[told[p][0]][0] += b
+            bins[told[p][0]][1] += n
+        z = 1.96 if len(bins) <= 20 else NormalDist().inv_cdf(1 - 0.025 / len(bins))
+        group, g, cb, cn = {}, -1, 0.0, 0.0
+        for _, name, b, n in sorted((b / n, name, b, n) for name, (b, n) in bins.items()):
+            if g >= 0:
+                p = (cb + b) / (cn + n)
+                spread = (p * (1 - p) * (1 / cn + 1 / n)) ** 0.5
+            if g < 0 or spread > 0 and abs(cb / cn - b / n) >= z * spread:
+                g, cb, cn = g + 1, 0.0, 0.0
+            cb, cn = cb + b, cn + n
+            group[name] = g
+        members = defaultdict(list)
+        for p in kids:
+            members[group[told[p][0]]].append(p)
+        many = sum(len({p[-1] for p in m}) > 1 for m in members.values())
+        for g, m in members.items():
+            lab, blk = sum(told[p][1] for p in m), sum(told[p][2] for p in m)
+            weight = [told[p][4] + 0.001 for p in m]
+            prior = sum(told[p][3] * x for p, x in zip(m, weight, strict=True)) / sum(weight)
+            name = m[0][-1] if len({p[-1] for p in m}) == 1 else f"*{g}" if many > 1 else "*"
+            below.append((host, [i for p in m for i in kids[p]], level + 1, f"{template}/{name}", (blk + w * prior) / (lab + w)))
+
+    out, todo = {}, []
+    for host in {r[0] for r in rows}:
+        own = [i for i, r in enumerate(rows) if r[0] == host]
+        todo.append((host, own, 1, "", (sum(rows[i][3] for i in own) + w * base) / (sum(rows[i][2] for i in own) + w)))
+    while todo:  # a level at a time: the same path on all hosts counts where it still goes on
+        pooled.clear()
+        for _, own, level, _, _ in todo:
+            if level == 1 or len({tuple(rows[i][1]) for i in own}) > 1:
+                for i in own:
+                    if len(rows[i][1]) >= level:
+                        pooled[tuple(rows[i][1][:level])][0] += rows[i][2]
+                        pooled[tuple(rows[i][1][:level])][1] += rows[i][3]
+        below = []
+        for args in todo:
+            split(*args, out)
+        todo = below
+    return out
+
+
+def test_trees_match_a_plain_version(spark):
+    rows = []
+    for i in range(900):
+        a, b = rng.choice("aaabbcdefghij"), rng.choice("xxxyyzuvw")
+        path = [a, b, rng.choice("pq")][: rng.randrange(4)]
+        labelled = int(rng.random() < 0.5)
+        rows.append((f"h{rng.randrange(4)}", path, labelled, int(labelled and rng.random() < {"a": 0.9, "b": 0.1}.get(a, 0.5) * (1 if b == "x" else 0.6))))
+    df = spark.createDataFrame(rows, "host string, segments array<string>, labelled long, blocked long")
+    urls = df.groupBy("host", "segments").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    got = {(r.host, tuple(r.segments)): (r.template, r.purity) for r in urltree.grow(urls).collect()}
+    want = tree_by_hand(rows)
+    assert len({t for t, _ in want.values()}) > 12
+    for i, (template, purity) in want.items():
+        t, p = got[rows[i][0], tuple(rows[i][1])]
+        assert t == template and abs(p - purity) < 1e-9, (rows[i], t, template, p, purity)
+
 def test_z_limit_is_the_quantile(spark):
     from statistics import NormalDist
 
