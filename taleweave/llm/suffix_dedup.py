@@ -229,36 +229,53 @@ def _shared(doc: np.ndarray, key: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return out
 
 
+PART = 4096  # phrases whose surroundings are laid out at a time
+
+
+def _around(base: np.ndarray, before: np.ndarray, after: np.ndarray, flat: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes before the anchors (nearest first) and after them, zero where the phrase ends, and the anchors as two numbers."""
+    j, at = np.arange(side, dtype=np.int32), (base + before)[:, None]
+    left = np.where(j < before[:, None], flat[np.maximum(at - 1 - j, 0)], 0)
+    right = np.where(j < after[:, None], flat[np.minimum(at + GRAM + j, len(flat) - 1)], 0)
+    return left, right, flat[at + np.arange(GRAM, dtype=np.int32)].view("<u8").astype(U64)
+
+
+def _half_hashes(left: np.ndarray, right: np.ndarray, gram: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors with ``half`` bytes before, and after, them."""
+    out = []
+    for context in (left, right):
+        words = np.zeros((len(context), -(-half // 8) * 8), np.uint8)
+        words[:, :half] = context[:, :half]
+        h = gram[:, 0] * U64(kernels.BASE) + gram[:, 1]
+        for w in words.view("<u8").T:
+            h = kernels.mix(h * U64(kernels.BASE) + w)
+        out.append(h)
+    return tuple(out)
+
+
 def repeated(doc: np.ndarray, low: np.ndarray, before: np.ndarray, size: np.ndarray, flat: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of the windows of phrases whose bytes also occur in an earlier document's phrase."""
     side = window - GRAM
     half = side // 2
+    base = np.cumsum(size, dtype=np.int64) - size
     after = size - before - GRAM
-    base = np.cumsum(size) - size
-    left, right = np.zeros((len(doc), side), np.uint8), np.zeros((len(doc), side), np.uint8)
-    for first in range(0, len(doc), 4096):
-        part = slice(first, first + 4096)
-        j, at = np.arange(side), (base + before)[part, None]
-        left[part] = np.where(j < before[part, None], flat[np.maximum(at - 1 - j, 0)], 0)
-        right[part] = np.where(j < after[part, None], flat[np.minimum(at + GRAM + j, len(flat) - 1)], 0)
-    gram = flat[(base + before)[:, None] + np.arange(GRAM)[None, :]].view("<u8").astype(U64)
-
-    def hashed(context: np.ndarray) -> np.ndarray:
-        words = np.zeros((len(doc), -(-half // 8) * 8), np.uint8)
-        words[:, :half] = context[:, :half]
-        out = gram[:, 0] * U64(kernels.BASE) + gram[:, 1]
-        for w in words.view("<u8").T:
-            out = kernels.mix(out * U64(kernels.BASE) + w)
-        return out
-
     # a window holds half of the bytes around its anchor on one side at least
-    may = _shared(doc, hashed(left), before >= half) | _shared(doc, hashed(right), after >= half)
-    rows = np.flatnonzero(may)
-    doc, low, before, size, left, right, gram = (x[rows] for x in (doc, low, before, size, left, right, gram))
-    after = size - before - GRAM
+    hashes = np.empty((2, len(doc)), U64)
+    for first in range(0, len(doc), PART):
+        own = slice(first, first + PART)
+        hashes[:, own] = _half_hashes(*_around(base[own], before[own], after[own], flat, side), half)
+    rows = np.flatnonzero(_shared(doc, hashes[0], before >= half) | _shared(doc, hashes[1], after >= half))
+    del hashes
     none = np.empty(0, np.int64)
     if len(rows) < 2:
         return none, none, none
+    left, right, gram = np.empty((len(rows), side), np.uint8), np.empty((len(rows), side), np.uint8), np.empty((len(rows), 2), U64)
+    for first in range(0, len(rows), PART):
+        own = rows[first : first + PART]
+        to = slice(first, first + PART)
+        left[to], right[to], gram[to] = _around(base[own], before[own], after[own], flat, side)
+    del flat, base, after
+    doc, low, before, size = doc[rows], low[rows], before[rows].astype(np.int64), size[rows].astype(np.int64)
     order = np.lexsort((gram[:, 1], gram[:, 0]))
     g = gram[order]
     group = np.empty(len(rows), np.int64)
@@ -317,7 +334,8 @@ def _settle(window: int, n_ranges: int, n_buckets: int):
                 flat.append(np.frombuffer(_unpacked(raw), np.uint8))
             del mine, table
             doc, low, before, size, flat = (np.concatenate(x) for x in (doc, low, before, size, flat))
-            spans = repeated(doc, low, before.astype(np.int64), size.astype(np.int64), flat, window)
+            spans = repeated(doc, low, before.astype(np.int32), size.astype(np.int32), flat, window)
+            del doc, low, before, size, flat
             if len(spans[0]):
                 out.append(pa.Table.from_batches([_rows(_spans(*spans, n_buckets, n_ranges))]))
         return pa.concat_tables([t.cast(SENT) for t in out])
