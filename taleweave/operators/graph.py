@@ -9,10 +9,12 @@ plan stays as long as one level.
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taleweave.functions.ordinals import with_ord
 from taleweave.functions.scalars import edge_key
 from taleweave.operators.view import ViewState, relation_open
 
@@ -25,6 +27,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not configured:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             if not _OWN:
                 _OWN.append(tempfile.mkdtemp(prefix="taleweave-graph-"))
             configured = _OWN[0]
@@ -40,11 +44,11 @@ def adjacency(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     return there.unionByName(ok.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), "ord"))
 
 
-def neighborhood(seeds: DataFrame, adj: DataFrame, depth: int) -> DataFrame:
-    """(id, depth) of all nodes within ``depth`` hops of any seed; unknown seeds are kept."""
+def neighborhood(seeds: DataFrame, adj: DataFrame, depth: int | None) -> DataFrame:
+    """(id, depth) of all nodes within ``depth`` hops of any seed, or of all that can be reached; unknown seeds are kept."""
     seen = cut_lineage(seeds.select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         frontier = cut_lineage(frontier.join(adj, frontier["id"] == adj["at"]).select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
@@ -60,12 +64,12 @@ def edges_within(members: DataFrame, rels: DataFrame, state: ViewState) -> DataF
     return ok.select(edge_key(F.col("src"), F.col("dst")).alias("pair")).distinct()
 
 
-def distances(start: str, adj: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(id, dist) of all nodes that ``start`` reaches."""
+def distances(start: str, adj: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, dist) of all nodes that ``start`` reaches, within ``most`` hops if that is given."""
     return neighborhood(nodes.where(F.col("id") == start), adj, most).withColumnRenamed("depth", "dist")
 
 
-def shortest_path(start: str, goal: str, adj: DataFrame, most: int = 64) -> DataFrame | None:
+def shortest_path(start: str, goal: str, adj: DataFrame) -> DataFrame | None:
     """(step, src, dst, ord): the path a first-in-first-out search finds; empty if the ends are one, None if there is none.
 
     Nodes of a level are found in the order (rank of the parent, relation), which
@@ -77,19 +81,19 @@ def shortest_path(start: str, goal: str, adj: DataFrame, most: int = 64) -> Data
     frontier = cut_lineage(spark.createDataFrame([(start, 0, None, None)], "id string, rank long, parent string, ord long"))
     levels = [frontier]
     seen = frontier.select("id")
-    for _ in range(most):
+    while True:
         reached = frontier.join(adj, frontier["id"] == adj["at"]).select(adj["to"].alias("id"), "rank", F.col("at").alias("parent"), adj["ord"])
         reached = reached.join(seen, "id", "left_anti")
         first = reached.groupBy("id").agg(F.min(F.struct("rank", "ord", "parent")).alias("f"))
-        frontier = cut_lineage(first.select("id", F.row_number().over(Window.orderBy("f.rank", "f.ord")).cast("long").alias("rank"), "f.parent", "f.ord"))
+        # ranks in parts of the parents' ranks: no level is sorted in one task
+        ranked = with_ord(first.select("id", F.col("f.rank").alias("above"), "f.parent", "f.ord"), F.floor(F.col("above") / 1024), ["above", "ord"], "rank")
+        frontier = cut_lineage(ranked.select("id", "rank", "parent", "ord"))
         if frontier.isEmpty():
             return None
         levels.append(frontier)
         seen = seen.unionByName(frontier.select("id"))
         if not frontier.where(F.col("id") == goal).isEmpty():
             break
-    else:
-        return None
     rows, at = [], goal
     for step in range(len(levels) - 1, 0, -1):  # one row a level
         r = levels[step].where(F.col("id") == at).first()

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.operators.graph import cut_lineage
 
-MAX_GENERATIONS = 12
 # Parent types and the ladders of kinship terms, by generation gap.
 PARENT_TYPE = r"^(亲生)?(父|母)(子|女)$|^养(父|母)(子|女)$"
 UP = ("", "祖", "曾祖", "高祖", "天祖", "烈祖")
 DOWN = ("", "孙", "曾孙", "玄孙", "来孙", "晜孙")
 BRACKET_TAIL = r"[（(].*$"
-#: Kind of kin by wording; the first that fits wins.
+# Kinds of kin by wording, in order; the first whose words occur decides, and no kind means no kin.
 KIN_WORDS = (
-    ("sworn", "结义|结拜|金兰|义兄|义弟"),
-    ("adoptive", "养父|养母|养子|养女|收养|义父|义子"),
-    ("step", "继父|继母|继子|继女"),
-    ("inlaw", "岳父|岳母|女婿|儿媳|婆媳|翁婿|妯娌|连襟|姻亲|姑嫂"),
-    ("foster", "乳母|奶妈|寄养"),
-    ("marriage", "夫妻|夫妇|妻|妾|夫君|婚|未婚"),
-    (None, "师徒|君臣|主仆|朋友|同僚|敌"),
-    ("blood", "父|母|子|女|兄|弟|姐|妹|祖|孙|叔|伯|姑|舅|姨|侄|甥|堂|表"),
+    ("sworn", "义[父母子女儿兄姐弟妹叔伯侄甥姑姨舅祖同]|情同|干[亲爹娘兄弟姐弟儿女]|结义|结拜|拜把|把兄弟|教[父母]|教子|教女|盟兄弟"),
+    ("adoptive", "收养|抱养|过继|^养[^大育]"),
+    ("step", "继[父母子女儿兄姐弟妹]|后妈|后爹|晚娘|晚爹|填房"),
+    ("inlaw", "岳[父母]|公公|婆婆|婆媳|孙媳|儿媳|儿媳妇|女婿|姑爷|嫂|姐夫|妹夫|弟媳|妯娌|连襟|亲家|内[兄弟]|舅子|妻[舅弟兄姐妹]|国舅|姻亲"),
+    ("foster", "抚养|带大|养大|养育|寄养|乳母|奶妈"),
+    ("marriage", "夫妻|配偶|丈夫|妻子|妾|姨太太"),
+    (None, "保姆|帮佣|佣人|房东|房客|租客|雇主|信使|使者|囚徒|囚犯|同学|同窗|同舍|同门|同砚|同僚|座师|门生|朋友|挚友|战友|同乡|医生|病人|酒鬼|神父|牧师|校长|老师|学生|上司|下属|对手|政敌|情敌|仇敌|熟人|忘年交|邻居|日常|试探|陷害|决斗|亡灵|幽灵|交情|相遇|意外|犯罪|罪人|同事"),
+    ("blood", "父|母|子|女|兄|弟|姐|妹|孙|外公|外婆|叔|伯|姑|姨|舅|甥|侄|堂亲|表亲|孪生|双胞胎|家人|本家|长辈|后辈|血脉"),
 )
+#: Of these a betrothal is none, whatever words it is made of.
+NOT_IF = {"marriage": "未婚"}
+# Terms that stand for blood alone, and what counts as no kin given.
+BLOOD_TERM = "^(父子|父女|母子|母女|兄弟|姐妹|兄妹|姐弟|祖孙|曾祖孙|叔侄|舅甥|姨甥|姑侄|表兄弟|表兄妹|堂兄弟|堂兄妹|孪生兄弟|孪生姐妹)"
+NO_KIN = ("空", "无", "none", "null", "-", "否", "")
+LEGAL_KIN = ("blood", "marriage", "inlaw", "adoptive", "foster", "step", "sworn")
 
 
 def is_parent_child(kind: Column) -> Column:
@@ -33,31 +40,37 @@ def is_parent_child(kind: Column) -> Column:
 def guess_kin(kind: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, words in reversed(KIN_WORDS):
-        out = F.when(kind.rlike(words), F.lit(name).cast("string")).otherwise(out)
+        fits = kind.rlike(words)
+        if name in NOT_IF:
+            fits = fits & ~kind.rlike(NOT_IF[name])
+        out = F.when(fits, F.lit(name).cast("string")).otherwise(out)
     return out
 
 
 def check_kin(kind: Column, kin: Column) -> Column:
-    """Array of findings: an illegal kin, a missing one, or one that the wording contradicts."""
-    legal = ("blood", "marriage", "inlaw", "adoptive", "foster", "step", "sworn")
-    given = F.when(~F.lower(kin).isin("空", "无", "none", "null", "-", "否", ""), kin)
+    """Array of findings: an illegal kin (then no other); a missing one; a blood term under another kin; blood that the wording doesn't show; a wording of another kin."""
+    kind = F.coalesce(kind, F.lit(""))
+    given = F.trim(F.coalesce(kin, F.lit("")))
+    given = F.when(~F.lower(given).isin(*NO_KIN), given)
     guess = guess_kin(kind)
+    legal = given.isin(*LEGAL_KIN)
     return F.array_compact(
         F.array(
-            F.when(given.isNotNull() & ~given.isin(*legal), F.lit("illegal")),
+            F.when(given.isNotNull() & ~legal, F.lit("illegal")),
             F.when(given.isNull() & guess.isNotNull(), F.lit("missing")),
-            F.when((guess == "blood") & given.isin(*legal) & (given != "blood"), F.lit("blood term")),
-            F.when((guess != "blood") & given.isin(*legal) & (given != guess), F.lit("mismatch")),
+            F.when(legal & (given != "blood") & kind.rlike(BLOOD_TERM), F.lit("blood term")),
+            F.when((given == "blood") & guess.isNull(), F.lit("blood unseen")),
+            F.when(legal & (guess != given), F.lit("mismatch")),
         )
     )
 
 
-def closure(parents: DataFrame, most: int = MAX_GENERATIONS) -> DataFrame:
-    """(node, ancestor, dist): all ancestors with their least distance, one generation a step."""
+def closure(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, dist): all ancestors with their least distance, one generation a step until there are no more."""
     edges = cut_lineage(parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
     seen = edges.withColumn("dist", F.lit(1))
     frontier = seen
-    for level in range(2, most + 1):
+    for level in count(2):
         up = edges.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
         frontier = frontier.join(up, "ancestor").select("node", F.col("above").alias("ancestor")).distinct().join(seen, ["node", "ancestor"], "left_anti").withColumn("dist", F.lit(level))
         frontier = cut_lineage(frontier)
@@ -113,7 +126,7 @@ def cycle_nodes(parents: DataFrame) -> DataFrame:
         if kept.count() == rest.count():
             break
         rest = kept
-    return closure(rest, 64).where("node = ancestor").select("node").distinct()
+    return closure(rest).where("node = ancestor").select("node").distinct()
 
 
 def birth_order(siblings: DataFrame) -> DataFrame:

@@ -12,14 +12,36 @@ def effective_segment(history: Column, ch: Column | None, fallback: Column, fiel
     return F.coalesce(F.get(begun, F.size(begun) - 1)[field], F.get(history, F.lit(0))[field], fallback)
 
 
+LEVELS = range(32)  # a range of chapters is cut into blocks of 1, 2, 4 ... chapters
+
+
+def blocks_of_range(low: Column, high: Column) -> Column:
+    """The fewest aligned blocks (level, index) that make up the chapters from ``low`` to ``high``: at most two a level."""
+    out = []
+    for k in LEVELS:
+        width = F.lit(1 << k).cast("long")
+        first, last = F.ceil(low / width), F.floor((high + 1) / width) - 1
+        block = lambda i, k=k: F.struct(F.lit(k).alias("level"), i.cast("long").alias("at"))
+        out.append(F.when((first <= last) & (F.pmod(first, F.lit(2)) == 1), block(first)))
+        out.append(F.when((first <= last) & (F.pmod(last, F.lit(2)) == 0), block(last)))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def blocks_of_chapter(ch: Column) -> Column:
+    """All aligned blocks that hold a chapter."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(ch / (1 << k)).cast("long").alias("at")) for k in LEVELS])
+
+
 def assign_phases(events: DataFrame, phases: DataFrame) -> DataFrame:
-    """Each event with the first phase, in order, whose range holds its chapter; phases are few and known by range."""
-    p = phases.select("phase", F.col("ord").alias("phase_ord"), "from_ch", "to_ch")
-    hit = (F.col("ch") >= F.col("from_ch")) & (F.col("ch") <= F.col("to_ch"))
-    found = events.join(F.broadcast(p.limit(10_000)), hit, "left")
-    first = F.min(F.struct("phase_ord", "phase")).alias("p")
-    keys = events.columns
-    return found.groupBy(*keys).agg(first).select(*keys, "p.phase")
+    """Each event with the first phase, in order, whose range holds its chapter.
+
+    Chapters and ranges meet on equality of aligned blocks, so phases may be
+    many and long; only distinct chapters take part.
+    """
+    p = phases.where("from_ch <= to_ch").select("phase", F.col("ord").alias("phase_ord"), F.explode(blocks_of_range(F.col("from_ch"), F.col("to_ch"))).alias("block"))
+    chapters = events.select("ch").where("ch IS NOT NULL").distinct().select("ch", F.explode(blocks_of_chapter(F.col("ch"))).alias("block"))
+    of = chapters.join(p, "block").groupBy("ch").agg(F.min(F.struct("phase_ord", "phase"))["phase"].alias("phase"))
+    return events.join(of, "ch", "left").select(*events.columns, "phase")
 
 
 def phase_table(events: DataFrame, rels: DataFrame, phases: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions.scalars import BLANK, base_name
+from taleweave.operators.matching import occurring, stands_alone
 
 
 def norm_name(name: Column) -> Column:
@@ -49,11 +50,12 @@ def resolve_names(asked: DataFrame, forms: DataFrame) -> DataFrame:
 def search(chars: DataFrame, asked: DataFrame, visible: Column, hidden: Column, locked: Column) -> DataFrame:
     """First hit of each asked text by bucket (visible, hidden tier, locked) and data order; names that contain the text.
 
-    Asked texts are a given few; they meet the names in a broadcast join.
+    Asked texts meet the names on equality of character grams.
     """
     bucket = F.when(locked, 3).when(hidden, 2).when(visible, 1)
     c = chars.withColumn("bucket", bucket).where("bucket IS NOT NULL")
-    hits = c.join(F.broadcast(asked.limit(1000)), F.contains(F.lower("name"), F.lower("asked")))
+    low = asked.select("asked", F.lower("asked").alias("form"))
+    hits = occurring(c.withColumn("text", F.lower("name")), low).join(low, "form")
     return hits.groupBy("asked").agg(F.min(F.struct("bucket", "ord", "id")).alias("m")).select("asked", "m.bucket", "m.id")
 
 
@@ -68,20 +70,22 @@ def demote(chars: DataFrame, k: int) -> DataFrame:
 
 
 def link_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(text_id, id): texts that hold a name as a word of its own.
+    """(text_id, id): texts that hold a name, in scripts without blanks too.
 
-    Texts are split into words once and meet names on equality, so no text is
-    held against all names.  Names that two share are dropped; names hold no blanks.
+    A name counts where it isn't a part of a longer dotted name.  Names that two
+    entries share, and those of one character, are dropped.
     """
-    unique = names.groupBy("name").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).where((F.col("n") == 1) & (F.char_length("name") >= 2))
-    words = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("name"))
-    return words.join(unique.select("name", "id"), "name").select("text_id", "id").distinct()
+    trimmed = names.select(F.trim("name").alias("form"), "id").where(F.char_length("form") >= 2)
+    unique = trimmed.groupBy("form").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
+    hit = occurring(texts.select("text_id", "text"), unique).where(stands_alone(F.col("text"), F.col("form")))
+    return hit.join(unique, "form").select("text_id", "id").distinct()
 
 
 def variants(names: DataFrame, pairs: DataFrame) -> DataFrame:
     """(name, variant): each name and, for each pair, the name with its first occurrence swapped either way."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    swapped = names.join(F.broadcast(both.limit(10_000)), F.contains("name", "a"))
+    hit = occurring(names.select("name", F.col("name").alias("text")), both.select(F.col("a").alias("form")))
+    swapped = hit.join(both, hit["form"] == both["a"])
     at = F.instr(F.col("name"), F.col("a"))
     other = F.overlay(F.col("name"), F.col("b"), at, F.char_length("a"))
     return names.select("name", F.col("name").alias("variant")).unionByName(swapped.select("name", other.alias("variant"))).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions.scalars import BLANK, occurrences
+from taleweave.operators.matching import occurring, stands_alone
 
 NEAR = 90  # characters between a candidate and a known name
 HEAD = 40  # characters by which a quote is located
@@ -21,8 +22,8 @@ def flat(text: Column) -> Column:
 
 
 def form_counts(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """(form, n_texts, n): occurrences of a given few forms in all texts."""
-    hit = texts.join(F.broadcast(forms.limit(1000)), F.contains("text", "form"))
+    """(form, n_texts, n): occurrences of the forms in all texts."""
+    hit = occurring(texts.select("text_id", "text"), forms)
     return hit.groupBy("form").agg(F.count("*").alias("n_texts"), F.sum(occurrences(F.col("text"), F.col("form"))).alias("n"))
 
 
@@ -37,6 +38,12 @@ def first_occurrences(texts: DataFrame, names: DataFrame, pattern: str) -> DataF
     return tokens.join(names.select("name").distinct(), "name").groupBy("name").agg(F.min("text_id").alias("first"))
 
 
+def first_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, first): the first text, by number, that holds the name, in scripts without blanks too; not as a part of a longer dotted name."""
+    hit = occurring(texts.select("text_id", "text"), names.select(F.col("name").alias("form")))
+    return hit.where(stands_alone(F.col("text"), F.col("form"))).groupBy(F.col("form").alias("name")).agg(F.min("text_id").alias("first"))
+
+
 def audit_first(firsts: DataFrame, claimed: DataFrame, slack: int, ledger: DataFrame) -> DataFrame:
     """Claims later than the first occurrence by more than ``slack``, less those a ledger has settled."""
     late = claimed.join(firsts, "name").where(F.col("claimed") - F.col("first") > slack)
@@ -44,23 +51,36 @@ def audit_first(firsts: DataFrame, claimed: DataFrame, slack: int, ledger: DataF
 
 
 def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(quote_id, n_texts, first_text, n_whole): texts that hold the head of a quote, and the whole of it.
+    """(quote_id, n_texts, first_text, n_whole): texts that hold the head of a quote, and the whole of it, blanks aside.
 
-    Texts and quotes meet on equality of a shared word run, not each with each:
-    the first three words of the head, of which any text with the head has them
-    in a row.
+    Texts and quotes meet on equality of character grams, so quotes of any
+    script and length are found; a quote of blanks alone is not.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\s]+"), F.lit(0))
-    q = quotes.select("quote_id", "quote", F.substring("quote", 1, HEAD).alias("head")).withColumn("w", words(F.col("head")))
-    # the head may start and end inside words, so the key is its second to fourth word
-    q = q.where(F.size("w") >= 5).withColumn("key", F.array_join(F.slice("w", 2, 3), " "))
-    w = texts.select("text_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    runs = w.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice(F.col("w"), i, 3), " ")))).alias("key"))
-    meet = runs.join(q.select("key").distinct(), "key", "left_semi").join(q, "key").select("text_id", "quote_id", "quote", "head").distinct()
-    found = meet.join(texts, "text_id").where(F.contains("text", "head"))
+    q = quotes.select("quote_id", flat(F.col("quote")).alias("quote")).withColumn("head", F.substring("quote", 1, HEAD))
+    hit = occurring(texts.select("text_id", flat(F.col("text")).alias("text")), q.select(F.col("head").alias("form")))
+    found = hit.join(q, hit["form"] == q["head"])
     return found.groupBy("quote_id").agg(F.count("*").alias("n_texts"), F.min("text_id").alias("first_text"), F.count_if(F.contains("text", "quote")).alias("n_whole"))
 
 
+# Signs before a quoted run that turn its meaning.
+NEGATIONS = "不非未无莫勿没毋弗"
+TAIL = r"[，。！？；、,.!?;:：…—\s　]+$"
+
+
+def quote_class(quote: Column, spans: Column, found: Column) -> Column:
+    """``unlocated``, ``quote`` (a whole quoted span of the source), ``negated`` (a part of one, after a negation), ``partial`` (another part) or ``epithet`` (in no span).
+
+    ``spans`` are the source's quoted spans in order; the first that holds the quote decides between the parts.
+    """
+    bare = lambda c: F.regexp_replace(c, TAIL, "")
+    q = bare(quote)
+    inside = F.get(F.filter(F.transform(spans, bare), lambda s: F.contains(s, q)), F.lit(0))
+    before = F.substring(inside, F.instr(inside, q) - 1, F.lit(1))
+    part = F.when((F.instr(inside, q) > 1) & F.contains(F.lit(NEGATIONS), before), "negated").otherwise("partial")
+    whole = F.exists(spans, lambda s: bare(s) == q)
+    return F.when(q == "", "partial").when(~found, "unlocated").when(whole, "quote").when(inside.isNotNull(), part).otherwise("epithet")
+
+
 def gap_candidates(texts: DataFrame, pattern: str, known: DataFrame, least: int, ledger: DataFrame) -> DataFrame:
     """(word, n): tokens of a pattern that occur ``least`` times, are no known name and aren't settled."""
     tokens = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word"))

@@ -53,11 +53,11 @@ def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_within(graph.neighborhood(_seeds(spark, "s1"), adj, 3), rels, STATE)
 
 
-@query(f"""WITH {ADJ_SQL}, hop AS (SELECT 's1' AS id, 0 AS d UNION SELECT nxt, d + 1 FROM hop JOIN adj ON here = id WHERE d < 6)
+@query(f"""WITH {ADJ_SQL}, hop AS (SELECT 's1' AS id, 0 AS d UNION SELECT nxt, d + 1 FROM hop JOIN adj ON here = id WHERE d < 12)
 SELECT id, CAST(min(d) AS INT) AS dist FROM hop GROUP BY id""", recursive=True)
 def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _, adj = _adj(spark, sf_dir)
-    return graph.distances("s1", adj, nodes, most=6)
+    return graph.distances("s1", adj, nodes)
 
 
 @query()

@@ -77,7 +77,7 @@ def kin_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.where("dist > 1").select("a", "b", F.lit("direct").alias("kind")).unionByName(side)
 
 
-TYPES = ("父子", "养母女", "结义兄弟", "岳父女婿", "夫妻", "师徒", "堂兄弟", "乳母", "继母子", "盟友", "父子（养）")
+TYPES = ("父子", "养母女", "结义兄弟", "岳父女婿", "夫妻", "师徒", "堂兄弟", "乳母", "继姐妹", "盟友", "父子（养）", "未婚夫妻", "妻妹", "保姆", "养育之恩", "恩义", "师父")
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TYPED_SQL = f"typed AS (SELECT p_partkey, ({list(TYPES)})[p_partkey % {len(TYPES)} + 1] AS type, (['blood', NULL, 'sworn', 'friend', 'marriage', '-'])[p_partkey % 6 + 1] AS kin FROM part)"
-GUESS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(type, '{w}') THEN {repr(k) if k else 'NULL'}" for k, w in kin.KIN_WORDS) + " END"
+GUESS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(type, '{w}') THEN {repr(k) if k else 'NULL'}" for k, w in kin.KIN_WORDS).replace(f"regexp_matches(type, '{dict(kin.KIN_WORDS)['marriage']}')", f"regexp_matches(type, '{dict(kin.KIN_WORDS)['marriage']}') AND NOT regexp_matches(type, '{kin.NOT_IF['marriage']}')") + " END"
 
 
 @query(f"WITH {TYPED_SQL} SELECT type, {GUESS_SQL} AS kin, regexp_matches(regexp_replace(type, '[（(].*$', ''), '{kin.PARENT_TYPE}') AS parent_child, count(*) AS n FROM typed GROUP BY ALL")
@@ -97,10 +97,11 @@ def kin_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).groupBy("type", kin.guess_kin(F.col("type")).alias("kin"), kin.is_parent_child(F.col("type")).alias("parent_child")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {TYPED_SQL}, g AS (SELECT p_partkey, CASE WHEN kin NOT IN ('-') THEN kin END AS kin, {GUESS_SQL} AS guess FROM typed),
+@query(f"""WITH {TYPED_SQL}, g AS (SELECT p_partkey, type, CASE WHEN kin NOT IN ('-') THEN kin END AS kin, {GUESS_SQL} AS guess FROM typed),
 f AS (SELECT p_partkey, 'illegal' AS finding FROM g WHERE kin = 'friend' UNION ALL SELECT p_partkey, 'missing' FROM g WHERE kin IS NULL AND guess IS NOT NULL
- UNION ALL SELECT p_partkey, 'blood term' FROM g WHERE guess = 'blood' AND kin IN ('sworn', 'marriage')
- UNION ALL SELECT p_partkey, 'mismatch' FROM g WHERE guess <> 'blood' AND kin IN ('blood', 'sworn', 'marriage') AND kin <> guess)
+ UNION ALL SELECT p_partkey, 'blood term' FROM g WHERE kin IN ('sworn', 'marriage') AND regexp_matches(type, '{kin.BLOOD_TERM}')
+ UNION ALL SELECT p_partkey, 'blood unseen' FROM g WHERE kin = 'blood' AND guess IS NULL
+ UNION ALL SELECT p_partkey, 'mismatch' FROM g WHERE kin IN ('blood', 'sworn', 'marriage') AND kin <> guess)
 SELECT * FROM f""")
 def kin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _typed(spark, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from taleweave.operators import resolve, view
 from taleweave.operators.view import ViewState
 from taleweave.plans.base import query
+from taleweave.plans.text_queries import benchmark_names
 from taleweave.plans.view_queries import DEGREE_SQL, LAST, book
 from taleweave.sources import bridge
 
@@ -84,13 +85,10 @@ def demote_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.demote(view.degrees(rels, nodes), 1).select("id", "tier")
 
 
-NAMES = ("the", "and", "elle", "der", "que", "license", "ertion")
-
-
-@query(f"""WITH n AS (SELECT unnest({list(NAMES)}) AS name), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS name FROM documents)
-SELECT doc_id AS text_id, 'n_' || name AS id FROM w JOIN n USING (name)""")
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name FROM benchmark)
+SELECT doc_id AS text_id, 'n_' || name AS id FROM documents JOIN n ON regexp_matches(text, '(^|[^·])' || name || '($|[^·（]|（($|[^第]))')""")
 def mention_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n, f"n_{n}") for n in NAMES], "name string, id string")
+    names = benchmark_names(spark, sf_dir).withColumn("id", F.concat(F.lit("n_"), "name"))
     return resolve.link_mentions(bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"), names)
 
 

@@ -34,6 +34,11 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select(textmine.leak_of(F.col("text")).alias("leak")).where("leak IS NOT NULL").groupBy("leak").agg(F.count("*").alias("n"))
 
 
+def benchmark_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bridge.table(spark, sf_dir, "benchmark")
+    return b.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("name")).distinct()
+
+
 FORMS = ("the", "and ", "License", "que", "zzz")
 
 
@@ -43,14 +48,21 @@ def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.form_counts(_texts(spark, sf_dir), spark.createDataFrame([(f,) for f in FORMS], "form string"))
 
 
-@query("""SELECT item_id AS quote_id, count(*) AS n_texts, min(doc_id) AS first_text, count(*) FILTER (WHERE contains(d.text, b.text)) AS n_whole
-FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))
-WHERE len(regexp_extract_all(substr(b.text, 1, 40), '[^\\s]+')) >= 5 GROUP BY item_id""")
+@query("""WITH q AS (SELECT item_id, regexp_replace(text, '[\\s　 ]+', '', 'g') AS t FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '[\\s　 ]+', '', 'g') AS t FROM documents)
+SELECT item_id AS quote_id, count(*) AS n_texts, min(doc_id) AS first_text, count(*) FILTER (WHERE contains(d.t, q.t)) AS n_whole
+FROM q JOIN d ON contains(d.t, substr(q.t, 1, 40)) WHERE q.t <> '' GROUP BY item_id""")
 def quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = bridge.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return textmine.locate_quotes(q, _texts(spark, sf_dir))
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS name FROM benchmark)
+SELECT name, min(doc_id) AS first FROM n JOIN documents ON regexp_matches(text, '(^|[^·])' || name || '($|[^·（]|（($|[^第]))') GROUP BY name""")
+def first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capitalised words of the benchmark as names, found inside longer words too."""
+    return textmine.first_mentions(_texts(spark, sf_dir), benchmark_names(spark, sf_dir))
+
+
 WORD = "[a-z]{6,}"
 
 

@@ -150,6 +150,68 @@ def test_cycles(spark):
     assert {r.node for r in kin.cycle_nodes(df).collect()} == {"a", "b", "c"}
 
 
+def test_long_chains_and_cycles_are_closed(spark):
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(20)], "parent string, child string")
+    assert kin.closure(chain).agg(F.max("dist")).first()[0] == 20
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 15}") for i in range(15)], "parent string, child string")
+    assert kin.cycle_nodes(ring).count() == 15
+
+
+# worked out from the rule by hand: the first kind whose words occur, no kin for a betrothal or for words of other ties
+@pytest.mark.parametrize("kind,want", [("父子", "blood"), ("未婚夫妻", "blood"), ("未婚", None), ("妻妹", "inlaw"), ("继姐妹", "step"), ("保姆", None), ("养母女", "adoptive"), ("养育", "foster"), ("抚养", "foster"), ("恩义", None), ("义兄", "sworn"), ("教父", "sworn"), ("神父", None), ("夫妻", "marriage"), ("国舅", "inlaw"), ("", None)])
+def test_kin_by_wording(spark, kind, want):
+    want = None if kind == "未婚夫妻" else want
+    assert one(spark, kin.guess_kin(F.lit(kind))) == want
+
+
+@pytest.mark.parametrize("kind,given,want", [("父子", "sworn", ["blood term", "mismatch"]), ("舅甥", "inlaw", ["blood term", "mismatch"]), ("盟友", "blood", ["blood unseen"]), ("夫妻", None, ["missing"]), ("夫妻", " 无 ", ["missing"]), ("夫妻", "friend", ["illegal"]), ("岳父", "marriage", ["mismatch"]), ("养父子", "adoptive", []), (None, None, [])])
+def test_kin_findings(spark, kind, given, want):
+    assert one(spark, kin.check_kin(F.lit(kind).cast("string"), F.lit(given).cast("string"))) == want
+
+
+TEXTS = [(1, "刘备与关羽、张飞结义。"), (2, "何塞·阿尔卡蒂奥来了"), (3, "阿尔卡蒂奥（第二）走了"), (4, "关羽斩颜良，他说：「非关某之能也」。"), (5, None), (6, "")]
+
+
+def test_names_in_unspaced_text(spark):
+    texts = spark.createDataFrame(TEXTS, "text_id long, text string")
+    names = spark.createDataFrame([("关羽", "a"), ("阿尔卡蒂奥", "b"), ("张飞", "c"), ("颜良", "d"), ("颜良", "e"), ("备", "f")], "name string, id string")
+    assert sorted(map(tuple, resolve.link_mentions(texts, names).collect())) == [(1, "a"), (1, "c"), (4, "a")]
+    firsts = textmine.first_mentions(texts, names)
+    assert {r.name: r["first"] for r in firsts.collect()} == {"关羽": 1, "张飞": 1, "颜良": 4, "备": 1}
+    many = spark.createDataFrame([(f"form{i}",) for i in range(1500)] + [("关羽",)], "form string")
+    got = textmine.form_counts(spark.createDataFrame([(1, "关羽关羽 form1499 form1499"), (2, "关羽")], "text_id long, text string"), many).collect()
+    assert {r.form: (r.n_texts, r.n) for r in got} == {"关羽": (2, 3), "form1499": (1, 2), "form149": (1, 2), "form14": (1, 2), "form1": (1, 2)}
+
+
+def test_quotes_in_unspaced_text(spark):
+    texts = spark.createDataFrame(TEXTS, "text_id long, text string")
+    quotes = spark.createDataFrame([(1, "关羽、 张飞结义"), (2, "刘备大笑"), (3, " ")], "quote_id long, quote string")
+    assert [tuple(r) for r in textmine.locate_quotes(quotes, texts).collect()] == [(1, 1, 1, 1)]
+    spans = F.array(F.lit("非关某之能也。"), F.lit("吾弟张翼德，万人敌也"))
+    for quote, found, want in (("非关某之能也", True, "quote"), ("关某之能也", True, "negated"), ("张翼德", True, "partial"), ("万人屠", False, "unlocated"), ("美髯公", True, "epithet")):
+        assert one(spark, textmine.quote_class(F.lit(quote), spans, F.lit(found))) == want
+
+
+def test_phases_by_blocks(spark):
+    rng = random.Random(8)
+    phases = [(f"p{i}", i, a, a + rng.randrange(0, 3000)) for i in range(300) for a in [rng.randrange(-50, 5000)]] + [("all", 999, 0, 2**30), ("none", 0, 9, 3)]
+    chapters = [rng.randrange(-100, 9000) for _ in range(200)] + [None, 2**30, 2**31 - 1]
+    df = spark.createDataFrame(list(enumerate(chapters)), "ord long, ch int")
+    got = {r.ord: r.phase for r in periods.assign_phases(df, spark.createDataFrame(phases, "phase string, ord int, from_ch int, to_ch int")).collect()}
+    for i, ch in enumerate(chapters):
+        want = min(((o, p) for p, o, a, b in phases if ch is not None and a <= ch <= b), default=(0, None))[1]
+        assert got[i] == want
+
+
+def test_asked_and_pairs_may_be_many(spark):
+    chars = spark.createDataFrame([("a", "Name 1200", 1), ("b", "other", 2)], "id string, name string, ord long")
+    asked = spark.createDataFrame([(f"NAME {i}",) for i in range(1300)], "asked string")
+    got = resolve.search(chars, asked, F.lit(True), F.lit(False), F.lit(False)).collect()
+    assert {r.asked for r in got} == {"NAME 1200", "NAME 120", "NAME 12", "NAME 1"}
+    pairs = spark.createDataFrame([(f"x{i}y", f"z{i}y") for i in range(6000)] + [("other", "another")], "a string, b string")
+    assert {r.variant for r in resolve.variants(chars.select("name"), pairs).collect()} == {"Name 1200", "other", "another"}
+
+
 def test_merge_and_remap(spark):
     chars = spark.createDataFrame([("a", "Li Bai", "f", 1, 3), ("b", "li·bai", "f", 2, 5), ("c", "Du", "f", 3, 1), ("d", "Du", "g", 4, 1)], "id string, name string, faction string, ord long, degree long")
     mapping = resolve.merge_map(chars)
