@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 GRAMS = (1, 2, 4, 8, 16)
 
 
-def grams(text: Column, size: Column | int) -> Column:
-    """All distinct runs of ``size`` characters."""
-    chars = F.split(text, "")
-    last = F.char_length(text) - size + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(chars, i, size), ""))))
+def grams(text: Column, size: int) -> Column:
+    """All distinct runs of ``size`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def occurring(texts: DataFrame, forms: DataFrame) -> DataFrame:

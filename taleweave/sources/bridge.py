@@ -20,8 +20,8 @@ def chapter(date: Column) -> Column:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, src, dst, type, style, kin, ch, from_ch, to_ch, derived: large line items as edges from customer to supplier."""
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+    """ord, src, dst, type, style, kin, ch, from_ch, to_ch, derived: line items as edges from customer to supplier."""
+    items = table(spark, sf_dir, "lineitem")
     joined = items.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     rows = with_ord(joined, F.floor(F.col("l_orderkey") / 65536), keys)
@@ -99,7 +99,7 @@ rels AS (
          CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS from_ch,
          CASE WHEN o_orderstatus = 'F' THEN CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) + 12 AS INT) END AS to_ch,
          l_linenumber = 7 AS derived
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 first_chs AS (
   SELECT id, min(ch) AS first_ch FROM (SELECT src AS id, ch FROM rels WHERE NOT derived UNION ALL SELECT dst, ch FROM rels WHERE NOT derived) GROUP BY id),
 chars AS (
