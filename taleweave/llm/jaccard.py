@@ -40,9 +40,10 @@ from taleweave.llm.scratch import written
 from taleweave.llm.signature_tree import PER_CENT, LinkCounts, SignatureTree
 
 U64 = np.uint64
-CHUNK_TOKENS = 1 << 20  # shingles gathered in a task before they are sent
-RANGE_TOKENS = 1 << 21  # shingles of one hash range
+CHUNK_TOKENS = 1 << 19  # shingles gathered in a task before they are sent
+RANGE_TOKENS = 1 << 19  # shingles of one hash range
 MIN_HASHES = 3
+BUCKET_SETS = 1000  # classes that get their tokens back in one task's group
 BLOCK = 3000  # sets in one block of a large group
 CLUSTER = 16 * BLOCK  # sets that are compared as pairs of blocks
 
@@ -295,7 +296,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     classes = written(known.groupBy("set_key").agg(*of_set).withColumn("rep", F.col("set_key")), "classes")
     total, n_classes = classes.agg(F.sum("n"), F.count("*")).first()
     n_ranges = max(32, -(-(total or 0) // RANGE_TOKENS))
-    n_buckets = max(32, -(-n_classes // 4000))
+    n_buckets = max(32, -(-n_classes // BUCKET_SETS))
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
     sent = texts.mapInArrow(_send(n_ranges, n_buckets, shingle), SENT_SQL)
