@@ -132,3 +132,89 @@ def cycle_nodes(parents: DataFrame) -> DataFrame:
 def birth_order(siblings: DataFrame) -> DataFrame:
     """Rank of each child among its parent's children."""
     return siblings.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy("rank", "child")).cast("int"))
+
+
+# Words of side lines.  Elder's, by the gap less one, for the sexes of the connecting ancestor and of the elder; {} is the order of birth.
+SIDE_UP = {
+    ("m", "m"): ("{}父", "{}祖父", "曾{}祖父", "高祖{}父"),
+    ("m", "f"): ("姑母", "姑祖母", "曾姑祖母", "高祖姑母"),
+    ("f", "m"): ("舅父", "舅外祖父", "曾舅外祖父", "高祖舅父"),
+    ("f", "f"): ("姨母", "姨外祖母", "曾姨外祖母", "高祖姨母"),
+}
+SIDE_DOWN = ("", "孙", "曾孙", "玄孙", "来孙")
+SIDE_HEAD = {("m", "m"): "叔侄", ("m", "f"): "姑侄", ("f", "m"): "舅甥", ("f", "f"): "姨甥"}
+
+
+def elder_order(elder_rank: Column, rank: Column) -> Column:
+    """伯 before, 叔 after, 伯叔 where the order of birth isn't known."""
+    return F.when(elder_rank < rank, "伯").when(elder_rank > rank, "叔").otherwise("伯叔")
+
+
+def collateral_term(gap: Column, connecting_sex: Column, link_sex: Column, elder_sex: Column, younger_sex: Column, order: Column) -> Column:
+    """Term of a side line, both ways of address in brackets.
+
+    ``connecting``: the younger's ancestor of the elder's generation; ``link``: the
+    younger's parent on that side.  Any sex but ``m`` reads as ``f``.
+    """
+    sex = lambda c: F.when(c == "m", "m").otherwise("f")
+    pick = lambda words, i: F.get(F.array(*map(F.lit, words)), F.least(i, F.lit(len(words) - 1)))
+    at = F.greatest(gap - 1, F.lit(0))
+    up, head = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for (q, e), words in SIDE_UP.items():
+        here = (sex(connecting_sex) == q) & (sex(elder_sex) == e)
+        up = F.when(here, F.replace(pick(words, at), F.lit("{}"), order)).otherwise(up)
+        head = F.when(here, F.when((order == "伯叔") & F.lit((q, e) == ("m", "m")), F.lit("伯叔侄")).otherwise(F.lit(SIDE_HEAD[q, e]))).otherwise(head)
+    stem = F.when(link_sex == "m", "侄").otherwise("甥")
+    tail = pick(SIDE_DOWN, at)
+    woman = F.when(at == 0, F.concat(stem, F.lit("女"))).otherwise(F.concat(stem, F.substring(tail, 1, 1), F.lit("女"), F.substring(tail, 2, 8)))
+    return F.concat(head, F.lit("（"), up, F.lit("与"), F.when(younger_sex == "m", F.concat(stem, tail)).otherwise(woman), F.lit("）"))
+
+
+def connecting_ancestors(pairs: DataFrame, parents: DataFrame, closed: DataFrame) -> DataFrame:
+    """(elder, younger, gap, q): for pairs (elder, younger, gap) the younger's ancestor ``gap`` steps up that is nearest the elder.
+
+    First the one that shares most parents with the elder, then most ancestors at equal distance, then the least id.
+    """
+    up = parents.select(F.col("child").alias("node"), "parent").distinct()
+    met = pairs.join(closed.select(F.col("node").alias("younger"), F.col("ancestor").alias("q"), F.col("dist").alias("gap")), ["younger", "gap"])
+    asked = met.select("elder", "q").distinct()
+    shared = asked.join(up.select(F.col("node").alias("elder"), "parent"), "elder").join(up.select(F.col("node").alias("q"), "parent"), ["q", "parent"]).groupBy("elder", "q").agg(F.count("*").alias("siblings"))
+    far = closed.select("node", "ancestor", "dist")
+    level = asked.join(far.withColumnRenamed("node", "elder"), "elder").join(far.withColumnRenamed("node", "q"), ["q", "ancestor", "dist"]).groupBy("elder", "q").agg(F.count("*").alias("common"))
+    scored = met.join(shared, ["elder", "q"], "left").join(level, ["elder", "q"], "left")
+    order = F.struct(-F.coalesce("siblings", F.lit(0)), -F.coalesce("common", F.lit(0)), "q")
+    return scored.groupBy("elder", "younger", "gap").agg(F.min_by("q", order).alias("q"))
+
+
+def adoptive_only(parents: DataFrame) -> DataFrame:
+    """(node, ancestor) that are linked by lines (parent, child, adoptive) of descent, each with an adoption in it."""
+    return closure(parents).select("node", "ancestor").join(closure(parents.where("NOT adoptive")), ["node", "ancestor"], "left_anti")
+
+
+def cousin_mark(pairs: DataFrame, closed: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``mark``: 堂 where both have the same ancestor two steps up, else 表."""
+    grand = closed.where("dist = 2").select("node", "ancestor").distinct()
+    same = pairs.select("a", "b").distinct().join(grand.withColumnRenamed("node", "a"), "a").join(grand.withColumnRenamed("node", "b"), ["b", "ancestor"]).select("a", "b").distinct()
+    return pairs.join(same.withColumn("mark", F.lit("堂")), ["a", "b"], "left").withColumn("mark", F.coalesce("mark", F.lit("表")))
+
+
+def worth_deriving(kind: Column, gap: Column) -> Column:
+    """Direct lines of any gap, siblings, and side lines one generation apart."""
+    return kind.isin("direct", "sibling") | ((kind == "collateral") & (gap == 1))
+
+
+def filled_kin(kind: Column, kin: Column) -> Column:
+    """The kin given, or where none is, what the wording shows."""
+    given = F.trim(F.coalesce(kin, F.lit("")))
+    return F.when(F.lower(given).isin(*NO_KIN), guess_kin(F.coalesce(kind, F.lit("")))).otherwise(given)
+
+
+def sibling_direction(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(src, dst, type, finding): derived edges worded 兄妹 or 姐弟, from the elder brother on or from the younger one, that the ranks of birth don't bear out."""
+    head = F.regexp_replace(F.regexp_replace("type", r"[／→（(].*$", ""), "^养", "")
+    from_elder = F.when(head.contains("兄妹"), True).when(head.contains("姐弟"), False)
+    rank = lambda c: ranks.select(F.col("id").alias(c), F.col("rank").alias(f"{c}_rank"))
+    e = edges.where("derived").withColumn("claim", from_elder).where("claim IS NOT NULL").join(rank("src"), "src", "left").join(rank("dst"), "dst", "left")
+    unknown = F.col("src_rank").isNull() | F.col("dst_rank").isNull() | (F.col("src_rank") == F.col("dst_rank"))
+    found = F.when(unknown, "order unknown").when((F.col("src_rank") < F.col("dst_rank")) != F.col("claim"), "against the order")
+    return e.select("src", "dst", "type", found.alias("finding")).where("finding IS NOT NULL")

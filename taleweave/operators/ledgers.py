@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +21,106 @@ def reconcile(ledger: DataFrame, data: DataFrame, keys: list[str], value: str, l
     if reason:
         problems.append(F.when(F.col("reason") < least_reason, F.lit("no reason")))
     return both.select(*keys, F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
+def other_name_problems(ledger: DataFrame, chars: DataFrame, sources: DataFrame) -> DataFrame:
+    """(person, problem, name): other names in a ledger against those in the data, both ways.
+
+    ``ledger``: person, alts (array), source; ``chars``: name, alt_names (array);
+    ``sources``: source.  A person without an entry, an entry without a person,
+    entries that are repeated, blank or of an unknown source are problems too.
+    """
+    none = F.array().cast("array<string>")
+    problem = lambda df, kind, name=None: df.select("person", F.lit(kind).alias("problem"), (F.col(name) if name else F.lit(None)).cast("string").alias("name"))
+    people = chars.select(F.col("name").alias("person")).distinct()
+    said = ledger.select("person", F.explode("alts").alias("alt")).where(F.trim("alt") != "")
+    there = chars.select(F.col("name").alias("person"), F.explode("alt_names").alias("alt")).where("alt IS NOT NULL").distinct()
+    entries = ledger.select("person").distinct()
+    alts = F.coalesce("alts", none)
+    found = [
+        problem(ledger.groupBy("person").count().where("count > 1"), "repeated"),
+        problem(entries.join(people, "person", "left_anti"), "nobody"),
+        problem(ledger.where(F.size(alts) == 0), "no names"),
+        problem(ledger.where(F.exists(alts, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")), "blank name"),
+        problem(ledger.where(F.size(F.array_distinct(alts)) < F.size(alts)), "name repeated"),
+        problem(ledger.where("source IS NOT NULL").join(sources.select("source").distinct(), "source", "left_anti"), "source unknown", "source"),
+        problem(there.join(said.distinct(), ["person", "alt"], "left_anti").join(entries, "person", "left_semi"), "unlisted", "alt"),
+        problem(there.join(entries, "person", "left_anti").select("person").distinct(), "no entry"),
+        problem(said.distinct().join(people, "person", "left_semi").join(there, ["person", "alt"], "left_anti"), "stale", "alt"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+# What no name holds, and the length none has.
+PROSE = "[：。；！？，]"
+LONGEST_NAME = 12
+
+
+def ignored_problems(ledger: DataFrame, persons: DataFrame, places: DataFrame) -> DataFrame:
+    """(name, problem): entries (name, why, with_reason) of names to ignore that are blank, prose, hidden by ``_``, repeated, without a reason, or real.
+
+    Plain entries that begin with ``_`` are remarks.  ``persons`` and ``places`` (name): all forms of names in the data.
+    """
+    e = ledger.where("with_reason OR name IS NULL OR NOT startswith(name, '_')")
+    no_name = F.coalesce(F.trim("name"), F.lit("")) == ""
+    prose = ~no_name & (F.col("name").rlike(PROSE) | (F.char_length("name") > LONGEST_NAME))
+    hidden = ~no_name & ~prose & F.startswith("name", F.lit("_"))
+    fine = ~no_name & ~prose & ~hidden
+    real = lambda df, c: df.select("name").where("char_length(name) >= 2").distinct().withColumn(c, F.lit(True))
+    grouped = e.groupBy("name").agg(F.count("*").alias("n"), F.max(F.col("with_reason") & (F.coalesce(F.trim("why"), F.lit("")) == "")).alias("unexplained"))
+    known = grouped.join(real(persons, "person"), "name", "left").join(real(places, "place"), "name", "left")
+    problems = F.array(
+        F.when(no_name, F.lit("blank")),
+        F.when(prose, F.lit("prose")),
+        F.when(hidden, F.lit("hidden")),
+        F.when(fine & (F.col("n") > 1), F.lit("repeated")),
+        F.when(F.col("unexplained"), F.lit("no reason")),
+        F.when(fine & F.col("person"), F.lit("a person")),
+        F.when(fine & F.col("person").isNull() & F.col("place"), F.lit("a place")),
+    )
+    return known.select("name", F.explode(F.array_compact(problems)).alias("problem"))
+
+
+def exemption_problems(ledger: DataFrame, chars: DataFrame, least_reason: int = 8) -> DataFrame:
+    """(book, src, dst, problem): exemptions (book, src, dst, why) from checks of kinship terms; ``chars``: book, id."""
+    key = ["book", "src", "dst"]
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    known = chars.select("book", "id").distinct()
+    end = lambda c: known.select("book", F.col("id").alias(c), F.lit(True).alias(f"{c}_known"))
+    e = ledger.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.char_length(F.coalesce(F.trim("why"), F.lit("")))).alias("reason"))
+    e = e.join(chars.select("book").distinct().withColumn("book_known", F.lit(True)), "book", "left").join(end("src"), ["book", "src"], "left").join(end("dst"), ["book", "dst"], "left")
+    whole = filled("book") & filled("src") & filled("dst")
+    problems = F.array(
+        F.when(~whole, F.lit("field missing")),
+        F.when(F.col("reason") < least_reason, F.lit("no reason")),
+        F.when(filled("book") & F.col("book_known").isNull(), F.lit("book unknown")),
+        F.when(F.col("book_known") & filled("src") & F.col("src_known").isNull(), F.lit("nobody first")),
+        F.when(F.col("book_known") & filled("dst") & F.col("dst_known").isNull(), F.lit("nobody second")),
+        F.when(filled("src") & (F.col("src") == F.col("dst")), F.lit("one person")),
+        F.when(F.col("n") > 1, F.lit("repeated")),
+    )
+    return e.select(*key, F.explode(F.array_compact(problems)).alias("problem"))
+
+
+def coverage_problems(declared: DataFrame, chars: DataFrame, pattern: str) -> DataFrame:
+    """(name, problem): main names that ``pattern`` (whole name) can't yield must be declared, and only those.
+
+    ``declared``: name; ``chars``: name, aliases (array).
+    """
+    yields = F.coalesce(F.col("name").rlike(f"^(?:{pattern})$"), F.lit(False))
+    main = chars.select("name").distinct().withColumn("is_main", F.lit(True))
+    alias = chars.select(F.explode("aliases").alias("name")).distinct().withColumn("is_alias", F.lit(True))
+    e = declared.groupBy("name").agg(F.count("*").alias("n")).join(main, "name", "full_outer").join(alias, "name", "left")
+    problems = F.array(
+        F.when(F.col("n").isNull() & F.col("is_main") & ~yields, F.lit("undeclared")),
+        F.when(F.col("n") > 1, F.lit("repeated")),
+        F.when(F.col("n").isNotNull() & F.col("is_main") & yields, F.lit("within reach")),
+        F.when(F.col("n").isNotNull() & F.col("is_main").isNull() & F.col("is_alias"), F.lit("alias")),
+        F.when(F.col("n").isNotNull() & F.col("is_main").isNull() & F.col("is_alias").isNull(), F.lit("unknown")),
+    )
+    return e.select("name", F.explode(F.array_compact(problems)).alias("problem"))
+
+
+def actor_problems(ledger: DataFrame, flags: DataFrame, least_reason: int = 8) -> DataFrame:
+    """(book, src, dst, problem): the ledger (book, src, dst, flag, why) of relations whose actors were found wanting against the flags found."""
+    return reconcile(ledger, flags, ["book", "src", "dst"], "flag", least_reason, "why")

@@ -1,4 +1,8 @@
-"""Validation rules: each gives (severity, kind, subject); errors fail a book, warnings don't."""
+"""Validation rules: each gives (severity, kind, subject); errors fail a book, warnings don't.
+
+Where the frames have a column ``book``, ids are unique within their book and
+findings carry it, so that one run checks a whole library.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def keys(df: DataFrame) -> list[str]:
+    return [c for c in ("book",) if c in df.columns]
+
+
 def finding(df: DataFrame, severity: str, kind: str, subject) -> DataFrame:
-    return df.select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.col(subject).cast("string").alias("subject") if isinstance(subject, str) else subject.cast("string").alias("subject"))
+    subject = F.col(subject) if isinstance(subject, str) else subject
+    return df.select(*keys(df), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
 
 
-def empty_collection(df: DataFrame, name: str) -> DataFrame:
-    return finding(df.agg(F.count("*").alias("n")).where("n = 0"), "error", f"{name} empty", F.lit(name))
+def empty_collection(df: DataFrame, name: str, books: DataFrame | None = None) -> DataFrame:
+    """With ``books`` (book), the books that have no row in the collection."""
+    if books is None:
+        return finding(df.agg(F.count("*").alias("n")).where("n = 0"), "error", f"{name} empty", F.lit(name))
+    return finding(books.select("book").join(df.select("book").distinct(), "book", "left_anti"), "error", f"{name} empty", F.lit(name))
 
 
 def repeated(df: DataFrame, key: str, severity: str, kind: str) -> DataFrame:
-    return finding(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), severity, kind, key)
+    return finding(df.groupBy(*keys(df), key).agg(F.count("*").alias("n")).where("n > 1"), severity, kind, key)
 
 
 def dangling(df: DataFrame, key: str, known: DataFrame, known_key: str, kind: str) -> DataFrame:
-    return finding(df.select(F.col(key).alias(known_key)).where(F.col(known_key).isNotNull()).distinct().join(known.select(known_key).distinct(), known_key, "left_anti"), "error", kind, known_key)
+    on = [*keys(df), known_key]
+    named = df.select(*keys(df), F.col(key).alias(known_key)).where(F.col(known_key).isNotNull()).distinct()
+    return finding(named.join(known.select(*on).distinct(), on, "left_anti"), "error", kind, known_key)
 
 
-def characters(chars: DataFrame, degree: DataFrame) -> list[DataFrame]:
+def characters(chars: DataFrame, degree: DataFrame, books: DataFrame | None = None, aliases: DataFrame | None = None) -> list[DataFrame]:
+    """``aliases`` (id): the characters that have one; without it, none has."""
+    many = degree.where("degree >= 8")
+    if aliases is not None:
+        on = [*keys(many), "id"]
+        many = many.join(aliases.select(*on).distinct(), on, "left_anti")
     tiers = ("main", "minor", "mentioned")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return [
-        empty_collection(chars, "characters"),
+        empty_collection(chars, "characters", books),
         finding(chars.where(blank("id") | blank("name")), "error", "character without id or name", "id"),
         finding(chars.where("generation IS NULL"), "error", "generation missing", "id"),
         finding(chars.where(~F.coalesce(F.col("gender"), F.lit("")).isin("m", "f")), "warning", "gender missing", "id"),
@@ -37,14 +56,14 @@ def characters(chars: DataFrame, degree: DataFrame) -> list[DataFrame]:
         repeated(chars, "id", "error", "character id repeated"),
         repeated(chars, "name", "warning", "character name repeated"),
         finding(degree.where("tier = 'mentioned' AND degree = 0"), "warning", "mentioned without relation", "id"),
-        finding(degree.where("degree >= 8"), "warning", "many relations, no alias", "id"),
+        finding(many, "warning", "many relations, no alias", "id"),
     ]
 
 
-def relations(rels: DataFrame, chars: DataFrame) -> list[DataFrame]:
+def relations(rels: DataFrame, chars: DataFrame, books: DataFrame | None = None) -> list[DataFrame]:
     whole = lambda c: F.col(c).isNull() | (F.col(c) >= 1)
     return [
-        empty_collection(rels, "relations"),
+        empty_collection(rels, "relations", books),
         dangling(rels, "src", chars, "id", "relation from nobody"),
         dangling(rels, "dst", chars, "id", "relation to nobody"),
         finding(rels.where(F.coalesce(F.col("type"), F.lit("")) == ""), "error", "relation without type", "ord"),
@@ -61,4 +80,4 @@ def report(parts: list[DataFrame]) -> DataFrame:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    return found.groupBy("severity", "kind").agg(F.count("*").alias("n"))
+    return found.groupBy(*keys(found), "severity", "kind").agg(F.count("*").alias("n"))
