@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taleweave.llm import ann, chat, frames, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
+from taleweave.llm import ann, chat, frames, hard_negatives, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents")).drop("lang", *frames.KEY)
 
 
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, F.col("id") % 7 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op2_jaccard_links, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op2_jaccard_links, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence, op13_norm_buckets)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_components": OP2_SQL, "op6_perspective_rotation": OP6_SQL}
+    return {"op2_jaccard_components": OP2_SQL, "op6_perspective_rotation": OP6_SQL, "op13_norm_buckets": OP13_SQL}
 
 
 OP6_SQL = r"""
@@ -116,3 +120,22 @@ reach AS (
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id
 """
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (
+  SELECT anchor, other AS positive_id, score AS ps FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.anchor, positive_id, other, ps, score, row_number() OVER (PARTITION BY p.anchor, positive_id ORDER BY score DESC, other) AS nth
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 100 * score BETWEEN 80 * ps AND 100 * ps)
+SELECT anchor AS anchor_id, positive_id, CAST(nth AS INT) AS rank, other AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE nth <= 5
+"""
