@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taleweave.llm import ann, chat, frames, hard_negatives, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
+from taleweave.llm import ann, chat, conversations, frames, hard_negatives, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,16 +63,20 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents")).drop("lang", *frames.KEY)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(*conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, F.col("id") % 7 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op2_jaccard_links, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence, op13_norm_buckets)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op2_jaccard_links, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence, op11_conversation_repair, op13_norm_buckets)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_components": OP2_SQL, "op6_perspective_rotation": OP6_SQL, "op13_norm_buckets": OP13_SQL}
+    return {"op2_jaccard_components": OP2_SQL, "op6_perspective_rotation": OP6_SQL, "op11_conversation_repair": OP11_SQL, "op13_norm_buckets": OP13_SQL}
 
 
 OP6_SQL = r"""
@@ -139,3 +143,50 @@ n AS (
   FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 100 * score BETWEEN 80 * ps AND 100 * ps)
 SELECT anchor AS anchor_id, positive_id, CAST(nth AS INT) AS rank, other AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE nth <= 5
 """
+
+OP11_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+             lambda crc, x: list_reduce(range(8), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)), xor(crc, x)), 4294967295)) % 20 AS h
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, range(2) t(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
+ids AS (SELECT conv_id, row_number() OVER () AS id FROM (SELECT DISTINCT conv_id FROM c)),
+r AS (
+  SELECT id, turn, role, text, left(role, 1) AS initial, row_number() OVER w AS pos, lag(left(role, 1)) OVER w AS before
+  FROM d JOIN ids ON d.conv_id IS NOT DISTINCT FROM ids.conv_id WINDOW w AS (PARTITION BY id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'none' END AS fault
+  FROM r),
+ins(state, "to", letters, lines) AS (VALUES ('', '', '', ''), ('', 'u', 'I', 'user:~'), ('', 'a', 'II', 'user:~assistant:~'), ('s', 's', '', ''), ('s', 'u', 'I', 'user:~'), ('s', 'a', 'II', 'user:~assistant:~'),
+  ('u', 'u', '', ''), ('u', 'a', 'I', 'assistant:~'), ('u', 'u', 'II', 'assistant:~user:~'), ('a', 'a', '', ''), ('a', 'u', 'I', 'user:~'), ('a', 'a', 'II', 'user:~assistant:~')),
+ops(edit, state, initial, price) AS (VALUES ('D', NULL, NULL, 4), ('K', '', 's', 0), ('K', '', 'u', 0), ('K', 's', 'u', 0), ('K', 'u', 'a', 0), ('K', 'a', 'u', 0),
+  ('R', '', 'u', 3), ('R', 's', 'u', 3), ('R', 'u', 'a', 3), ('R', 'a', 'u', 3)),
+moves AS (
+  SELECT i.state, edit, coalesce(o.initial, i."to") AS "to", letters || edit AS letters, replace(lines, '~', chr(10)) AS lines, price + 3 * length(letters) AS price
+  FROM ins i JOIN ops o ON o.state = i."to" OR edit = 'D'),
+dp(id, state, pos, best) USING KEY (id, state) AS (
+  SELECT id, '', CAST(0 AS BIGINT), {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''} FROM ids
+  UNION
+  SELECT p.id, m."to", f.pos, min({'cost': p.best.cost + m.price + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END, 'audit': p.best.audit || m.letters,
+           'lines': p.best.lines || m.lines || CASE edit WHEN 'K' THEN f.role || ':' || f.text || chr(10)
+                                                   WHEN 'R' THEN CASE m."to" WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text || chr(10) ELSE '' END})
+  FROM dp p JOIN f ON f.id = p.id AND f.pos = p.pos + 1
+  JOIN moves m ON m.state = p.state AND (edit <> 'K' OR m."to" = f.initial) AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY p.id, m."to", f.pos),
+ends AS (
+  SELECT dp.id, min({'cost': best.cost + 3 * length(letters), 'audit': best.audit || letters, 'lines': best.lines || replace(i.lines, '~', chr(10))}) AS best
+  FROM dp JOIN ins i ON i.state = dp.state AND (i."to" = 'a' OR dp.state = '' AND letters = '')
+  WHERE dp.pos = coalesce((SELECT max(pos) FROM f WHERE f.id = dp.id), 0) GROUP BY dp.id),
+sums AS (
+  SELECT id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       best.cost AS cost, best.audit AS audit, sha256(left(best.lines, greatest(length(best.lines) - 1, 0))) AS repaired_sha256
+FROM ids JOIN ends USING (id) LEFT JOIN sums USING (id)
+"""
