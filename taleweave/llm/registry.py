@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taleweave.llm import ann, chat, conversations, frames, hard_negatives, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, urltree
+from taleweave.llm import ann, chat, conversations, frames, hard_negatives, jaccard, mixing, packing, quality, scratch, sharding, sstable, suffix_dedup, toxicity, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +67,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summary(*conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
 
 
+def op12_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, F.col("id") % 7 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op2_jaccard_links, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence, op11_conversation_repair, op13_norm_buckets)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_posting_lists, op2_jaccard_components, op2_jaccard_links, op3_ring_shards, op4_suffix_dedup, op5_bin_completion, op6_perspective_rotation, op7_block_mixing, op8_sstable_shards, op9_path_templates, op10_distribution_divergence, op11_conversation_repair, op12_recurrent_toxicity, op13_norm_buckets)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
