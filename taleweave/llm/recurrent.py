@@ -17,6 +17,7 @@ from taleweave.llm import kernels
 U64 = np.uint64
 WORDS, RUNS = 1 << 13, 1 << 14  # buckets of words and of character runs
 LENGTHS = (3, 4, 5, 6)  # of runs, in bytes, with a mark at both ends of a word
+LEAST, DECAY, RATE, WARM = 200, 1e-5, 0.01, 0.4
 D_WORD, D_RUN, HIDDEN, ATTENTION = 8, 16, 12, 8
 
 #: Bytes of words in lower case (letters, digits and all beyond ASCII); all others separate.
@@ -213,26 +214,45 @@ def _scattered(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(at, weights=rows[:, j], minlength=n) for j in range(rows.shape[1])], axis=1).astype(np.float32)
 
 
-def fit(v: Vocabulary, tokens: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.01, decay: float = 1e-5, seed: int = 1) -> Network:
-    """A network trained by Adam with a falling rate; both labels weigh the same in all."""
+def fit(v: Vocabulary, tokens: np.ndarray, mask: np.ndarray, label: np.ndarray, doc: np.ndarray, epochs: int, least: int = LEAST, batch: int = 128, rate: float = RATE, decay: float = DECAY, seed: int = 1) -> Network:
+    """A network trained by Adam with a falling rate on windows of labelled documents, for ``least`` steps or more.
+
+    A document's label holds for one of its windows at least, so after a first
+    part, WARM, of the epochs, in which every window counts, an epoch is made of
+    the window of each document that scores most, and of as many others of clean
+    documents.  Both labels weigh the same in all.
+    """
     net = Network.new(seed)
     rng = np.random.default_rng(seed)
-    share = np.bincount(label, minlength=2) / len(label)
-    weight = (0.5 / np.maximum(share, 1e-9))[label]
     mean = {k: np.zeros_like(x) for k, x in net.weights.items()}
     square = {k: np.zeros_like(x) for k, x in net.weights.items()}
-    total, done = epochs * -(-len(label) // batch), 0
-    for _ in range(epochs):
+    length = mask.sum(axis=1)
+    whole, firsts = tokens[mask], np.cumsum(length) - length  # padding is at the ends
+    clean = np.flatnonzero(label == 0)
+    progress, done = 0.0, 0
+    n_docs = len(np.unique(doc))
+    rounds = max(epochs, -(-least * batch // (2 * n_docs)))
+    for r in range(rounds):
+        if r < WARM * rounds:
+            own = np.arange(len(label))
+        else:
+            logit = net.logits(v, whole, firsts, length)
+            by = np.lexsort((-logit, doc))
+            own = by[np.r_[True, doc[by][1:] != doc[by][:-1]]]
+            own = np.union1d(own, rng.choice(clean, min(len(clean), len(own)), replace=False))
+        share = np.bincount(label[own], minlength=2) / len(own)
+        weight = 0.5 / np.maximum(share, 1e-9)
         # windows of like length go together, in an order of batches that changes
-        order = np.argsort(mask.sum(axis=1) + 16 * rng.random(len(label)), kind="stable")
-        parts = [order[i : i + batch] for i in range(0, len(order), batch)]
-        for k in rng.permutation(len(parts)):
-            own = parts[k]
-            t = int(mask[own].sum(axis=1).max())
-            _, g = net.gradients(v, tokens[own, :t], mask[own, :t], label[own].astype(np.float32), weight[own].astype(np.float32))
+        own = own[np.argsort(length[own] + 16 * rng.random(len(own)), kind="stable")]
+        parts = [own[i : i + batch] for i in range(0, len(own), batch)]
+        for i, k in enumerate(rng.permutation(len(parts))):
+            part = parts[k]
+            t = int(length[part].max())
+            _, g = net.gradients(v, tokens[part, :t], mask[part, :t], label[part].astype(np.float32), weight[label[part]].astype(np.float32))
             done += 1
+            progress = (r + i / len(parts)) / rounds
             norm = np.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
-            step = rate * min(1.0, done / 20) * 0.5 * (1 + np.cos(np.pi * done / total))
+            step = rate * min(1.0, done / 20) * 0.5 * (1 + np.cos(np.pi * progress))
             for name, x in g.items():
                 x = x * np.float32(min(1.0, 5 / max(norm, 1e-12))) + decay * net.weights[name]
                 mean[name] += 0.1 * (x - mean[name])

@@ -22,8 +22,8 @@ from taleweave.llm.scratch import written
 
 WINDOW, STRIDE = 128, 96  # words
 PIECE = 1 << 20  # bytes of a text that a task reads at a time
-#: Bounds of what is fitted on: labelled documents of either kind, windows of them, and bytes of a window.
-TOXIC_DOCS, CLEAN_DOCS, TOXIC_WINDOWS, CLEAN_WINDOWS, WINDOW_BYTES = 1500, 3000, 4000, 6000, 1 << 14
+#: Bounds of what is fitted on: labelled documents of either kind, windows of them in all and of one, and bytes of a window.
+TOXIC_DOCS, CLEAN_DOCS, TOXIC_WINDOWS, CLEAN_WINDOWS, MOST_WINDOWS, WINDOW_BYTES = 1500, 3000, 4000, 6000, 64, 1 << 14
 EPOCHS = 8
 CALIBRATED = 6  # every how many-th labelled document is kept for the logistic fit
 ENOUGH = 8  # such documents of either kind; with fewer, all labelled ones serve
@@ -138,16 +138,20 @@ def logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float
 def _window_texts(text_col: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, out = batch["label"].to_pylist(), {"label": [], "piece": []}
+            label, h, out = batch["label"].to_pylist(), batch["h"].to_pylist(), {"h": [], "label": [], "nth": [], "piece": []}
             for first, end, data, offsets in kernels.slices(batch[text_col], PIECE):
                 _, _, owner, starts = recurrent.read_words(data, offsets)
                 text, begin, length = _of_texts(owner, end - first)
-                for t, b, n in zip(text.tolist(), begin.tolist(), length.tolist(), strict=True):
-                    stop = starts[b + n] if b + n < len(starts) and owner[b + n] == t else offsets[t + 1]
-                    if stop - starts[b] <= WINDOW_BYTES:
-                        out["label"].append(label[first + t])
-                        out["piece"].append(data[starts[b] : stop].tobytes().decode())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("label", pa.int32()), ("piece", pa.string())]))
+                for t in np.unique(text).tolist():
+                    own = np.flatnonzero(text == t)
+                    if len(own) > MOST_WINDOWS:  # evenly spread over the text
+                        own = own[np.linspace(0, len(own) - 1, MOST_WINDOWS).astype(np.int64)]
+                    for k, (b, n) in enumerate(zip(begin[own].tolist(), length[own].tolist(), strict=True)):
+                        stop = starts[b + n] if b + n < len(starts) and owner[b + n] == t else offsets[t + 1]
+                        if stop - starts[b] <= WINDOW_BYTES:
+                            for name, x in (("h", h[first + t]), ("label", label[first + t]), ("nth", k), ("piece", data[starts[b] : stop].tobytes().decode())):
+                                out[name].append(x)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("label", pa.int32()), ("nth", pa.int32()), ("piece", pa.string())]))
 
     return cut
 
@@ -172,14 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     flat = Model(None, (0.0, 0.0, float(np.log(prior / (1 - prior)))))
-    pieces = written(chosen.where("NOT apart").select("label", text_col).mapInArrow(_window_texts(text_col), "label int, piece string"), "label-windows")
-    order = [F.xxhash64("piece"), "piece"]
+    pieces = written(chosen.where("NOT apart").select("h", "label", text_col).mapInArrow(_window_texts(text_col), "h long, label int, nth int, piece string"), "label-windows")
+    order = ["h", "nth", "piece"]  # whole documents, until the bound is reached
     bounded = pieces.where("label = 1").orderBy(*order).limit(TOXIC_WINDOWS).unionByName(pieces.where("label = 0").orderBy(*order).limit(CLEAN_WINDOWS))
-    table = bounded.toArrow().combine_chunks()  # at most TOXIC_WINDOWS + CLEAN_WINDOWS windows of WINDOW_BYTES
+    table = bounded.toArrow()  # at most TOXIC_WINDOWS + CLEAN_WINDOWS windows of WINDOW_BYTES
     label = table["label"].to_numpy().astype(np.int64)
     if len(set(label.tolist())) < 2:
         return flat
-    net = _fitted(table["piece"].combine_chunks() if isinstance(table["piece"], pa.ChunkedArray) else table["piece"], label)
+    net = _fitted(table["piece"].combine_chunks(), label, table["h"].to_numpy())
     if min(counts.get((k, True), 0) for k in (0, 1)) >= ENOUGH:
         chosen = chosen.where("apart")
     judged = tops(net, chosen.select("h", "label", text_col), text_col).orderBy("h", "top", "n_windows").limit(TOXIC_DOCS + CLEAN_DOCS).toArrow()
@@ -192,14 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     return Model(net, (float(a), float(b), float(c)))
 
 
-def _fitted(pieces: pa.Array, label: np.ndarray) -> recurrent.Network:
+def _fitted(pieces: pa.Array, label: np.ndarray, doc: np.ndarray) -> recurrent.Network:
     _, offsets, data = pieces.cast(pa.large_string()).buffers()
     offsets, data = np.frombuffer(offsets, np.int64)[: len(pieces) + 1], np.frombuffer(data, np.uint8)
     v, which, owner, _ = recurrent.read_words(data, offsets)
     at = np.searchsorted(owner, np.arange(len(pieces) + 1))
     mask = np.arange(WINDOW)[None, :] < np.diff(at)[:, None]
     tokens = which[np.minimum(at[:-1, None] + np.arange(WINDOW)[None, :], len(which) - 1)]
-    return recurrent.fit(v, np.where(mask, tokens, tokens[:, :1]), mask, label, EPOCHS)
+    return recurrent.fit(v, np.where(mask, tokens, tokens[:, :1]), mask, label, doc, EPOCHS)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
