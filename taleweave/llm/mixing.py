@@ -204,12 +204,16 @@ def mix_documents(docs: DataFrame, block_words: int = 32, shard_slots: int = 409
     """
     base = docs.select("doc_id", "text", "lang", "source")
     keyed, _, (slots, pieces) = mix_plan(base, block_words, shard_slots, seed)
-    spans = mixed_spans(slots, pieces).groupBy("source", "start", "turn").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
-    # repeated rows are told apart by their number
-    texts = base.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("source", "lang")))
-    spans = spans.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "h").orderBy("source", "start")))
+    spans = mixed_spans(slots, pieces).groupBy("source", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    # rows of one source with the same id and text are numbered among all such rows, taken or not; they differ in their language at most
+    same = ["source", "doc_id", "h"]
+    numbered = keyed.where("size > 0").select(*same, "start", "size", F.row_number().over(Window.partitionBy(*same).orderBy("start")).alias("nth"))
+    spans = join_on(spans, numbered, ["source", "start"])
+    texts = base.withColumn("h", F.xxhash64("doc_id", "text")).groupBy(*same, "lang").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    texts = texts.withColumn("last", F.sum("n").over(Window.partitionBy(*same).orderBy("lang").rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]) == F.col("size")
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), "")
-    out = join_on(texts, spans.drop("source"), ["doc_id", "h", "nth"]).select("doc_id", F.when(whole, F.col("text")).otherwise(cut).alias("text"), "lang", "source")
+    out = join_on(spans, texts, same).where("nth > last - n AND nth <= last")
+    out = out.select("doc_id", F.when(whole, F.col("text")).otherwise(cut).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
