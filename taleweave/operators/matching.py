@@ -1,37 +1,194 @@
-"""Which texts hold which forms, in any script: an equi-join on character grams, never each form against each text."""
+"""Which texts hold which forms, and where: all forms in one pass over a text, in any script.
+
+Forms are an automaton in every task: all of them where they are few enough
+(MOST_FORMS and MOST_CHARS, counted first), else a part of them at a time, each
+part meeting every bucket of texts.  So neither side is ever exploded into grams,
+and no table is broadcast whose size isn't known.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from taleweave.operators.graph import cut_lineage
+
+MOST_FORMS, MOST_CHARS = 50_000, 2_000_000  # in one automaton
+BUCKET_BYTES = 16 << 20  # of texts that meet a part of the forms
+# What makes an occurrence a part of a longer dotted name, or of a name with an ordinal.
+DOT, ORDINAL = "·", "（第"
+
+Kernel = Callable[["object", str], list[tuple]]
+
+
+def automaton(forms: list[str]):
+    """None without forms."""
+    import ahocorasick
+
+    if not forms:
+        return None
+    out = ahocorasick.Automaton()
+    for form in forms:
+        out.add_word(form, form)
+    out.make_automaton()
+    return out
+
+
+def _spans(find, text: str) -> list[tuple]:
+    return [(end + 1 - len(form), end + 1, form) for end, form in find.iter(text)]
 
-#: Lengths of the grams by which forms meet texts; a form goes by its first characters, as many as it has.
-GRAMS = (1, 2, 4, 8, 16)
 
+def _held(find, text: str) -> list[tuple]:
+    """(form, occurrences that don't overlap, whether one stands alone)."""
+    found: dict[str, list] = {}
+    for end, form in find.iter(text):
+        start = end + 1 - len(form)
+        have = found.setdefault(form, [0, -1, False])
+        if start >= have[1]:
+            have[0], have[1] = have[0] + 1, end + 1
+        have[2] = have[2] or not (text[start - 1 : start] == DOT or text[end + 1 : end + 2] == DOT or text.startswith(ORDINAL, end + 1))
+    return [(form, n, alone) for form, (n, _, alone) in found.items()]
 
-def grams(text: Column, size: int) -> Column:
-    """All distinct runs of ``size`` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+def _rows(find, batch: pa.RecordBatch | pa.Table, others: list[str], names: list[str], kernel: Kernel) -> pa.Table:
+    at: list[int] = []
+    out: list[tuple] = []
+    for i, text in enumerate(batch["text"].to_pylist()):
+        if text and find is not None:
+            found = kernel(find, text)
+            at += [i] * len(found)
+            out += found
+    columns = list(zip(*out, strict=True)) if out else [() for _ in names]
+    return pa.table([*(batch[c].take(pa.array(at, pa.int64())) for c in others), *map(list, columns)], names=[*others, *names])
+
+
+def scanned(texts: DataFrame, forms: DataFrame, kernel: Kernel, fields: list[StructField]) -> DataFrame:
+    """The columns of ``texts`` but its text, and what ``kernel`` finds of ``forms`` (form) in every text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = texts.sparkSession
+    others = [c for c in texts.columns if c != "text"]
+    schema = StructType([*(texts.schema[c] for c in others), *fields])
+    arrow, names = to_arrow_schema(schema), [f.name for f in fields]
+    distinct = forms.where("form <> ''").select("form").distinct()
+    size = distinct.agg(F.count("*").alias("n"), F.sum(F.char_length("form")).alias("chars")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], schema)
+    parts = max(-(-size["n"] // MOST_FORMS), -(-size["chars"] // MOST_CHARS))
+    if parts == 1:
+        few = sorted(r["form"] for r in distinct.collect())  # bounded by the counts above
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = automaton(few)
+            for batch in batches:
+                yield from _rows(find, batch, others, names, kernel).cast(arrow).to_batches()
+
+        return texts.select(*others, "text").mapInArrow(scan, schema)
+
+    def meet(own: pa.Table, some: pa.Table) -> pa.Table:
+        return _rows(automaton(some["form"].to_pylist()), own, others, names, kernel).cast(arrow)
+
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = int(total // BUCKET_BYTES) + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = texts.withColumn("__bucket", F.pmod(F.xxhash64(*texts.columns), F.lit(n_buckets)).cast("int")).withColumn("__part", every(parts))
+    some = distinct.withColumn("__part", F.pmod(F.xxhash64("form"), F.lit(parts)).cast("int")).withColumn("__bucket", every(n_buckets))
+    return own.groupBy("__part", "__bucket").cogroup(some.groupBy("__part", "__bucket")).applyInArrow(meet, schema)
 
 
 def occurring(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """``texts`` (text and others) with ``form`` for every form of ``forms`` (form) that the text holds.
+    """The columns of ``texts`` but its text, with a row for every form of ``forms`` (form) that the text holds.
+
+    ``form``, ``n`` (occurrences that don't overlap) and ``alone`` (whether one
+    of them is no part of a longer dotted name, nor before a bracketed ordinal).
+    Null and empty forms, and null texts, hold nothing.
+    """
+    fields = [StructField("form", StringType()), StructField("n", LongType()), StructField("alone", BooleanType())]
+    return scanned(texts, forms, _held, fields)
+
+
+def spans(texts: DataFrame, forms: DataFrame) -> DataFrame:
+    """The columns of ``texts`` but its text, with ``start``, ``stop`` (characters) and ``form`` of every occurrence, overlapping and nested ones too."""
+    return scanned(texts, forms, _spans, [StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("form", StringType())])
+
+
+def longest(found: DataFrame) -> DataFrame:
+    """Of the ``spans`` of each text (text_id) those that stay when longer forms go first, then lesser ones, then earlier places, and none overlaps another.
+
+    A text's spans meet in one task: no more of them than the text has characters and nested forms.
+    """
+
+    def resolve(own: pa.Table) -> pa.Table:
+        start, stop, form = (own[c].to_pylist() for c in ("start", "stop", "form"))
+        taken = bytearray(max(stop))
+        kept = []
+        for i in sorted(range(len(start)), key=lambda i: (start[i] - stop[i], form[i], start[i])):
+            if not any(taken[start[i] : stop[i]]):
+                taken[start[i] : stop[i]] = b"\x01" * (stop[i] - start[i])
+                kept.append(i)
+        return own.take(pa.array(sorted(kept, key=lambda i: start[i]), pa.int64()))
+
+    return found.groupBy("text_id").applyInArrow(resolve, found.schema)
+
+
+MASK = "〇"
+
+
+def masked(texts: DataFrame, kept: DataFrame) -> DataFrame:
+    """(text_id, text): texts with MASK in place of each of the spans ``kept``, which don't overlap."""
+    per_text = kept.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
+    starts = F.concat(F.transform("s", lambda x: x["start"]), F.array(F.char_length("text")))
+    stops = F.concat(F.array(F.lit(0)), F.transform("s", lambda x: x["stop"]))
+    between = F.zip_with(starts, stops, lambda to, begin: F.substring(F.col("text"), begin + 1, to - begin))
+    joined = texts.select("text_id", "text").join(per_text, "text_id", "left")
+    return joined.select("text_id", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.array_join(between, MASK)).alias("text"))
+
+
+def near_spans(places: DataFrame, found: DataFrame, distance: int) -> DataFrame:
+    """Rows of ``places`` (text_id, pos, ...) with a span of ``found`` that begins or ends within ``distance``, or holds the place: an equi-join on buckets of positions."""
+    width = distance + 1
+    low, high = F.floor((F.col("start") - distance) / width), F.floor((F.col("stop") + distance) / width)
+    spread = found.select(F.col("text_id").alias("__text"), "start", "stop", F.explode(F.sequence(low, high)).alias("__bucket"))
+    left = places.withColumn("__at", F.floor(F.col("pos") / width))
+    on = (F.col("text_id") == F.col("__text")) & (F.col("__at") == F.col("__bucket")) & (F.col("pos") >= F.col("start") - distance) & (F.col("pos") <= F.col("stop") + distance)
+    return left.join(spread, on, "left_semi").drop("__at")
+
+
+def collisions(named: DataFrame, found: DataFrame, own: DataFrame, reach: int = 3) -> DataFrame:
+    """Occurrences of names that are swallowed by a longer form that begins 1 to ``reach`` characters earlier and goes on into them.
+
+    ``named``: text_id, char, name, start; ``found``: spans of all known forms;
+    ``own`` (char, form): the forms of each character, which swallow no name of
+    its own.  Gives text_id, char, name, start and ``swallowed_by``, the least such form.
+    """
+    after = F.explode(F.sequence(F.col("start") + 1, F.col("start") + reach))
+    at = found.select(F.col("text_id").alias("__text"), after.alias("__at"), "stop", F.col("form").alias("__form"))
+    into = at.where("stop > __at")
+    met = named.join(into, (F.col("text_id") == F.col("__text")) & (F.col("start") == F.col("__at")) & (F.col("__form") != F.col("name")) & (F.char_length("__form") >= F.char_length("name")))
+    mine = own.select(F.col("char").alias("__char"), F.col("form").alias("__own")).distinct()
+    others = met.join(mine, (F.col("char") == F.col("__char")) & (F.col("__form") == F.col("__own")), "left_anti")
+    return others.groupBy("text_id", "char", "name", "start").agg(F.min("__form").alias("swallowed_by"))
+
+
+def first_clean(texts: DataFrame, names: DataFrame, entities: DataFrame, own: DataFrame) -> DataFrame:
+    """(char, name, first_text, first_at, n_swallowed): each name's first occurrence that no longer form swallows, by text and place.
 
-    Forms may be as many as there are; null and empty ones, and null texts, hold
-    nothing.  A text is cut into grams of those lengths only that forms have.
+    ``names``: char, name; ``entities`` (form): all known forms of people and
+    places; ``own``: char, form.  ``n_swallowed`` counts the occurrences before it.
+    Names that occur nowhere by themselves are left out.
     """
-    size = F.lit(GRAMS[0])
-    for n in GRAMS[1:]:
-        size = F.when(F.char_length("form") >= n, n).otherwise(size)
-    keyed = forms.where("form <> ''").select("form").distinct().withColumn("size", size).withColumn("gram", F.substring(F.col("form"), F.lit(1), F.col("size")))
-    sizes = [r["size"] for r in keyed.select("size").distinct().collect()]  # at most len(GRAMS)
-    if not sizes:
-        return texts.withColumn("form", F.lit(None).cast("string")).limit(0)
-    every = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), grams(F.col("text"), n).alias("grams")) for n in sorted(sizes)]))
-    cut = texts.withColumn("g", every).withColumn("gram", F.explode("g.grams")).withColumn("size", F.col("g.size")).drop("g")
-    return cut.join(keyed, ["size", "gram"]).where(F.contains("text", "form")).drop("size", "gram")
-
-
-def stands_alone(text: Column, name: Column) -> Column:
-    """Whether the name occurs otherwise than as a part of a longer dotted name, or before a bracketed ordinal."""
-    return F.rlike(text, F.concat(F.lit("(?<!·)\\Q"), name, F.lit("\\E(?!·|（第)")))
+    forms = entities.select("form").unionByName(names.select(F.col("name").alias("form")))
+    found = cut_lineage(spans(texts.select("text_id", "text"), forms))  # read twice below
+    named = found.join(names.select("char", "name"), F.col("form") == F.col("name")).select("text_id", "char", "name", "start")
+    known = found.join(entities.select("form").distinct(), "form", "left_semi").select("text_id", "start", "stop", "form")
+    bad = collisions(named, known, own)
+    marked = named.join(bad, ["text_id", "char", "name", "start"], "left")
+    place = F.struct("text_id", "start")
+    firsts = marked.where("swallowed_by IS NULL").groupBy("char", "name").agg(F.min(place).alias("first"))
+    before = bad.join(firsts, ["char", "name"]).where(place < F.col("first")).groupBy("char", "name").agg(F.count("*").alias("n_swallowed"))
+    out = firsts.join(before, ["char", "name"], "left")
+    return out.select("char", "name", F.col("first.text_id").alias("first_text"), F.col("first.start").alias("first_at"), F.coalesce("n_swallowed", F.lit(0).cast("long")).alias("n_swallowed"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleweave.functions.scalars import BLANK, base_name
-from taleweave.operators.matching import occurring, stands_alone
+from taleweave.operators.matching import occurring
 
 
 def norm_name(name: Column) -> Column:
@@ -77,7 +77,7 @@ def link_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     trimmed = names.select(F.trim("name").alias("form"), "id").where(F.char_length("form") >= 2)
     unique = trimmed.groupBy("form").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
-    hit = occurring(texts.select("text_id", "text"), unique).where(stands_alone(F.col("text"), F.col("form")))
+    hit = occurring(texts.select("text_id", "text"), unique).where("alone")
     return hit.join(unique, "form").select("text_id", "id").distinct()
 
 

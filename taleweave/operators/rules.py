@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.operators.matching import occurring, stands_alone
+from taleweave.operators.matching import occurring
 from taleweave.operators.validate import dangling, empty_collection, finding, keys, repeated
 
 # Types of books, the schema's number, and wordings.
@@ -198,7 +198,7 @@ def unlisted_mentions(summaries: DataFrame, chars: DataFrame) -> DataFrame:
     forms = chars.select(*on, F.col("id").alias("char"), base(F.col("name")).alias("base"), F.explode(F.array_distinct(F.concat(F.array(base(F.col("name"))), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form")).where(F.char_length("form") >= 2)
     own = forms.groupBy(*on, "form").agg(F.min("char").alias("char"), F.min("base").alias("base"), F.count_distinct("base").alias("n")).where("n = 1")
     texts = summaries.select(*on, "id", F.col("summary").alias("text"))
-    named = occurring(texts, own).where(stands_alone(F.col("text"), F.col("form"))).select(*on, "id", "form").join(own, [*on, "form"]).select(*on, "id", "base").distinct()
+    named = occurring(texts, own).where("alone").select(*on, "id", "form").join(own, [*on, "form"]).select(*on, "id", "base").distinct()
     listed = summaries.select(*on, "id", F.explode("chars").alias("char")).join(chars.select(*on, F.col("id").alias("char"), base(F.col("name")).alias("base")), [*on, "char"]).select(*on, "id", "base").distinct()
     return finding(named.join(listed, [*on, "id", "base"], "left_anti"), "warning", "named but not listed", F.concat_ws(" ", "id", "base"))
 

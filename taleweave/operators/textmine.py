@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleweave.functions.scalars import BLANK, occurrences
-from taleweave.operators.matching import occurring, stands_alone
+from taleweave.functions.scalars import BLANK
+from taleweave.operators.matching import occurring
 
 NEAR = 90  # characters between a candidate and a known name
 HEAD = 40  # characters by which a quote is located
@@ -24,7 +24,7 @@ def flat(text: Column) -> Column:
 def form_counts(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """(form, n_texts, n): occurrences of the forms in all texts."""
     hit = occurring(texts.select("text_id", "text"), forms)
-    return hit.groupBy("form").agg(F.count("*").alias("n_texts"), F.sum(occurrences(F.col("text"), F.col("form"))).alias("n"))
+    return hit.groupBy("form").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n"))
 
 
 def words_with_position(texts: DataFrame, pattern: str) -> DataFrame:
@@ -41,7 +41,7 @@ def first_occurrences(texts: DataFrame, names: DataFrame, pattern: str) -> DataF
 def first_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(name, first): the first text, by number, that holds the name, in scripts without blanks too; not as a part of a longer dotted name."""
     hit = occurring(texts.select("text_id", "text"), names.select(F.col("name").alias("form")))
-    return hit.where(stands_alone(F.col("text"), F.col("form"))).groupBy(F.col("form").alias("name")).agg(F.min("text_id").alias("first"))
+    return hit.where("alone").groupBy(F.col("form").alias("name")).agg(F.min("text_id").alias("first"))
 
 
 def audit_first(firsts: DataFrame, claimed: DataFrame, slack: int, ledger: DataFrame) -> DataFrame:
@@ -53,13 +53,15 @@ def audit_first(firsts: DataFrame, claimed: DataFrame, slack: int, ledger: DataF
 def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, n_texts, first_text, n_whole): texts that hold the head of a quote, and the whole of it, blanks aside.
 
-    Texts and quotes meet on equality of character grams, so quotes of any
-    script and length are found; a quote of blanks alone is not.
+    Heads and quotes are forms of one search, so quotes of any script and length
+    are found; a quote of blanks alone is not.
     """
     q = quotes.select("quote_id", flat(F.col("quote")).alias("quote")).withColumn("head", F.substring("quote", 1, HEAD))
-    hit = occurring(texts.select("text_id", flat(F.col("text")).alias("text")), q.select(F.col("head").alias("form")))
-    found = hit.join(q, hit["form"] == q["head"])
-    return found.groupBy("quote_id").agg(F.count("*").alias("n_texts"), F.min("text_id").alias("first_text"), F.count_if(F.contains("text", "quote")).alias("n_whole"))
+    forms = q.select(F.explode(F.array("head", "quote")).alias("form"))
+    hit = occurring(texts.select("text_id", flat(F.col("text")).alias("text")), forms).select("text_id", "form")
+    whole = hit.select("text_id", F.col("form").alias("quote"), F.lit(1).alias("whole"))
+    found = hit.join(q, hit["form"] == q["head"]).join(whole, ["text_id", "quote"], "left")
+    return found.groupBy("quote_id").agg(F.count("*").alias("n_texts"), F.min("text_id").alias("first_text"), F.count("whole").alias("n_whole"))
 
 
 # Signs before a quoted run that turn its meaning.
