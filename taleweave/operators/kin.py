@@ -218,3 +218,109 @@ def sibling_direction(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     unknown = F.col("src_rank").isNull() | F.col("dst_rank").isNull() | (F.col("src_rank") == F.col("dst_rank"))
     found = F.when(unknown, "order unknown").when((F.col("src_rank") < F.col("dst_rank")) != F.col("claim"), "against the order")
     return e.select("src", "dst", "type", found.alias("finding")).where("finding IS NOT NULL")
+
+
+def witnesses(edges: DataFrame, closed: DataFrame) -> DataFrame:
+    """(node, ancestor, dist, via): the parent by which a shortest line to the ancestor begins; of several the one whose edge comes first, then the least id.
+
+    ``edges``: parent, child, ord.
+    """
+    up = edges.groupBy("parent", "child").agg(F.min("ord").alias("ord")).select(F.col("child").alias("node"), F.col("parent").alias("via"), "ord")
+    rest = closed.select(F.col("node").alias("via"), "ancestor", (F.col("dist") + 1).alias("dist")).unionByName(up.select("via", F.col("via").alias("ancestor"), F.lit(1).alias("dist")).distinct())
+    met = closed.join(up, "node").join(rest, ["via", "ancestor", "dist"])
+    return met.groupBy("node", "ancestor", "dist").agg(F.min(F.struct("ord", "via"))["via"].alias("via"))
+
+
+def chains(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(younger, elder, steps): a shortest line of descent of each of ``pairs``, elder first, as an array of (parent, child).
+
+    ``lines`` are ``witnesses``.  All pairs go up together, one generation a round.
+    """
+    step = lines.select(F.col("node").alias("at"), F.col("ancestor").alias("elder"), "via")
+    none = F.array().cast("array<struct<parent: string, child: string>>")
+    going = cut_lineage(pairs.select("younger", "elder", F.col("younger").alias("at"), none.alias("steps")).distinct())
+    done: DataFrame | None = None
+    while not going.isEmpty():
+        up = going.join(step, ["at", "elder"])
+        up = up.select("younger", "elder", F.col("via").alias("at"), F.concat(F.array(F.struct(F.col("via").alias("parent"), F.col("at").alias("child"))), "steps").alias("steps"))
+        up = cut_lineage(up)
+        there = up.where("at = elder").select("younger", "elder", "steps")
+        done = there if done is None else done.unionByName(there)
+        going = up.where("at <> elder")
+    return done if done is not None else going.select("younger", "elder", "steps")
+
+
+def chain_text(chained: DataFrame, rels: DataFrame, chars: DataFrame) -> DataFrame:
+    """(younger, elder, chain): each line in words, with the wording of every edge; an edge without one reads 亲子.
+
+    ``rels``: src, dst, type, ord, of which the first of parents and children
+    words the edge; ``chars``: id, name.
+    """
+    worded = rels.where(is_parent_child(F.col("type"))).groupBy(F.col("src").alias("parent"), F.col("dst").alias("child")).agg(F.min_by(F.regexp_replace("type", BRACKET_TAIL, ""), "ord").alias("label"))
+    name = lambda c: chars.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    each = chained.select("younger", "elder", F.posexplode("steps").alias("nth", "s")).select("younger", "elder", "nth", "s.parent", "s.child")
+    each = each.join(worded, ["parent", "child"], "left").join(name("parent"), "parent", "left").join(name("child"), "child", "left")
+    told = F.concat(F.lit("「"), F.coalesce("parent_name", "parent"), F.lit(" —"), F.coalesce("label", F.lit("亲子")), F.lit("→ "), F.coalesce("child_name", "child"), F.lit("」"))
+    in_order = F.array_sort(F.collect_list(F.struct("nth", told.alias("told"))))
+    return each.groupBy("younger", "elder").agg(F.concat(F.lit("由 "), F.array_join(F.transform(in_order, lambda s: s["told"]), "、"), F.lit(" 推导")).alias("chain"))
+
+
+# Families of terms by their head word, in order; words that tell the gap of generations; what claims to be kin.
+FAMILIES = (("sibling", "兄弟|姐妹|兄妹|姐弟|孪生"), ("collateral", "叔|姑|舅|姨|侄|甥"), ("direct", "父|母|子|女|祖|孙"))
+GAPS = ((4, "高祖|天祖|玄孙|来孙"), (3, "曾祖孙|曾孙|高祖孙|曾叔祖父|曾姑祖母|曾舅外祖父|曾姨外祖母"), (2, "祖孙|侄孙|甥孙|孙女|甥孙女|叔祖父|姑祖母|舅外祖父|姨外祖母|外祖|外孙"))
+CLAIMS_KIN = "父|母|子|女|叔|姑|舅|姨|侄|甥|祖|孙|兄弟|姐妹|堂|表"
+LEAST_COVERAGE, LEAST_REASON = 0.15, 8
+
+
+def head_of(kind: Column) -> Column:
+    """The head word: without what follows a slash, an arrow or a bracket, and without 养 before it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(kind, F.lit("")), "[／→（(](?s:.*)$", ""), "^养", ""))
+
+
+def family_of(head: Column) -> Column:
+    out = F.lit("?")
+    for name, words in reversed(FAMILIES):
+        out = F.when(head.rlike(words), F.lit(name)).otherwise(out)
+    return out
+
+
+def claimed_gap(kind: Column) -> Column:
+    """Generations apart by the wording: siblings by the head word, others by the whole, in whose brackets the gap often stands; else 1."""
+    out = F.lit(1)
+    for gap, words in reversed(GAPS):
+        out = F.when(kind.rlike(words), F.lit(gap)).otherwise(out)
+    return F.when(family_of(head_of(kind)) == "sibling", F.lit(0)).otherwise(out)
+
+
+def same_label(term: Column, kind: Column, gap: Column) -> Column:
+    """Whether a derived term and a wording say the same: one family and one gap."""
+    return (family_of(head_of(term)) == family_of(head_of(kind))) & (gap == claimed_gap(kind))
+
+
+def covered_books(chars: DataFrame, parents: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
+    """(book, covered, n_chars, judged): of how many characters parents are known, and whether that is enough to judge wordings by."""
+    n = chars.groupBy("book").agg(F.count_distinct("id").alias("n_chars"))
+    with_parents = parents.groupBy("book").agg(F.count_distinct("child").alias("covered"))
+    out = n.join(with_parents, "book", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
+    return out.withColumn("judged", F.col("covered") / F.greatest(F.col("n_chars"), F.lit(1)) >= least).select("book", "covered", "n_chars", "judged")
+
+
+def term_findings(rels: DataFrame, terms: DataFrame, books: DataFrame, exempt: DataFrame) -> DataFrame:
+    """(book, src, dst, type, term, gap): wordings of kin that the derived terms don't bear out.
+
+    ``rels``: book, src, dst, type, derived; ``terms``: book, a, b (a < b), term,
+    gap; ``books``: ``covered_books``; ``exempt``: book, src, dst, why.  Books that
+    aren't covered enough, pairs without a term and exempted relations aren't
+    judged; an exemption needs a reason.
+    """
+    claimed = rels.where("NOT derived").where(F.col("type").rlike(CLAIMS_KIN)).join(books.where("judged").select("book"), "book", "left_semi")
+    met = claimed.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(terms.select("book", "a", "b", "term", "gap"), ["book", "a", "b"])
+    wrong = met.where((F.col("term") != F.col("type")) & ~same_label(F.col("term"), F.col("type"), F.col("gap")))
+    allowed = exempt.where(F.char_length(F.trim("why")) >= LEAST_REASON).select("book", "src", "dst").distinct()
+    return wrong.join(allowed, ["book", "src", "dst"], "left_anti").select("book", "src", "dst", "type", "term", "gap").distinct()
+
+
+def unrelated_pairs(terms: DataFrame, rels: DataFrame) -> DataFrame:
+    """(book, a, b, term): derived pairs between which no relation of any kind is given."""
+    given = rels.select("book", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return terms.join(given, ["book", "a", "b"], "left_anti").select("book", "a", "b", "term")

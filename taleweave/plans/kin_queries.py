@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taleweave.operators import kin
@@ -123,3 +123,81 @@ def parent_cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bridge.table(spark, sf_dir, "supplier").where("s_suppkey % 5 IN (1, 2) AND s_suppkey <= 8")
     seeded = s.select(F.concat(F.lit("s"), "s_suppkey").alias("parent"), F.concat(F.lit("r"), F.col("s_suppkey") % 5).alias("child"))
     return kin.cycle_nodes(bridge.kin_edges(spark, sf_dir).unionByName(seeded))
+
+
+# Two parents for nations and suppliers, so that several lines lead to one ancestor; the second is often the elder edge.
+LINES_SQL = """lines AS (
+  SELECT parent, child, 2 * CAST(substr(child, 2) AS BIGINT) AS ord, '父子（亲生）' AS type FROM kin_up
+  UNION ALL SELECT 'r' || ((n_regionkey + 1) % 5), 'n' || n_nationkey, 2 * n_nationkey + CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END, '母女' FROM nation
+  UNION ALL SELECT 'n' || ((s_nationkey + 5) % 25), 's' || s_suppkey, 2 * s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 1 END, '师徒' FROM supplier)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s = bridge.table(spark, sf_dir, "nation"), bridge.table(spark, sf_dir, "supplier")
+    key = lambda letter, c: F.concat(F.lit(letter), c.cast("long").cast("string"))
+    number = F.substring("child", 2, 20).cast("long")
+    first = bridge.kin_edges(spark, sf_dir).select("parent", "child", (2 * number).alias("ord"), F.lit("父子（亲生）").alias("type"))
+    nk, sk = F.col("n_nationkey"), F.col("s_suppkey")
+    second = n.select(key("r", (F.col("n_regionkey") + 1) % 5).alias("parent"), key("n", nk).alias("child"), (2 * nk + F.when(nk % 2 == 0, 1).otherwise(-1)).cast("long").alias("ord"), F.lit("母女").alias("type"))
+    third = s.select(key("n", (F.col("s_nationkey") + 5) % 25).alias("parent"), key("s", sk).alias("child"), (2 * sk + F.when(sk % 3 == 0, -1).otherwise(1)).cast("long").alias("ord"), F.lit("师徒").alias("type"))
+    return first.unionByName(second).unionByName(third)
+
+
+@query(f"""WITH {LINES_SQL}, e AS (SELECT parent, child, min(ord) AS ord, coalesce(min(regexp_replace(type, '[（(].*$', '')) FILTER (WHERE type <> '师徒'), '亲子') AS label FROM lines GROUP BY ALL),
+up AS (SELECT child AS younger, parent AS elder, [(ord, parent)] AS way, [parent || '|' || label || '|' || child] AS steps FROM e
+  UNION ALL SELECT younger, e.parent, list_append(way, (e.ord, e.parent)), list_prepend(e.parent || '|' || label || '|' || e.child, steps) FROM up JOIN e ON e.child = up.elder),
+best AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY younger, elder ORDER BY len(way), way) = 1)
+SELECT younger, elder, len(steps) AS dist, '由 ' || array_to_string(list_transform(steps, lambda s: '「N' || split_part(s, '|', 1) || ' —' || split_part(s, '|', 2) || '→ N' || split_part(s, '|', 3) || '」'), '、') || ' 推导' AS chain FROM best""", recursive=True)
+def kin_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of descent of every pair in words."""
+    lines = _lines(spark, sf_dir)
+    closed = kin.closure(lines)
+    chained = kin.chains(closed.select(F.col("node").alias("younger"), F.col("ancestor").alias("elder")), kin.witnesses(lines, closed))
+    ids = lines.select(F.col("parent").alias("id")).union(lines.select("child")).distinct()
+    told = kin.chain_text(chained, lines.withColumnsRenamed({"parent": "src", "child": "dst"}), ids.withColumn("name", F.concat(F.lit("N"), "id")))
+    return chained.join(told, ["younger", "elder"]).select("younger", "elder", F.size("steps").cast("long").alias("dist"), "chain")
+
+
+WORDINGS = ("父子", "祖孙", "叔侄（叔祖父与侄孙）", "兄弟／情人", "养母女", "师徒", "曾祖孙", "半兄弟")
+BOOKS_SQL = f"""{CLOSED_SQL}, b AS (SELECT 'r' || n_regionkey AS id, 'r' || n_regionkey AS book FROM nation UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+ UNION SELECT 's' || s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+people AS (SELECT book, id FROM b UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey % 2 = 1),
+t AS (SELECT book, least(node, ancestor) AS a, greatest(node, ancestor) AS b, CASE WHEN dist = 1 THEN '父子' ELSE '祖孙' END AS term, CAST(dist AS INT) AS gap FROM closed JOIN b ON b.id = node
+ UNION ALL SELECT book, x.child, y.child, '半兄弟', 0 FROM kin_up x JOIN kin_up y ON x.parent = y.parent AND x.child < y.child JOIN b ON b.id = x.child),
+n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY a, b) AS k FROM t)"""
+
+
+def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every region a book: its people (regions of odd number with all customers), parents, derived terms, and relations worded in turn."""
+    n, s, c = (bridge.table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    book = F.concat(F.lit("r"), F.col("n_regionkey"))
+    kin_of = n.select(book.alias("id"), book.alias("book")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), book)).union(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey"), book)).distinct()
+    others = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).where("n_regionkey % 2 = 1").select(book.alias("book"), F.concat(F.lit("c"), "c_custkey").alias("id"))
+    up = bridge.kin_edges(spark, sf_dir)
+    parents = up.join(kin_of, up["child"] == kin_of["id"]).select("book", "parent", "child")
+    closed = _closed(spark, sf_dir)
+    line = closed.join(kin_of, closed["node"] == kin_of["id"]).select("book", F.least("node", "ancestor").alias("a"), F.greatest("node", "ancestor").alias("b"), F.when(F.col("dist") == 1, "父子").otherwise("祖孙").alias("term"), F.col("dist").alias("gap"))
+    pair = parents.withColumnRenamed("child", "a").join(parents.select("parent", F.col("child").alias("b")), "parent").where("a < b").select("book", "a", "b", F.lit("半兄弟").alias("term"), F.lit(0).alias("gap"))
+    terms = line.unionByName(pair)
+    nth = F.row_number().over(Window.partitionBy("book").orderBy("a", "b"))
+    worded = terms.withColumn("k", nth).where("k % 9 <> 8").select("book", F.col("b").alias("src"), F.col("a").alias("dst"), F.get(F.array(*map(F.lit, WORDINGS)), F.col("k") % len(WORDINGS)).alias("type"), (F.col("k") % 10 == 0).alias("derived"), "k")
+    return kin_of.select("book", "id").unionByName(others), parents, terms, worded
+
+
+@query(f"""WITH {BOOKS_SQL}, ok AS (SELECT p.book FROM people p LEFT JOIN (SELECT b.book, count(DISTINCT child) AS covered FROM kin_up JOIN b ON b.id = child GROUP BY b.book) x ON x.book = p.book
+ GROUP BY p.book HAVING any_value(covered) / count(DISTINCT p.id) >= 0.15),
+w AS (SELECT *, ({list(WORDINGS)})[k % {len(WORDINGS)} + 1] AS type FROM n WHERE k % 9 <> 8 AND k % 10 <> 0),
+f AS (SELECT *, CASE type WHEN '父子' THEN 'direct1' WHEN '祖孙' THEN 'direct2' WHEN '叔侄（叔祖父与侄孙）' THEN 'collateral2' WHEN '兄弟／情人' THEN 'sibling0' WHEN '养母女' THEN 'direct1' WHEN '曾祖孙' THEN 'direct3' WHEN '半兄弟' THEN 'sibling0' END AS said,
+ CASE term WHEN '父子' THEN 'direct' WHEN '祖孙' THEN 'direct' ELSE 'sibling' END || gap AS derived FROM w WHERE type <> '师徒' AND book IN (SELECT book FROM ok))
+SELECT book, b AS src, a AS dst, type, term, gap FROM f WHERE said <> derived AND k % 25 <> 0""")
+def kin_term_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wordings against derived terms; every twenty-fifth relation is exempt."""
+    people, parents, terms, worded = _books(spark, sf_dir)
+    exempt = worded.where("k % 25 = 0").select("book", "src", "dst", F.lit("so it stands in the source").alias("why"))
+    return kin.term_findings(worded, terms, kin.covered_books(people, parents), exempt)
+
+
+@query(f"WITH {BOOKS_SQL} SELECT book, term, count(*) AS n FROM n WHERE k % 9 = 8 GROUP BY ALL")
+def kin_unrelated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, terms, worded = _books(spark, sf_dir)
+    return kin.unrelated_pairs(terms, worded).groupBy("book", "term").agg(F.count("*").alias("n"))
