@@ -134,3 +134,25 @@ def chapters(texts: DataFrame, heading: str) -> DataFrame:
     w = Window.partitionBy("text_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("chapter", F.sum(F.when(F.col("line").rlike(heading), 1).otherwise(0)).over(w).cast("int"))
     return marked.groupBy("text_id", "chapter").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("line")).alias("n_chars"))
+
+
+# What says that somebody speaks, endings that are no part of a name, beginnings that are nobody's, and the lengths of names.
+SAYS = "([一-鿿]{2,4})(?:笑|怒|惊|喜|叹|问|喝|叱|呼|叫|拍|顿|抚|指|答|回|冷|仰|大)?曰"
+TAIL_WORDS = "(?:大笑|大怒|大惊|大叫|大呼|大哭|大喝|高叫|笑|怒|惊|喜|叹|问|喝|叱|呼|叫|拍|顿|抚|指|答|回|冷|仰|曰)$"
+NOBODY = "^(?:左右|百姓|军民|父子|兄弟|夫妻|陛下|主公|将士|军士|部下|帐下|麾下|百官|群臣|文武|先主|后主|四众|三众|二众|曹众|吴众|蜀众|魏众|众|诸|某|吾|汝|尔|彼|这|那)"
+SPOKEN = (2, 3)
+
+
+def unseen_speakers(texts: DataFrame, known: DataFrame, initials: DataFrame, least: int, says: str = SAYS, tail: str = TAIL_WORDS, nobody: str = NOBODY, lengths: tuple[int, int] = SPOKEN) -> DataFrame:
+    """(name, said, n): who speaks in the texts and is no known name: how often so, and how often the name occurs in all.
+
+    Endings (``tail``) are taken off twice.  Names begin with a surname's sign
+    (``initials``: sign), have ``lengths`` characters and occur ``least`` times.
+    """
+    who = texts.select(F.explode(F.regexp_extract_all("text", F.lit(says), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("said"))
+    for _ in range(2):
+        who = who.withColumn("name", F.regexp_replace("name", tail, ""))
+    who = who.groupBy("name").agg(F.sum("said").alias("said")).where(F.char_length("name").between(*lengths) & ~F.col("name").rlike(nobody))
+    who = who.join(known.select("name").distinct(), "name", "left_anti").withColumn("sign", F.left("name", F.lit(1))).join(initials.select("sign").distinct(), "sign", "left_semi").select("name", "said")
+    n = form_counts(texts, who.select(F.col("name").alias("form"))).select(F.col("form").alias("name"), "n")
+    return who.join(n, "name").where(F.col("n") >= least).select("name", "said", "n")
