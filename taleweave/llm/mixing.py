@@ -213,7 +213,8 @@ def mix_documents(docs: DataFrame, block_words: int = 32, shard_slots: int = 409
     texts = texts.withColumn("last", F.sum("n").over(Window.partitionBy(*same).orderBy("lang").rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]) == F.col("size")
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), "")
+    # bound once: a lambda would take the text apart again for every span
+    cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), "")), F.lit(0))
     out = join_on(spans, texts, same).where("nth > last - n AND nth <= last")
     out = out.select("doc_id", F.when(whole, F.col("text")).otherwise(cut).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
