@@ -77,20 +77,22 @@ ENDS = {START: ("", 0), SYSTEM: ("II", 2 * INSERT), USER: ("I", INSERT), ASSISTA
 
 MARKED = rf"""
 CREATE TEMP TABLE marked AS
-WITH numbered AS (
+WITH placed AS (
   SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST, segment) AS g,
-         row_number() OVER (PARTITION BY conv_id, segment, key, CASE WHEN key IS NULL THEN role END, CASE WHEN key IS NULL THEN text END ORDER BY seen DESC, turn NULLS FIRST, role, text) > 1 AS again
+         row_number() OVER (PARTITION BY conv_id, segment ORDER BY seen DESC, turn NULLS FIRST, role, text) - count(*) FILTER (WHERE seen) OVER (PARTITION BY conv_id, segment) AS pos
   FROM rows_in),
-placed AS (
-  SELECT g, conv_id, segment, role, text, copies, again, substr(role, 1, 1) AS initial,
-         row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS pos,
+known AS (
+  SELECT *, row_number() OVER (PARTITION BY g, key, CASE WHEN key IS NULL THEN role END, CASE WHEN key IS NULL THEN text END ORDER BY pos) > 1 AS again
+  FROM placed),
+judged AS (
+  SELECT g, conv_id, segment, role, text, copies, pos, again, substr(role, 1, 1) AS initial,
          NOT regexp_matches(text, '[^{GAP}]') AS blank,
          NOT regexp_matches(text, '[.!?][{GAP}]*\z') AS cut
-  FROM numbered WHERE NOT seen)
+  FROM known WHERE NOT seen)
 SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE '?' END AS known,
        CASE WHEN blank OR again THEN {GONE} WHEN cut THEN {CUT} ELSE {FINE} END AS kind,
        lag(initial) OVER (PARTITION BY g ORDER BY pos) AS before
-FROM placed
+FROM judged
 """
 
 FAULTS = """

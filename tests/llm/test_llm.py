@@ -43,9 +43,16 @@ def corpus():
 
 
 ROWS = corpus()
+STATE = rng.getstate()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, bucket string, start string, rep string, n string, key string, ids string, position string"
 
 
+@pytest.fixture(autouse=True)
+def own_numbers():
+    """Every test draws the same numbers, whichever tests ran before."""
+    rng.setstate(STATE)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(d, t, ("en", "fr", None)[d % 3], ("a", "b", "c", None)[d % 4], None if t is None else len(t), *["x"] * 9) for d, t in ROWS]
@@ -594,6 +601,17 @@ def test_trees_match_a_plain_version(spark):
         t, p = got[rows[i][0], tuple(rows[i][1])]
         assert t == template and abs(p - purity) < 1e-9, (rows[i], t, template, p, purity)
 
+
+def test_repeated_rows_keep_their_source_in_the_mix(spark):
+    rows = [(i, prose(rng.randrange(20, 60)), "en", "a") for i in range(60)]
+    rows += [(i, t, "en", "b") for i, t, _, _ in rows[:20]] + [(i, t, "de", "b") for i, t, _, _ in rows[:5]] + [rows[0]] * 3 + [(None, rows[1][1], None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    words = lambda d: {r.source: r.n for r in d.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    mixed = mixing.mix_documents(df, block_words=8)
+    assert words(mixed.select("source", mixing.n_words(F.col("text")).alias("n"))) == words(mixing.mix_amounts(df, block_words=8).select("source", F.col("taken").alias("n")))
+    assert {(r.doc_id, r.source) for r in mixed.collect()} <= {(d, s) for d, _, _, s in rows}
+
+
 def test_z_limit_is_the_quantile(spark):
     from statistics import NormalDist
 
