@@ -50,7 +50,7 @@ def resolve_names(asked: DataFrame, forms: DataFrame) -> DataFrame:
 def search(chars: DataFrame, asked: DataFrame, visible: Column, hidden: Column, locked: Column) -> DataFrame:
     """First hit of each asked text by bucket (visible, hidden tier, locked) and data order; names that contain the text.
 
-    Asked texts meet the names on equality of character grams.
+    All asked texts are looked for in one pass over the names.
     """
     bucket = F.when(locked, 3).when(hidden, 2).when(visible, 1)
     c = chars.withColumn("bucket", bucket).where("bucket IS NOT NULL")

@@ -100,6 +100,23 @@ def degrees(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
+PLACES = 65536  # of data order in one sort
+
+
+def ranks(ranked: DataFrame) -> DataFrame:
+    """``ranked`` (degree, ord and others) with ``rank`` by degree, highest first, ties by data order.
+
+    Nodes are counted by degree and stretch of the data order, and only those
+    counts meet in one window, so the many nodes of a low degree share no sort.
+    """
+    rows = ranked.withColumn("__part", F.floor(F.col("ord") / PLACES))
+    counts = rows.groupBy("degree", "__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(F.desc("degree"), "__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("degree", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("degree", "__part").orderBy("ord"))
+    return rows.withColumn("__nth", nth).join(counts, ["degree", "__part"]).withColumn("rank", F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
+
+
 def top_by_degree(ranked: DataFrame, k: int) -> DataFrame:
     """The ``k`` first by degree, ties by data order, as (id, rank)."""
     best = ranked.orderBy(F.desc("degree"), "ord").limit(k)

@@ -74,9 +74,11 @@ def combo_top60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.ranked_suggestions(view.degrees(rels, nodes), "1")
 
 
-@query("SELECT id FROM chars WHERE id NOT IN (SELECT src FROM rels UNION SELECT dst FROM rels)")
+@query("SELECT id FROM chars WHERE id NOT IN (SELECT src FROM rels WHERE ch < 6 UNION SELECT dst FROM rels WHERE ch < 6)")
 def prune_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.orphans(*book(spark, sf_dir)).select("id")
+    """Characters without a relation in the first five chapters."""
+    nodes, rels = book(spark, sf_dir)
+    return resolve.orphans(nodes, rels.where("ch < 6")).select("id")
 
 
 @query(f"WITH {DEGREE_SQL} SELECT c.id, CASE WHEN degree <= 1 AND tier <> 'mentioned' THEN 'minor' ELSE tier END AS tier FROM chars c JOIN deg USING (id)")

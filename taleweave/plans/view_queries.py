@@ -136,13 +136,8 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DEGREE_SQL} SELECT id, degree, row_number() OVER (ORDER BY degree DESC, ord) AS rank FROM deg")
 def degree_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of all nodes: counted by degree first, so nodes of one degree share a sort, not all nodes."""
     nodes, rels = book(spark, sf_dir)
-    d = view.degrees(rels, nodes).select("id", "ord", "degree")
-    higher = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
-    before = d.groupBy("degree").agg(F.count("*").alias("n")).select("degree", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("degree").orderBy("ord"))
-    return d.join(before, "degree").select("id", "degree", (F.col("before") + nth).alias("rank"))
+    return view.ranks(view.degrees(rels, nodes)).select("id", "degree", "rank")
 
 
 @query(f"WITH {DEGREE_SQL} SELECT id, CAST(row_number() OVER (ORDER BY degree DESC, ord) AS INT) AS rank FROM deg QUALIFY rank <= 60")

@@ -83,12 +83,10 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
 
 def optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, bool]:
     """(rows, judged): a missing side file is empty and not judged, which isn't the same as no findings."""
-    try:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.read.schema(schema).json(path), True
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema), False
+    return spark.createDataFrame([], schema), False
 
 
 def export_view(nodes: DataFrame, links: DataFrame, text_judged: bool = True) -> tuple[DataFrame, DataFrame]:
