@@ -33,7 +33,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 _OWN.append(tempfile.mkdtemp(prefix="taleweave-graph-"))
             configured = _OWN[0]
         context.setCheckpointDir(configured)
-    return df.checkpoint()
+    out = df.checkpoint()
+    # columns of its own: a plan with a checkpoint twice would else meet what Spark knows of the columns before
+    return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
 def adjacency(rels: DataFrame, nodes: DataFrame) -> DataFrame:
