@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from taleweave.llm import kernels
 from taleweave.llm.components import components
 from taleweave.llm.frames import KEY, join_on, with_key
-from taleweave.llm.scratch import written
+from taleweave.llm.scratch import forget_shuffles, written
 from taleweave.llm.signature_tree import PER_CENT, LinkCounts, SignatureTree
 
 U64 = np.uint64
@@ -305,6 +305,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     mine = classes.withColumn("bucket", F.pmod("set_key", F.lit(n_buckets)).cast("int"))
     gathered = buckets.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(_gather(per_cent), LIVE_SQL)
     live = written(gathered, "live")
+    forget_shuffles(docs.sparkSession)  # every shingle has been moved twice by now
 
     keys = live.select("rep", F.posexplode("hashes").alias("salt", "hash")).withColumn("group", F.xxhash64("salt", "hash"))
     counts = keys.groupBy("group").agg(F.count("*").alias("count")).where("count > 1")
@@ -314,6 +315,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     prefix = live.select("rep", "n", "tokens").mapInArrow(_prefixes(per_cent), "rep long, token long")
     prefix = prefix.join(near, prefix["rep"] == near["node"], "left").select("rep", "token", F.coalesce("component", "rep").alias("component"))
     prefix = written(prefix, "prefix")
+    forget_shuffles(docs.sparkSession)
     # tokens whose members are still in two components or more
     rest = _met(live, prefix, F.col("low") < F.col("high"), per_cent)
     final = components(rest.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
