@@ -152,9 +152,9 @@ def near_spans(places: DataFrame, found: DataFrame, distance: int) -> DataFrame:
     """Rows of ``places`` (text_id, pos, ...) with a span of ``found`` that begins or ends within ``distance``, or holds the place: an equi-join on buckets of positions."""
     width = distance + 1
     low, high = F.floor((F.col("start") - distance) / width), F.floor((F.col("stop") + distance) / width)
-    spread = found.select(F.col("text_id").alias("__text"), "start", "stop", F.explode(F.sequence(low, high)).alias("__bucket"))
+    spread = found.select(F.col("text_id").alias("__text"), (F.col("start") - distance).alias("__low"), (F.col("stop") + distance).alias("__high"), F.explode(F.sequence(low, high)).alias("__bucket"))
     left = places.withColumn("__at", F.floor(F.col("pos") / width))
-    on = (F.col("text_id") == F.col("__text")) & (F.col("__at") == F.col("__bucket")) & (F.col("pos") >= F.col("start") - distance) & (F.col("pos") <= F.col("stop") + distance)
+    on = (F.col("text_id") == F.col("__text")) & (F.col("__at") == F.col("__bucket")) & F.col("pos").between(F.col("__low"), F.col("__high"))
     return left.join(spread, on, "left_semi").drop("__at")
 
 

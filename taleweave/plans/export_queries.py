@@ -40,10 +40,10 @@ def standalone_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK_SQL = "'b' || (CAST(substr({0}, 2) AS BIGINT) % 3)"
 
 
-@query(f"""WITH own AS (SELECT unnest([src, dst]) AS id FROM rels WHERE {BOOK_SQL.format('src')} = {BOOK_SQL.format('dst')})
+@query(f"""WITH own AS (SELECT src AS id FROM rels UNION ALL SELECT dst FROM rels WHERE {BOOK_SQL.format('src')} = {BOOK_SQL.format('dst')})
 SELECT {BOOK_SQL.format('c.id')} AS book, c.id, count(own.id) AS degree FROM chars c LEFT JOIN own ON own.id = c.id GROUP BY c.id""")
 def pack_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third character is of one book, and a relation of its first end's; degrees count those with both ends in it."""
+    """Every third character is of one book, and a relation of its first end's; degrees count the ends in it."""
     book = lambda c: F.concat(F.lit("b"), F.substring(c, 2, 20).cast("long") % 3)
     chars = bridge.characters(spark, sf_dir).select(book("id").alias("book"), "id")
     rels = bridge.relations(spark, sf_dir).select(book("src").alias("book"), "src", "dst", "ord")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleweave.functions import labels, scalars
-from taleweave.operators import kin, ledgers, rules, validate
+from taleweave.operators import gaps, kin, ledgers, rules, validate
 from taleweave.plans.base import query
 from taleweave.plans.kin_queries import SEX_SQL
 from taleweave.plans.text_queries import benchmark_names
@@ -259,3 +259,38 @@ def kin_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
     kind = F.when(k % 5 == 0, "direct").when(k % 5 == 1, "sibling").when(k % 5 == 2, "collateral").otherwise("unrelated")
     return p.select("p_partkey", kin.filled_kin(pick(("父子", "盟友", "养母女", "夫妻"), 4), pick(("", "none", "sworn"), 3)).alias("kin"), kin.worth_deriving(kind, (k % 2).cast("int")).alias("worth"))
+
+
+@query("""WITH x AS (SELECT 'c' || c_custkey AS id, c_custkey AS ord, CASE WHEN c_custkey % 10 = 0 THEN 'Cust 1' ELSE 'Cust ' || c_custkey END AS name, c_mktsegment AS faction, 'cust·' || (c_custkey % 50) AS alias FROM customer),
+o AS (SELECT replace(lower(name), ' ', '') AS key, arg_min(id, ord) AS id, arg_min(faction, ord) AS f FROM x GROUP BY 1)
+SELECT o.id, x.id AS alias_of, alias, faction = f AS same_faction FROM x JOIN o ON o.key = replace(alias, '·', '') WHERE o.id <> x.id AND o.key <> replace(lower(name), ' ', '') AND alias <> 'cust·7'""")
+def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose alias is the number of another one, spelt otherwise; every tenth has the first one's name."""
+    k = F.col("c_custkey")
+    c = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k).alias("id"), k.alias("ord"), F.when(k % 10 == 0, "Cust 1").otherwise(F.concat(F.lit("Cust "), k)).alias("name"), F.col("c_mktsegment").alias("faction"), F.array(F.concat(F.lit("cust·"), k % 50), F.lit("x")).alias("aliases"))
+    return gaps.alias_candidates(c, "^cust7$")
+
+
+@query("""WITH f AS (SELECT DISTINCT left(p_name, 6) AS name FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT n_name FROM nation UNION SELECT DISTINCT left(p_name, 3) FROM part UNION SELECT left(r_name, 2) || '来' FROM region),
+k AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT left(p_name, 2) FROM part WHERE p_size = 7)
+SELECT name, CASE WHEN name IN (SELECT n_name FROM nation) THEN 'place' WHEN length(name) = 3 AND left(name, 2) IN (SELECT name FROM k) THEN 'known and a sign'
+ WHEN EXISTS (SELECT 1 FROM k WHERE length(k.name) > length(f.name) AND starts_with(k.name, f.name)) THEN 'start of known' WHEN name LIKE '%来' THEN 'ends in a particle' ELSE 'open' END AS kind FROM f""")
+def fragment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of names, nations and regions as candidates, the names of parts and some of their beginnings as known names."""
+    p, n, r = (bridge.table(spark, sf_dir, t) for t in ("part", "nation", "region"))
+    names = p.select(F.col("p_name").alias("name"))
+    head = lambda m: p.select(F.left("p_name", F.lit(m)).alias("name"))
+    asked = head(6).union(names).union(n.select("n_name")).union(head(3)).union(r.select(F.concat(F.left("r_name", F.lit(2)), F.lit("来"))))
+    known = names.union(p.where("p_size = 7").select(F.left("p_name", F.lit(2))))
+    return gaps.fragment_kinds(asked, known, n.select(F.col("n_name").alias("name")))
+
+
+@query("""WITH x AS (SELECT id, name, CASE WHEN ord % 4 = 0 THEN 'alias-1' END AS alias FROM chars), d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM rels UNION ALL SELECT dst FROM rels) GROUP BY id)
+SELECT 'no alias' AS kind, x.id, CAST(n AS VARCHAR) AS subject FROM x JOIN d USING (id) WHERE alias IS NULL AND n >= 20
+UNION ALL SELECT 'variant missing', id, 'Kustomer' || substr(name, 9) FROM x WHERE name LIKE 'Customer%'
+UNION ALL SELECT 'variant missing', id, 'Supplyer' || substr(name, 9) FROM x WHERE name LIKE 'Supplier%'""")
+def search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the warehouse, every fourth with an alias, and other spellings of their names."""
+    chars = bridge.characters(spark, sf_dir).select("id", "name", F.when(F.col("ord") % 4 == 0, F.array(F.lit("alias-1"))).alias("aliases"), F.lit(None).cast("array<string>").alias("alt_names"))
+    pairs = spark.createDataFrame([("Cust", "Kust"), ("pplie", "pplye"), ("zz", "z"), ("alias", "lia")], "a string, b string")
+    return gaps.search_audit(chars, bridge.relations(spark, sf_dir), pairs, 20)

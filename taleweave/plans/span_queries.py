@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleweave.operators import dotted, matching
+from taleweave.operators import dotted, gaps, matching
 from taleweave.plans.base import query
 from taleweave.sources import bridge
 
@@ -98,3 +98,24 @@ def dotted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts, addresses and versions as names held together by full stops."""
     named = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
     return dotted.unknown_names(_texts(spark, sf_dir), named(KNOWN), named(SETTLED), 2, ".", "a-z0-9")
+
+
+GAP, GAP_STOP, GAP_FILL = "th[a-z]{3,5}", "^(?:there|thing)", "[xkm]"
+
+
+@query(f"""WITH {SPANS_SQL}, fs AS (SELECT list(form ORDER BY length(form) DESC, form) AS fs FROM forms),
+m AS (SELECT doc_id AS text_id, list_reduce(fs, lambda t, x: replace(t, x, repeat('〇', length(x))), text) AS text FROM documents, fs WHERE text IS NOT NULL),
+tk AS (SELECT text_id, regexp_extract_all(text, '{GAP}') AS ws, regexp_split_to_array(text, '{GAP}') AS gs FROM m),
+ti AS (SELECT text_id, unnest(ws) AS name, unnest(list_transform(gs[1:len(ws)], lambda g: length(g))) AS gap, unnest(range(len(ws))) AS k FROM tk),
+tp AS (SELECT text_id, name, sum(gap + length(name)) OVER (PARTITION BY text_id ORDER BY k) - length(name) AS pos FROM ti),
+c AS (SELECT * FROM tp WHERE NOT regexp_matches(name, '{GAP_STOP}') AND NOT regexp_matches(name, '{GAP_FILL}') AND name NOT IN (SELECT form FROM forms)),
+n AS (SELECT name, count(*) AS n FROM c GROUP BY name HAVING count(*) >= 4),
+ok AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM forms WHERE contains(form, name) OR contains(name, form)) AND length(name) <> 7),
+r AS (SELECT c.name, count(*) AS near FROM c JOIN ok USING (name) WHERE EXISTS (SELECT 1 FROM spans s WHERE s.text_id = c.text_id AND pos BETWEEN s.start - 40 AND s.stop + 40) GROUP BY c.name)
+SELECT name, n, near FROM ok JOIN r USING (name)""")
+def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings with th as a surname, near known forms; those of seven letters are settled."""
+    texts = _texts(spark, sf_dir)
+    known = _forms(spark, sf_dir).withColumnRenamed("form", "name")
+    settled = texts.select(F.explode(F.regexp_extract_all("text", F.lit("th[a-z]{5}"), F.lit(0))).alias("name")).where("char_length(name) = 7").distinct()
+    return gaps.gap_report(texts, known, settled, GAP, GAP_STOP, GAP_FILL, "[aeiou]", 4, 40).select("name", "n", "near")

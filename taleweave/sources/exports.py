@@ -59,13 +59,10 @@ def pack_collections(chars: DataFrame, rels: DataFrame, positions: DataFrame) ->
     """Characters with their degree within their book, relations, and positions by layout.
 
     ``chars``: book, id and others; ``rels``: book, src, dst and others;
-    ``positions``: book, layout, id, x, y.  A relation with an end outside the book
-    doesn't count, and a loop counts twice.
+    ``positions``: book, layout, id, x, y.  Each end that the book has counts,
+    even if the other is missing, and a loop counts twice.
     """
-    known = chars.select("book", "id").distinct()
-    end = lambda c: known.withColumnRenamed("id", c)
-    whole = rels.join(end("src"), ["book", "src"], "left_semi").join(end("dst"), ["book", "dst"], "left_semi")
-    degree = whole.select("book", F.explode(F.array("src", "dst")).alias("id")).groupBy("book", "id").agg(F.count("*").alias("degree"))
+    degree = rels.select("book", F.explode(F.array("src", "dst")).alias("id")).groupBy("book", "id").agg(F.count("*").alias("degree"))
     counted = chars.join(degree, ["book", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
     return {"characters": counted, "relations": rels, "layouts": positions.select("book", "layout", "id", F.round("x").cast("long").alias("x"), F.round("y").cast("long").alias("y"))}
 

@@ -191,7 +191,7 @@ def test_packs_come_back(spark, tmp_path):
     back = exports.read_packs(spark, str(tmp_path / "packs"), schemas)
     for name, rows in packs.items():
         assert sorted(map(tuple, back[name].select(rows.columns).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
-    assert {(r.book, r.id): r.degree for r in back["characters"].where("book = 'x'").collect()} == {("x", "a"): 3, ("x", "b"): 1}
+    assert {(r.book, r.id): r.degree for r in back["characters"].where("book = 'x'").collect()} == {("x", "a"): 4, ("x", "b"): 1}
     assert back["layouts"].first()["x"] == 1 and back["layouts"].first()["y"] == -3
 
 
