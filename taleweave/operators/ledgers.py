@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taleweave.functions.scalars import BLANK, base_name
+
 
 def reconcile(ledger: DataFrame, data: DataFrame, keys: list[str], value: str, least_reason: int = 8, reason: str | None = None) -> DataFrame:
     """keys and problem of every row that doesn't agree: unlisted, stale, differs, duplicate or without a reason."""
@@ -124,3 +126,147 @@ def coverage_problems(declared: DataFrame, chars: DataFrame, pattern: str) -> Da
 def actor_problems(ledger: DataFrame, flags: DataFrame, least_reason: int = 8) -> DataFrame:
     """(book, src, dst, problem): the ledger (book, src, dst, flag, why) of relations whose actors were found wanting against the flags found."""
     return reconcile(ledger, flags, ["book", "src", "dst"], "flag", least_reason, "why")
+
+
+LATE = 5  # chapters by which a first chapter may come after the first occurrence
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+
+
+def _problems(df: DataFrame, *columns: str, **found: Column) -> DataFrame:
+    """A row for every problem (named by keyword, underscores for blanks) that holds."""
+    each = F.array_compact(F.array(*[F.when(c, F.lit(name.replace("_", " "))) for name, c in found.items()]))
+    return df.select(*columns, F.explode(each).alias("problem"))
+
+
+def declared_counts(declared: DataFrame, counted: DataFrame) -> DataFrame:
+    """(book, said, found): books whose ledger states another number (book, n) than there is (a row of ``counted`` (book) each); null numbers state nothing."""
+    n = counted.groupBy("book").agg(F.count("*").alias("found"))
+    both = declared.where("n IS NOT NULL").select("book", F.col("n").cast("long").alias("said")).join(n, "book", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+    return both.where("said <> found").select("book", "said", "found")
+
+
+def rejected_problems(rejected: DataFrame) -> DataFrame:
+    """(book, alt, problem): rejected other names (book, alt, why) need a name and a reason."""
+    return _problems(rejected, "book", "alt", blank_name=_blank("alt"), no_reason=_blank("why"))
+
+
+def first_chapter_problems(ledger: DataFrame, chars: DataFrame, kinds: tuple[str, ...], late: DataFrame | None = None, slack: int = LATE, least_reason: int = 8) -> DataFrame:
+    """(book, name, problem): entries of first chapters that are meant to be late.
+
+    ``ledger``: book, name, first_ch, text_first, kind, why; ``chars``: book, name,
+    first_ch (of a name the first counts); ``late`` (book, name): what an audit of
+    the texts finds late and unsettled; without it, whether the ledger is whole
+    isn't judged.
+    """
+    key = ["book", "name"]
+    n = ledger.groupBy(*key).agg(F.count("*").alias("n"))
+    known = chars.groupBy(*key).agg(F.min("first_ch").alias("data_ch"), F.lit(True).alias("known"))
+    books = chars.select("book").distinct().withColumn("book_known", F.lit(True))
+    e = ledger.join(n, key, "left").join(known, key, "left").join(books, "book", "left")
+    positive = lambda c: F.coalesce(F.col(c) >= 1, F.lit(False))
+    named = F.col("book").isNotNull() & F.col("name").isNotNull()
+    reason = F.char_length(F.regexp_replace(F.coalesce("why", F.lit("")), BLANK, ""))
+    out = _problems(
+        e,
+        *key,
+        field_missing=_blank("book") | _blank("name"),
+        first_chapter_illegal=~positive("first_ch"),
+        text_chapter_illegal=~positive("text_first"),
+        no_reason=reason < least_reason,
+        kind_unknown=~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)),
+        repeated=F.coalesce(F.col("n") > 1, F.lit(False)),
+        book_unknown=named & F.col("book_known").isNull(),
+        nobody=F.col("book_known") & F.col("name").isNotNull() & F.col("known").isNull(),
+        chapter_differs=F.col("known") & positive("first_ch") & ~F.col("data_ch").eqNullSafe(F.col("first_ch")),
+        not_late=F.col("known") & positive("first_ch") & positive("text_first") & (F.col("first_ch") - F.col("text_first") <= slack),
+    ).distinct()
+    if late is None:
+        return out
+    return out.unionByName(late.select(*key).distinct().join(ledger.select(*key), key, "left_anti").withColumn("problem", F.lit("unlisted")))
+
+
+def same_name_problems(ledger: DataFrame, chars: DataFrame, least_reason: int = 8) -> DataFrame:
+    """(book, base, problem): people whose names agree but for brackets, against a ledger of such groups, both ways.
+
+    ``ledger``: book, base, members (array of ids), why; ``chars``: book, id,
+    name.  Without a ledger every group is unlisted.  Every name of a group needs a
+    bracket to be told apart.
+    """
+    key = ["book", "base"]
+    bare = ~F.col("name").rlike("[（(]")
+    groups = chars.groupBy("book", base_name(F.col("name")).alias("base")).agg(F.sort_array(F.collect_set("id")).alias("ids"), F.count("*").alias("n"), F.max(bare).alias("bare")).where("n > 1")
+    e = ledger.withColumn("entries", F.lit(1)).groupBy(*key).agg(F.count("*").alias("entries"), F.first(F.coalesce("members", F.array().cast("array<string>"))).alias("members"), F.min(F.char_length(F.trim(F.coalesce("why", F.lit(""))))).alias("reason"))
+    both = e.join(groups, key, "full_outer")
+    listed, there = F.col("entries").isNotNull(), F.col("n").isNotNull()
+    outside = F.size(F.array_except("members", "ids")) > 0
+    return _problems(
+        both,
+        *key,
+        stale=listed & ~there,
+        outsider=listed & there & outside,
+        members_differ=listed & there & (outside | (F.size("members") != F.size("ids"))),
+        repeated=listed & (F.col("entries") > 1),
+        no_reason=listed & (F.col("reason") < least_reason),
+        unlisted=there & ~listed,
+        no_bracket=there & F.col("bare"),
+    )
+
+
+def cross_chapter_problems(ledger: DataFrame, items: DataFrame, events: DataFrame, least_reason: int = 8) -> DataFrame:
+    """(book, ch, event, problem): entries of events that an annotation of another chapter declares on purpose; the first problem of each counts.
+
+    ``ledger``: book, ch, event, why; ``items``: book, ch, events (array);
+    ``events``: book, event, ch.  Declarations across chapters that no entry
+    settles are ``unlisted``.
+    """
+    key = ["book", "ch", "event"]
+    whole = ~_blank("book") & F.coalesce(F.col("ch") >= 1, F.lit(False)) & ~_blank("event")
+    entries = ledger.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.char_length(F.trim(F.coalesce("why", F.lit(""))))).alias("reason"))
+    flag = lambda df, c, *on: df.select(*on).distinct().withColumn(c, F.lit(True))
+    declared = items.select("book", "ch", F.explode("events").alias("event")).distinct()
+    own = events.groupBy("book", "event").agg(F.min("ch").alias("event_ch"), F.lit(True).alias("event_known"))
+    both_books = items.select("book").distinct().join(events.select("book").distinct(), "book", "left_semi")
+    e = entries.join(flag(both_books, "book_known", "book"), "book", "left").join(flag(items, "item_known", "book", "ch"), ["book", "ch"], "left")
+    e = e.join(own, ["book", "event"], "left").join(flag(declared, "declared", *key), key, "left")
+    first = (
+        F.when(~whole, "field missing")
+        .when(F.col("reason") < least_reason, "no reason")
+        .when(F.col("book_known").isNull(), "book unknown")
+        .when(F.col("item_known").isNull(), "no annotation")
+        .when(F.col("event_known").isNull(), "event unknown")
+        .when(F.col("declared").isNull(), "undeclared")
+        .when(F.col("event_ch") == F.col("ch"), "same chapter")
+    )
+    again = entries.where(whole & (F.col("n") > 1)).select(*key, F.lit("repeated").alias("problem"))
+    across = declared.join(own, ["book", "event"]).where(F.col("event_ch") != F.col("ch")).select(*key)
+    open_ = across.join(entries.where(whole).select(*key), key, "left_anti").select(*key, F.lit("unlisted").alias("problem"))
+    return e.select(*key, first.alias("problem")).where("problem IS NOT NULL").unionByName(again).unionByName(open_)
+
+
+def name_form_problems(ledger: DataFrame, chars: DataFrame) -> DataFrame:
+    """(book, name, problem, owner): entries (book, name, why) on how main names are written; ``owner`` is whose alias the name is instead.
+
+    ``chars``: book, name, aliases (array).
+    """
+    key = ["book", "name"]
+    main = chars.select(*key).distinct().withColumn("is_main", F.lit(True))
+    alias = chars.select("book", F.col("name").alias("owner"), F.explode("aliases").alias("alias")).groupBy("book", F.col("alias").alias("name")).agg(F.min("owner").alias("owner"))
+    books = chars.select("book").distinct().withColumn("book_known", F.lit(True))
+    e = ledger.groupBy(*key).agg(F.count("*").alias("n"), F.max(_blank("why")).alias("unexplained")).join(books, "book", "left").join(main, key, "left").join(alias, key, "left")
+    there, named = F.col("book_known").isNotNull(), ~_blank("name")
+    lone = there & named & F.col("is_main").isNull()
+    found = _problems(
+        e.withColumn("owner", F.when(lone, F.col("owner"))),
+        *key,
+        "owner",
+        book_unknown=~there,
+        blank_name=there & ~named,
+        no_reason=there & named & F.col("unexplained"),
+        repeated=there & named & (F.col("n") > 1),
+        alias=lone & F.col("owner").isNotNull(),
+        unknown=lone & F.col("owner").isNull(),
+    )
+    return found.select(*key, "problem", F.when(F.col("problem") == "alias", F.col("owner")).alias("owner"))

@@ -294,3 +294,92 @@ def search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = bridge.characters(spark, sf_dir).select("id", "name", F.when(F.col("ord") % 4 == 0, F.array(F.lit("alias-1"))).alias("aliases"), F.lit(None).cast("array<string>").alias("alt_names"))
     pairs = spark.createDataFrame([("Cust", "Kust"), ("pplie", "pplye"), ("zz", "z"), ("alias", "lia")], "a string, b string")
     return gaps.search_audit(chars, bridge.relations(spark, sf_dir), pairs, 20)
+
+
+KINDS = ("early", "named", "told")
+
+
+@query(f"""WITH c AS (SELECT 'b' || (c_custkey % 4) AS book, c_name AS name, c_custkey AS k, 10 + c_custkey % 9 AS ch FROM customer),
+l AS (SELECT CASE WHEN k % 31 = 0 THEN 'zz' ELSE book END AS book, CASE WHEN k % 13 = 0 THEN 'nobody' || k ELSE name END AS name, CASE WHEN k % 17 = 0 THEN 0 WHEN k % 11 = 0 THEN 1 ELSE ch END AS first_ch, CASE WHEN k % 7 = 0 THEN 9 ELSE 2 END AS text_first,
+ ({list(KINDS + ('odd',))})[k % 4 + 1] AS kind, k % 5 AS why, k, book AS real_book, ch FROM c WHERE k % 3 <> 0)
+SELECT book, name, 'first chapter illegal' AS problem FROM l WHERE first_ch = 0 UNION ALL SELECT book, name, 'no reason' FROM l WHERE why = 0 UNION ALL SELECT book, name, 'kind unknown' FROM l WHERE kind = 'odd'
+UNION ALL SELECT book, name, 'book unknown' FROM l WHERE book = 'zz' UNION ALL SELECT book, name, 'nobody' FROM l WHERE book <> 'zz' AND k % 13 = 0
+UNION ALL SELECT book, name, 'chapter differs' FROM l WHERE book <> 'zz' AND k % 13 <> 0 AND first_ch > 0 AND first_ch <> ch
+UNION ALL SELECT book, name, 'not late' FROM l WHERE book <> 'zz' AND k % 13 <> 0 AND first_ch > 0 AND first_ch - text_first <= 5
+UNION ALL SELECT book, name, 'unlisted' FROM c WHERE k % 6 = 0""")
+def ledger_first_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as people of four books; the ledger has two thirds of them, with faults by their number, and an audit finds every sixth late."""
+    k = F.col("c_custkey")
+    c = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), k % 4).alias("book"), F.col("c_name").alias("name"), (10 + k % 9).cast("int").alias("first_ch"), k.alias("k"))
+    k = F.col("k")
+    ledger = c.where("k % 3 <> 0").select(
+        F.when(k % 31 == 0, "zz").otherwise(F.col("book")).alias("book"),
+        F.when(k % 13 == 0, F.concat(F.lit("nobody"), k)).otherwise(F.col("name")).alias("name"),
+        F.when(k % 17 == 0, 0).when(k % 11 == 0, 1).otherwise(F.col("first_ch")).alias("first_ch"),
+        F.when(k % 7 == 0, 9).otherwise(2).alias("text_first"),
+        F.get(F.array(*map(F.lit, (*KINDS, "odd"))), (k % 4).cast("int")).alias("kind"),
+        F.when(k % 5 == 0, "so　 it is").otherwise("as it is told there").alias("why"),
+    )
+    return ledgers.first_chapter_problems(ledger, c.select("book", "name", "first_ch"), KINDS, c.where("k % 6 = 0").select("book", "name"))
+
+
+@query("""WITH c AS (SELECT 'b' || (c_custkey % 4) AS book, c_custkey AS k, 'c' || c_custkey AS id, c_custkey // 8 AS base, CASE WHEN c_custkey % 7 = 0 THEN 'P' || (c_custkey // 8) ELSE 'P' || (c_custkey // 8) || '（' || c_custkey || '）' END AS name FROM customer),
+g AS (SELECT book, 'P' || base AS base, list_sort(list(id)) AS ids, bool_or(k % 7 = 0) AS bare, min(k) AS k FROM c GROUP BY book, base HAVING count(*) > 1),
+l AS (SELECT book, base, CASE WHEN k % 3 = 0 THEN ids[1:1] WHEN k % 5 = 0 THEN list_append(ids, 'x') ELSE ids END AS members, k % 11 AS why, ids FROM g WHERE k % 2 = 0)
+SELECT book, base, 'unlisted' AS problem FROM g WHERE k % 2 = 1 UNION ALL SELECT book, base, 'no bracket' FROM g WHERE bare UNION ALL SELECT 'b9', 'P0', 'stale'
+UNION ALL SELECT book, base, 'members differ' FROM l WHERE len(members) <> len(ids) UNION ALL SELECT book, base, 'outsider' FROM l WHERE len(members) > len(ids) UNION ALL SELECT book, base, 'no reason' FROM l WHERE why = 0""")
+def ledger_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers named in pairs but for brackets; the ledger has every second pair, some short of a member or with one too many."""
+    k = F.col("c_custkey")
+    base = F.concat(F.lit("P"), F.floor(k / 8))
+    c = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), k % 4).alias("book"), k.alias("k"), F.concat(F.lit("c"), k).alias("id"), base.alias("base"), F.when(k % 7 == 0, base).otherwise(F.concat(base, F.lit("（"), k, F.lit("）"))).alias("name"))
+    g = c.groupBy("book", "base").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("k").alias("k")).where("size(ids) > 1 AND k % 2 = 0")
+    members = F.when(F.col("k") % 3 == 0, F.slice("ids", 1, 1)).when(F.col("k") % 5 == 0, F.array_append("ids", F.lit("x"))).otherwise(F.col("ids"))
+    ledger = g.select("book", "base", members.alias("members"), F.when(F.col("k") % 11 == 0, "short").otherwise("two people in the source").alias("why"))
+    stale = spark.createDataFrame([("b9", "P0", ["c1", "c2"], "two people in the source")], ledger.schema)
+    return ledgers.same_name_problems(ledger.unionByName(stale), c.select("book", "id", "name"))
+
+
+@query("""WITH ev AS (SELECT 'b' || (event_id % 3) AS book, 'e' || event_id AS event, CAST(event_id % 20 + 1 AS INT) AS ch, event_id AS k FROM events),
+it AS (SELECT book, CASE WHEN k % 4 = 0 THEN ch + 1 ELSE ch END AS ch, event, k FROM ev WHERE k % 5 <> 0),
+l AS (SELECT CASE WHEN k % 35 = 3 THEN '' WHEN k % 35 = 4 THEN 'zz' ELSE book END AS book, CASE WHEN k % 35 = 5 THEN 99 WHEN k % 4 = 0 AND k % 5 <> 0 THEN ch + 1 ELSE ch END AS ch, CASE WHEN k % 35 = 6 THEN 'gone' || k ELSE event END AS event, k % 9 AS why, k FROM ev WHERE k % 7 < 3 OR k % 35 BETWEEN 3 AND 6),
+p AS (SELECT l.book, l.ch, l.event, CASE WHEN l.book = '' THEN 'field missing' WHEN why = 0 THEN 'no reason' WHEN l.book = 'zz' THEN 'book unknown' WHEN (l.book, l.ch) NOT IN (SELECT book, ch FROM it) THEN 'no annotation'
+ WHEN (l.book, l.event) NOT IN (SELECT book, event FROM ev) THEN 'event unknown' WHEN (l.book, l.ch, l.event) NOT IN (SELECT book, ch, event FROM it) THEN 'undeclared'
+ WHEN EXISTS (SELECT 1 FROM ev WHERE ev.book = l.book AND ev.event = l.event AND ev.ch = l.ch) THEN 'same chapter' END AS problem FROM l)
+SELECT * FROM p WHERE problem IS NOT NULL UNION ALL SELECT book, ch, event, 'unlisted' FROM it WHERE k % 4 = 0 AND (book, ch, event) NOT IN (SELECT book, ch, event FROM l WHERE book <> '')""")
+def ledger_cross_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of three books, every fourth declared a chapter late; a ledger with faults by their number."""
+    k = F.col("k")
+    ev = bridge.table(spark, sf_dir, "events").select(F.concat(F.lit("b"), F.col("event_id") % 3).alias("book"), F.concat(F.lit("e"), "event_id").alias("event"), (F.col("event_id") % 20 + 1).cast("int").alias("ch"), F.col("event_id").alias("k"))
+    late = F.when((k % 4 == 0) & (k % 5 != 0), F.col("ch") + 1).otherwise(F.col("ch"))
+    items = ev.where("k % 5 <> 0").groupBy("book", late.alias("ch")).agg(F.collect_list("event").alias("events"))
+    ledger = ev.where("k % 7 < 3 OR k % 35 BETWEEN 3 AND 6").select(
+        F.when(k % 35 == 3, "").when(k % 35 == 4, "zz").otherwise(F.col("book")).alias("book"),
+        F.when(k % 35 == 5, 99).otherwise(late).alias("ch"),
+        F.when(k % 35 == 6, F.concat(F.lit("gone"), k)).otherwise(F.col("event")).alias("event"),
+        F.when(k % 9 == 0, "short").otherwise("so it is meant there").alias("why"),
+    )
+    return ledgers.cross_chapter_problems(ledger, items, ev.select("book", "event", "ch"))
+
+
+@query("""WITH c AS (SELECT 'b' || (c_custkey % 4) AS book, c_name AS name, 'al' || (c_custkey // 4) AS alias, c_custkey AS k FROM customer),
+l AS (SELECT CASE WHEN k % 13 = 0 THEN 'zz' ELSE book END AS book, CASE k % 5 WHEN 0 THEN alias WHEN 1 THEN 'none' || k WHEN 2 THEN ' ' ELSE name END AS name, k % 7 AS why, k FROM c),
+g AS (SELECT book, name, count(*) AS n, bool_or(why = 0) AS bare FROM l GROUP BY ALL)
+SELECT book, name, 'book unknown' AS problem, CAST(NULL AS VARCHAR) AS owner FROM g WHERE book = 'zz' UNION ALL SELECT book, name, 'blank name', NULL FROM g WHERE book <> 'zz' AND name = ' '
+UNION ALL SELECT book, name, 'no reason', NULL FROM g WHERE book <> 'zz' AND name <> ' ' AND bare UNION ALL SELECT book, name, 'repeated', NULL FROM g WHERE book <> 'zz' AND name <> ' ' AND n > 1
+UNION ALL SELECT g.book, g.name, 'alias', c.name FROM g JOIN c ON c.book = g.book AND c.alias = g.name UNION ALL SELECT book, name, 'unknown', NULL FROM g WHERE book <> 'zz' AND name LIKE 'none%'""")
+def ledger_name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by main names, by aliases, by names of nobody and by blanks."""
+    k = F.col("k")
+    c = bridge.table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), F.col("c_custkey") % 4).alias("book"), F.col("c_name").alias("name"), F.concat(F.lit("al"), F.floor(F.col("c_custkey") / 4)).alias("alias"), F.col("c_custkey").alias("k"))
+    name = F.when(k % 5 == 0, F.col("alias")).when(k % 5 == 1, F.concat(F.lit("none"), k)).when(k % 5 == 2, " ").otherwise(F.col("name"))
+    ledger = c.select(F.when(k % 13 == 0, "zz").otherwise(F.col("book")).alias("book"), name.alias("name"), F.when(k % 7 == 0, " ").otherwise("so").alias("why"))
+    return ledgers.name_form_problems(ledger, c.select("book", "name", F.array("alias").alias("aliases")))
+
+
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS book, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 2 END AS n FROM nation), s AS (SELECT 'n' || s_nationkey AS book, count(*) AS found FROM supplier GROUP BY 1)
+SELECT book, CAST(n AS BIGINT) AS said, coalesce(found, 0) AS found FROM n LEFT JOIN s USING (book) WHERE n <> coalesce(found, 0)""")
+def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations state a number of suppliers, every third none."""
+    n = bridge.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("book"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") * 2).alias("n"))
+    return ledgers.declared_counts(n, bridge.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("book")))
