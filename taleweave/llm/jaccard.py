@@ -40,10 +40,10 @@ from taleweave.llm.scratch import forget_shuffles, written
 from taleweave.llm.signature_tree import PER_CENT, LinkCounts, SignatureTree
 
 U64 = np.uint64
-CHUNK_TOKENS = 1 << 19  # shingles gathered in a task before they are sent
-RANGE_TOKENS = 1 << 19  # shingles of one hash range
+CHUNK_TOKENS = 1 << 20  # shingles gathered in a task before they are sent
+RANGE_TOKENS = 1 << 21  # shingles of one hash range; a chunk goes to every range in a row, so small ranges make many small rows
 MIN_HASHES = 3
-BUCKET_SETS = 1000  # classes that get their tokens back in one task's group
+BUCKET_SETS = 2000  # classes that get their tokens back in one task's group
 BLOCK = 3000  # sets in one block of a large group
 CLUSTER = 16 * BLOCK  # sets that are compared as pairs of blocks
 
