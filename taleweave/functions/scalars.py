@@ -93,14 +93,43 @@ def occurrences(text: Column, form: Column) -> Column:
     return F.floor((F.char_length(text) - F.char_length(F.replace(text, form, F.lit("")))) / F.greatest(F.char_length(form), F.lit(1))).cast("long")
 
 
-def escape_html(text: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+# Signs and their entities; an apostrophe has another one in XML.
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+
+
+def _escaped(text: Column, apostrophe: str) -> Column:
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    for char, entity in (*ENTITIES, ("'", apostrophe)):
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text
 
 
+def escape_html(text: Column) -> Column:
+    return _escaped(text, "&#39;")
+
+
+def escape_xml(text: Column) -> Column:
+    return _escaped(text, "&apos;")
+
+
+def bold_html(text: Column) -> Column:
+    """Escaped, with what stands between double stars set in bold; an odd pair of stars stays."""
+    return F.regexp_replace(escape_html(text), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+
+
 def unbold(text: Column) -> Column:
-    return F.regexp_replace(text, r"\*\*(.+?)\*\*", "$1")
+    """Without double stars, for where there is no bold."""
+    return F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("**"), F.lit(""))
+
+
+def norm_type(kind: Column) -> Column:
+    """A relation's type itself: without what stands in brackets, blanks and separators."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(kind, F.lit("")), "（[^）]*）", ""), r"[\s·、,，。／/]", "")
+
+
+def run_key(kind: Column, style: Column) -> Column:
+    """Key by which successive relations of a pair are one: type and style, solid where none is given."""
+    return F.concat_ws("|", norm_type(kind), F.when(F.coalesce(style, F.lit("")) != "", style).otherwise("solid"))
 
 
 def han_to_num(text: Column) -> Column:

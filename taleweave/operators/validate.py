@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taleweave.functions.scalars import ch_of
+from taleweave.operators import kin
+
 
 def keys(df: DataFrame) -> list[str]:
     return [c for c in ("book",) if c in df.columns]
@@ -75,6 +78,49 @@ def relations(rels: DataFrame, chars: DataFrame, books: DataFrame | None = None)
     ]
 
 
+#: Kin findings that fail a book.
+KIN_ERRORS = ("illegal", "blood term")
+
+
+def profiles(chars: DataFrame, factions: DataFrame) -> list[DataFrame]:
+    """``chars``: id, faction, title, desc, fate, each of which should be told; ``factions``: faction."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    on = [*keys(chars), "faction"]
+    unknown = chars.where(~empty("faction")).join(factions.select(*on).distinct(), on, "left_anti")
+    return [
+        *[finding(chars.where(empty(c)), "warning", f"{c} missing", "id") for c in ("faction", "title", "desc", "fate")],
+        finding(unknown, "error", "faction unknown", "id"),
+    ]
+
+
+def evidence(rels: DataFrame) -> list[DataFrame]:
+    """``rels``: ord, from_ch, to_ch, events (array of text, chapter): evidence that is missing, untold, without a chapter's number or outside the period."""
+    each = rels.select(*keys(rels), "ord", "from_ch", "to_ch", F.explode("events").alias("e")).withColumn("ch", ch_of(F.col("e.chapter")))
+    untold = F.coalesce(F.col("e.text"), F.lit("")) == ""
+    dated = F.col("from_ch").isNotNull() | F.col("to_ch").isNotNull()
+    outside = dated & ((F.col("ch") < F.coalesce("from_ch", F.lit(0))) | F.coalesce(F.col("ch") >= F.col("to_ch"), F.lit(False)))
+    return [
+        finding(rels.where(F.coalesce(F.size("events"), F.lit(0)) <= 0), "warning", "relation without evidence", "ord"),
+        finding(each.where(untold), "error", "evidence without text", "ord"),
+        finding(each.where(~untold & (F.coalesce(F.col("e.chapter"), F.lit("")) != "") & F.col("ch").isNull()), "warning", "evidence chapter without number", "ord"),
+        finding(each.where(outside), "warning", "evidence outside period", F.concat_ws(" ", "ord", "ch")),
+    ]
+
+
+def kinship(rels: DataFrame) -> list[DataFrame]:
+    """``rels``: ord, src, dst, type, kin: kin that doesn't go with its wording, and people who are their own ancestors.
+
+    Cycles are looked for in the frame as a whole: ids of several books must differ.
+    """
+    found = rels.select(*keys(rels), "ord", F.explode(kin.check_kin(F.col("type"), F.col("kin"))).alias("found"))
+    edges = rels.where(kin.is_parent_child(F.col("type"))).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
+    cycle = kin.cycle_nodes(edges)
+    if keys(rels):
+        cycle = cycle.join(rels.select("book", F.col("src").alias("node")).distinct(), "node")
+    told = found.select(*keys(rels), F.when(F.col("found").isin(*KIN_ERRORS), "error").otherwise("warning").alias("severity"), F.concat(F.lit("kin: "), "found").alias("kind"), F.col("ord").cast("string").alias("subject"))
+    return [told, finding(cycle, "warning", "parent cycle", "node")]
+
+
 def report(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -383,3 +383,53 @@ def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations state a number of suppliers, every third none."""
     n = bridge.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("book"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") * 2).alias("n"))
     return ledgers.declared_counts(n, bridge.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("book")))
+
+
+@query("""SELECT 'warning' AS severity, 'faction missing' AS kind, id AS subject FROM chars WHERE ord % 9 = 0 UNION ALL SELECT 'warning', 'title missing', id FROM chars WHERE ord % 4 = 0 UNION ALL SELECT 'warning', 'desc missing', id FROM chars WHERE ord % 5 = 0
+UNION ALL SELECT 'warning', 'fate missing', id FROM chars UNION ALL SELECT 'error', 'faction unknown', id FROM chars WHERE ord % 9 <> 0 AND faction = 'BUILDING'""")
+def rule_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the warehouse without a title, a description or a faction by their number; a faction of customers isn't listed."""
+    c = bridge.characters(spark, sf_dir)
+    chars = c.select("id", F.when(F.col("ord") % 9 != 0, F.col("faction")).alias("faction"), F.when(F.col("ord") % 4 != 0, "t").alias("title"), F.when(F.col("ord") % 5 != 0, "d").otherwise("").alias("desc"), F.lit(None).cast("string").alias("fate"))
+    return validate.report(validate.profiles(chars, c.where("faction <> 'BUILDING'").select("faction").distinct()))
+
+
+@query("""WITH e AS (SELECT src, dst, type, style, min(ord) AS id, min(from_ch) AS f, max(to_ch) - 20 AS t FROM rels GROUP BY ALL),
+x AS (SELECT id, f, t, ord, ch FROM rels JOIN e USING (src, dst, type, style) WHERE ord % 7 <> 0)
+SELECT 'warning' AS severity, 'relation without evidence' AS kind, CAST(id AS VARCHAR) AS subject FROM e WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT 'error', 'evidence without text', CAST(id AS VARCHAR) FROM x WHERE ord % 11 = 0
+UNION ALL SELECT 'warning', 'evidence chapter without number', CAST(id AS VARCHAR) FROM x WHERE ord % 11 <> 0 AND ord % 3 = 1 UNION ALL SELECT 'warning', 'evidence outside period', id || ' ' || ch FROM x WHERE ord % 3 = 0 AND (ch < f OR ch >= t)""")
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of a pair, type and style as evidence of one relation, some untold, some without a chapter, the period cut short."""
+    r = bridge.relations(spark, sf_dir)
+    chapter = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("第"), "ch", F.lit("回"))).when(F.col("ord") % 3 == 1, F.lit("later"))
+    told = F.struct(F.when(F.col("ord") % 11 != 0, "so").alias("text"), chapter.alias("chapter"))
+    one = r.groupBy("src", "dst", "type", "style").agg(F.min("ord").alias("ord"), F.min("from_ch").alias("from_ch"), (F.max("to_ch") - 20).alias("to_ch"), F.collect_list(F.when(F.col("ord") % 7 != 0, told)).alias("events"))
+    return validate.report(validate.evidence(one))
+
+
+@query("""WITH e AS (SELECT CAST(substr(child, 2) AS BIGINT) AS k, parent, child FROM kin_up WHERE child LIKE 's%'), r AS (SELECT k AS ord, parent AS src, child AS dst, CASE k % 3 WHEN 0 THEN '父子' WHEN 1 THEN '盟友' ELSE '养父子' END AS type, CASE k % 4 WHEN 0 THEN 'blood' WHEN 1 THEN 'friend' WHEN 2 THEN '' ELSE 'sworn' END AS kin FROM e
+ UNION ALL SELECT 100000 + k, child, parent, '母女', 'blood' FROM e WHERE k % 6 = 0)
+SELECT 'error' AS severity, 'kin: illegal' AS kind, CAST(ord AS VARCHAR) AS subject FROM r WHERE kin = 'friend' UNION ALL SELECT 'warning', 'kin: missing', CAST(ord AS VARCHAR) FROM r WHERE kin = '' AND type <> '盟友'
+UNION ALL SELECT 'error', 'kin: blood term', CAST(ord AS VARCHAR) FROM r WHERE kin = 'sworn' AND type = '父子' UNION ALL SELECT 'warning', 'kin: blood unseen', CAST(ord AS VARCHAR) FROM r WHERE kin = 'blood' AND type = '盟友'
+UNION ALL SELECT 'warning', 'kin: mismatch', CAST(ord AS VARCHAR) FROM r WHERE (kin = 'sworn' AND type <> '盟友') OR (kin = 'blood' AND type = '养父子')
+UNION ALL SELECT DISTINCT 'warning', 'parent cycle', unnest([src, dst]) FROM r WHERE type = '母女'""")
+def rule_kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and suppliers with wordings and kin by their number; every sixth supplier is also its nation's mother."""
+    e = bridge.kin_edges(spark, sf_dir).where("child LIKE 's%'").withColumn("k", F.substring("child", 2, 20).cast("long"))
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("k") % len(xs)).cast("int"))
+    down = e.select(F.col("k").alias("ord"), F.col("parent").alias("src"), F.col("child").alias("dst"), pick(("父子", "盟友", "养父子")).alias("type"), pick(("blood", "friend", "", "sworn")).alias("kin"))
+    up = e.where("k % 6 = 0").select((F.col("k") + 100_000).alias("ord"), F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("母女").alias("type"), F.lit("blood").alias("kin"))
+    return validate.report(validate.kinship(down.union(up)))
+
+
+@query("""SELECT c_custkey AS k, 'a&lt;b&gt; &#39;' || c_name || '&#39; &amp; <strong>' || c_mktsegment || '</strong> **' AS html, '&apos;' || c_name || '&quot;' AS xml, 'x ' || c_name || ' y' AS plain, c_mktsegment || 'ab|' || CASE WHEN c_custkey % 2 = 0 THEN 'dashed' ELSE 'solid' END AS run FROM customer""")
+def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes, bold marks and run keys of every customer."""
+    k, name, seg = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    return bridge.table(spark, sf_dir, "customer").select(
+        k.alias("k"),
+        scalars.bold_html(F.concat(F.lit("a<b> '"), name, F.lit("' & **"), seg, F.lit("** **"))).alias("html"),
+        scalars.escape_xml(F.concat(F.lit("'"), name, F.lit('"'))).alias("xml"),
+        scalars.unbold(F.concat(F.lit("x **"), name, F.lit("** y**"))).alias("plain"),
+        scalars.run_key(F.concat(seg, F.lit(" a·b（x）")), F.when(k % 2 == 0, "dashed").otherwise("")).alias("run"),
+    )
