@@ -1,8 +1,8 @@
 """Neighborhoods, shortest paths and induced edges by frontier loops.
 
 Every level is one join of the frontier with the open edges and one anti-join
-with what was seen.  Levels are written to the folder of ``spark.checkpoint.dir``
-where it is set, else checkpointed, so a lost executor costs a reread and the
+with what was seen.  Levels are checkpointed in the folder of ``spark.checkpoint.dir``,
+so a lost executor costs a reread and the
 plan stays as long as one level.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleweave.functions.ordinals import with_ord
@@ -21,18 +21,24 @@ from taleweave.operators.view import ViewState, relation_open
 _OWN: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set on one machine (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="taleweave-graph-"))
+    return _OWN[0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the cluster's folder; a temporary one only where none is set (tests)."""
+    """``checkpoint()`` in the cluster's folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            if not _OWN:
-                _OWN.append(tempfile.mkdtemp(prefix="taleweave-graph-"))
-            configured = _OWN[0]
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint()
     # columns of its own: a plan with a checkpoint twice would else meet what Spark knows of the columns before
     return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions.scalars import ch_of
 from taleweave.operators.graph import cut_lineage
-from taleweave.operators.matching import occurring
+from taleweave.operators.matching import occurring, spans
 from taleweave.operators.view import MAX_DEPTH, ViewState, relation_open
 
 CANDIDATES, FREQUENT = 80, 30
@@ -245,3 +245,60 @@ def card_fit(box: DataFrame, width: float, height: float) -> DataFrame:
     scale = F.least((width - MARGIN) / span("x"), (height - MARGIN) / span("y"))
     middle = lambda c: (F.col(f"{c}0") + F.col(f"{c}1")) / 2
     return box.select("layout", F.round(scale, 6).alias("scale"), F.round(width / 2 - middle("x") * scale, 6).alias("tx"), F.round(height / 2 - middle("y") * scale, 6).alias("ty"))
+
+
+PANEL = 12  # relations and events shown of a person
+
+
+def character_panels(chars: DataFrame, rels: DataFrame, event_chars: DataFrame, state: ViewState, most: int = PANEL) -> DataFrame:
+    """(id, n_relations, n_locked, relations, life): what a panel of each unlocked person shows.
+
+    ``n_relations`` counts all edges at the person whatever the view, ``n_locked``
+    those ahead of the reader; ``relations`` are the ``most`` open ones (other,
+    type), those to the best connected first, and ``life`` the first ``most`` open
+    events.  ``chars``: id, first_ch, degree; ``event_chars``: char, event, ch, ord.
+    Lists are cut before any row meets another.
+    """
+    open_chars = chars.where(~state.locked(F.col("first_ch"))).select("id")
+    ends = rels.withColumn("id", F.explode(F.array_distinct(F.array("src", "dst")))).withColumn("other", F.when(F.col("src") == F.col("id"), F.col("dst")).otherwise(F.col("src")))
+    total = ends.groupBy("id").agg(F.count("*").alias("n_relations"), F.count_if(state.locked(F.col("ch"))).alias("n_locked"))
+    shown = ends.where(relation_open(state)).join(chars.select(F.col("id").alias("other"), F.col("degree").alias("other_degree")), "other", "left")
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.coalesce("other_degree", F.lit(0))), "ord"))
+    lists = shown.withColumn("nth", best).where(F.col("nth") <= most).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "other", "type"))).alias("relations"))
+    early = F.row_number().over(Window.partitionBy("char").orderBy(F.coalesce("ch", F.lit(0)), "ord", "event"))
+    life = event_chars.where(~state.locked(F.col("ch"))).withColumn("nth", early).where(F.col("nth") <= most).groupBy(F.col("char").alias("id")).agg(F.array_sort(F.collect_list(F.struct("nth", "event"))).alias("life"))
+    out = open_chars.join(total, "id", "left").join(lists, "id", "left").join(life, "id", "left")
+    zero = F.lit(0).cast("long")
+    told = F.transform(F.coalesce("relations", F.array().cast("array<struct<nth: int, other: string, type: string>>")), lambda r: F.struct(r["other"].alias("other"), r["type"].alias("type")))
+    events = F.transform(F.coalesce("life", F.array().cast("array<struct<nth: int, event: string>>")), lambda e: e["event"])
+    return out.select("id", F.coalesce("n_relations", zero).alias("n_relations"), F.coalesce("n_locked", zero).alias("n_locked"), told.alias("relations"), events.alias("life"))
+
+
+UNKNOWN_FACTION = 99
+
+
+def group_places(chars: DataFrame, factions: DataFrame, by_generation: bool) -> DataFrame:
+    """(id, group, group_rank, nth): groups by generation or faction in their order, and who stands where in them.
+
+    ``chars``: id, name, generation, faction, degree; ``factions``: faction, nth (its
+    place in the book).  Within a generation people go by faction, within a faction
+    by generation, then by relations, most first, and name.  An unknown faction
+    comes after all.  A group is ranked in one window: groups of a layout are drawn
+    whole.
+    """
+    c = chars.join(factions.select("faction", F.col("nth").alias("faction_nth")), "faction", "left").withColumn("faction_nth", F.coalesce("faction_nth", F.lit(UNKNOWN_FACTION)))
+    group = F.concat(F.lit("g"), F.col("generation").cast("string")) if by_generation else F.concat(F.lit("f"), F.coalesce("faction", F.lit("other")))
+    first, then = ("generation", "faction_nth") if by_generation else ("faction_nth", "generation")
+    c = c.withColumn("group", group)
+    ranks = c.groupBy("group").agg(F.min(first).alias("key")).withColumn("group_rank", F.row_number().over(Window.orderBy("key", "group")))  # a row a group
+    nth = F.row_number().over(Window.partitionBy("group").orderBy(then, F.desc("degree"), "name", "id"))
+    return c.withColumn("nth", nth).join(ranks.select("group", "group_rank"), "group").select("id", "group", "group_rank", "nth")
+
+
+def passages(texts: DataFrame, names: DataFrame, before: int = 30, after: int = 30) -> DataFrame:
+    """(name, text_id, passage): the surroundings of each name's first occurrence by text and place, runs of blanks as one."""
+    first = spans(texts.select("text_id", "text"), names.select(F.col("name").alias("form"))).groupBy(F.col("form").alias("name")).agg(F.min(F.struct("text_id", "start")).alias("at"))
+    at = first.select("name", "at.text_id", "at.start").join(texts.select("text_id", "text"), "text_id")
+    begin = F.greatest(F.col("start") - before, F.lit(0))
+    cut = F.substring(F.col("text"), begin + 1, F.col("start") + F.char_length("name") + after - begin)
+    return at.select("name", "text_id", F.regexp_replace(cut, r"\s+", " ").alias("passage"))

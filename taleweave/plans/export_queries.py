@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,47 @@ def unseen_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = bridge.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("name"))
     signs = spark.createDataFrame([(x,) for x in "ths"], "sign string")
     return textmine.unseen_speakers(texts, known, signs, 12, SAYS, TAIL, NOBODY, (5, 7))
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Characters and relations of three books, and a place of every character in two layouts."""
+    book = lambda c: F.concat(F.lit("b"), F.substring(c, 2, 20).cast("long") % 3)
+    chars = bridge.characters(spark, sf_dir).select(book("id").alias("book"), "id", "name", F.array("faction", "tier").alias("tags"))
+    rels = bridge.relations(spark, sf_dir).select(book("src").alias("book"), "src", "dst", "type", "kin")
+    places = chars.select("book", F.explode(F.array(F.lit("gen-v"), F.lit("force"))).alias("layout"), "id", F.length("id").cast("double").alias("x"), F.lit(0.4).alias("y"))
+    return {"characters": chars, "relations": rels}, places
+
+
+@query(f"""WITH c AS (SELECT {BOOK_SQL.format('id')} AS book, * FROM chars), d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM rels UNION ALL SELECT dst FROM rels WHERE {BOOK_SQL.format('src')} = {BOOK_SQL.format('dst')}) GROUP BY id)
+SELECT 'characters' AS collection, book, id AS key, faction || ' ' || tier || ' ' || coalesce(n, 0) AS held, CAST(1 AS BIGINT) AS n FROM c LEFT JOIN d USING (id)
+UNION ALL SELECT 'relations', {BOOK_SQL.format('src')}, src || ' ' || dst, type || ' ' || coalesce(kin, '-'), count(*) FROM rels GROUP BY ALL
+UNION ALL SELECT 'layouts', book, id, l || ' ' || length(id) || ' 0', 1 FROM c, (VALUES ('gen-v'), ('force')) v(l)""")
+def packs_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of three books written to the shared folder, by collection and book, and read back."""
+    source, places = _library(spark, sf_dir)
+    path = f"{graph.shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    exports.write_packs(exports.pack_collections(source["characters"], source["relations"], places), path)
+    schemas = {"characters": "id string, name string, tags array<string>, degree long", "relations": "src string, dst string, type string, kin string", "layouts": "layout string, id string, x long, y long"}
+    back = exports.read_packs(spark, path, schemas)
+    row = lambda name, key, held: back[name].select(F.lit(name).alias("collection"), "book", key.alias("key"), held.alias("held"))
+    chars = row("characters", F.col("id"), F.concat_ws(" ", F.array_join("tags", " "), "degree"))
+    rels = row("relations", F.concat_ws(" ", "src", "dst"), F.concat_ws(" ", "type", F.coalesce("kin", F.lit("-"))))
+    every = chars.unionByName(rels).unionByName(row("layouts", F.col("id"), F.concat_ws(" ", "layout", "x", "y")))
+    return every.groupBy("collection", "book", "key", "held").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT {BOOK_SQL.format('id')} AS book, ord, id FROM chars), r AS (SELECT {BOOK_SQL.format('src')} AS book, src, dst, ord FROM rels),
+p AS (SELECT book, count(*) FILTER (WHERE ord % 10 = 0) AS renamed, count(*) FILTER (WHERE ord % 13 = 0) AS lost, count(*) FILTER (WHERE ord % 17 = 0) AS endless FROM c GROUP BY book)
+SELECT book, 'characters out of step' AS problem, CAST(2 * renamed AS BIGINT) AS n FROM p WHERE renamed > 0
+UNION ALL SELECT book, 'relations out of step', count(*) FROM r WHERE ord % 50 = 0 GROUP BY book UNION ALL SELECT book, 'degree', 2 * count(*) FROM c WHERE ord % 9 = 0 GROUP BY book
+UNION ALL SELECT book, 'layout gen-v', count(*) FROM c WHERE ord % 13 = 0 OR ord % 17 = 0 GROUP BY book UNION ALL SELECT book, 'layout gen-h', count(*) FROM c GROUP BY book""")
+def pack_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs in which every tenth character is renamed, some relations are lost, degrees are off, and places are lost or endless."""
+    source, places = _library(spark, sf_dir)
+    packs = exports.pack_collections(source["characters"], source["relations"], places)
+    nth = bridge.characters(spark, sf_dir).select("id", "ord")
+    chars = packs["characters"].join(nth, "id").withColumn("name", F.when(F.col("ord") % 10 == 0, F.upper("name")).otherwise(F.col("name"))).withColumn("degree", F.col("degree") + (F.col("ord") % 9 == 0).cast("long")).drop("ord")
+    book = F.concat(F.lit("b"), F.substring("src", 2, 20).cast("long") % 3)
+    rels = bridge.relations(spark, sf_dir).where("ord % 50 <> 0").select(book.alias("book"), "src", "dst", "type", "kin")
+    moved = places.join(nth, "id").where("NOT (layout = 'gen-v' AND ord % 13 = 0)").withColumn("x", F.when((F.col("layout") == "gen-v") & (F.col("ord") % 17 == 0), float("nan")).otherwise(F.col("x"))).drop("ord")
+    return exports.pack_problems(source, {"characters": chars, "relations": rels, "layouts": moved}, ("gen-v", "gen-h", "force"))

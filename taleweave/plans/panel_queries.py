@@ -164,3 +164,38 @@ def card_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN own <= 2.2 OR (SELECT min(a) FROM a) >= own THEN 'gen-h' ELSE (SELECT layout FROM a ORDER BY a, layout LIMIT 1) END AS layout FROM o""")
 def card_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.card_layout(_boxes(spark, sf_dir), "gen-h")
+
+
+@query(f"""WITH {DEGREE_SQL}, op AS (SELECT id FROM chars WHERE coalesce(first_ch, 0) <= 4), en AS (SELECT src AS id, dst AS other, r.* FROM rels r UNION ALL SELECT dst, src, r.* FROM rels r),
+tot AS (SELECT id, count(*) AS n_relations, count(*) FILTER (WHERE ch > 4) AS n_locked FROM en GROUP BY id),
+sh AS (SELECT en.id, other, type, row_number() OVER (PARTITION BY en.id ORDER BY degree DESC, en.ord) AS nth FROM en JOIN deg ON deg.id = other WHERE ch <= 4 AND style = 'solid'),
+li AS (SELECT 'c' || u AS id, event, row_number() OVER (PARTITION BY u ORDER BY ch, ord, event) AS nth FROM (SELECT unnest(chars) AS u, event, ch, ord FROM plot WHERE ch <= 4))
+SELECT op.id, coalesce(n_relations, 0) AS n_relations, coalesce(n_locked, 0) AS n_locked, coalesce((SELECT string_agg(other || ' ' || type, ',' ORDER BY nth) FROM sh WHERE sh.id = op.id AND nth <= 12), '') AS relations,
+ coalesce((SELECT string_agg(event, ',' ORDER BY nth) FROM li WHERE li.id = op.id AND nth <= 12), '') AS life FROM op LEFT JOIN tot USING (id)""")
+def character_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, rels = book(spark, sf_dir)
+    events = bridge.plot_events(spark, sf_dir).select(F.explode("chars").alias("u"), "event", "ch", "ord").select(F.concat(F.lit("c"), "u").alias("char"), "event", "ch", "ord")
+    out = panels.character_panels(view.degrees(rels, nodes), rels, events, ViewState(80, progress=4, styles=frozenset({"solid"})))
+    return out.select("id", "n_relations", "n_locked", F.array_join(F.transform("relations", lambda r: F.concat_ws(" ", r["other"], r["type"])), ",").alias("relations"), F.array_join("life", ",").alias("life"))
+
+
+@query(f"""WITH {DEGREE_SQL}, f AS (SELECT faction, row_number() OVER (ORDER BY faction DESC) AS nth FROM (SELECT DISTINCT faction FROM chars WHERE faction <> 'BUILDING')),
+c AS (SELECT c.id, name, c.ord % 5 AS generation, c.faction, degree, coalesce(f.nth, 99) AS fn FROM chars c JOIN deg USING (id) LEFT JOIN f ON f.faction = c.faction)
+SELECT id, 'g' || generation AS "group", CAST(generation + 1 AS INT) AS group_rank, CAST(row_number() OVER (PARTITION BY generation ORDER BY fn, degree DESC, name, id) AS INT) AS nth, 'generation' AS mode FROM c
+UNION ALL SELECT id, 'f' || faction, CAST(dense_rank() OVER (ORDER BY fn) AS INT), CAST(row_number() OVER (PARTITION BY faction ORDER BY generation, degree DESC, name, id) AS INT), 'faction' FROM c""")
+def group_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five generations by number, and factions in falling order of their names, one of them unknown."""
+    nodes, rels = book(spark, sf_dir)
+    chars = view.degrees(rels, nodes).withColumn("generation", F.col("ord") % 5)
+    names = sorted((r["faction"] for r in nodes.where("faction <> 'BUILDING'").select("faction").distinct().collect()), reverse=True)  # a handful of segments
+    factions = spark.createDataFrame([(f, k + 1) for k, f in enumerate(names)], "faction string, nth int")
+    return panels.group_places(chars, factions, True).withColumn("mode", F.lit("generation")).unionByName(panels.group_places(chars, factions, False).withColumn("mode", F.lit("faction")))
+
+
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS name FROM benchmark), m AS (SELECT name, min(doc_id) AS text_id FROM n JOIN documents ON contains(text, name) GROUP BY name),
+a AS (SELECT name, text_id, text, instr(text, name) - 1 AS at_ FROM m JOIN documents ON doc_id = text_id)
+SELECT name, text_id, regexp_replace(substr(text, CAST(greatest(at_ - 30, 0) + 1 AS BIGINT), CAST(at_ + length(name) + 30 - greatest(at_ - 30, 0) AS BIGINT)), '\\s+', ' ', 'g') AS passage FROM a""")
+def name_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = bridge.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("name")).distinct()
+    texts = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return panels.passages(texts, names)

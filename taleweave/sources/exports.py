@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,35 @@ def load_books(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     out = every.join(graph, "book", "left").join(full, "book", "left")
     source = F.when(F.col("graph").isNotNull(), "graph").when(F.col("full").isNotNull(), "full")
     return out.select("book", source.alias("source"), F.coalesce("graph", "full").alias("doc"))
+
+
+def out_of_step(source: DataFrame, packed: DataFrame) -> DataFrame:
+    """(book, n): in how many rows the two sides (book and others, nested fields too) differ, repeated rows counted."""
+    whole = lambda df: F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns) if c != "book"]), {"ignoreNullFields": "false"})
+    count = lambda df, c: df.groupBy("book", whole(df).alias("row")).agg(F.count("*").alias(c))
+    a, b = count(source, "n_source"), count(packed, "n_packed").withColumnsRenamed({"book": "__book", "row": "__row"})
+    both = a.join(b, F.col("book").eqNullSafe(F.col("__book")) & (F.col("row") == F.col("__row")), "full_outer")
+    apart = F.abs(F.coalesce("n_source", F.lit(0)) - F.coalesce("n_packed", F.lit(0)))
+    book = F.when(F.col("n_source").isNotNull(), F.col("book")).otherwise(F.col("__book"))
+    return both.withColumn("apart", apart).where("apart > 0").groupBy(book.alias("book")).agg(F.sum("apart").alias("n"))
+
+
+def pack_problems(source: Mapping[str, DataFrame], packs: Mapping[str, DataFrame], layouts: tuple[str, ...]) -> DataFrame:
+    """(book, problem, n): packs against the books that they were made of.
+
+    Collections out of step, degrees that the relations don't give, and
+    characters without a finite place in one of the ``layouts``.
+    """
+    parts = []
+    for name, rows in source.items():
+        held = packs[name].select(*rows.columns)
+        parts.append(out_of_step(rows, held).select("book", F.lit(f"{name} out of step").alias("problem"), "n"))
+    chars = source["characters"].select("book", "id").distinct()
+    counted = pack_collections(chars, source["relations"], packs["layouts"])["characters"].select("book", "id", "degree")
+    parts.append(out_of_step(counted, packs["characters"].select("book", "id", "degree")).select("book", F.lit("degree").alias("problem"), "n"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    placed = packs["layouts"].where(finite("x") & finite("y")).select("book", "layout", "id").distinct()
+    asked = chars.withColumn("layout", F.explode(F.array(*map(F.lit, layouts))))
+    lost = asked.join(placed, ["book", "layout", "id"], "left_anti").groupBy("book", "layout").agg(F.count("*").alias("n"))
+    parts.append(lost.select("book", F.concat(F.lit("layout "), "layout").alias("problem"), "n"))
+    return reduce(DataFrame.unionByName, parts)
