@@ -302,3 +302,34 @@ def passages(texts: DataFrame, names: DataFrame, before: int = 30, after: int =
     begin = F.greatest(F.col("start") - before, F.lit(0))
     cut = F.substring(F.col("text"), begin + 1, F.col("start") + F.char_length("name") + after - begin)
     return at.select("name", "text_id", F.regexp_replace(cut, r"\s+", " ").alias("passage"))
+
+
+FOCUS_NODES, FOCUS_GAIN, FOCUS_SHARE, LEFT_SHARE, MOST_ZOOM, LEAST_ZOOM = 40, 1.25, 0.55, 0.35, 4.0, 0.05
+
+
+def focus_view(box: DataFrame, width: float, height: float, zoom: float, unit: float, centre: tuple[float, float], span: float, most: int = FOCUS_NODES, gain: float = FOCUS_GAIN) -> DataFrame:
+    """(layout, action, zoom, x, y): how a view should turn to the nodes in each ``box`` (``boxes``).
+
+    ``unit``: pixels of one unit of the world at the present ``zoom``; ``centre``: the
+    middle of the view; ``span``: the larger side of the whole graph.  The nodes
+    should fill 55 % of the view, but at least 35 % of the graph should stay in it.
+    Nodes out of sight are always moved to, without a change of zoom where there
+    are more than ``most``; nodes in sight only if that makes them ``gain`` times
+    larger and they fill less than a third, or if they spread too wide.
+    """
+    side = lambda c: F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1.0))
+    w, h = side("x"), side("y")
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    short = min(width, height)
+    want = F.least(width * FOCUS_SHARE / w, height * FOCUS_SHARE / h) / unit
+    pixels = F.greatest(w, h) * unit
+    shrinks = (want < zoom) & (pixels > short * 0.92)
+    cap = short / (max(span, 1.0) * unit * LEFT_SHARE) * zoom
+    target = F.when(shrinks, F.greatest(F.lit(LEAST_ZOOM), F.least(want, F.lit(zoom)))).otherwise(F.least(F.greatest(want, F.lit(zoom)), F.lit(MOST_ZOOM), F.lit(max(zoom, cap))))
+    better = F.when(shrinks, target <= zoom / gain).otherwise(target >= zoom * gain)
+    outside = (F.abs(cx - centre[0]) + w / 2 > width / 2 / unit * 0.9) | (F.abs(cy - centre[1]) + h / 2 > height / 2 / unit * 0.9)
+    few = F.col("n") <= most
+    moves = outside | (few & better & (shrinks | (pixels < short / 3)))
+    zooms = F.when(outside, few & better).otherwise(moves)
+    asked = box.where("n > 0")
+    return asked.select("layout", F.when(zooms, "zoom").when(moves, "move").otherwise("stay").alias("action"), F.round(F.when(zooms, target).otherwise(F.lit(zoom)), 6).alias("zoom"), F.round(F.when(moves, cx).otherwise(F.lit(centre[0])), 6).alias("x"), F.round(F.when(moves, cy).otherwise(F.lit(centre[1])), 6).alias("y"))

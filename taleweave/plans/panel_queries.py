@@ -199,3 +199,17 @@ def name_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = bridge.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("name")).distinct()
     texts = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return panels.passages(texts, names)
+
+
+@query(f"""WITH {LAYOUT_SQL}, f AS (SELECT b.layout, x0 / k AS x0, x1 / k AS x1, y0 / k AS y0, y1 / k AS y1, k FROM bo b, (VALUES (1), (20), (200), (2000)) v(k)),
+s AS (SELECT layout || ' ' || k AS layout, greatest(x1 - x0, 1.0) AS w, greatest(y1 - y0, 1.0) AS h, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM f),
+t AS (SELECT *, least(800 * 0.55 / w, 500 * 0.55 / h) / 2.0 AS want, greatest(w, h) * 2.0 AS px FROM s), u AS (SELECT *, want < 1.5 AND px > 500 * 0.92 AS shr FROM t),
+g AS (SELECT *, CASE WHEN shr THEN greatest(0.05, least(want, 1.5)) ELSE least(greatest(want, 1.5), 4, greatest(1.5, 500 / (900 * 2.0 * 0.35) * 1.5)) END AS target FROM u),
+o AS (SELECT *, CASE WHEN shr THEN target <= 1.5 / 1.25 ELSE target >= 1.5 * 1.25 END AS better, abs(cx - 3) + w / 2 > 800 / 2.0 / 2 * 0.9 OR abs(cy + 4) + h / 2 > 500 / 2.0 / 2 * 0.9 AS outside FROM g),
+m AS (SELECT *, outside OR (better AND (shr OR px < 500 / 3.0)) AS moves FROM o), z AS (SELECT *, CASE WHEN outside THEN better ELSE moves END AS zooms FROM m)
+SELECT layout, CASE WHEN zooms THEN 'zoom' WHEN moves THEN 'move' ELSE 'stay' END AS action, round(CASE WHEN zooms THEN target ELSE 1.5 END, 6)::DOUBLE AS zoom, round(CASE WHEN moves THEN cx ELSE 3 END, 6)::DOUBLE AS x, round(CASE WHEN moves THEN cy ELSE -4 END, 6)::DOUBLE AS y FROM z""")
+def focus_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of three layouts in four sizes, as if of a few nodes each."""
+    box = _boxes(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (1, 20, 200, 2000)))))
+    sized = box.select(F.concat_ws(" ", "layout", "k").alias("layout"), *[(F.col(c) / F.col("k")).alias(c) for c in ("x0", "x1", "y0", "y1")], F.lit(9).alias("n"))
+    return panels.focus_view(sized, 800.0, 500.0, 1.5, 2.0, (3.0, -4.0), 900.0)

@@ -141,3 +141,13 @@ def test_text_marks(spark):
     assert got[1] == ("", "", "", "")
     runs = spark.createDataFrame([("父子（亲生）/ 师徒", ""), (None, "dashed")], "type string, style string")
     assert [r[0] for r in runs.select(scalars.run_key(F.col("type"), F.col("style"))).collect()] == ["父子师徒|solid", "|dashed"]
+
+
+def test_focus(spark):
+    rows = [("tiny", -1.0, 1.0, -1.0, 1.0, 2), ("far", 900.0, 940.0, 0.0, 10.0, 2), ("crowd", 900.0, 940.0, 0.0, 10.0, 90), ("wide", -390.0, 390.0, -240.0, 240.0, 9), ("good", -100.0, 100.0, -60.0, 60.0, 9), ("none", None, None, None, None, 0)]
+    box = spark.createDataFrame(rows, "layout string, x0 double, x1 double, y0 double, y1 double, n int")
+    got = {r.layout: (r.action, r.zoom, r.x, r.y) for r in panels.focus_view(box, 800.0, 500.0, 1.0, 1.0, (0.0, 0.0), 700.0).collect()}
+    assert got["tiny"] == ("zoom", round(500 / (700 * 0.35), 6), 0.0, 0.0)  # no further than leaves enough of the graph
+    assert got["far"][0] == "zoom" and got["far"][2:] == (920.0, 5.0)
+    assert got["crowd"] == ("move", 1.0, 920.0, 5.0) and got["good"] == ("stay", 1.0, 0.0, 0.0)
+    assert got["wide"][0] == "zoom" and got["wide"][1] < 1 and "none" not in got
