@@ -10,8 +10,8 @@ The join runs over classes of equal shingle sets, in bounded pieces:
    with less than the needed overlap drop out;
 3. the remaining classes meet in groups, first by a few min-hashes, which join
    most near copies cheaply, then by every token of their prefix (the n - o + 1
-   smallest tokens, of which two linked sets share at least one), but only
-   where a group still holds two components.  In each group a signature tree is
+   first tokens, of which two linked sets share at least one; tokens of many sets
+   come last), but only where a group still holds two components.  In each group a signature tree is
    built and traversed against itself.  Groups larger than ``BLOCK`` are dealt as
    pairs of blocks;
 4. components of the links give the result.
@@ -41,11 +41,13 @@ from taleweave.llm.signature_tree import PER_CENT, LinkCounts, SignatureTree
 
 U64 = np.uint64
 CHUNK_TOKENS = 1 << 20  # shingles gathered in a task before they are sent
-RANGE_TOKENS = 1 << 21  # shingles of one hash range; a chunk goes to every range in a row, so small ranges make many small rows
+RANGE_TOKENS = 1 << 20  # shingles of one hash range; a chunk goes to every range in a row, so small ranges make many small rows
 MIN_HASHES = 3
 BUCKET_SETS = 2000  # classes that get their tokens back in one task's group
 BLOCK = 3000  # sets in one block of a large group
 CLUSTER = 16 * BLOCK  # sets that are compared as pairs of blocks
+FREQUENT, MOST_FREQUENT = 32, 1 << 18  # sets from which on a token comes last in the order, and tokens that do at most
+WIDTH = 7  # bytes of a token with its mark
 
 
 def _fingerprint(tokens: np.ndarray) -> int:
@@ -205,12 +207,59 @@ def _gather(per_cent: int):
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n): tokens of several sets of a chunk, and of how many."""
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+
+    def counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(tokens) if tokens else np.empty(0, U64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], schema=schema)
+
+    tokens, total = [], 0
+    for batch in batches:
+        for blob in batch["tokens"].to_pylist():
+            tokens.append(kernels.from_planes(blob, 6))
+            total += len(tokens[-1])
+            if total >= CHUNK_TOKENS:
+                yield counted(tokens)
+                tokens, total = [], 0
+    yield counted(tokens)
+    kernels.give_back()
+
+
+def _rare_first(live: DataFrame) -> DataFrame:
+    """``live`` with a mark above the tokens of many sets, so that they come last in every set.
+
+    Prefixes of sets meet whatever the order of tokens is, as long as it is one:
+    with rare tokens first, a passage that many texts share brings together only
+    those that share little else.  Which tokens are marked therefore never
+    changes a result, and their list has a bound.
+    """
+    counts = live.select("tokens").mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    few = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    frequent = np.sort(few["token"].to_numpy().astype(U64))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob in batch["tokens"].to_pylist():
+                t = kernels.from_planes(blob, 6)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
+                    t = np.sort(np.where(frequent[at] == t, t | U64(1 << 48), t))
+                out.append(kernels.to_planes(t, WIDTH))
+            yield pa.RecordBatch.from_arrays([batch["rep"], batch["n"], pa.array(out, pa.binary()), batch["hashes"]], ["rep", "n", "tokens", "hashes"])
+        kernels.give_back()
+
+    return live.select("rep", "n", "tokens", "hashes").mapInArrow(mark, LIVE_SQL)
+
+
 def _traverse(per_cent: int):
     def run(table: pa.Table) -> pa.Table:
         kernels.give_back()
         table = table.sort_by([("rep", "ascending")])
         rep = table["rep"].to_numpy()
-        tokens = [kernels.from_planes(b, 6) for b in table["tokens"].to_pylist()]
+        tokens = [kernels.from_planes(b, WIDTH) for b in table["tokens"].to_pylist()]
         found = SignatureTree(tokens, table["n"].to_numpy(), table["component"].to_numpy(), per_cent).run()
         a = pa.array([int(rep[i]) for i, _ in found], pa.int64())
         b = pa.array([int(rep[j]) for _, j in found], pa.int64())
@@ -224,7 +273,7 @@ def _count(per_cent: int, by_token: bool):
 
     def run(table: pa.Table) -> pa.Table:
         i, j, block = table["i"][0].as_py(), table["j"][0].as_py(), table["block"].to_numpy()
-        tokens = [kernels.from_planes(b, 6) for b in table["tokens"].to_pylist()]
+        tokens = [kernels.from_planes(b, WIDTH) for b in table["tokens"].to_pylist()]
         only = table["group"][0].as_py() if by_token else None
         counts = LinkCounts(tokens, table["n"].to_numpy(), table["component"].to_numpy(), table["docs"].to_numpy(), block == j if i != j else np.zeros(len(block), bool), per_cent, only).run()
         some = pa.array(counts > 0)
@@ -304,8 +353,9 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     buckets = shared.where("part > 0").withColumn("bucket", F.col("part") - 1)
     mine = classes.withColumn("bucket", F.pmod("set_key", F.lit(n_buckets)).cast("int"))
     gathered = buckets.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(_gather(per_cent), LIVE_SQL)
-    live = written(gathered, "live")
+    live = written(gathered, "gathered")
     forget_shuffles(docs.sparkSession)  # every shingle has been moved twice by now
+    live = written(_rare_first(live), "live")
 
     keys = live.select("rep", F.posexplode("hashes").alias("salt", "hash")).withColumn("group", F.xxhash64("salt", "hash"))
     counts = keys.groupBy("group").agg(F.count("*").alias("count")).where("count > 1")
@@ -361,7 +411,7 @@ def _prefixes(per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, n, blob in zip(batch["rep"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
-                tokens = kernels.from_planes(blob, 6)
+                tokens = kernels.from_planes(blob, WIDTH)
                 length = max(0, len(tokens) - -(-per_cent * n // 100) + 1)
                 yield pa.RecordBatch.from_arrays([pa.array([rep] * length, pa.int64()), pa.array(tokens[:length].astype(np.int64))], ["rep", "token"])
 
