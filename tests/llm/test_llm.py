@@ -763,3 +763,24 @@ def test_pipeline_stages_judge_rows(spark, docs, none):
     assert packed.where("piece = 0").count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_tokens_of_many_sets_come_last(spark):
+    """A passage that all texts share brings none of them together; near copies still meet."""
+    common = [rng.randrange(1 << 48) for _ in range(20)]
+    sets = []
+    for k in range(100):
+        own = [rng.randrange(1 << 48) for _ in range(64)]
+        sets += [sorted({*common, *own[:60]}), sorted({*common, *own[4:]})]
+    rows = [(k, len(s), bytearray(kernels.to_planes(np.array(s, np.uint64), 6)), [k]) for k, s in enumerate(sets)]
+    live = spark.createDataFrame(rows, "rep long, n long, tokens binary, hashes array<long>").repartition(3)
+    marked = jaccard._rare_first(live).cache()
+    prefixes = defaultdict(set)
+    for r in marked.select("rep", "n", "tokens").mapInArrow(jaccard._prefixes(75), "rep long, token long").collect():
+        prefixes[r.rep].add(r.token)
+    assert not set().union(*prefixes.values()) & {t | 1 << 48 for t in common} and not set().union(*prefixes.values()) & set(common)
+    assert all(prefixes[k] & prefixes[k + 1] for k in range(0, 200, 2))
+    for r in marked.collect():
+        t = kernels.from_planes(r.tokens, jaccard.WIDTH)
+        assert (np.diff(t.astype(np.int64)) > 0).all() and sorted((t & np.uint64((1 << 48) - 1)).tolist()) == sets[r.rep]
+    assert jaccard._rare_first(live.limit(0)).isEmpty()
