@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleweave.operators import chronicle
+from taleweave.operators import annotations, chronicle, validate
 from taleweave.operators.view import ViewState
 from taleweave.plans.base import query
 from taleweave.plans.view_queries import LAST, book
@@ -130,3 +130,54 @@ def name_ledger_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     alias = s.select(F.concat(F.lit("alias"), F.col("s_suppkey")).alias("alias"))
     led = led.unionByName(alias.select(F.col("alias").alias("name"), good))
     return chronicle.name_ledger_problems(led, c.select(F.col("c_name").alias("name")), alias)
+
+
+# Every user of the plot writes an annotation in the chapter of the first event; ids stand in the body, some of them misspelt.
+ITEMS_SQL = """ev AS (SELECT 'b' || (event_id % 2) AS book, 'e' || event_id AS id, CAST(event_id % 25 + 1 AS INT) AS ch, event_id AS k, user_id FROM events),
+it AS (SELECT book, user_id AS item, min(ch) AS ch, list_sort(list(id) FILTER (WHERE k % 3 <> 0)) AS events, list_sort(list(CASE WHEN k % 7 = 0 THEN id || 'x' ELSE id END) FILTER (WHERE k % 4 <> 0)) AS ids FROM ev GROUP BY book, user_id)"""
+
+
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT book, item, ch, unnest(list_distinct(ids)) AS event FROM it), d AS (SELECT book, item, ch, unnest(events) AS event FROM it),
+b AS (SELECT coalesce(c.book, d.book) AS book, coalesce(c.item, d.item) AS item, coalesce(c.ch, d.ch) AS ch, coalesce(c.event, d.event) AS event, c.item IS NOT NULL AS ci, d.item IS NOT NULL AS de FROM c FULL JOIN d ON c.book = d.book AND c.item = d.item AND c.event = d.event),
+kn AS (SELECT book, id, ch AS ech FROM ev WHERE k % 11 <> 0), rv AS (SELECT book, item, ch, event FROM d WHERE item % 2 = 0), e AS (SELECT b.*, ech FROM b LEFT JOIN kn ON kn.book = b.book AND kn.id = b.event)
+SELECT book, item, event, 'no such event' AS finding FROM e WHERE ci AND ech IS NULL UNION ALL SELECT book, item, event, CASE WHEN ech <> ch THEN 'cited across chapters' WHEN (book, event) IN (SELECT book, event FROM d) THEN 'declared elsewhere' ELSE 'unclaimed' END FROM e WHERE ci AND ech IS NOT NULL AND NOT de
+UNION ALL SELECT book, item, event, 'declared, no such event' FROM e WHERE de AND ech IS NULL UNION ALL SELECT book, item, event, 'uncited' FROM e WHERE de AND ech IS NOT NULL AND NOT ci
+UNION ALL SELECT book, item, event, CASE WHEN (book, ch, event) IN (SELECT book, ch, event FROM rv) THEN 'across, reviewed' ELSE 'across chapters' END FROM e WHERE de AND ech <> ch""")
+def annotation_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, ev = _items(spark, sf_dir)
+    reviewed = items.where("item % 2 = 0").select("book", "ch", F.explode("events").alias("event"))
+    return annotations.citations(items, ev.where("k % 11 <> 0").select("book", F.col("id").alias("event"), "ch"), reviewed)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = bridge.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    ev = e.select(F.concat(F.lit("b"), k % 2).alias("book"), F.concat(F.lit("e"), k).alias("id"), (k % 25 + 1).cast("int").alias("ch"), k.alias("k"), "user_id")
+    kept = F.sort_array(F.collect_list(F.when(F.col("k") % 3 != 0, F.col("id"))))
+    cited = F.sort_array(F.collect_list(F.when(F.col("k") % 4 != 0, F.when(F.col("k") % 7 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")))))
+    items = ev.groupBy("book", F.col("user_id").alias("item")).agg(F.min("ch").alias("ch"), kept.alias("events"), F.array_join(cited, "，").alias("body"))
+    return items, ev
+
+
+@query(f"""WITH {ITEMS_SQL}, x AS (SELECT book, item, CASE WHEN item % 13 = 0 THEN 99 ELSE ch END AS ch, CASE WHEN item % 9 = 0 THEN ' ' WHEN item % 10 = 0 THEN '……' ELSE '题' || (item % 40) END AS title, coalesce(ids, []) AS ids, coalesce(events, []) AS events,
+ CASE WHEN item % 4 = 0 THEN 'Basis「原' WHEN item % 4 = 1 THEN '原文' ELSE NULL END AS basis FROM it), kn AS (SELECT book, id, ch FROM ev WHERE k % 11 <> 0), pe AS (SELECT 'p' || (c_custkey % 30) AS id, CAST(c_custkey % 30 AS INT) AS first_ch FROM customer WHERE c_custkey <= 30),
+ch AS (SELECT book, item, 'p' || (item % 33) AS id FROM x)
+SELECT book, 'error' AS severity, 'title missing' AS kind, CAST(item AS VARCHAR) AS subject FROM x WHERE title = ' ' UNION ALL SELECT book, 'error', 'body missing', CAST(item AS VARCHAR) FROM x WHERE len(ids) = 0 UNION ALL SELECT book, 'error', 'basis missing', CAST(item AS VARCHAR) FROM x WHERE basis IS NULL
+UNION ALL SELECT book, 'error', 'title to come', CAST(item AS VARCHAR) FROM x WHERE title = '……' UNION ALL SELECT book, 'error', 'basis with foreign words', item || ' Basis' FROM x WHERE item % 4 = 0 UNION ALL SELECT book, 'error', 'basis with unpaired marks', CAST(item AS VARCHAR) FROM x WHERE item % 4 = 0
+UNION ALL SELECT book, 'error', 'chapter outside the book', CAST(item AS VARCHAR) FROM x WHERE ch > 25 UNION ALL SELECT book, 'error', 'events unknown', item || ' ' || e FROM (SELECT book, item, unnest(events) AS e FROM x) WHERE (book, e) NOT IN (SELECT book, id FROM kn)
+UNION ALL SELECT book, 'error', 'reference to nothing', item || ' ' || e FROM (SELECT book, item, unnest(ids) AS e FROM x) WHERE (book, e) NOT IN (SELECT book, id FROM kn) UNION ALL SELECT book, 'error', 'chars unknown', item || ' ' || id FROM ch WHERE id NOT IN (SELECT id FROM pe)
+UNION ALL SELECT y.book, 'error', 'person before their time', y.item || ' ' || y.e || ' ' || ch.id FROM (SELECT book, item, unnest(events) AS e FROM x) y JOIN kn ON kn.book = y.book AND kn.id = y.e JOIN ch ON ch.book = y.book AND ch.item = y.item JOIN pe ON pe.id = ch.id WHERE first_ch - kn.ch > 5
+UNION ALL SELECT book, 'error', 'title repeated', ch || ' ' || trim(title) FROM x GROUP BY book, ch, trim(title) HAVING count(*) > 1""")
+def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same annotations with titles, bases and people of their own, faults by their number."""
+    items, ev = _items(spark, sf_dir)
+    k = F.col("item")
+    title = F.when(k % 9 == 0, " ").when(k % 10 == 0, "……").otherwise(F.concat(F.lit("题"), k % 40))
+    basis = F.when(k % 4 == 0, "Basis「原").when(k % 4 == 1, "原文")
+    items = items.withColumns({"ch": F.when(k % 13 == 0, 99).otherwise(F.col("ch")), "title": title, "basis": basis, "chars": F.array(F.concat(F.lit("p"), k % 33)), "places": F.lit(None).cast("array<string>")})
+    books = spark.createDataFrame([("b0", 25), ("b1", 25)], "book string, last int")
+    c = bridge.table(spark, sf_dir, "customer").where("c_custkey <= 30").select(F.concat(F.lit("p"), F.col("c_custkey") % 30).alias("id"), (F.col("c_custkey") % 30).cast("int").alias("first_ch"))
+    chars = c.withColumn("book", F.explode(F.array(F.lit("b0"), F.lit("b1"))))  # the same people in both books
+    events = ev.where("k % 11 <> 0").select("book", "id", "ch")
+    nothing = items.limit(0)
+    return validate.report(annotations.field_rules(items, nothing.select("book", "item", "title", "body", "basis"), events, chars, events.limit(0).select("book", "id"), books))

@@ -97,3 +97,16 @@ def pack_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     structure, prose = packs.split(c)
     edited = packs.merge(structure.where("id % 25 <> 0"), prose).withColumn("title", F.when(F.col("id") % 10 == 0, F.upper("name")).otherwise(F.col("title")))
     return packs.differences(c, edited).select("id", "side")
+
+
+@query(f"""WITH {POINTS_SQL}, p AS (SELECT id, CASE WHEN id % 50 = 1 THEN 0 ELSE x END AS x, CASE WHEN id % 50 = 1 THEN 0 ELSE y END AS y, 2 + id % 9 AS size FROM pts),
+m AS (SELECT a.id, a.id < b.id AS lower, least(a.id, b.id) AS o, b.x - a.x AS dx, b.y - a.y AS dy, (a.size + b.size) / 2.0 + 2 AS least_, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS d FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) < 14 AND abs(a.y - b.y) < 14),
+s AS (SELECT id, sum(CASE WHEN d = 0 THEN CASE WHEN lower THEN -1 ELSE 1 END * cos(radians((o * 137) % 360)) * least_ * 0.5 ELSE -dx * (least_ - d) / d / 2 END) AS mx,
+ sum(CASE WHEN d = 0 THEN CASE WHEN lower THEN -1 ELSE 1 END * sin(radians((o * 137) % 360)) * least_ * 0.5 ELSE -dy * (least_ - d) / d / 2 END) AS my FROM m WHERE d < least_ GROUP BY id)
+SELECT p.id, round(x + coalesce(mx, 0), 5) AS x, round(y + coalesce(my, 0), 5) AS y FROM p LEFT JOIN s USING (id)""")
+def positions_relaxed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as symbols of different sizes, every fiftieth at one place."""
+    p = _points(spark, sf_dir)
+    spot = lambda c: F.when(F.col("id") % 50 == 1, 0.0).otherwise(F.col(c)).alias(c)
+    points = p.select("id", F.col("id").alias("ord"), spot("x"), spot("y"), (2 + F.col("id") % 9).cast("double").alias("size"))
+    return layout.relax_step(points, 2.0, 14.0).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
