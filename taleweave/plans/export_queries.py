@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taleweave.operators import graph, layout, textmine
 from taleweave.operators.view import ViewState
 from taleweave.plans.base import query
-from taleweave.sources import bridge, exports
+from taleweave.sources import bridge, exports, packs
 
 STATE = ViewState(80, progress=20, time_travel=True, chapter=6)
 
@@ -126,3 +126,15 @@ def pack_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     rels = bridge.relations(spark, sf_dir).where("ord % 50 <> 0").select(book.alias("book"), "src", "dst", "type", "kin")
     moved = places.join(nth, "id").where("NOT (layout = 'gen-v' AND ord % 13 = 0)").withColumn("x", F.when((F.col("layout") == "gen-v") & (F.col("ord") % 17 == 0), float("nan")).otherwise(F.col("x"))).drop("ord")
     return exports.pack_problems(source, {"characters": chars, "relations": rels, "layouts": moved}, ("gen-v", "gen-h", "force"))
+
+
+@query("""SELECT n_nationkey AS key, n_name AS title, CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS INT) AS chapters FROM nation""")
+def script_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation's pack as a script around JSON, written to the shared folder and read back."""
+    n = bridge.table(spark, sf_dir, "nation")
+    count = bridge.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("int").alias("chapters"))
+    books = n.join(count, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    doc = F.to_json(F.struct(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("title"), F.coalesce("chapters", F.lit(0)).alias("chapters")).alias("meta")))
+    path = f"{graph.shared_folder(spark)}/scripts-{uuid.uuid4().hex}"
+    books.select(F.concat(F.lit("module.exports = "), doc, F.lit(";\n")).alias("value"), F.col("n_nationkey").alias("book")).write.partitionBy("book").text(path)
+    return packs.read_pack(spark, path, "meta struct<key: int, title: string, chapters: int>").select("meta.*")

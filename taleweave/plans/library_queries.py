@@ -433,3 +433,12 @@ def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalars.unbold(F.concat(F.lit("x **"), name, F.lit("** y**"))).alias("plain"),
         scalars.run_key(F.concat(seg, F.lit(" a·b（x）")), F.when(k % 2 == 0, "dashed").otherwise("")).alias("run"),
     )
+
+
+@query("""SELECT s_suppkey AS k, CASE WHEN s_suppkey % 6 = 0 OR n_nationkey % 4 = 0 THEN 'nation ' || CASE WHEN s_suppkey % 6 = 0 THEN -1 ELSE s_nationkey END ELSE n_name END AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def named_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of suppliers by name; every fourth has none, and every sixth supplier names one that isn't there."""
+    n, s = bridge.table(spark, sf_dir, "nation"), bridge.table(spark, sf_dir, "supplier")
+    names = n.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).otherwise("").alias("name"))
+    asked = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 6 == 0, -1).otherwise(F.col("s_nationkey")).alias("key"))
+    return labels.named(asked, "key", names, F.concat(F.lit("nation "), "key")).select("k", "label")

@@ -90,7 +90,7 @@ def load_books(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     ``source`` is ``graph`` or ``full``, or null where neither can be read (the
     document is null then); one book's broken file doesn't hold up the others.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     books = catalog(spark, folder).select("book")
     graph = _parsed(raw, schema, GRAPH).withColumnRenamed("doc", "graph")
     full = _parsed(raw.where(~F.element_at(F.split("path", "/"), -1).rlike(SIDE_FILE)), schema, ".json").withColumnRenamed("doc", "full")

@@ -39,7 +39,7 @@ def read_book(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_pack(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A script pack: ``module.exports = {...};`` around JSON."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     body = F.regexp_replace(F.regexp_replace("value", r"(?s)^\s*module\.exports\s*=\s*", ""), r";\s*$", "")
     return raw.select(F.from_json(body, schema).alias("book")).select("book.*")
 

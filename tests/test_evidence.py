@@ -196,7 +196,7 @@ def test_packs_come_back(spark, tmp_path):
 
 
 def test_books_fall_back_one_by_one(spark, tmp_path):
-    files = {"a.json": '{"t": 1}', "a.graph.json": '{"t": 2}', "b.json": '{"t": 3}', "b.graph.json": "{broken", "c.json": '{"t": 4}', "d.json": "[]", "e.graph.json": '{"t": 5}', "a.missing-ok.json": "[]", "books.json": "{}", "first-ch-ok.json": "[]"}
+    files = {"a.json": '{"t": 1}', "a.graph.json": '{"t":\n 2\n}\n', "b.json": '{"t": 3}', "b.graph.json": "{broken", "c.json": '{"t": 4}', "d.json": "[]", "e.graph.json": '{"t": 5}', "a.missing-ok.json": "[]", "books.json": "{}", "first-ch-ok.json": "[]"}
     for name, text in files.items():
         (tmp_path / name).write_text(text, encoding="utf-8")
     assert {r.book: r.bytes for r in exports.catalog(spark, tmp_path.as_uri()).collect()} == {"a": 8, "b": 8, "c": 8, "d": 2}

@@ -264,7 +264,7 @@ def test_force_layout_repeats(spark):
 def test_pack_round_trip(spark, tmp_path):
     chars = spark.createDataFrame([("a", "A", "t", None), ("b", "B", None, None)], "id string, name string, title string, note string")
     assert packs.differences(chars, packs.merge(*packs.split(chars))).count() == 0
-    (tmp_path / "p.js").write_text("module.exports = " + json.dumps({"meta": {"slug": "x"}}) + ";\n")
+    (tmp_path / "p.js").write_text("module.exports = " + json.dumps({"meta": {"slug": "x"}}, indent=2) + ";\n")
     assert packs.read_pack(spark, str(tmp_path / "p.js"), "meta struct<slug:string>").first().meta.slug == "x"
     rows, judged = packs.optional(spark, str(tmp_path / "none.json"), "a int")
     assert rows.count() == 0 and not judged
