@@ -88,11 +88,6 @@ def plain_text(html: Column) -> Column:
     return F.regexp_replace(out, "&#[0-9]+;", "")
 
 
-def occurrences(text: Column, form: Column) -> Column:
-    """Non-overlapping occurrences of ``form``."""
-    return F.floor((F.char_length(text) - F.char_length(F.replace(text, form, F.lit("")))) / F.greatest(F.char_length(form), F.lit(1))).cast("long")
-
-
 # Signs and their entities; an apostrophe has another one in XML.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
