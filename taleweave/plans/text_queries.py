@@ -87,7 +87,10 @@ def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.gap_candidates(texts, f"[A-Z]{WORD}", known, 3, spark.createDataFrame([("Licensed",)], "name string"))
 
 
-@query()
+@query(f"""WITH tk AS (SELECT doc_id AS text_id, regexp_extract_all(text, '[A-Z]{WORD}') AS ws, regexp_split_to_array(text, '[A-Z]{WORD}') AS gs FROM documents),
+ti AS (SELECT text_id, unnest(ws) AS word, unnest(list_transform(gs[1:len(ws)], lambda g: length(g))) AS gap, unnest(range(len(ws))) AS k FROM tk),
+tp AS (SELECT text_id, word, CAST(sum(gap + length(word)) OVER (PARTITION BY text_id ORDER BY k) - length(word) AS INT) AS pos FROM ti)
+SELECT DISTINCT a.text_id, a.pos, a.word FROM tp a JOIN tp b ON a.text_id = b.text_id AND a.word <> 'Licensed' AND b.word = 'Licensed' AND abs(a.pos - b.pos) <= {textmine.NEAR}""")
 def gap_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words within 90 characters of a license line's first word."""
     texts = _texts(spark, sf_dir)

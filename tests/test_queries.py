@@ -21,4 +21,4 @@ def test_entry_gives_rows(spark):
 
 def test_names_agree():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"shortest_path_steps", "gap_near", "force_positions", "label_keep"}
+    assert set(QUERIES) - set(ORACLES) == {"shortest_path_steps", "force_positions", "label_keep"}
