@@ -134,7 +134,7 @@ def name_ledger_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Every user of the plot writes an annotation in the chapter of the first event; ids stand in the body, some of them misspelt.
 ITEMS_SQL = """ev AS (SELECT 'b' || (event_id % 2) AS book, 'e' || event_id AS id, CAST(event_id % 25 + 1 AS INT) AS ch, event_id AS k, user_id FROM events),
-it AS (SELECT book, user_id AS item, min(ch) AS ch, list_sort(list(id) FILTER (WHERE k % 3 <> 0)) AS events, list_sort(list(CASE WHEN k % 7 = 0 THEN id || 'x' ELSE id END) FILTER (WHERE k % 4 <> 0)) AS ids FROM ev GROUP BY book, user_id)"""
+it AS (SELECT book, user_id AS item, min(ch) AS ch, list_sort(list(id) FILTER (WHERE k % 3 <> 0)) AS events, list_sort(list(CASE WHEN k % 7 = 0 THEN id || 'x' WHEN k % 8 = 1 THEN 'e' || (k + 2) ELSE id END) FILTER (WHERE k % 4 <> 0)) AS ids FROM ev GROUP BY book, user_id)"""
 
 
 @query(f"""WITH {ITEMS_SQL}, c AS (SELECT book, item, ch, unnest(list_distinct(ids)) AS event FROM it), d AS (SELECT book, item, ch, unnest(events) AS event FROM it),
@@ -154,7 +154,7 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("event_id")
     ev = e.select(F.concat(F.lit("b"), k % 2).alias("book"), F.concat(F.lit("e"), k).alias("id"), (k % 25 + 1).cast("int").alias("ch"), k.alias("k"), "user_id")
     kept = F.sort_array(F.collect_list(F.when(F.col("k") % 3 != 0, F.col("id"))))
-    cited = F.sort_array(F.collect_list(F.when(F.col("k") % 4 != 0, F.when(F.col("k") % 7 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")))))
+    cited = F.sort_array(F.collect_list(F.when(F.col("k") % 4 != 0, F.when(F.col("k") % 7 == 0, F.concat("id", F.lit("x"))).when(F.col("k") % 8 == 1, F.concat(F.lit("e"), F.col("k") + 2)).otherwise(F.col("id")))))
     items = ev.groupBy("book", F.col("user_id").alias("item")).agg(F.min("ch").alias("ch"), kept.alias("events"), F.array_join(cited, "，").alias("body"))
     return items, ev
 
@@ -165,7 +165,7 @@ ch AS (SELECT book, item, 'p' || (item % 33) AS id FROM x)
 SELECT book, 'error' AS severity, 'title missing' AS kind, CAST(item AS VARCHAR) AS subject FROM x WHERE title = ' ' UNION ALL SELECT book, 'error', 'body missing', CAST(item AS VARCHAR) FROM x WHERE len(ids) = 0 UNION ALL SELECT book, 'error', 'basis missing', CAST(item AS VARCHAR) FROM x WHERE basis IS NULL
 UNION ALL SELECT book, 'error', 'title to come', CAST(item AS VARCHAR) FROM x WHERE title = '……' UNION ALL SELECT book, 'error', 'basis with foreign words', item || ' Basis' FROM x WHERE item % 4 = 0 UNION ALL SELECT book, 'error', 'basis with unpaired marks', CAST(item AS VARCHAR) FROM x WHERE item % 4 = 0
 UNION ALL SELECT book, 'error', 'chapter outside the book', CAST(item AS VARCHAR) FROM x WHERE ch > 25 UNION ALL SELECT book, 'error', 'events unknown', item || ' ' || e FROM (SELECT book, item, unnest(events) AS e FROM x) WHERE (book, e) NOT IN (SELECT book, id FROM kn)
-UNION ALL SELECT book, 'error', 'reference to nothing', item || ' ' || e FROM (SELECT book, item, unnest(ids) AS e FROM x) WHERE (book, e) NOT IN (SELECT book, id FROM kn) UNION ALL SELECT book, 'error', 'chars unknown', item || ' ' || id FROM ch WHERE id NOT IN (SELECT id FROM pe)
+UNION ALL SELECT book, 'error', 'reference to nothing', item || ' ' || e FROM (SELECT book, item, unnest(list_distinct(ids)) AS e FROM x) WHERE (book, e) NOT IN (SELECT book, id FROM kn) UNION ALL SELECT book, 'error', 'chars unknown', item || ' ' || id FROM ch WHERE id NOT IN (SELECT id FROM pe)
 UNION ALL SELECT y.book, 'error', 'person before their time', y.item || ' ' || y.e || ' ' || ch.id FROM (SELECT book, item, unnest(events) AS e FROM x) y JOIN kn ON kn.book = y.book AND kn.id = y.e JOIN ch ON ch.book = y.book AND ch.item = y.item JOIN pe ON pe.id = ch.id WHERE first_ch - kn.ch > 5
 UNION ALL SELECT book, 'error', 'title repeated', ch || ' ' || trim(title) FROM x GROUP BY book, ch, trim(title) HAVING count(*) > 1""")
 def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

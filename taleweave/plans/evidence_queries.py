@@ -14,7 +14,8 @@ KINDS = ("父子", "夫妻", "盟友", "兄弟（义）")
 NAME = "[A-Z][a-z]{3,}"
 # Every conversation's rest by 3 is a book; its people are the capitalised words; the texts of half the conversations are the book, and book b2 has none.
 TURNS_SQL = f"""c AS (SELECT 'b' || (conv_id % 3) AS book, conv_id, conv_id * 1000 + turn AS rel, turn, text, regexp_extract_all(text, '{NAME}') AS names FROM conversations),
-links AS (SELECT book, rel, 'n_' || names[1] AS src, 'n_' || names[2] AS dst, ({list(KINDS)})[conv_id % 4 + 1] AS type FROM c WHERE len(names) >= 2),
+links AS (SELECT book, rel, 'n_' || names[1] AS src, 'n_' || names[2] AS dst, ({list(KINDS)})[conv_id % 4 + 1] AS type FROM c WHERE len(names) >= 2
+ UNION ALL SELECT book, -1 - rel, 'n_' || names[1], 'n_' || names[3], '母子' FROM c WHERE len(names) >= 3),
 people AS (SELECT DISTINCT book, unnest(names) AS name FROM c),
 forms AS (SELECT book, 'n_' || name AS char, name AS main, name AS form FROM people UNION SELECT book, 'n_' || name, name, left(name, 4) FROM people WHERE length(name) >= 6),
 src AS (SELECT book, regexp_replace(string_agg(text, ' ' ORDER BY conv_id, turn), '[\\s·]', '', 'g') AS text FROM c WHERE conv_id % 6 < 2 GROUP BY book)"""
@@ -39,13 +40,14 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     end = lambda k: F.concat(F.lit("n_"), F.get("names", F.lit(k)))
     rels = t.where(F.size("names") >= 2).select("book", "rel", end(0).alias("src"), end(1).alias("dst"), F.get(F.array(*map(F.lit, KINDS)), (F.col("conv_id") % 4).cast("int")).alias("type"))
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("他说「"), F.left("text", F.lit(24)), F.lit("」"))).when(F.col("turn") % 3 == 1, F.left("text", F.lit(60)))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("他说「"), F.left("text", F.lit(24)), F.lit("」"))).when(F.col("turn") % 3 == 1, F.left("text", F.lit(200)))
+    more = t.where(F.size("names") >= 3).select("book", (-1 - F.col("rel")).alias("rel"), end(0).alias("src"), end(2).alias("dst"), F.lit("母子").alias("type"))
     told = t.select("book", "rel", F.col("turn").alias("nth"), F.coalesce(said, F.concat(F.lit("「"), F.substring("text", 5, 30), F.lit("」"), F.coalesce(F.get("names", F.lit(2)), F.lit("x")))).alias("text"), F.lit(False).alias("derived"))
-    return evidence.actor_findings(rels, told, _people(t), _sources(t))
+    return evidence.actor_findings(rels.unionByName(more), told, _people(t), _sources(t))
 
 
 FINDINGS_SQL = rf"""{TURNS_SQL},
-e AS (SELECT c.book, c.rel, turn AS nth, src, dst, CASE turn % 3 WHEN 0 THEN '他说「' || left(text, 24) || '」' WHEN 1 THEN left(text, 60) ELSE '「' || substr(text, 5, 30) || '」' || coalesce(names[3], 'x') END AS text FROM c JOIN links USING (rel)),
+e AS (SELECT c.book, c.rel, turn AS nth, src, dst, CASE turn % 3 WHEN 0 THEN '他说「' || left(text, 24) || '」' WHEN 1 THEN left(text, 200) ELSE '「' || substr(text, 5, 30) || '」' || coalesce(names[3], 'x') END AS text FROM c JOIN links USING (rel)),
 ev AS (SELECT *, regexp_replace(text, '[\s·]', '', 'g') AS whole, regexp_matches(text, '「[^」]{{2,}}」') AS verbatim, regexp_replace(regexp_extract(text, '「([^」]+)」', 1), '[\s·]', '', 'g') AS q FROM e),
 named AS (SELECT ev.*, char, main, form, char IN (src, dst) AS is_end FROM ev JOIN forms ON forms.book = ev.book AND contains(whole, form)),
 loc AS (SELECT rel FROM ev JOIN src ON src.book = ev.book WHERE (length(q) >= 2 AND contains(src.text, left(q, 40))) OR contains(src.text, left(whole, 40))),
@@ -65,7 +67,7 @@ def actor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FINDINGS_SQL}, fl AS (SELECT book, src, dst, (CASE WHEN bool_or(nameless) THEN 'A' ELSE '' END) || (CASE WHEN bool_or(third) THEN 'B' ELSE '' END) || (CASE WHEN bool_or(missing) THEN 'C' ELSE '' END) AS flag FROM f GROUP BY ALL),
-led AS (SELECT book, src, dst, CASE WHEN min(rel) % 4 = 0 THEN 'ABC' ELSE 'C' END AS flag, min(rel) % 5 AS short FROM links WHERE rel % 1000 <> 1 GROUP BY ALL),
+led AS (SELECT book, src, dst, CASE WHEN min(rel) % 4 = 0 THEN 'ABC' ELSE 'C' END AS flag, min(rel) % 5 AS short FROM links WHERE rel >= 0 AND rel % 1000 <> 1 GROUP BY ALL),
 b AS (SELECT coalesce(l.book, d.book) AS book, coalesce(l.src, d.src) AS src, coalesce(l.dst, d.dst) AS dst, l.flag AS said, d.flag AS found, short FROM led l FULL JOIN (SELECT * FROM fl WHERE flag <> '') d ON l.book = d.book AND l.src = d.src AND l.dst = d.dst)
 SELECT book, src, dst, 'unlisted' AS problem FROM b WHERE said IS NULL UNION ALL SELECT book, src, dst, 'stale' FROM b WHERE found IS NULL UNION ALL SELECT book, src, dst, 'differs' FROM b WHERE said <> found
 UNION ALL SELECT book, src, dst, 'no reason' FROM b WHERE said IS NOT NULL AND short = 0""")
