@@ -148,11 +148,21 @@ def by_bucket(keys: np.ndarray, tokens: np.ndarray, n_buckets: int, n_ranges: in
         yield b % n_ranges, 1 + b, k[at].astype("<i8").tobytes(), kernels.to_planes(np.diff(np.append(at, len(k))).astype(U64), 4), kernels.to_planes(t, 6)
 
 
+def _then_give_back(work):
+    """A group's work, after which what it held goes: the worker may wait long for its next group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        kernels.give_back()
+        return out
+
+    return run
+
+
 def _settle(n_ranges: int, n_buckets: int):
     """A hash range: which of its tokens belong to two classes or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        kernels.give_back()  # what the group before has left
         part = table["part"].to_numpy()
         out = [table.filter(pa.array(part > 0))]
         mine = table.filter(pa.array(part == 0))
@@ -171,7 +181,7 @@ def _settle(n_ranges: int, n_buckets: int):
                 out.append(pa.Table.from_batches([_rows(by_bucket(keys[shared], tokens[shared], n_buckets, n_ranges))]))
         return pa.concat_tables([t.cast(SENT) for t in out])
 
-    return run
+    return _then_give_back(run)
 
 
 LIVE_SQL = "rep long, n long, tokens binary, hashes array<long>"
@@ -180,8 +190,7 @@ LIVE_SQL = "rep long, n long, tokens binary, hashes array<long>"
 def _gather(per_cent: int):
     """A bucket of classes: their shared tokens, where they may suffice for a link."""
 
-    def run(shared: pa.Table, sets: pa.Table) -> pa.Table:
-        kernels.give_back()
+    def work(shared: pa.Table, sets: pa.Table) -> pa.Table:
         out = {"rep": [], "n": [], "tokens": [], "hashes": []}
         known = dict(zip(sets["set_key"].to_pylist(), zip(sets["rep"].to_pylist(), sets["n"].to_pylist(), strict=True), strict=True))
         if shared.num_rows:
@@ -204,6 +213,11 @@ def _gather(per_cent: int):
                     out["hashes"].append([int(kernels.mix(own + U64(salt << 50)).min() >> U64(1)) for salt in range(1, MIN_HASHES + 1)])
         return pa.table(out, schema=pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("hashes", pa.list_(pa.int64()))]))
 
+    def run(shared: pa.Table, sets: pa.Table) -> pa.Table:
+        out = work(shared, sets)
+        kernels.give_back()  # the worker may wait long for its next group
+        return out
+
     return run
 
 
@@ -256,7 +270,6 @@ def _rare_first(live: DataFrame) -> DataFrame:
 
 def _traverse(per_cent: int):
     def run(table: pa.Table) -> pa.Table:
-        kernels.give_back()
         table = table.sort_by([("rep", "ascending")])
         rep = table["rep"].to_numpy()
         tokens = [kernels.from_planes(b, WIDTH) for b in table["tokens"].to_pylist()]
@@ -265,7 +278,7 @@ def _traverse(per_cent: int):
         b = pa.array([int(rep[j]) for _, j in found], pa.int64())
         return pa.table({"a": a, "b": b})
 
-    return run
+    return _then_give_back(run)
 
 
 def _count(per_cent: int, by_token: bool):
