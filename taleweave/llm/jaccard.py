@@ -339,7 +339,7 @@ def _met(live: DataFrame, prefix: DataFrame, which: Column, per_cent: int, count
     return rest.unionByName(_linked(live, wide.join(tokens, "token").select(F.col("token").alias("group"), "rep", "component", "count"), True, per_cent, "token" if count else None))
 
 
-def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, set_rep, with ``count_links`` n_links, set_key, the text's KEY, and stays.
 
     ``component_id`` is the smallest id reachable through links (Jaccard of
@@ -357,7 +357,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     of_set = [F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.count("*").alias("docs")]
     classes = written(known.groupBy("set_key").agg(*of_set).withColumn("rep", F.col("set_key")), "classes")
     total, n_classes = classes.agg(F.sum("n"), F.count("*")).first()
-    n_ranges = max(32, -(-(total or 0) // RANGE_TOKENS))
+    n_ranges = max(32, -(-(total or 0) // range_tokens))
     n_buckets = max(32, -(-n_classes // BUCKET_SETS))
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
@@ -398,13 +398,14 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, per_cent: int =
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(has_id, F.coalesce("first_id", "doc_id")).alias("set_rep"), *own, "set_key", *KEY, stays)
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, per_cent: int = PER_CENT, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and others) but for those near another: of each component one row of its smallest id stays.
 
     Rows with a null id or a wordless text all stay.  Of rows with one id and
     equal shingles one stays; different texts of one id are judged apart.
+    Smaller ranges take less memory in a task and more rows on the way to it.
     """
-    told = written(near_duplicate_components(docs, shingle, per_cent), "near-duplicates")
+    told = written(near_duplicate_components(docs, shingle, per_cent, range_tokens=range_tokens), "near-duplicates")
     keyed = with_key(docs)
     rest = join_on(keyed, told.where("NOT stays").select("doc_id", *KEY).distinct(), ["doc_id", *KEY], "left_anti")
     # the rows that stand for a component under one id: one of them
