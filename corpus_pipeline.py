@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from taleweave.llm import jaccard, mixing, packing, quality, scratch, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Executors hold workers of other stages as well, so the Jaccard join gets half of its usual ranges.
+RANGE_TOKENS = jaccard.RANGE_TOKENS // 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row, of the smallest id; rows with a null id or without words all stay."""
-    return jaccard.one_of_each(docs.select(*COLUMNS))
+    return jaccard.one_of_each(docs.select(*COLUMNS), range_tokens=RANGE_TOKENS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
