@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleweave.operators import kin, ledgers, rules, validate
+from taleweave.operators import alike, kin, ledgers, rules, validate
 from taleweave.plans.base import query
-from taleweave.plans.kin_queries import LCA_SQL, SEX_SQL, _closed, _sex
+from taleweave.plans.kin_queries import LCA_SQL, SEX_SQL, _closed, _ids, _nearest, _sex
 from taleweave.sources import bridge
 
 
@@ -102,9 +102,10 @@ SELECT elder, younger, q, CASE WHEN qs = 'm' AND es = 'm' THEN '叔侄（' || o
 def kin_collateral_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and the suppliers of their sister nations, one generation apart."""
     closed = _closed(spark, sf_dir)
-    lca = kin.nearest_common(kin.related_pairs(closed, 2), closed)
+    near, classes = _nearest(closed)
     line = closed.select(F.least("node", "ancestor").alias("a"), F.greatest("node", "ancestor").alias("b"))
-    pairs = lca.where("da = 1 AND db = 2").join(line, ["a", "b"], "left_anti").select(F.col("a").alias("elder"), F.col("b").alias("younger"), (F.col("db") - F.col("da")).alias("gap"))
+    uncles = _ids(alike.expand(near.where("da = 1 AND db = 2"), kin.members(classes), but=line), "da", "db")
+    pairs = uncles.select(F.col("a").alias("elder"), F.col("b").alias("younger"), (F.col("db") - F.col("da")).alias("gap"))
     p = kin.connecting_ancestors(pairs, bridge.kin_edges(spark, sf_dir), closed)
     rank = lambda c: F.substring(c, 2, 20).cast("long")
     term = kin.collateral_term(F.col("gap"), _sex("q"), _sex("q"), _sex("elder"), _sex("younger"), kin.elder_order(rank("elder"), rank("q")))
@@ -122,5 +123,7 @@ def kin_adoptive_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM closed x JOIN closed y ON x.ancestor = y.ancestor WHERE x.node = a AND y.node = b AND x.dist = 2 AND y.dist = 2) THEN '堂' ELSE '表' END AS mark FROM cousins""")
 def kin_cousin_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = _closed(spark, sf_dir)
-    lca = kin.nearest_common(kin.related_pairs(closed, 2), closed)
-    return kin.cousin_mark(lca.where("da = 2 AND db = 2").select("a", "b"), closed)
+    near, classes = _nearest(closed)
+    cousins = near.where("da = 2 AND db = 2").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    marked = kin.cousin_mark(cousins, kin.of_classes(closed, classes)).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "mark")
+    return _ids(alike.expand(marked, kin.members(classes)), "mark")
