@@ -238,7 +238,7 @@ def kin_sibling_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Siblings worded as elder brother or elder sister by their numbers; of every seventh the order of birth isn't known."""
     e = bridge.kin_edges(spark, sf_dir)
     rank = lambda c: F.substring(c, 2, 20).cast("long")
-    p = e.withColumnRenamed("child", "src").join(e.withColumnRenamed("child", "dst"), "parent").where("src < dst")
+    p = kin.sibling_pairs(e).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     edges = p.select("src", "dst", F.when((rank("src") + rank("dst")) % 2 == 0, "兄妹（推导）").otherwise("同父异母的姐弟").alias("type"), ((rank("src") + rank("dst")) % 5 != 0).alias("derived"))
     ranks = e.select(F.col("child").alias("id")).distinct().select("id", F.when(rank("id") % 7 != 0, rank("id")).alias("rank"))
     return kin.sibling_direction(edges, ranks)
