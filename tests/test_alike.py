@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taleweave.operators import alike, kin
+from taleweave.operators import alike, kin, kinship
 
 
 def _members(spark, of):
@@ -55,3 +55,20 @@ def test_nearest_by_classes_in_both_orders(spark):
         up.setdefault(r.node, {})[r.ancestor] = r.dist
     want = {(a, b): min((up[a][x] + up[b][x], up[a][x], x, up[b][x]) for x in up[a].keys() & up[b].keys()) for a in up for b in up if a < b and up[a].keys() & up[b].keys()}
     assert got == want and classes.select("cls").distinct().count() < classes.count()
+
+
+def test_children_alike_are_judged_once(spark):
+    """Four hundred children of two parents, told apart by the order of birth alone: few rows are judged, all pairs come out."""
+    edges = spark.range(400).select(F.explode(F.array(F.lit("f"), F.lit("m"))).alias("parent"), F.concat(F.lit("s"), "id").alias("child"), F.lit(False).alias("adoptive"), F.col("id").alias("ord"))
+    chars = spark.range(400).select(F.concat(F.lit("s"), "id").alias("id"), F.when(F.col("id") % 2 == 0, "m").otherwise("f").alias("gender"), F.when(F.col("id") % 5 > 0, F.col("id").cast("int")).alias("birth_rank"))
+    chars = chars.unionByName(spark.createDataFrame([("f", "m", None), ("m", "f", None)], chars.schema))
+    classes, _ = kinship.compute_classes(edges, chars)
+    assert classes.count() <= 20
+    got = {r.term: r.n for r in kinship.compute(edges, chars).where("kind = 'sibling'").groupBy("term").agg(F.count("*").alias("n")).collect()}
+    want = {}
+    for i in range(400):
+        for j in range(400):
+            if f"s{i}" < f"s{j}":
+                word = ("兄弟", "姐妹")[i % 2] if i % 2 == j % 2 else "同胞" if i % 5 == 0 or j % 5 == 0 else "兄妹" if (i < j) == (i % 2 == 0) else "姐弟"
+                want[word] = want.get(word, 0) + 1
+    assert got == want
