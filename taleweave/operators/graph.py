@@ -45,17 +45,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def adjacency(rels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Both directions of every relation with two known ends: at, to, ord."""
+    """Both directions of every relation with two known ends: at, to, and ord if relations have it."""
+    order = [c for c in ("ord",) if c in rels.columns]
     known = nodes.select("id")
     ok = rels.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    there = ok.select(F.col("src").alias("at"), F.col("dst").alias("to"), "ord")
-    return there.unionByName(ok.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), "ord"))
+    there = ok.select(F.col("src").alias("at"), F.col("dst").alias("to"), *order)
+    return there.unionByName(ok.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), *order))
 
 
 def neighborhood(seeds: DataFrame, adj: DataFrame, depth: int | None) -> DataFrame:
     """(id, depth) of all nodes within ``depth`` hops of any seed, or of all that can be reached; unknown seeds are kept."""
     seen = cut_lineage(seeds.select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
+    adj = adj.select("at", "to") if depth == 1 else cut_lineage(adj.select("at", "to"))  # else every level would make the edges anew
     for level in count(1) if depth is None else range(1, depth + 1):
         frontier = cut_lineage(frontier.join(adj, frontier["id"] == adj["at"]).select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():

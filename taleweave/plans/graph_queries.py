@@ -21,8 +21,8 @@ UNION SELECT nxt, depth + 1 FROM hop JOIN adj ON here = id WHERE depth < {depth}
 SELECT id, CAST(min(depth) AS INT) AS depth FROM hop GROUP BY id"""
 
 
-def _adj(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, rels = book(spark, sf_dir)
+def _adj(spark: SparkSession, sf_dir: str, ordered: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, rels = book(spark, sf_dir, ordered)
     return nodes, rels, graph.adjacency(rels.where(relation_open(STATE, filtered=False)), nodes)
 
 
@@ -63,7 +63,7 @@ def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def shortest_path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path between two suppliers, ties by discovery order; tests hold it against a queue."""
-    nodes, _, adj = _adj(spark, sf_dir)
+    nodes, _, adj = _adj(spark, sf_dir, ordered=True)
     found = graph.shortest_path("s1", "s5", adj)
     return found if found is not None else spark.createDataFrame([], "step int, src string, dst string, ord long")
 

@@ -37,8 +37,8 @@ DEGREE_SQL = """deg AS (SELECT c.id, c.ord, CAST(count(r.id) AS BIGINT) AS degre
   LEFT JOIN (SELECT src AS id FROM rels UNION ALL SELECT dst FROM rels) r ON r.id = c.id GROUP BY c.id, c.ord)"""
 
 
-def book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return bridge.characters(spark, sf_dir), bridge.relations(spark, sf_dir)
+def book(spark: SparkSession, sf_dir: str, ordered: bool = True) -> tuple[DataFrame, DataFrame]:
+    return bridge.characters(spark, sf_dir), bridge.relations(spark, sf_dir, ordered)
 
 
 @query("""WITH a AS (SELECT first_ch AS ch, count(*) AS new_chars FROM chars WHERE first_ch IS NOT NULL GROUP BY 1),
