@@ -54,6 +54,7 @@ def expanded(seeds: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
     known = seeds.join(nodes.select("id"), "id", "left_semi").select("lock", "id", "depth").distinct()
     seen = cut_lineage(known.withColumn("hops", F.lit(0)))
     frontier = seen
+    adj = cut_lineage(adj.select("at", "to"))  # else every hop would make the edges anew
     for hop in range(1, MAX_DEPTH + 1):
         out = frontier.where(F.col("depth") >= hop).join(adj.select(F.col("at").alias("id"), "to"), "id").select("lock", F.col("to").alias("id"), "depth").distinct()
         frontier = cut_lineage(out.join(seen.select("lock", "id"), ["lock", "id"], "left_anti").withColumn("hops", F.lit(hop)))

@@ -21,7 +21,7 @@ mem AS (SELECT CAST(lock AS INT) AS lock, id, CAST(min(hops) AS INT) AS hops FRO
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, rels = book(spark, sf_dir)
+    nodes, rels = book(spark, sf_dir, ordered=False)
     return panels.expanded(panels.seeds_of(spark, LOCKS), nodes, graph.adjacency(rels, nodes))
 
 
@@ -33,7 +33,7 @@ def lock_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOCK_SQL} SELECT DISTINCT m.lock, least(src, dst) || '|' || greatest(src, dst) AS pair FROM rels JOIN mem m ON m.id = src JOIN mem o ON o.id = dst AND o.lock = m.lock WHERE ch <= 10")
 def lock_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.locked_edges(_members(spark, sf_dir), bridge.relations(spark, sf_dir), ViewState(80, progress=10, styles=frozenset({"dashed"})))
+    return panels.locked_edges(_members(spark, sf_dir), bridge.relations(spark, sf_dir, ordered=False), ViewState(80, progress=10, styles=frozenset({"dashed"})))
 
 
 @query("""WITH sc AS (SELECT DISTINCT place, dst AS id FROM rel_places WHERE ch <= 3), a AS (SELECT n_name AS place FROM nation)
