@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taleweave.functions.scalars import plain_text, short_name, slug
 from taleweave.operators import ledgers, textmine, validate, view
+from taleweave.operators.graph import cut_lineage
 from taleweave.plans.base import query
 from taleweave.plans.view_queries import DEGREE_SQL, book
 from taleweave.sources import bridge
@@ -138,7 +139,7 @@ REPORT_SQL = f"""{DEGREE_SQL}, found AS (
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One supplier is left out, so that its relations dangle."""
-    nodes, rels = book(spark, sf_dir)
+    nodes, rels = map(cut_lineage, book(spark, sf_dir))  # every rule reads them
     degree = view.degrees(rels, nodes)
     return validate.report(validate.characters(nodes, degree) + validate.relations(rels, nodes.where("id <> 's1'")))
 
