@@ -18,3 +18,17 @@ def with_ord(df: DataFrame, bucket: Column, order: list, name: str = "ord") -> D
     counts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     return rows.withColumn("__nth", nth).join(counts, "__bucket").withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).drop("__bucket", "__nth", "__before")
+
+
+def with_place(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Number rows from 1 within ``group`` by ``order``; neither the group nor the first of ``order`` is null.
+
+    Rows are numbered within their group and first key; only the counts of those
+    keys meet in a window a group.
+    """
+    first, *rest = order
+    counts = df.groupBy(group, first).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(group, first, F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(group, first).orderBy(*rest))
+    return df.withColumn("__nth", nth).join(counts, [group, first]).withColumn(name, F.col("__before") + F.col("__nth")).drop("__nth", "__before")
