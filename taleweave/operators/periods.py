@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.functions.ordinals import with_ord
+from taleweave.operators.alike import expand
+from taleweave.operators.graph import cut_lineage
+
 
 def effective_segment(history: Column, ch: Column | None, fallback: Column, field: str = "faction") -> Column:
     """The last segment of ``history`` (array of structs with from_ch) begun by ``ch``, else the first, else ``fallback``; null ``ch`` is the end."""
@@ -59,6 +63,19 @@ def shared_events(pairs: DataFrame, event_chars: DataFrame, open_events: DataFra
     return ranked.groupBy("a", "b").agg(F.min(F.struct(F.coalesce("phase", F.lit(99)).alias("phase"), "ord", "event")).alias("m")).select("a", "b", "m.event")
 
 
+def first_shared_events(event_chars: DataFrame, open_events: DataFrame) -> DataFrame:
+    """(a, b, event): ``shared_events`` of all pairs (a < b) that share an open event.
+
+    Pairs are written out from blocks of an event's characters and keep the least number of an event.
+    """
+    events = open_events.select("event", F.coalesce("phase", F.lit(99)).alias("phase"), "ord")
+    ranked = cut_lineage(with_ord(events, F.col("phase"), ["phase", "ord", "event"], "nth"))
+    members = event_chars.join(ranked, "event").select(F.col("nth").alias("cls"), F.struct(F.col("char").alias("id")).alias("item"))
+    met = expand(ranked.select(F.col("nth").alias("ca"), F.col("nth").alias("cb"), "nth"), members)
+    first = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.min("nth").alias("nth"))
+    return first.join(ranked.select("nth", "event"), "nth").select("a", "b", "event")
+
+
 def islands(rels: DataFrame, keys: list[str]) -> DataFrame:
     """Periods of the same key merged where they touch or overlap: keys, island, n, from_ch, to_ch (null: open)."""
     end = F.coalesce("to_ch", F.lit(2**31 - 1))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taleweave.operators import alike, kin, kinship
+from taleweave.operators import alike, kin, kinship, periods
 
 
 def _members(spark, of):
@@ -72,3 +72,12 @@ def test_children_alike_are_judged_once(spark):
                 word = ("兄弟", "姐妹")[i % 2] if i % 2 == j % 2 else "同胞" if i % 5 == 0 or j % 5 == 0 else "兄妹" if (i < j) == (i % 2 == 0) else "姐弟"
                 want[word] = want.get(word, 0) + 1
     assert got == want
+
+
+def test_first_shared_event_of_all_pairs(spark):
+    """As for asked pairs; pairs of one large event go to several tasks and aren't made twice."""
+    ec = spark.createDataFrame([("e1", 1), ("e1", 2), ("e2", 1), ("e2", 2), ("e2", 3), ("e3", 3), ("e3", 1), ("shut", 2), ("shut", 4)], "event string, char long")
+    events = spark.createDataFrame([("e1", None, 1), ("e2", 2, 9), ("e3", 2, 4)], "event string, phase int, ord long")
+    asked = spark.createDataFrame([(a, b) for a in range(1, 5) for b in range(a + 1, 5)], "a long, b long")
+    got = sorted(map(tuple, periods.first_shared_events(ec, events).collect()))
+    assert got == sorted(map(tuple, periods.shared_events(asked, ec, events).collect())) == [(1, 2, "e2"), (1, 3, "e3"), (2, 3, "e2")]
