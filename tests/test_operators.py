@@ -2,10 +2,12 @@
 
 import json
 import random
+import time
 import zipfile
 from collections import deque
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +263,21 @@ def test_force_layout_repeats(spark):
     assert len({r[2:] for r in first}) == 12
 
 
+def test_pushes_of_near_nodes_match_all_pairs():
+    k, pos = 3.0, np.random.default_rng(5).normal(0, 12, (900, 2))
+    pos[:40] = pos[40]  # at one place
+    d = pos[:, None, :] - pos[None, :, :]
+    dist = np.maximum((d**2).sum(2), 1e-4)
+    asked = (d * np.where(dist < 4 * k * k, k * k / dist, 0)[:, :, None]).sum(1)
+    assert np.allclose(layout.pushed(pos, k), asked)
+
+
+def test_pushes_of_many_nodes_are_not_quadratic():
+    start = time.process_time()
+    assert np.isfinite(layout.pushed(np.random.default_rng(5).random((200_000, 2)) * 450, 1.0)).all()
+    assert time.process_time() - start < 60
+
+
 def test_pack_round_trip(spark, tmp_path):
     chars = spark.createDataFrame([("a", "A", "t", None), ("b", "B", None, None)], "id string, name string, title string, note string")
     assert packs.differences(chars, packs.merge(*packs.split(chars))).count() == 0
