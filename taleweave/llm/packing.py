@@ -6,7 +6,8 @@ where bin completion works on whole groups of equal bins: around the largest
 remaining length it takes an undominated filling, of least waste first, as often
 as the counts allow, and leaves a path whose waste rules out a better packing.
 Best-fit decreasing gives the first incumbent; the search stops at the lower
-bound, or after ``max_nodes`` fillings with the best packing found.
+bound, or after ``max_nodes`` fillings with the best packing found; STEPS items tried
+without a filling count as one of them, so its work is bounded.
 The plan is a list of bin patterns, from which every piece finds its sequence
 by its rank among the pieces of its length.
 """
@@ -30,8 +31,10 @@ from taleweave.llm.tokens import default_path, encoder
 
 SUB_ROWS = 8192  # pieces in one sort
 MAX_NODES = 3000  # fillings taken by the search; its choice points hold some 16 KB each
+STEPS = 5000  # items tried without a filling that count as one
 
 Filling = tuple[tuple[int, int], ...]  # ((length, how many), ...)
+SEARCHED: Filling = ((0, 0),)  # none yet
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...), times
 
 
@@ -84,27 +87,16 @@ def _smeared(bits: int, width: int) -> int:
     return bits
 
 
-def is_dominated(filling: Filling, left: int, waste: int) -> bool:
-    """Whether some items of the filling fit into the place of one larger item that could be taken instead.
+def fillings(counts: np.ndarray, room: int, most_waste: int) -> Iterator[Filling]:
+    """All undominated fillings of ``room``, least waste first, larger items first; worked out as they are asked for.
 
-    ``left`` has a bit for each length that the filling leaves over.  A filling
-    that can still take an item is dominated too.
+    Items that could give way to a larger one are left as soon as they are met: the
+    items that are still to come are smaller, so they can't use that one up.  SEARCHED
+    stands for STEPS items that were tried without a filling.
     """
-    one = more = 0  # sums of one item, and of several
-    for x, n in filling:
-        for _ in range(n):
-            more |= (more | one) << x
-            one |= 1 << x
-    if waste:
-        if _smeared(2, waste - 1) & left or _smeared(one << 1, waste - 1) & left:
-            return True
-    return bool(_smeared(more, waste) & left)
-
-
-def fillings(counts: np.ndarray, room: int, most_waste: int) -> Iterator[Filling]:
-    """All undominated fillings of ``room``, least waste first, larger items first; worked out as they are asked for."""
     lens = [x for x in np.flatnonzero(counts[: room + 1]).tolist() if x]
     many = [min(int(counts[x]), room // x) for x in lens]
+    free = sum(1 << x for x in lens)
     reach, mask = [1], (1 << room + 1) - 1  # sums of the first k lengths, as bits
     for x, n in zip(lens, many, strict=True):
         bits, step = reach[-1], 1
@@ -113,26 +105,39 @@ def fillings(counts: np.ndarray, room: int, most_waste: int) -> Iterator[Filling
             bits |= bits << x * step & mask
             n, step = n - step, 2 * step
         reach.append(bits)
+    tried = 0
 
-    def exact(k: int, total: int) -> Iterator[Filling]:
+    def exact(k: int, total: int, taken: Filling, left: int, one: int, more: int, waste: int) -> Iterator[Filling]:
+        nonlocal tried
         if not total:
-            yield ()
+            if not (waste and _smeared(2, waste - 1) & left):  # no room for another item
+                tried = 0
+                yield taken
             return
         for i in range(min(k, bisect_right(lens, total)) - 1, -1, -1):
             if not reach[i + 1] >> total & 1:
                 return
-            for n in range(min(many[i], total // lens[i]), 0, -1):
-                if reach[i] >> total - n * lens[i] & 1:
-                    for rest in exact(i, total - n * lens[i]):
-                        yield ((lens[i], n), *rest)
+            tried += 1
+            if tried >= STEPS:
+                tried = 0
+                yield SEARCHED
+            x, sums, several = lens[i], [], more
+            single = one | 1 << x
+            if waste and _smeared(1 << x + 1, waste - 1) & left & ~(1 << x):  # a slightly larger one is left
+                continue
+            for n in range(1, min(many[i], total // x) + 1):  # of n, n - 1, ... items
+                several |= (several | (single if n > 1 else one)) << x
+                rest = left & ~(1 << x) if n == counts[x] else left
+                if _smeared(several, waste) & rest:
+                    break
+                sums.append((n, rest, several))
+            for n, rest, several in reversed(sums):
+                if reach[i] >> total - n * x & 1:
+                    yield from exact(i, total - n * x, (*taken, (x, n)), rest, single, several, waste)
 
     for waste in range(min(most_waste, room) + 1):
         if reach[-1] >> room - waste & 1:
-            for found in exact(len(lens), room - waste):
-                used = dict(found)
-                left = sum(1 << x for x in lens if counts[x] > used.get(x, 0))
-                if not is_dominated(found, left, waste):
-                    yield found
+            yield from exact(len(lens), room - waste, (), free, 0, 0, waste)
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -201,6 +206,8 @@ def plan_bins(lengths: dict[int, int], capacity: int, max_nodes: int = MAX_NODES
                 break
             nodes += 1
             heappush(open_, (strayed + 1, depth, nodes, now, path, waste, bins, top, left))
+            if filling is SEARCHED:  # other choice points go first
+                break
             items: dict[int, int] = {top: 1}
             for x, n in filling:
                 items[x] = items.get(x, 0) + n

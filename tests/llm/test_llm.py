@@ -369,6 +369,19 @@ def test_bin_completion_finds_the_fewest_bins():
         assert sum(t for _, t in plan) == (fewest_bins(lengths, 100) if lengths else 0)
 
 
+def test_bin_completion_counts_fruitless_tries(monkeypatch):
+    lengths = Counter({x: rng.randint(1, 9) for x in range(12, 60)})
+    whole = packing.plan_bins(lengths, 100)
+    monkeypatch.setattr(packing, "STEPS", 1)
+    for plan in (whole, packing.plan_bins(lengths, 100, 200)):
+        placed = Counter()
+        for items, times in plan:
+            assert sum(x * n for x, n in items) <= 100
+            placed.update({x: n * times for x, n in items})
+        assert placed == lengths
+    assert packing.SEARCHED in list(packing.fillings(np.bincount(sorted(lengths.elements()), minlength=101), 88, 3))
+
+
 def test_rotation(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "z"), (2, 0, "system", "only"), (None, 5, "ann", "q")]
     df = spark.createDataFrame([(*t, 0, "x") for t in turns], "conv_id long, turn long, role string, text string, position long, start string")
