@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -19,6 +20,8 @@ from taleweave.operators.graph import cut_lineage
 
 MOST_FORMS, MOST_CHARS = 50_000, 2_000_000  # in one automaton
 BUCKET_BYTES = 16 << 20  # of texts that meet a part of the forms
+BITE_BYTES = 1 << 20  # of texts searched before what was found becomes columns; a longer text is one bite
+SLICE_CHARS = 1 << 16  # of a slice of a book
 # What makes an occurrence a part of a longer dotted name, or of a name with an ordinal.
 DOT, ORDINAL = "·", "（第"
 
@@ -66,6 +69,17 @@ def _rows(find, batch: pa.RecordBatch | pa.Table, others: list[str], names: list
     return pa.table([*(batch[c].take(pa.array(at, pa.int64())) for c in others), *map(list, columns)], names=[*others, *names])
 
 
+def _bites(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Rows in order, as many at a time as have BITE_BYTES of text."""
+    first = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(rows["text"]), 0).to_pylist()):
+        if size and size + n > BITE_BYTES:
+            yield rows.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    yield rows.slice(first)
+
+
 def scanned(texts: DataFrame, forms: DataFrame, kernel: Kernel, fields: list[StructField]) -> DataFrame:
     """The columns of ``texts`` but its text, and what ``kernel`` finds of ``forms`` (form) in every text."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -85,12 +99,14 @@ def scanned(texts: DataFrame, forms: DataFrame, kernel: Kernel, fields: list[Str
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = automaton(few)
             for batch in batches:
-                yield from _rows(find, batch, others, names, kernel).cast(arrow).to_batches()
+                for bite in _bites(batch):
+                    yield from _rows(find, bite, others, names, kernel).cast(arrow).to_batches()
 
         return texts.select(*others, "text").mapInArrow(scan, schema)
 
     def meet(own: pa.Table, some: pa.Table) -> pa.Table:
-        return _rows(automaton(some["form"].to_pylist()), own, others, names, kernel).cast(arrow)
+        find = automaton(some["form"].to_pylist())
+        return pa.concat_tables([_rows(find, bite, others, names, kernel).cast(arrow) for bite in _bites(own)])
 
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = int(total // BUCKET_BYTES) + 1
@@ -116,6 +132,46 @@ def spans(texts: DataFrame, forms: DataFrame) -> DataFrame:
     return scanned(texts, forms, _spans, [StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("form", StringType())])
 
 
+def sliced(books: DataFrame, clean: Callable[[Column], Column], forms: DataFrame, width: int = SLICE_CHARS) -> tuple[DataFrame, int]:
+    """(book, begin, text) and a width: cleaned texts in slices that begin at its multiples, each with as much of the next as the longest of ``forms`` (form) needs.
+
+    ``books``: book, text, and ``nth`` if a text comes in pieces; a piece is
+    cleaned by itself, so ``clean`` looks at single signs.  Lengths are summed up
+    within ranges of pieces and over the ranges; no text is ever in one row.
+    """
+    reach = forms.agg(F.max(F.char_length("form"))).first()[0] or 0
+    width = max(width, reach)
+    pieces = books.where("text IS NOT NULL").withColumn("text", clean(F.col("text"))).withColumn("n", F.char_length("text")).where("n > 0")
+    at = F.lit(0).cast("long")
+    if "nth" in books.columns:
+        low, high = books.agg(F.min("nth"), F.max("nth")).first()
+        pieces = pieces.withColumn("range", F.floor((F.col("nth") - F.lit(low or 0)) / ((high or 0) - (low or 0)) * 4096) if high != low else F.lit(0))
+        before = lambda c: F.coalesce(F.sum("n").over(c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranges = pieces.groupBy("book", "range").agg(F.sum("n").alias("n")).select("book", "range", before(Window.partitionBy("book").orderBy("range")).alias("first"))
+        pieces = pieces.withColumn("within", before(Window.partitionBy("book", "range").orderBy("nth", "text"))).join(ranges, ["book", "range"])
+        at = F.col("first") + F.col("within")
+    slices = F.sequence(F.greatest(F.floor((F.col("at") - reach) / width), F.lit(0)), F.floor((F.col("at") + F.col("n") - 1) / width))
+    cut = pieces.select("book", "text", "n", at.alias("at")).withColumn("nth", F.explode(slices)).withColumn("begin", F.col("nth") * width)
+    skip = F.greatest(F.col("begin") - F.col("at"), F.lit(0))
+    upto = F.least(F.col("n").cast("long"), F.col("begin") + width + reach - F.col("at"))
+    cut = cut.select("book", "begin", "at", F.substring("text", (skip + 1).cast("int"), (upto - skip).cast("int")).alias("text"))
+    if "nth" in books.columns:
+        cut = cut.groupBy("book", "begin").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda t: t["text"]), "").alias("text"))
+    return cut.select("book", "begin", "text"), width
+
+
+def held(books: DataFrame, clean: Callable[[Column], Column], forms: DataFrame) -> DataFrame:
+    """(book, form): which of ``forms`` stand in which of ``books`` (as for ``sliced``)."""
+    return occurring(sliced(books, clean, forms)[0], forms).select("book", "form").distinct()
+
+
+def places(books: DataFrame, clean: Callable[[Column], Column], forms: DataFrame) -> DataFrame:
+    """(book, form, start, stop): where ``forms`` stand in ``books`` (as for ``sliced``), in signs of the cleaned text."""
+    texts, width = sliced(books, clean, forms)
+    found = spans(texts, forms).where(F.col("start") < width)
+    return found.select("book", "form", (F.col("begin") + F.col("start")).alias("start"), (F.col("begin") + F.col("stop")).alias("stop"))
+
+
 def longest(found: DataFrame) -> DataFrame:
     """Of the ``spans`` of each text (text_id) those that stay when longer forms go first, then lesser ones, then earlier places, and none overlaps another.
 

@@ -32,8 +32,8 @@ def _people(turns: DataFrame) -> DataFrame:
 
 
 def _sources(turns: DataFrame) -> DataFrame:
-    told = turns.where("conv_id % 6 < 2").groupBy("book").agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("t"))
-    return told.select("book", F.array_join(F.transform("t", lambda t: t["text"]), " ").alias("text"))
+    nth = F.col("conv_id").cast("long") * 2**24 + F.coalesce("turn", F.lit(-1))
+    return turns.where("conv_id % 6 < 2").select("book", nth.alias("nth"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:

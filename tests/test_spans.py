@@ -139,3 +139,19 @@ def test_unseen_speakers(spark):
     got = [(r.name, r.said, r.n) for r in textmine.unseen_speakers(texts, known, signs, 2).collect()]
     assert got == [("张飞", 2, 4)]
     assert textmine.unseen_speakers(texts, known, signs, 5).isEmpty()
+
+
+def test_books_in_slices_match_whole_texts(spark):
+    draw = random.Random(3)
+    turns = [(f"b{k % 2}", k, "".join(draw.choice("ab c") for _ in range(draw.randrange(0, 40)))) for k in range(60)]
+    whole = {b: " ".join(t for c, _, t in turns if c == b).replace(" ", "") for b in ("b0", "b1")}
+    forms = ["ab", "abcab", "ca", "a" * 5, whole["b0"][50:120], whole["b1"][:30] + "x"]
+    asked = spark.createDataFrame([(f,) for f in forms], "form string")
+    clean = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    want = sorted((b, f, i, i + len(f)) for b, t in whole.items() for f in forms for i in range(len(t)) if t.startswith(f, i))
+    pieces, rows = spark.createDataFrame(turns, "book string, nth long, text string"), spark.createDataFrame(list(whole.items()), "book string, text string")
+    for books in (pieces, rows):
+        texts, width = matching.sliced(books, clean, asked, 7)
+        assert max(len(r.text) for r in texts.collect()) <= 2 * width < 200
+        assert sorted(map(tuple, matching.places(books, clean, asked).collect())) == want
+        assert {tuple(r) for r in matching.held(books, clean, asked).collect()} == {w[:2] for w in want}
