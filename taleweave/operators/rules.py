@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taleweave.functions.dealing import dealt
 from taleweave.operators.matching import occurring
 from taleweave.operators.validate import dangling, empty_collection, finding, keys, repeated
 
@@ -139,10 +140,10 @@ def names(chars: DataFrame, least: int = 3) -> list[DataFrame]:
     ]
 
 
-def contiguous_repeats(rels: DataFrame) -> DataFrame:
+def contiguous_repeats(rels: DataFrame, parts: int | None = None) -> DataFrame:
     """Pairs (either way) with a type more than once and no gap between the periods: they are one relation.
 
-    No beginning is chapter 0, no end is for ever.
+    No beginning is chapter 0, no end is for ever.  ``parts``: partitions to deal the periods to.
     """
     group = [*keys(rels), "a", "b", "type"]
     ends = rels.select(
@@ -155,7 +156,7 @@ def contiguous_repeats(rels: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy(*group).orderBy("begins").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.greatest("begins", "ends")).over(before)
-    gaps = ends.withColumn("gap", F.coalesce(F.col("begins") > reach, F.lit(False)))
+    gaps = dealt(ends, parts, *group).withColumn("gap", F.coalesce(F.col("begins") > reach, F.lit(False)))
     whole = gaps.groupBy(*group).agg(F.count("*").alias("n"), F.max("gap").alias("gap")).where("n > 1 AND NOT gap")
     return finding(whole, "error", "relation repeated", F.concat(F.col("a"), F.lit("↔"), F.col("b"), F.lit(" "), F.col("type")))
 

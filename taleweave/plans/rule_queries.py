@@ -34,7 +34,7 @@ def rule_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT *, max(greatest(f, t)) OVER (PARTITION BY a, b, type ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e)
 SELECT 'error' AS severity, 'relation repeated' AS kind, a || '↔' || b || ' ' || type AS subject FROM w GROUP BY a, b, type HAVING count(*) > 1 AND NOT bool_or(coalesce(f > reach, false))""")
 def rule_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.contiguous_repeats(bridge.relations(spark, sf_dir))
+    return rules.contiguous_repeats(bridge.relations(spark, sf_dir, ordered=False), bridge.relation_parts(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT event AS id, CASE WHEN ch <> 13 THEN event END AS summary, 'y' || phase AS phase, CASE WHEN ch <> 14 THEN ch END AS ch, chars FROM plot)
