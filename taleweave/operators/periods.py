@@ -79,7 +79,7 @@ def first_shared_events(event_chars: DataFrame, open_events: DataFrame) -> DataF
 def islands(rels: DataFrame, keys: list[str]) -> DataFrame:
     """Periods of the same key merged where they touch or overlap: keys, island, n, from_ch, to_ch (null: open)."""
     end = F.coalesce("to_ch", F.lit(2**31 - 1))
-    w = Window.partitionBy(*keys).orderBy("from_ch", end, "ord")
+    w = Window.partitionBy(*keys).orderBy("from_ch", end)  # equal periods may come in any order
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rels.withColumn("gap", F.when(F.col("from_ch") > reach, 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
