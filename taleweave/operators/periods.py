@@ -87,9 +87,9 @@ def islands(rels: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("to_ch", F.nullif("to_ch", F.lit(2**31 - 1)))
 
 
-def segments(evidence: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Runs of one value by chapter: run i lasts from its first chapter to the next run's first, at least past its own last."""
-    w = Window.partitionBy(*keys).orderBy("ch", "ord")
+def segments(evidence: DataFrame, keys: list[str], value: str, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Runs of one value by chapter and ``order``: run i lasts from its first chapter to the next run's first, at least past its own last."""
+    w = Window.partitionBy(*keys).orderBy("ch", *order)
     changed = evidence.withColumn("change", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1))
     runs = changed.withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     runs = runs.groupBy(*keys, "run", value).agg(F.min("ch").alias("from_ch"), F.max("ch").alias("last_ch"))

@@ -15,7 +15,7 @@ def test_few_rows_are_left_to_spark(spark):
     assert dealing.dealt(df, None, "id") is df and dealing.dealt(df, 7, "id").rdd.getNumPartitions() == 7
 
 
-@pytest.mark.parametrize("name", ["rule_repeats", "merge_relations"])
+@pytest.mark.parametrize("name", ["rule_repeats", "merge_relations", "period_segments"])
 def test_more_relations_make_more_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(dealing, "ROWS", 200)
     df = registry.queries()[name](spark, SF)
