@@ -15,6 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taleweave.operators.graph import cut_lineage
 from taleweave.operators.matching import MASK, occurring
 
 # Least and most letters before a separator and after it, further separators, and the letters that a title adds to a known name at most.
@@ -55,7 +56,7 @@ def extents(around: DataFrame, separator: str) -> DataFrame:
 
 def chosen_names(texts: DataFrame, separator: str = "·", letters: str = HAN) -> DataFrame:
     """(name, n, into_known): the extent taken at each separator, at how many, and whether a masked name follows the first of them."""
-    around = surroundings(texts, separator, letters)
+    around = cut_lineage(surroundings(texts, separator, letters))  # read twice below, and texts are long
     tried = extents(around, separator)
     totals = tried.groupBy("name").agg(F.sum("n").alias("total"))
     best = F.max_by(F.struct("name"), F.struct("total", F.char_length("name"), -F.col("n_left")))["name"]
@@ -71,13 +72,13 @@ def unknown_names(texts: DataFrame, known: DataFrame, settled: DataFrame, least:
     known names, known names with a title, and names inside other such names.
     """
     names = known.select(F.trim("name").alias("name")).where(F.char_length("name") >= 2).distinct()
-    found = chosen_names(texts, separator, letters).where(~F.col("into_known")).withColumn("parts", F.split("name", re.escape(separator), -1))
+    found = cut_lineage(chosen_names(texts, separator, letters).where(~F.col("into_known"))).withColumn("parts", F.split("name", re.escape(separator), -1))
     part = found.where(F.size("parts") <= 2).select("name", F.explode("parts").alias("part")).withColumn("plain", normal(F.col("part")))
     with_known = part.join(names.select(normal(F.col("name")).alias("plain")).distinct(), "plain", "left_semi").select("name")
     inside = occurring(names.select(F.col("name").alias("text")), found.select(F.col("name").alias("form"))).select(F.col("form").alias("name"))
     holds = occurring(found.select("name", F.col("name").alias("text")), names.select(F.col("name").alias("form")))
     titled = holds.where(F.char_length("name") - F.char_length("form") <= TITLE).select("name")
     out = with_known.unionByName(inside).unionByName(titled).distinct()
-    passing = found.join(out, "name", "left_anti").where(F.col("n") >= least).select("name", "n")
+    passing = cut_lineage(found.where(F.col("n") >= least).join(out, "name", "left_anti").select("name", "n"))
     lesser = occurring(passing.select("name", F.col("name").alias("text")), passing.select(F.col("name").alias("form"))).where("form <> name").select(F.col("form").alias("name")).distinct()
     return passing.join(lesser, "name", "left_anti").join(settled.select("name").distinct(), "name", "left_anti")

@@ -132,6 +132,21 @@ def test_dotted_names_match_a_plain_version(spark):
     assert got["佩德罗妮拉·伊瓜兰"] == 2 and "弗朗西斯·德雷克" not in got
 
 
+def test_dotted_names_read_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"见安娜·伊凡，见安娜·伊凡说。彼得罗夫·娜塔莎{k}") for k in range(20)]
+    texts = spark.createDataFrame(rows, "text_id long, text string").mapInArrow(counted, "text_id long, text string")
+    named = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    assert {r.name for r in dotted.unknown_names(texts, named(["罗季昂"]), named(["无"])).collect()} == {"见安娜·伊凡", "彼得罗夫·娜塔莎"}
+    assert read.value == len(rows)
+
+
 def test_unseen_speakers(spark):
     texts = spark.createDataFrame([(1, "张飞大怒曰：某。张飞曰。孔明笑曰。大喜曰。左右曰。张飞走"), (2, "张飞"), (3, None)], "text_id long, text string")
     known = spark.createDataFrame([("孔明",)], "name string")
