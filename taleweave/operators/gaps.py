@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from bisect import bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from taleweave.operators.dotted import normal
 from taleweave.operators.graph import cut_lineage
-from taleweave.operators.matching import longest, near_spans, occurring, spans
+from taleweave.operators.matching import near_spans, occurring, parts_for, scanned, spans, staying, text_spans
 from taleweave.operators.resolve import norm_name
 
 # Signs that no name holds, those before which none begins, endings that are none, the reach of a known name, and the signs of a passage around a name.
@@ -24,24 +30,46 @@ def known_forms(names: DataFrame) -> DataFrame:
     return names.select(F.trim(F.regexp_replace("name", BRACKETS, "")).alias("form")).where(F.char_length("form") >= 2).distinct()
 
 
-def unmasked(texts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(text_id, begin, text): what stands between the spans ``kept``, and where in the text it does."""
-    per_text = kept.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
-    joined = texts.where("text IS NOT NULL").select("text_id", "text").join(per_text, "text_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start: int, stop: int>>")))
-    starts = F.concat(F.transform("s", lambda x: x["start"]), F.array(F.char_length("text")))
-    stops = F.concat(F.array(F.lit(0)), F.transform("s", lambda x: x["stop"]))
-    parts = F.zip_with(starts, stops, lambda to, begin: F.struct(begin.alias("begin"), F.substring(F.col("text"), begin + 1, to - begin).alias("text")))
-    return joined.select("text_id", F.explode(F.filter(parts, lambda p: p["text"] != "")).alias("p")).select("text_id", "p.begin", "p.text")
+def named_between(text: str, found: list[tuple], word: re.Pattern, near: int) -> list[tuple]:
+    """(name, n, near) of a text: matches of ``word`` between the longest of the spans ``found`` (start, stop, form), and how many are within ``near`` of any span."""
+    start, stop, form = zip(*found, strict=True) if found else ((), (), ())
+    kept = staying(start, stop, form)
+    ordered = sorted(zip(start, stop, strict=True))
+    starts = [s for s, _ in ordered]
+    reach = list(accumulate((e for _, e in ordered), max))
+    out: dict[str, list[int]] = {}
+    for low, high in zip([0, *(stop[i] for i in kept)], [*(start[i] for i in kept), len(text)], strict=True):
+        for m in word.finditer(text[low:high]):
+            if m[0]:
+                pos = low + m.start()
+                before = bisect_right(starts, pos + near)
+                have = out.setdefault(m[0], [0, 0])
+                have[0] += 1
+                have[1] += bool(before and reach[before - 1] >= pos - near)
+    return [(name, n, close) for name, (n, close) in out.items()]
+
+
+def candidates(texts: DataFrame, forms: DataFrame, pattern: str, near: int) -> DataFrame:
+    """(name, n, near): what ``pattern`` finds in ``texts`` (text_id, text) once ``forms`` (form) are taken out, longest first, and how often it stands near one.
+
+    A text is gone through once, where its forms are found.  Forms too many for
+    one automaton are found in parts, and meet the text on its id.
+    """
+    word = re.compile(pattern)
+    fields = [StructField("name", StringType()), StructField("n", LongType()), StructField("near", LongType())]
+    size = forms.agg(F.count("*"), F.coalesce(F.sum(F.char_length("form")), F.lit(0))).first()
+    if parts_for(*size) <= 1:
+        each = scanned(texts.select("text"), forms, lambda find, text: named_between(text, text_spans(find, text), word, near), fields)
+    else:
 
+        def meet(own: pa.Table, found: pa.Table) -> pa.Table:
+            spans_ = list(zip(*(found[c].to_pylist() for c in ("start", "stop", "form")), strict=True))
+            rows = [t for text in own["text"].to_pylist() for t in named_between(text, spans_, word, near)]
+            return pa.table([pa.array([t[k] for t in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["name", "n", "near"])
 
-def tokens_at(parts: DataFrame, pattern: str) -> DataFrame:
-    """(text_id, pos, name): matches of a pattern in ``parts`` (text_id, begin, text), by their place in the text."""
-    words = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.char_length(g).alias("gap"), w.alias("name")))
-    each = parts.where(F.size(words) > 0).select("text_id", "begin", F.posexplode(both).alias("nth", "t"))
-    before = Window.partitionBy("text_id", "begin").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.sum(F.col("t.gap") + F.char_length("t.name")).over(before)
-    return each.withColumn("pos", (F.col("begin") + reach - F.char_length("t.name")).cast("int")).select("text_id", "pos", F.col("t.name").alias("name"))
+        whole = texts.where("text IS NOT NULL").select("text_id", "text")
+        each = whole.groupBy("text_id").cogroup(spans(whole, forms).groupBy("text_id")).applyInArrow(meet, StructType(fields))
+    return each.groupBy("name").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
 
 
 def gap_report(texts: DataFrame, known: DataFrame, settled: DataFrame, pattern: str, stop: str, fillers: str = FILLERS, particles: str = PARTICLES, least: int = LEAST, near: int = NEAR) -> DataFrame:
@@ -54,26 +82,25 @@ def gap_report(texts: DataFrame, known: DataFrame, settled: DataFrame, pattern:
     them at least within ``near`` characters of a known name; places are those of
     the whole text.  ``snippet`` is the passage around the first occurrence near a
     known name; a name after a particle is hardly one, so it isn't ``plausible``.
+    ``pattern`` is Python's, the other expressions are Spark's.
     """
-    forms = known_forms(known)
-    found = cut_lineage(spans(texts.select("text_id", "text"), forms))
-    tokens = tokens_at(unmasked(texts, longest(found)), pattern)
-    tokens = tokens.where(~F.col("name").rlike(stop) & ~F.col("name").rlike(fillers))
-    tokens = cut_lineage(tokens)
-    names = tokens.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    forms = cut_lineage(known_forms(known))
+    tokens = candidates(texts, forms, pattern, near).where((F.col("n") >= least) & (F.col("near") > 0))
+    names = cut_lineage(tokens.where(~F.col("name").rlike(stop) & ~F.col("name").rlike(fillers)))
     plain = forms.select(normal(F.col("form")).alias("plain")).distinct()
     names = names.withColumn("plain", normal(F.col("name"))).join(plain, "plain", "left_anti").drop("plain")
     inside = occurring(forms.select(F.col("form").alias("text")).distinct(), names.select(F.col("name").alias("form"))).select(F.col("form").alias("name")).distinct()
     holding = occurring(names.select("name", F.col("name").alias("text")), forms).select("name").distinct()
     names = names.join(inside, "name", "left_anti").join(holding, "name", "left_anti").join(settled.select("name").distinct(), "name", "left_anti")
-    close = near_spans(tokens.join(names.select("name"), "name", "left_semi"), found, near).groupBy("name").agg(F.count("*").alias("near"))
-    names = cut_lineage(names.join(close, "name"))
+    names = cut_lineage(names)
+    found = spans(texts.select("text_id", "text"), forms)
     # any occurrence of the string may show it best, the first near a known name does
     places = near_spans(spans(texts.select("text_id", "text"), names.select(F.col("name").alias("form"))).withColumnRenamed("start", "pos"), found, near)
     first = places.groupBy(F.col("form").alias("name")).agg(F.min(F.struct("text_id", "pos")).alias("at")).select("name", "at.text_id", "at.pos")
     begin = F.greatest(F.col("pos") - BEFORE, F.lit(0))
     passage = F.substring(F.col("text"), begin + 1, F.col("pos") + F.char_length("name") + AFTER - begin)
     shown = first.join(texts.select("text_id", "text"), "text_id").select("name", F.regexp_replace(passage, r"\s+", " ").alias("snippet"))
+    shown = shown.groupBy("name").agg(F.min("snippet").alias("snippet"))  # one a name, as Spark can see: where nobody asks for it, the texts aren't searched again
     out = names.join(shown, "name", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
     at = F.instr(F.col("snippet"), F.col("name"))
     return out.select("name", "n", "near", "snippet", ((at <= 1) | ~F.substring(F.col("snippet"), at - 1, F.lit(1)).rlike(particles)).alias("plausible"))

@@ -41,7 +41,7 @@ def automaton(forms: list[str]):
     return out
 
 
-def _spans(find, text: str) -> list[tuple]:
+def text_spans(find, text: str) -> list[tuple]:
     return [(end + 1 - len(form), end + 1, form) for end, form in find.iter(text)]
 
 
@@ -80,6 +80,11 @@ def _bites(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch | pa.Tabl
     yield rows.slice(first)
 
 
+def parts_for(n: int, chars: int) -> int:
+    """In how many automata ``n`` forms of ``chars`` characters go."""
+    return max(-(-n // MOST_FORMS), -(-chars // MOST_CHARS))
+
+
 def scanned(texts: DataFrame, forms: DataFrame, kernel: Kernel, fields: list[StructField]) -> DataFrame:
     """The columns of ``texts`` but its text, and what ``kernel`` finds of ``forms`` (form) in every text."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,7 +97,7 @@ def scanned(texts: DataFrame, forms: DataFrame, kernel: Kernel, fields: list[Str
     size = distinct.agg(F.count("*").alias("n"), F.sum(F.char_length("form")).alias("chars")).first()
     if not size["n"]:
         return spark.createDataFrame([], schema)
-    parts = max(-(-size["n"] // MOST_FORMS), -(-size["chars"] // MOST_CHARS))
+    parts = parts_for(size["n"], size["chars"])
     if parts == 1:
         few = sorted(r["form"] for r in distinct.collect())  # bounded by the counts above
 
@@ -129,7 +134,7 @@ def occurring(texts: DataFrame, forms: DataFrame) -> DataFrame:
 
 def spans(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """The columns of ``texts`` but its text, with ``start``, ``stop`` (characters) and ``form`` of every occurrence, overlapping and nested ones too."""
-    return scanned(texts, forms, _spans, [StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("form", StringType())])
+    return scanned(texts, forms, text_spans, [StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("form", StringType())])
 
 
 def sliced(books: DataFrame, clean: Callable[[Column], Column], forms: DataFrame, width: int = SLICE_CHARS) -> tuple[DataFrame, int]:
@@ -172,6 +177,17 @@ def places(books: DataFrame, clean: Callable[[Column], Column], forms: DataFrame
     return found.select("book", "form", (F.col("begin") + F.col("start")).alias("start"), (F.col("begin") + F.col("stop")).alias("stop"))
 
 
+def staying(start: list[int], stop: list[int], form: list[str]) -> list[int]:
+    """Which spans of one text stay, by place, when longer forms go first, then lesser ones, then earlier places, and none overlaps another."""
+    taken = bytearray(max(stop, default=0))
+    kept = []
+    for i in sorted(range(len(start)), key=lambda i: (start[i] - stop[i], form[i], start[i])):
+        if taken.find(1, start[i], stop[i]) < 0:
+            taken[start[i] : stop[i]] = b"\x01" * (stop[i] - start[i])
+            kept.append(i)
+    return sorted(kept, key=lambda i: start[i])
+
+
 def longest(found: DataFrame) -> DataFrame:
     """Of the ``spans`` of each text (text_id) those that stay when longer forms go first, then lesser ones, then earlier places, and none overlaps another.
 
@@ -179,14 +195,7 @@ def longest(found: DataFrame) -> DataFrame:
     """
 
     def resolve(own: pa.Table) -> pa.Table:
-        start, stop, form = (own[c].to_pylist() for c in ("start", "stop", "form"))
-        taken = bytearray(max(stop))
-        kept = []
-        for i in sorted(range(len(start)), key=lambda i: (start[i] - stop[i], form[i], start[i])):
-            if not any(taken[start[i] : stop[i]]):
-                taken[start[i] : stop[i]] = b"\x01" * (stop[i] - start[i])
-                kept.append(i)
-        return own.take(pa.array(sorted(kept, key=lambda i: start[i]), pa.int64()))
+        return own.take(pa.array(staying(*(own[c].to_pylist() for c in ("start", "stop", "form"))), pa.int64()))
 
     return found.groupBy("text_id").applyInArrow(resolve, found.schema)
 

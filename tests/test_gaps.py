@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from taleweave.operators import gaps
+from taleweave.operators import gaps, matching
 
 STOP = "^(?:王宫|李子)"
 PATTERN = "[王李张][一-龥]{1,2}"
@@ -58,6 +58,30 @@ def test_gap_report_matches_a_plain_version(spark):
     assert gaps.gap_report(df.limit(0), named(spark, known), named(spark, settled), PATTERN, STOP).isEmpty()
 
 
+def test_names_are_counted_in_one_pass_over_the_texts(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [(i, f"甲乙在张四五，{'走' * i}张四五，甲乙丙") for i in range(20)]
+    df = spark.createDataFrame(texts, "text_id long, text string").mapInArrow(counted, "text_id long, text string")
+    out = gaps.gap_report(df, named(spark, ["甲乙", "甲乙丙"]), named(spark, ["无"]), PATTERN, STOP, near=10)
+    assert [tuple(r) for r in out.select("name", "n", "near").collect()] == [("张四五", 40, 40)]
+    assert read.value == len(texts)
+
+
+def test_known_names_may_be_more_than_an_automaton_takes(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_FORMS", 2)
+    texts = [(1, "甲乙在张四五，走走走走走走走走走走走走张四五"), (2, "王五天甲乙丙张四五"), (3, None), (4, "张四五")]
+    known = ["甲乙", "甲乙丙", "天甲", "乙丙"]
+    df = spark.createDataFrame(texts, "text_id long, text string")
+    got = {r.name: (r.n, r.near, r.snippet, r.plausible) for r in gaps.gap_report(df, named(spark, known), named(spark, ["无"]), PATTERN, STOP, least=1).collect()}
+    assert got == report(texts, known, [], least=1, near=gaps.NEAR) and got["张四五"][:2] == (4, 3)
+
+
 def test_shown_gaps(spark):
     df = spark.createDataFrame([("a", 9, 1, True), ("b", 2, 5, True), ("c", 3, 5, True), ("d", 9, 9, False)], "name string, n long, near long, plausible boolean")
     assert [r.name for r in gaps.shown_gaps(df, 2).collect()] == ["c", "b"] and gaps.shown_gaps(df, 0).count() == 3
