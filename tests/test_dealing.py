@@ -29,3 +29,8 @@ def test_equal_periods_need_no_order(spark):
     df = spark.createDataFrame(rows, "k string, from_ch int, to_ch int")
     got = sorted((r.island, r.n, r.from_ch, r.to_ch) for r in periods.islands(df, ["k"]).collect())
     assert got == [(0, 3, 1, 4), (1, 1, 5, 3), (2, 1, 5, 3)]
+
+
+def test_dealt_relations_are_numbered_alike(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS", 200)
+    assert rows_of(registry.queries()["event_phase_assign"](spark, SF)) == rows_of_sql(registry.oracle_sql()["event_phase_assign"])
