@@ -8,6 +8,7 @@ from collections import deque
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,24 @@ def test_pushes_of_many_nodes_are_not_quadratic():
     assert time.process_time() - start < 60
 
 
+def test_books_come_as_a_stream(monkeypatch):
+    """Ends of edges become integers while a book comes in; unknown ends, loops and books without nodes count for nothing, whatever the batches are."""
+    rows = [("b", False, f"n{i}", None) for i in range(9)] + [("b", True, f"n{i}", f"n{i * 4 % 9}") for i in range(9)] + [("b", True, "n1", "x"), ("b", True, None, "n2")]
+    rows += [("c", True, "n1", "n2")] + [("d", False, "n0", None)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("book", "edge", "a", "b"), r, strict=True)) for r in rows], pa.schema([("book", pa.string()), ("edge", pa.bool_()), ("a", pa.string()), ("b", pa.string())]))
+    ends = sorted((i, i * 4 % 9) for i in range(9) if i != i * 4 % 9)
+    pos = layout.force_kernel(9, *np.array(ends).T).round(3)
+    want = [("b", f"n{i}", *pos[i]) for i in range(9)] + [("d", "n0", *layout.force_kernel(1, *np.zeros((2, 0), int)).round(3)[0])]
+    monkeypatch.setattr(layout, "EDGES", 3)
+    waiting = []
+    number = layout._Book.number
+    monkeypatch.setattr(layout._Book, "number", lambda book: (waiting.append(book.rows), number(book)))
+    for size in (1, 4, 50):
+        out = layout._lay(batch.slice(i, size) for i in range(0, len(rows), size))
+        assert [tuple(r.values()) for o in out for r in o.to_pylist()] == want
+        assert max(waiting) <= max(3, 2 + size)
+
+
 def test_pack_round_trip(spark, tmp_path):
     chars = spark.createDataFrame([("a", "A", "t", None), ("b", "B", None, None)], "id string, name string, title string, note string")
     assert packs.differences(chars, packs.merge(*packs.split(chars))).count() == 0
