@@ -63,17 +63,31 @@ def shared_events(pairs: DataFrame, event_chars: DataFrame, open_events: DataFra
     return ranked.groupBy("a", "b").agg(F.min(F.struct(F.coalesce("phase", F.lit(99)).alias("phase"), "ord", "event")).alias("m")).select("a", "b", "m.event")
 
 
+BITS = 2  # longs of bits of a character's earlier events
+SHARERS = 4096  # characters of a block, about
+
+
 def first_shared_events(event_chars: DataFrame, open_events: DataFrame) -> DataFrame:
     """(a, b, event): ``shared_events`` of all pairs (a < b) that share an open event.
 
-    Pairs are written out from blocks of an event's characters and keep the least number of an event.
+    Pairs are written out from blocks of an event's characters, and only those that
+    share no earlier event, so none is shuffled.  Every character brings the numbers
+    of its earlier events, and bits of them that mostly show at once that two have
+    none in common; numbers grow with the square of one character's events.
     """
     events = open_events.select("event", F.coalesce("phase", F.lit(99)).alias("phase"), "ord")
     ranked = cut_lineage(with_ord(events, F.col("phase"), ["phase", "ord", "event"], "nth"))
-    members = event_chars.join(ranked, "event").select(F.col("nth").alias("cls"), F.struct(F.col("char").alias("id")).alias("item"))
-    met = expand(ranked.select(F.col("nth").alias("ca"), F.col("nth").alias("cb"), "nth"), members)
-    first = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.min("nth").alias("nth"))
-    return first.join(ranked.select("nth", "event"), "nth").select("a", "b", "event")
+    there = event_chars.join(ranked, "event").select("nth", "char").distinct()
+    earlier = Window.partitionBy("char").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    bit = F.pmod(F.xxhash64("nth"), F.lit(64 * BITS))
+    bits = [F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).over(earlier), F.lit(0).cast("long")).alias(f"bits{i}") for i in range(BITS)]
+    brought = there.select("nth", F.col("char").alias("id"), *bits, F.collect_list("nth").over(earlier).alias("earlier"))
+    members = brought.select(F.col("nth").alias("cls"), F.struct("id", *[f"bits{i}" for i in range(BITS)], "earlier").alias("item"))
+    met = expand(ranked.select(F.col("nth").alias("ca"), F.col("nth").alias("cb"), "event"), members, block=SHARERS)
+    apart = F.lit(True)
+    for i in range(BITS):
+        apart = apart & (F.col(f"a.bits{i}").bitwiseAND(F.col(f"b.bits{i}")) == 0)
+    return met.where(apart | ~F.arrays_overlap("a.earlier", "b.earlier")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "event")
 
 
 def islands(rels: DataFrame, keys: list[str]) -> DataFrame:

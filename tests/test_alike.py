@@ -44,6 +44,18 @@ def test_one_large_family_is_dealt_over_tasks(spark):
     assert min(pairs.groupBy(F.spark_partition_id()).count().toPandas()["count"]) > 0 and pairs.groupBy(F.spark_partition_id()).count().count() >= 5
 
 
+def test_no_task_holds_all_pairs_of_a_unit(spark):
+    """Members of the first block come one by one: their loop isn't compiled, in which all rows of a unit would be made at a time."""
+    plan = alike.expand(*(spark.createDataFrame(r, s) for r, s in (([("x", "x")], "ca string, cb string"), ([("x", ("p1",)), ("x", ("p2",))], "cls string, item struct<id: string>"))))
+    plan.collect()
+    loops = [line.strip(" :+-") for line in plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Generate " in line]
+    assert [loop.startswith("*") for loop in loops] == [True, False]
+
+
+def test_tasks_grow_with_very_many_pairs():
+    assert alike.tasks(0) == 1 and alike.tasks(alike.TASK * 500) == 501 and alike.tasks(1 << 37) < 5000
+
+
 def test_nearest_by_classes_in_both_orders(spark):
     """Two lines of unlike length meet in two ancestors: which is nearest depends on the order of the ids, not of the classes."""
     edges = [("u", "a"), ("x", "u"), ("y", "v"), ("v", "w"), ("w", "a"), ("x", "p"), ("p", "q"), ("q", "b"), ("y", "b"), ("u", "c"), ("w", "c"), ("q", "0"), ("y", "0")]
@@ -81,3 +93,20 @@ def test_first_shared_event_of_all_pairs(spark):
     asked = spark.createDataFrame([(a, b) for a in range(1, 5) for b in range(a + 1, 5)], "a long, b long")
     got = sorted(map(tuple, periods.first_shared_events(ec, events).collect()))
     assert got == sorted(map(tuple, periods.shared_events(asked, ec, events).collect())) == [(1, 2, "e2"), (1, 3, "e3"), (2, 3, "e2")]
+
+
+def test_first_shared_events_shuffle_no_pairs(spark):
+    """Three hundred characters in thirty events, many of them together often: each pair comes once, with its first event, and nothing is grouped by pairs."""
+    rng = random.Random(8)
+    there = {e: rng.sample(range(300), 60) for e in range(30)}
+    ec = spark.createDataFrame([(f"e{e}", c) for e, cs in there.items() for c in cs] + [("e3", there[3][0])], "event string, char long")
+    events = spark.createDataFrame([(f"e{e}", e % 4 or None, e) for e in there], "event string, phase int, ord long")
+    want = {}
+    for e in sorted(there, key=lambda e: (e % 4 or 99, e)):
+        for a in there[e]:
+            for b in there[e]:
+                if a < b:
+                    want.setdefault((a, b), f"e{e}")
+    got = periods.first_shared_events(ec, events)
+    assert sorted(map(tuple, got.collect())) == sorted((*ab, e) for ab, e in want.items())
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
